@@ -111,10 +111,10 @@ class Tables:
         return (
             self.lines().groupBy("subject", "visit", F.col("l_suppkey").alias("parcel"))
             .agg(
-                F.round(F.avg("l_quantity"), 4).alias("g1"),
-                F.round(F.avg(F.col("l_extendedprice") / 2000.0), 4).alias("g2"),
-                F.round(F.avg(F.col("l_discount") * 500.0), 4).alias("g3"),
-                F.round(F.avg(F.col("l_tax") * 600.0), 4).alias("g4"),
+                (F.avg("l_quantity") * F.lit(0.7312345678901e0)).alias("g1"),
+                (F.avg("l_extendedprice") * F.lit(0.0003712345678901e0)).alias("g2"),
+                (F.avg("l_discount") * F.lit(371.2345678901e0)).alias("g3"),
+                (F.avg("l_tax") * F.lit(471.2345678901e0)).alias("g4"),
             )
             .select(
                 "subject", "visit", "parcel",
@@ -254,8 +254,8 @@ SQL: dict[str, str] = {
   greatest(c_nationkey,s_nationkey) AS j, round(sum(l_extendedprice),2) AS w
   FROM lines JOIN supplier ON l_suppkey=s_suppkey WHERE c_nationkey<>s_nationkey GROUP BY ALL""",
     "coords": f"""SELECT subject, visit, l_suppkey AS parcel, CASE WHEN l_suppkey%2=0 THEN 'L' ELSE 'R' END AS hemi,
-  ({_NET})[(l_suppkey//2)%7+1] AS network, round(avg(l_quantity),4) AS g1, round(avg(l_extendedprice/2000.0),4) AS g2,
-  round(avg(l_discount*500.0),4) AS g3, round(avg(l_tax*600.0),4) AS g4 FROM lines GROUP BY ALL""",
+  ({_NET})[(l_suppkey//2)%7+1] AS network, avg(l_quantity)*0.7312345678901e0 AS g1, avg(l_extendedprice)*0.0003712345678901e0 AS g2,
+  avg(l_discount)*371.2345678901e0 AS g3, avg(l_tax)*471.2345678901e0 AS g4 FROM lines GROUP BY ALL""",
     "outcomes": """SELECT endpoint, subject, CASE endpoint WHEN 'balance' THEN bal WHEN 'top' THEN top WHEN 'constant' THEN 0.0
     ELSE CASE WHEN subject<>'S5' THEN bal END END AS y
   FROM (SELECT 'S'||(c_nationkey%6) AS subject, round(avg(c_acctbal),4) AS bal, round(max(c_acctbal),2) AS top FROM customer GROUP BY 1),

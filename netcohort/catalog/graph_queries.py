@@ -46,7 +46,7 @@ tn AS (SELECT subject,visit,cost,node,count(*) AS t,sum(cbrt(wab*wac*wbc)) AS tw
 
 
 def kept(t: Tables, weighted: bool = True):
-    k = G.fixed_cost(t.edges(), KEYS, N)
+    k = G.fixed_cost(cut(t.edges()), KEYS, N)
     return G.rank_weights(k, CK) if weighted else k
 
 

@@ -12,23 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut
+
 RANGES = 256
-SMALL_GROUP = 20_000
+SMALL_GROUP = 1_000_000
 
 
 def value_positions(df: DataFrame, keys: list[str], value: str, ranges: int = RANGES, small: int = SMALL_GROUP) -> DataFrame:
-    """``keys, value, c, before, n``: distinct values, their count, rows before."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    """``keys, value, c, before, n``: distinct values, their count, rows before.
+
+    The distinct values are written once.  Where no group holds more than
+    ``small`` of them one window per group orders them; otherwise every group is
+    split into value ranges.
+    """
+    counts = cut(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")))
+    largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+    if largest <= small:
+        w = W.partitionBy(*keys).orderBy(value)
+        upto = F.sum("c").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+        total = F.sum("c").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+        return counts.select(*keys, value, "c", (upto - F.col("c")).alias("before"), total.alias("n"))
     cuts = [i / ranges for i in range(1, ranges)]
-    splits = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 1000).alias("_s"),
-        F.sum("c").alias("n"),
-        F.count(F.lit(1)).alias("_m"),
-    )
-    slot = F.when(F.col("_m") <= small, F.lit(0)).otherwise(
-        F.size(F.filter("_s", lambda s: s < F.col(value)))
-    )
-    ranged = counts.join(splits, keys).select(*keys, value, "c", "n", slot.alias("_b"))
+    splits = counts.groupBy(*keys).agg(F.percentile_approx(value, cuts, 1000).alias("_s"), F.sum("c").alias("n"))
+    slot = F.size(F.filter("_s", lambda s: s < F.col(value)))
+    ranged = cut(counts.join(splits, keys).select(*keys, value, "c", "n", slot.alias("_b")))
     totals = ranged.groupBy(*keys, "_b").agg(F.sum("c").alias("_t"))
     offsets = totals.select(
         *keys,
@@ -91,10 +98,11 @@ def top_k(df: DataFrame, keys: list[str], value: str, tie: str, k: DataFrame, k_
     fewer rows than wanted yields nothing (callers report it as a violation).
     ``tie`` must be unique inside a group.
     """
-    ranked = df.withColumn("_neg", -F.col(value))
+    ranked = cut(df.withColumn("_neg", -F.col(value)))
     pos = value_positions(ranked, keys, "_neg")
     edge = pos.join(k, keys).filter((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("c")))
     edge = edge.select(*keys, *k_keys, F.col("_neg").alias("_cut"), (F.col("k") - F.col("before")).alias("_room"))
+    edge = cut(edge)
     joined = ranked.join(edge, keys)
     above = joined.filter(F.col("_neg") < F.col("_cut"))
     tied = joined.filter(F.col("_neg") == F.col("_cut"))
