@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
-from . import geometry_queries, graph_queries, inference_queries  # noqa: F401
+from . import geometry_queries, graph_queries, inference_queries, spatial_queries  # noqa: F401
 from .fixtures import Tables
 from .registry import ORACLE, QUERIES
 

@@ -76,11 +76,13 @@ def m2g(t):
     return out(d, ["subject", "network", "metric"])
 
 
-# an independent fixpoint: the reweighted mean repeated 400 times from the centroid
-@query("M3_geometric_median", "coords", "WITH p AS (SELECT subject,visit,network,hemi,g1,g2,g3,g4 FROM coords), gm AS (SELECT subject,visit,network,hemi,0 AS it,avg(g1) AS m1,avg(g2) AS m2,avg(g3) AS m3,avg(g4) AS m4 FROM p GROUP BY ALL "
+# an independent search: the reweighted mean repeated 300 times, then compared with every data point
+@query("M3_geometric_median", "coords", "WITH p AS (SELECT subject,visit,network,hemi,parcel,g1,g2,g3,g4 FROM coords), gm AS (SELECT subject,visit,network,hemi,0 AS it,avg(g1) AS m1,avg(g2) AS m2,avg(g3) AS m3,avg(g4) AS m4 FROM p GROUP BY ALL "
        "UNION ALL (SELECT subject,visit,network,hemi,max(it)+1,sum(g1/r)/sum(1/r),sum(g2/r)/sum(1/r),sum(g3/r)/sum(1/r),sum(g4/r)/sum(1/r) FROM "
-       "(SELECT p.*,it,greatest(sqrt((g1-m1)**2+(g2-m2)**2+(g3-m3)**2+(g4-m4)**2),1e-300) AS r FROM p JOIN gm USING (subject,visit,network,hemi) WHERE it<400) GROUP BY subject,visit,network,hemi)) "
-       "SELECT subject,visit,network,hemi,round(m1,4)+0.0 AS m_g1,round(m2,4)+0.0 AS m_g2,round(m3,4)+0.0 AS m_g3,round(m4,4)+0.0 AS m_g4 FROM gm WHERE it=400")
+       "(SELECT p.*,it,greatest(sqrt((g1-m1)**2+(g2-m2)**2+(g3-m3)**2+(g4-m4)**2),1e-300) AS r FROM p JOIN gm USING (subject,visit,network,hemi) WHERE it<300) GROUP BY subject,visit,network,hemi)), "
+       "cd AS (SELECT subject,visit,network,hemi,-1 AS id,m1,m2,m3,m4 FROM gm WHERE it=300 UNION ALL SELECT subject,visit,network,hemi,parcel,g1,g2,g3,g4 FROM p), "
+       "fs AS (SELECT c.*,(SELECT sum(sqrt((g1-m1)**2+(g2-m2)**2+(g3-m3)**2+(g4-m4)**2)) FROM p WHERE p.subject=c.subject AND p.visit=c.visit AND p.network=c.network AND p.hemi=c.hemi) AS f FROM cd c) "
+       "SELECT subject,visit,network,hemi,round(arg_min(m1,f),4)+0.0 AS m_g1,round(arg_min(m2,f),4)+0.0 AS m_g2,round(arg_min(m3,f),4)+0.0 AS m_g3,round(arg_min(m4,f),4)+0.0 AS m_g4 FROM fs GROUP BY ALL")
 def m3(t):
     return out(M.geometric_median(coords(t), [*SN, "hemi"]), [*SN, "hemi"], 4)
 

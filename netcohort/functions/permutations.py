@@ -40,11 +40,12 @@ def permutations(spark: SparkSession, sizes: list[int]) -> DataFrame:
     return out
 
 
-def subsets(spark: SparkSession, n: int, k: int) -> DataFrame:
-    """``pick, bits``: every k-subset of n labels as a bit mask."""
-    if not 1 <= n <= 20:
-        raise ValueError("subset enumeration supports 1..20 labels")
-    return spark.range(2**n).filter(F.bit_count("id") == k).select(F.col("id").alias("bits"))
+def label_subsets(spark: SparkSession, sizes: list[int]) -> DataFrame:
+    """``n, k, bits``: every subset of n labels as a bit mask with k bits set."""
+    if max(sizes) > 16:
+        raise ValueError("subset enumeration supports at most 16 labels")
+    ids = spark.range(2 ** max(sizes)).select(F.col("id").alias("bits"), F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    return ids.filter(F.expr("bits < shiftleft(cast(1 as bigint), n)")).select("n", F.bit_count("bits").alias("k"), "bits")
 
 
 def digits(col, base: int, n: int):

@@ -108,7 +108,7 @@ def geometric_median(points: DataFrame, by: list[str], tol: float = 1e-10, max_r
     pts = cut(points.select(*by, *AXES))
     p = lambda pre: [pre + a for a in AXES]
     cur = cut(centre(pts, by, "m_").withColumn("done", F.lit(False)))
-    names = [*p("m_"), *p("n_"), *p("w_")]
+    names = [*p("m_"), *p("n_"), *p("w_"), *p("z_")]
     ddl = ", ".join(f"{c} {pts.schema[c].dataType.simpleString()}" for c in by)
     ddl += ", landed boolean, " + ", ".join(f"{c} double" for c in names)
 
@@ -152,11 +152,17 @@ def geometric_median(points: DataFrame, by: list[str], tol: float = 1e-10, max_r
         s = j.groupBy(*by, *p("m_")).agg(*aggs)
         s = s.select("*", (F.col("near.r") < tol).alias("landed"), *[F.col("near." + a).alias("z_" + a) for a in AXES]).drop("near")
         cand = s.mapInPandas(propose, ddl)
-        f = pts.join(cand, by).groupBy(*by, "landed", *names).agg(*[F.sum(gap("", q)).alias("f_" + q) for q in ("n_", "w_")])
+        # the nearest data point is the answer when the other points pull on it with force at most one
+        z = gap("", "z_")
+        pull = [F.sum(F.when(z > 0, (F.col("z_" + a) - F.col(a)) / z).otherwise(0.0)).alias("p_" + a) for a in AXES]
+        f = pts.join(cand, by).groupBy(*by, "landed", *names).agg(
+            *[F.sum(gap("", q)).alias("f_" + q) for q in ("n_", "w_")], *pull, F.count_if(z == 0).alias("here")
+        )
+        held = F.col("landed") | (norm([F.col("p_" + a) for a in AXES]) <= F.col("here"))
         newton = F.col("f_n_") <= F.col("f_w_") * (1 + 1e-9)
-        nxt = {a: F.when(newton, F.col("n_" + a)).otherwise(F.col("w_" + a)) for a in AXES}
+        nxt = {a: F.when(held, F.col("z_" + a)).when(newton, F.col("n_" + a)).otherwise(F.col("w_" + a)) for a in AXES}
         moved = f.select(*by, *[nxt[a].alias("m_" + a) for a in AXES],
-                         (F.col("landed") | (norm([nxt[a] - F.col("m_" + a) for a in AXES]) < tol)).alias("done"))
+                         (held | (norm([nxt[a] - F.col("m_" + a) for a in AXES]) < tol)).alias("done"))
         cur = cut(cur.filter("done").unionByName(moved))
         if cur.filter("not done").limit(1).count() == 0:
             break

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.expr import MAX_SUBJECTS, array_unit_ranks, finite, permuted_dot
-from ..functions.permutations import permutations, subsets
+from ..functions.permutations import label_subsets, permutations
 
 SLACK = 1e-12
 SIZES = list(range(3, MAX_SUBJECTS + 1))
@@ -178,11 +178,7 @@ def side_label_null(tests: DataFrame, keys: list[str], spark) -> DataFrame:
     ``tests`` holds ``endpoint, keys, n, k, if_right, if_left, ry, rho`` where the
     arrays give each subject's value under either assignment.
     """
-    picks = None
-    for n in SIZES:
-        for k in range(n + 1):
-            one = subsets(spark, n, k).select(F.lit(n).alias("n"), F.lit(k).alias("k"), "bits")
-            picks = one if picks is None else picks.unionByName(one)
+    picks = label_subsets(spark, SIZES)
     j = tests.join(F.broadcast(picks), ["n", "k"])
     right = lambda s: F.shiftright(F.col("bits"), s).bitwiseAND(F.lit(1)) == 1
     sel = F.array(*[F.when(right(s), F.get("if_right", F.lit(s))).otherwise(F.get("if_left", F.lit(s))) for s in range(MAX_SUBJECTS)])
@@ -199,7 +195,7 @@ def paired_signflip(pairs: DataFrame, keys: list[str], diff: str = "d") -> DataF
     packed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("subject", F.col(diff).alias("d")))).alias("c"))
     packed = packed.select(*keys, F.col("c.d").alias("d"), F.size("c").alias("n")).filter("n between 3 and 16")
     packed = packed.withColumn("mean", F.aggregate("d", F.lit(0.0), lambda a, v: a + v) / F.col("n"))
-    signs = packed.withColumn("id", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("n")) - 1)))
+    signs = packed.withColumn("id", F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)")))
     flipped = F.aggregate(
         F.transform("d", lambda v, s: F.when(F.getbit(F.col("id"), s) == 1, -v).otherwise(v)),
         F.lit(0.0), lambda a, v: a + v,
