@@ -304,5 +304,5 @@ def with_tables(names: str, body: str) -> str:
     heads = [f"{n} AS ({SQL[n]})" for n in done]
     body = body.strip()
     if body.upper().startswith("WITH "):
-        return "WITH RECURSIVE " + ",\n".join(heads) + ",\n" + body[5:]
+        return "WITH RECURSIVE " + ",\n".join([*heads, body[5:]])
     return ("WITH RECURSIVE " + ",\n".join(heads) + "\n" if heads else "") + body

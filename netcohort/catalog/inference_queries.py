@@ -164,7 +164,7 @@ def p9(t):
     k = [*K, "definition"]
     d = ST.symptom_values(lateral(t), t.sides()).join(t.outcomes().filter("endpoint in ('balance', 'top')"), "subject")
     ts = cut(ST.side_tests(d, k))
-    nulls = P.side_label_null(ts, k, t.spark).filter("null is not null")
+    nulls = P.side_label_null(ts, k, t.spark).filter(F.col("null").isNotNull())
     p = nulls.groupBy("endpoint", *k).agg(
         F.first("rho").alias("rho"), P.share(P.ge(F.abs("null"), F.abs("rho"))).alias("p_side_label_exact"), F.count(F.lit(1)).alias("valid_assignments")
     )

@@ -84,7 +84,6 @@ def v4b(t):
     return V.label_components(t.mask(), SHAPE, 26).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("size"))
 
 
-THIRD = "t.image_id,v,m"
 OV = """md AS (SELECT image_id,quantile_cont(v,.5) AS m FROM voxels GROUP BY 1),ad AS (SELECT image_id,x,y,z FROM voxels JOIN md USING (image_id) WHERE v<=m AND v>0.8*m),
 rm AS (SELECT image_id,x,y,z FROM voxels JOIN md USING (image_id) WHERE v>1.6*m),"""
 
@@ -119,7 +118,7 @@ def v7(t):
     return V.binary_check(t.voxels().withColumn("v", F.when(F.col("v") > 400000, 2.0).when(F.col("v") > 200000, 1.0).otherwise(0.0)))
 
 
-CODE = """cd AS (SELECT image_id,x,y,z,CAST(v AS BIGINT) AS c FROM voxels),
+CODE = """cd AS (SELECT image_id,x,y,z,CAST(round(v) AS BIGINT) AS c FROM voxels),
 sfc AS (SELECT image_id,x,y,z,CASE c%4 WHEN 0 THEN 1001+(c//4)%22 WHEN 1 THEN 2001+(c//4)%22 ELSE 17 END AS code FROM cd),
 lft AS (SELECT image_id,x,y,z,CASE c%3 WHEN 0 THEN 10+c%5 ELSE 0 END AS code FROM cd), rgt AS (SELECT image_id,x,y,z,CASE c%3 WHEN 1 THEN 10+c%5 ELSE 0 END AS code FROM cd),
 an AS (SELECT label,hemi,tissue,CASE WHEN tissue='cortex' THEN CASE hemi WHEN 'L' THEN idx+1 ELSE idx-22+201 END ELSE 10+(idx-44)//2 END AS source_label FROM nodes),"""
@@ -131,7 +130,7 @@ an AS (SELECT label,hemi,tissue,CASE WHEN tissue='cortex' THEN CASE hemi WHEN 'L
   SELECT d.image_id,d.x,d.y,d.z,label FROM dp d JOIN an ON d.code=source_label AND d.hemi=an.hemi LEFT JOIN co c ON c.image_id=d.image_id AND c.x=d.x AND c.y=d.y AND c.z=d.z AND c.s IS NOT NULL WHERE tissue<>'cortex' AND c.s IS NULL)
  SELECT image_id,x,y,z,max(label) AS label,count(*) AS claims FROM al GROUP BY ALL""")
 def v8(t):
-    v = cut(t.voxels().select(*IMG, F.floor("v").cast("long").alias("c0"), F.round("v").cast("long").alias("c")))
+    v = cut(t.voxels().select(*IMG, F.round("v").cast("long").alias("c")))
     c, q = F.col("c"), F.floor(F.col("c") / 4)
     sfc = v.select(*IMG, F.when(c % 4 == 0, 1001 + q % 22).when(c % 4 == 1, 2001 + q % 22).otherwise(17).alias("code"))
     lft = v.select(*IMG, F.when(c % 3 == 0, 10 + c % 5).otherwise(0).alias("code"))
@@ -293,12 +292,12 @@ def s19(t):
 
 # -- streamlines ------------------------------------------------------------
 
-TM = "q98 AS (SELECT image_id,quantile_cont(v,.98) AS q FROM voxels GROUP BY 1), tm AS (SELECT DISTINCT x,y,z FROM voxels JOIN q98 USING (image_id) WHERE v>q),"
+TM = "qhi AS (SELECT image_id,quantile_cont(v,.9995) AS q FROM voxels GROUP BY 1), tm AS (SELECT DISTINCT x,y,z FROM voxels JOIN qhi USING (image_id) WHERE v>q),"
 
 
 def track_mask(t: Tables):
     v = cut(t.voxels())
-    return cut(v.join(O.quantiles(v, ["image_id"], "v", {"q": 0.98}), "image_id").filter("v > q").select(*XYZ).distinct())
+    return cut(v.join(O.quantiles(v, ["image_id"], "v", {"q": 0.9995}), "image_id").filter("v > q").select(*XYZ).distinct())
 
 
 @query("T1_sampling_gate", "points", """WITH s AS (SELECT track,sqrt((lead(x) OVER t-x)**2+(lead(y) OVER t-y)**2+(lead(z) OVER t-z)**2) AS l FROM points WINDOW t AS (PARTITION BY track ORDER BY seq)),
