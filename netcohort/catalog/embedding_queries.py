@@ -78,10 +78,10 @@ def e7(t):
     return E.procrustes(c, ref, SH, ["subject", "hemi"], 4)
 
 
-@query("E8_isolated_profiles", "edges nodes", "WITH " + SLICE.replace("FROM edges e", "FROM (SELECT * FROM edges WHERE w>150000) e") + """ en AS (SELECT DISTINCT subject,visit,hemi,i AS node FROM hx UNION SELECT DISTINCT subject,visit,hemi,j FROM hx)
- SELECT s.subject,s.visit,n.hemi,n.idx AS node FROM (SELECT DISTINCT subject,visit FROM edges WHERE w>150000) s CROSS JOIN (SELECT * FROM nodes WHERE tissue='cortex') n LEFT JOIN en ON en.subject=s.subject AND en.visit=s.visit AND en.node=n.idx WHERE en.node IS NULL""")
+@query("E8_isolated_profiles", "edges nodes", "WITH " + SLICE.replace("FROM edges e", "FROM (SELECT * FROM edges WHERE w>450000) e") + """ en AS (SELECT DISTINCT subject,visit,hemi,i AS node FROM hx UNION SELECT DISTINCT subject,visit,hemi,j FROM hx)
+ SELECT s.subject,s.visit,n.hemi,n.idx AS node FROM (SELECT DISTINCT subject,visit FROM edges WHERE w>450000) s CROSS JOIN (SELECT * FROM nodes WHERE tissue='cortex') n LEFT JOIN en ON en.subject=s.subject AND en.visit=s.visit AND en.node=n.idx WHERE en.node IS NULL""")
 def e8(t):
-    return E.isolated_profiles(cut(t.edges().filter("w > 150000")), t.nodes(), S)
+    return E.isolated_profiles(cut(t.edges().filter("w > 450000")), t.nodes(), S)
 
 
 @query("E9_common_reference", "edges", "SELECT i,j,round(sum(w)/6,4) AS w FROM edges WHERE visit=0 GROUP BY 1,2")

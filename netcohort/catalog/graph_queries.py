@@ -51,11 +51,42 @@ def kept(t: Tables, weighted: bool = True):
 
 
 class Base:
-    """Written threshold graph and basis, shared by the iterative queries."""
+    """Written threshold graph, basis and distances of one data folder.
 
-    def __init__(self, t: Tables):
-        self.w = cut(kept(t))
-        self.nodes = cut(G.session_nodes(self.w, CK, t.nodes()))
+    The iterative queries of one session share them, as a study would.
+    """
+
+    _made: dict = {}
+
+    def __new__(cls, t: Tables):
+        key = (t.spark.sparkContext.applicationId, t.dir)
+        if key not in cls._made:
+            b = super().__new__(cls)
+            b.w = cut(kept(t))
+            b.nodes = cut(G.session_nodes(b.w, CK, t.nodes()))
+            b._hop = b._dist = b._tri = b._lcc = None
+            cls._made[key] = b
+        return cls._made[key]
+
+    def hop(self):
+        if self._hop is None:
+            self._hop = cut(G.hop_distances(self.w, CK, self.nodes))
+        return self._hop
+
+    def dist(self):
+        if self._dist is None:
+            self._dist = G.weighted_distances(self.w, CK, self.nodes)
+        return self._dist
+
+    def tri(self):
+        if self._tri is None:
+            self._tri = cut(G.triangles(self.w, CK))
+        return self._tri
+
+    def lcc(self):
+        if self._lcc is None:
+            self._lcc = cut(G.largest_component(self.w, CK, self.nodes))
+        return self._lcc
 
 
 def rounded(df, keys, digits=6):
@@ -91,19 +122,19 @@ def p40(t):
  SELECT subject,visit,cost,node,round(size/50.0,6) AS fraction FROM lcc""")
 def g4(t):
     b = Base(t)
-    return G.largest_component(b.w, CK, b.nodes).select(*CK, "node", r6(F.col("size") / F.col("n")).alias("fraction"))
+    return b.lcc().select(*CK, "node", r6(F.col("size") / F.col("n")).alias("fraction"))
 
 
 @query("G5_hop_distances", "edges", "WITH " + KEPT + HOPS + " z AS (SELECT 1) SELECT subject,visit,cost,src,dst,d FROM hop")
 def g5(t):
     b = Base(t)
-    return G.hop_distances(b.w, CK, b.nodes).withColumn("src", F.col("src").cast("long")).withColumn("dst", F.col("dst").cast("long"))
+    return b.hop().withColumn("src", F.col("src").cast("long")).withColumn("dst", F.col("dst").cast("long"))
 
 
 @query("G6_weighted_distances", "edges", "WITH " + KEPT + WDIST + " z AS (SELECT 1) SELECT subject,visit,cost,src,dst,round(d,6) AS d FROM wdist")
 def g6(t):
     b = Base(t)
-    d = G.weighted_distances(b.w, CK, b.nodes)
+    d = b.dist()
     return d.select(*CK, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), r6("d").alias("d"))
 
 
@@ -111,14 +142,14 @@ def g6(t):
  SELECT subject,visit,cost,round(sum(CASE WHEN d>0 THEN 1.0/d ELSE 0 END)/2450,6) AS binary_global_efficiency FROM hop GROUP BY 1,2,3""")
 def g7(t):
     b = Base(t)
-    return rounded(G.global_efficiency(G.hop_distances(b.w, CK, b.nodes), CK, N, "binary_global_efficiency"), CK)
+    return rounded(G.global_efficiency(b.hop(), CK, N, "binary_global_efficiency"), CK)
 
 
 @query("G8_rank_global_efficiency", "edges", "WITH " + KEPT + WDIST + """ z AS (SELECT 1)
  SELECT subject,visit,cost,round(sum(CASE WHEN d>0 THEN 1.0/d ELSE 0 END)/2450,6) AS rank_global_efficiency FROM wdist GROUP BY 1,2,3""")
 def g8(t):
     b = Base(t)
-    return rounded(G.global_efficiency(G.weighted_distances(b.w, CK, b.nodes), CK, N, "rank_global_efficiency"), CK)
+    return rounded(G.global_efficiency(b.dist(), CK, N, "rank_global_efficiency"), CK)
 
 
 @query("G9_characteristic_path_lcc", "edges", "WITH " + KEPT + HOPS + COMP + WDIST + """ z AS (SELECT 1)
@@ -127,9 +158,9 @@ def g8(t):
  JOIN (SELECT h.subject,h.visit,h.cost,avg(d) AS r FROM wdist h JOIN lcc l ON l.subject=h.subject AND l.visit=h.visit AND l.cost=h.cost AND l.node=h.src WHERE src<>dst GROUP BY 1,2,3) USING (subject,visit,cost)""")
 def g9(t):
     b = Base(t)
-    lcc = cut(G.largest_component(b.w, CK, b.nodes))
-    x = G.characteristic_path(G.hop_distances(b.w, CK, b.nodes), lcc, CK, "binary_characteristic_path_lcc")
-    y = G.characteristic_path(G.weighted_distances(b.w, CK, b.nodes), lcc, CK, "rank_characteristic_path_lcc")
+    lcc = b.lcc()
+    x = G.characteristic_path(b.hop(), lcc, CK, "binary_characteristic_path_lcc")
+    y = G.characteristic_path(b.dist(), lcc, CK, "rank_characteristic_path_lcc")
     return rounded(x.join(y, CK), CK)
 
 
@@ -141,17 +172,17 @@ CLUST = "WITH " + KEPT + TRI + """ cl AS (SELECT subject,visit,cost,
 
 @query("G10_binary_mean_clustering", "edges", CLUST + "round(bc,6) AS binary_mean_clustering FROM cl")
 def g10(t):
-    return rounded(G.clustering(cut(kept(t)), CK, N).select(*CK, "binary_mean_clustering"), CK)
+    return rounded(G.clustering(Base(t).w, CK, N, Base(t).tri()).select(*CK, "binary_mean_clustering"), CK)
 
 
 @query("G11_rank_mean_clustering", "edges", CLUST + "round(rc,6) AS rank_mean_clustering FROM cl")
 def g11(t):
-    return rounded(G.clustering(cut(kept(t)), CK, N).select(*CK, "rank_mean_clustering"), CK)
+    return rounded(G.clustering(Base(t).w, CK, N, Base(t).tri()).select(*CK, "rank_mean_clustering"), CK)
 
 
 @query("G12_transitivity", "edges", CLUST + "round(bt,6) AS binary_transitivity, round(rt,6) AS rank_transitivity FROM cl")
 def g12(t):
-    return rounded(G.clustering(cut(kept(t)), CK, N).select(*CK, "binary_transitivity", "rank_transitivity"), CK)
+    return rounded(G.clustering(Base(t).w, CK, N, Base(t).tri()).select(*CK, "binary_transitivity", "rank_transitivity"), CK)
 
 
 @query("G13_assortativity", "edges", "WITH " + KEPT + """ m AS (SELECT e.subject,e.visit,e.cost,
@@ -159,7 +190,7 @@ def g12(t):
   FROM kw e JOIN deg a ON a.subject=e.subject AND a.visit=e.visit AND a.cost=e.cost AND a.node=e.i JOIN deg b ON b.subject=e.subject AND b.visit=e.visit AND b.cost=e.cost AND b.node=e.j GROUP BY 1,2,3)
   SELECT subject,visit,cost, round((t1-t2*t2)/(t3-t2*t2),6)+0.0 AS binary_assortativity, round((u1-u2*u2)/(u3-u2*u2),6)+0.0 AS rank_assortativity FROM m""")
 def g13(t):
-    return rounded(G.assortativity(kept(t), CK), CK)
+    return rounded(G.assortativity(Base(t).w, CK), CK)
 
 
 EGO = """ego AS (SELECT subject,visit,cost,a AS ego,b AS i,c AS j,wbc AS w FROM tri UNION ALL SELECT subject,visit,cost,b,a,c,wac FROM tri UNION ALL SELECT subject,visit,cost,c,a,b,wab FROM tri),
@@ -174,7 +205,7 @@ en AS (SELECT DISTINCT subject,visit,cost,ego,i AS node FROM ea),"""
   SELECT subject,visit,cost,round(sum(CASE WHEN k>1 THEN coalesce(e,0)/(k*(k-1)) ELSE 0 END)/50,6) AS binary_mean_local_efficiency
   FROM deg LEFT JOIN es USING (subject,visit,cost,node) GROUP BY 1,2,3""")
 def g14(t):
-    return rounded(G.local_efficiency(cut(kept(t)), CK, N).select(*CK, "binary_mean_local_efficiency"), CK)
+    return rounded(G.local_efficiency(Base(t).w, CK, N, Base(t).tri()).select(*CK, "binary_mean_local_efficiency"), CK)
 
 
 @query("G15_rank_mean_local_efficiency", "edges", "WITH " + KEPT + TRI + EGO + """ ew AS (SELECT subject,visit,cost,ego,node AS src,node AS dst,0.0::DOUBLE AS d,0 AS h FROM en
@@ -187,7 +218,7 @@ def g14(t):
   SELECT subject,visit,cost,round(sum(CASE WHEN k>1 THEN coalesce(e,0)/(k*(k-1)) ELSE 0 END)/50,6) AS rank_mean_local_efficiency
   FROM deg LEFT JOIN es USING (subject,visit,cost,node) GROUP BY 1,2,3""")
 def g15(t):
-    return rounded(G.local_efficiency(cut(kept(t)), CK, N).select(*CK, "rank_mean_local_efficiency"), CK)
+    return rounded(G.local_efficiency(Base(t).w, CK, N, Base(t).tri()).select(*CK, "rank_mean_local_efficiency"), CK)
 
 
 def bsql(dist: str, length: str, prefix: str, rounds: int) -> str:
@@ -206,14 +237,14 @@ def bsql(dist: str, length: str, prefix: str, rounds: int) -> str:
 @query("G16_binary_betweenness", "edges", "WITH " + KEPT + HOPS + bsql("hop", "1", "binary", 12))
 def g16(t):
     b = Base(t)
-    d = cut(G.hop_distances(b.w, CK, b.nodes).withColumn("d", F.col("d").cast("double")))
+    d = cut(b.hop().withColumn("d", F.col("d").cast("double")))
     return rounded(G.betweenness(b.w, d, CK, N, F.lit(1.0), "binary", b.nodes), CK)
 
 
 @query("G17_rank_betweenness", "edges", "WITH " + KEPT + WDIST + bsql("wdist", "1/e.w", "rank", 18))
 def g17(t):
     b = Base(t)
-    d = G.weighted_distances(b.w, CK, b.nodes)
+    d = b.dist()
     return rounded(G.betweenness(b.w, d, CK, N, 1 / F.col("w"), "rank", b.nodes), CK)
 
 
@@ -245,7 +276,7 @@ def g18s(t):
 def g19(t):
     from ..plans.graph_study import cost_mean, long_metrics
 
-    return rounded(cost_mean(long_metrics(G.clustering(cut(kept(t)), CK, N), CK), KEYS), [*KEYS, "metric"])
+    return rounded(cost_mean(long_metrics(G.clustering(Base(t).w, CK, N, Base(t).tri()), CK), KEYS), [*KEYS, "metric"])
 
 
 @query("G20_node_change", "edges nodes", """WITH v AS (SELECT subject,visit,i AS node,w FROM edges UNION ALL SELECT subject,visit,j,w FROM edges),

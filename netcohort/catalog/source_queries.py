@@ -234,7 +234,7 @@ def i6(t):
 def i7(t):
     s = t.headers().groupBy("series_uid").agg(F.first("study_uid").alias("study_uid"), F.first("patient_id").alias("patient_id")).withColumn("modality", F.lit("MR")).withColumn("derived", F.lit(False))
     x = s.agg(F.min("series_uid").alias("a"), F.max("series_uid").alias("b"))
-    sel = x.select(F.inline(F.array(F.struct(F.lit("t1").alias("role"), F.col("a").alias("series_uid")), F.struct(F.lit("ct"), F.col("b")))))
+    sel = x.select(F.inline(F.array(F.struct(F.lit("t1").alias("role"), F.col("a").alias("series_uid")), F.struct(F.lit("ct").alias("role"), F.col("b").alias("series_uid")))))
     return I.validate_selection(sel, s, ["t1", "dwi"])
 
 
@@ -245,7 +245,7 @@ def i8(t):
     return I.stat_drift(h, now)
 
 
-@query("I9_shell_cluster", "bvals", "WITH s AS (SELECT acquisition,b//1000 AS k,avg(b) AS m,count(*) AS n FROM bvals WHERE b>50 GROUP BY ALL) SELECT acquisition,CAST(row_number() OVER (PARTITION BY acquisition ORDER BY k)-1 AS INT) AS shell,round(m,1) AS b,n AS directions FROM s")
+@query("I9_shell_cluster", "bvals", "WITH s AS (SELECT acquisition,floor(b/1000) AS k,avg(b) AS m,count(*) AS n FROM bvals WHERE b>50 GROUP BY ALL) SELECT acquisition,CAST(row_number() OVER (PARTITION BY acquisition ORDER BY k)-1 AS INT) AS shell,round(m,1) AS b,n AS directions FROM s")
 def i9(t):
     return I.shell_cluster(t.bvals())
 

@@ -196,16 +196,54 @@ def _turn(v: DataFrame, r: DataFrame, keys: list[str], b: int, wide: int | None
     return j.select(*keys, "node", out.alias("_w")).select(*keys, "node", *[F.get("_w", F.lit(c)).alias(f"v{c}") for c in range(wide)])
 
 
-def top_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components: int = COMPONENTS, oversample: int = 5,
-              powers: int = 4, rounds: int = 8) -> DataFrame:
+# A group of this many nodes is an 8 MB matrix, safe inside one task.
+DENSE_NODES = 1024
+
+
+def top_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components: int = COMPONENTS, dense_nodes: int = DENSE_NODES) -> DataFrame:
     """``keys, node, u, l``: leading eigenvectors (trivial one first) and values.
 
+    An atlas basis is small, so a group up to ``dense_nodes`` nodes is solved as
+    one matrix inside a task, groups in parallel.  Where any group is larger,
+    every group goes through the distributed iteration instead.
+    """
+    kernel, scale = cut(kernel), cut(scale)
+    sizes = scale.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("hi"), F.min("n").alias("lo")).first()
+    if sizes.lo is None or sizes.lo <= components + 1:
+        raise ValueError("too few nodes for the requested eigensystem")
+    if sizes.hi > dense_nodes:
+        return subspace_eigen(kernel, scale, keys, components)
+    types = {f.name: f.dataType.simpleString() for f in scale.schema}
+    ddl = ", ".join(f"{c} {types[c]}" for c in keys) + f", node {types['node']}, u array<double>, l array<double>"
+    k1 = components + 1
+
+    def solve(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        diag = pdf[pdf["i"] == pdf["j"]].sort_values("i")
+        nodes, s = diag["i"].to_numpy(), diag["s"].to_numpy(float)
+        m = np.full((len(nodes), len(nodes)), 0.5)
+        m[np.searchsorted(nodes, pdf["i"].to_numpy()), np.searchsorted(nodes, pdf["j"].to_numpy())] += pdf["e"].to_numpy(float)
+        val, vec = np.linalg.eigh(m * s[:, None] * s[None, :])
+        u, lam = vec[:, ::-1][:, :k1], val[::-1][:k1]
+        out = pd.DataFrame({c: [v] * len(nodes) for c, v in zip(keys, key)})
+        out["node"], out["u"], out["l"] = nodes, list(u), [lam] * len(nodes)
+        return out
+
+    one = kernel.join(scale.withColumnRenamed("node", "i"), [*keys, "i"])
+    return cut(one.groupBy(*keys).applyInPandas(solve, ddl))
+
+
+def subspace_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components: int = COMPONENTS, oversample: int = 5,
+                   powers: int = 4, rounds: int = 8) -> DataFrame:
+    """Leading eigenpairs without ever holding a group in one place.
+
     Subspace iteration over all groups in one plan: a round multiplies
     ``powers`` times, then re-orthonormalises through one small Gram matrix per
     group.  A last projected solve separates the vectors.
     """
     b = components + 1 + oversample
-    kernel, scale = cut(kernel), cut(scale)
     seed = [F.sin(F.col("node") * (k + 1.3) + k * k * 0.7) for k in range(b)]
     seed[0] = 1 / F.col("s")
     v = scale.select(*keys, "node", *[e.alias(f"v{k}") for k, e in enumerate(seed)])

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.expr import MAX_SUBJECTS, array_unit_ranks, finite, permuted_dot
 from ..functions.permutations import label_subsets, permutations
+from ..session import cut
 
 SLACK = 1e-12
 SIZES = list(range(3, MAX_SUBJECTS + 1))
@@ -184,8 +185,9 @@ def side_label_null(tests: DataFrame, keys: list[str], spark) -> DataFrame:
     sel = F.array(*[F.when(right(s), F.get("if_right", F.lit(s))).otherwise(F.get("if_left", F.lit(s))) for s in range(MAX_SUBJECTS)])
     xs = F.slice(sel, F.lit(1), F.col("n"))
     whole = ~F.exists(xs, lambda v: v.isNull())
-    j = j.withColumn("_x", F.when(whole, xs)).withColumn("null", dot(array_unit_ranks(F.col("_x")), F.col("ry")))
-    return j
+    # written first, so the ranking reads plain arrays instead of repeating the selection
+    j = cut(j.withColumn("_x", F.when(whole, xs)))
+    return j.withColumn("null", dot(array_unit_ranks(F.col("_x")), F.col("ry"))).drop("_x")
 
 
 # -- paired and matrix tests -------------------------------------------------
