@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs as G
-from . import embedding_queries, geometry_queries, graph_queries, inference_queries, source_queries, spatial_queries  # noqa: F401
+from . import embedding_queries, geometry_queries, graph_queries, inference_queries, source_queries, spatial_queries, study_queries  # noqa: F401
 from .fixtures import Tables
 from .registry import ORACLE, QUERIES
 

@@ -7,6 +7,7 @@ one broadcast permutation table (8! rows at most).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -287,9 +288,8 @@ def donor_null(scores: DataFrame, donors: DataFrame, n: int) -> DataFrame:
 
 def family_hit_counts(nulls: DataFrame, test: list[str], alpha: float) -> DataFrame:
     """``perm, hits``: tests whose row-conditional exact p falls below alpha."""
-    w = W.partitionBy(*test).orderBy("_a").rangeBetween(-SLACK, W.unboundedFollowing)
-    every = W.partitionBy(*test)
-    p = nulls.withColumn("_a", F.abs("null")).withColumn("_p", F.count(F.lit(1)).over(w) / F.count(F.lit(1)).over(every))
+    tail = f"count(1) over (partition by {', '.join(test)} order by _a range between {SLACK}D preceding and unbounded following)"
+    p = nulls.withColumn("_a", F.abs("null")).withColumn("_p", F.expr(tail) / F.count(F.lit(1)).over(W.partitionBy(*test)))
     return p.groupBy("perm").agg(F.count_if(F.col("_p") < alpha).alias("hits"))
 
 
@@ -331,8 +331,6 @@ def icc21(table: DataFrame, keys: list[str], row: str = "subject", col: str = "v
 
 def fisher_pool(rows: DataFrame, keys: list[str], family_size: int) -> DataFrame:
     """(n-3)-weighted Fisher z with normal tail, Bonferroni and 95 % interval."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def upper_tail(z: pd.Series) -> pd.Series:
         from math import erfc, sqrt

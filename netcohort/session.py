@@ -29,6 +29,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "net
     return spark
 
 
+_LOCAL_ROOT: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
@@ -40,9 +43,10 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOT:
+        _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_ROOT[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
