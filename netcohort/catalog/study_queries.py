@@ -334,9 +334,9 @@ def p48(t):
 
 @query("G22_graph_study")
 def g22(t):
-    return H.graph_study(cut(t.edges()), t.nodes(), t.outcomes(), N_GRAPH)
+    return H.graph_study(cut(t.edges()), t.nodes(), t.outcomes(), N_GRAPH, extended=False, modularity=False)
 
 
 @query("G23_preoperative_graph")
 def g23(t):
-    return H.preoperative_graph(cut(t.edges().filter("visit = 0")), t.nodes(), t.outcomes(), N_CORTEX)
+    return H.preoperative_graph(cut(t.edges().filter("visit = 0")), t.nodes(), t.outcomes(), N_CORTEX, extended=False, modularity=False)

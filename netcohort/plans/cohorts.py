@@ -325,16 +325,18 @@ def graph_screen(measures: DataFrame, outcomes: DataFrame) -> DataFrame:
     return screens.clinical_screen(cut(d.join(whole, "metric").select("subject", "metric", F.round("value", 12).alias("x"))), outcomes, ["metric"])
 
 
-def graph_study(edges: DataFrame, nodes: DataFrame, outcomes: DataFrame, n: int) -> DataFrame:
-    return graph_screen(cut(session_measures(edges, nodes, n, ["subject", "visit"])), outcomes)
+def graph_study(edges: DataFrame, nodes: DataFrame, outcomes: DataFrame, n: int, extended: bool = True, modularity: bool = True) -> DataFrame:
+    """All session measures, their change, and the exact screen per outcome."""
+    m = session_measures(edges, nodes, n, ["subject", "visit"], extended=extended, modularity=modularity)
+    return graph_screen(cut(m), outcomes)
 
 
-def preoperative_graph(edges: DataFrame, nodes: DataFrame, outcomes: DataFrame, n: int) -> DataFrame:
+def preoperative_graph(edges: DataFrame, nodes: DataFrame, outcomes: DataFrame, n: int, extended: bool = True, modularity: bool = True) -> DataFrame:
     """First-visit cortical graphs, density means only, against every outcome."""
     cort = E.cortical_order(nodes).select("idx", F.col("position").alias("p"))
     m = F.broadcast(cort)
     e = edges.join(m.select(F.col("idx").alias("i"), F.col("p").alias("a")), "i").join(m.select(F.col("idx").alias("j"), F.col("p").alias("b")), "j")
     e = cut(e.select("subject", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "w"))
     basis = cort.select(F.col("p").alias("idx"))
-    x = cut(session_measures(e, basis, n, ["subject"]).filter(F.col("metric").endswith("_cost_mean")).filter("value is not null"))
+    x = cut(session_measures(e, basis, n, ["subject"], extended=extended, modularity=modularity).filter(F.col("metric").endswith("_cost_mean")).filter("value is not null"))
     return screens.clinical_screen(x.select("subject", "metric", F.round("value", 12).alias("x")), outcomes, ["metric"])
