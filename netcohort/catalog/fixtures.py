@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import order as O
 
@@ -185,32 +184,17 @@ class Tables:
         )
         return O.position_index(e, ["track"], "us", ["event_id"], "seq").select("track", "seq", "x", "y", "z")
 
-    def dense_points(self) -> DataFrame:
-        """Every segment cut into pieces no longer than 0.4 voxels."""
+    def fine_points(self) -> DataFrame:
+        """Points with every segment cut into pieces no longer than 0.4 voxels."""
         p = self.points()
         q = p.select("track", (F.col("seq") - 1).alias("seq"), *[F.col(c).alias(c + "2") for c in "xyz"])
         ln = F.sqrt(sum(((F.col(c + "2") - F.col(c)) ** 2 for c in "xyz"), F.lit(0.0)))
-        seg = p.join(q, ["track", "seq"]).withColumn("m", F.greatest(F.ceil(ln / 0.4), F.lit(1)).cast("int"))
-        # piece k of segment s keeps the order through (seq, k); ends are shared, so k runs to m-1.
-        inner = seg.select(
-            "track", "seq", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"), "x", "y", "z", "x2", "y2", "z2"
-        )
+        seg = p.join(q, ["track", "seq"], "left").withColumn("m", F.coalesce(F.greatest(F.ceil(ln / 0.4), F.lit(1)), F.lit(1)).cast("int"))
+        cut_up = seg.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
         f = F.col("k") / F.col("m")
-        start = inner.select("track", "seq", "k", *[(F.col(c) + (F.col(c + "2") - F.col(c)) * f).alias(c) for c in "xyz"])
-        last = p.join(p.groupBy("track").agg(F.max("seq").alias("seq")), ["track", "seq"]).select(
-            "track", "seq", F.lit(0).alias("k"), "x", "y", "z"
-        )
-        allp = start.unionByName(last)
-        sizes = seg.select("track", "seq", "m")
-        return allp, sizes
-
-    def fine_points(self) -> DataFrame:
-        """Dense points with one running ``seq`` per track."""
-        allp, _ = self.dense_points()
-        rank = allp.withColumn("_o", F.col("seq") * 4096 + F.col("k"))
-        return O.position_index(rank, ["track"], "_o", ["k"], "pos").select(
-            "track", F.col("pos").alias("seq"), "x", "y", "z"
-        )
+        at = lambda c: F.col(c) + (F.coalesce(F.col(c + "2"), F.col(c)) - F.col(c)) * f
+        fine = cut_up.select("track", (F.col("seq") * 4096 + F.col("k")).alias("o"), "k", *[at(c).alias(c) for c in "xyz"])
+        return O.position_index(fine, ["track"], "o", ["k"], "pos").select("track", F.col("pos").alias("seq"), "x", "y", "z")
 
     def headers(self) -> DataFrame:
         d = self.raw("documents")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.expr import finite, norm
 from .voxels import XYZ
@@ -71,7 +70,7 @@ def crossing_tracks(points: DataFrame, mask: DataFrame, shape) -> DataFrame:
 
 
 def too_sparse_tracks(points: DataFrame) -> DataFrame:
-    big = (1 << 30, 1 << 30, 1 << 30)
+    """Tracks with a segment that spans more than two cells along an axis."""
     s = segments(points)
     wide = F.lit(False)
     for c in XYZ:
