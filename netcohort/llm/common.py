@@ -108,14 +108,15 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def repeated(hashes: np.ndarray) -> np.ndarray:
-    """Mask of the values that occur more than once."""
+def repeated(hashes: np.ndarray, first: bool = True) -> np.ndarray:
+    """Mask of the values that occur more than once, with or without their first time."""
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     same = ranked[1:] == ranked[:-1]
     out = np.zeros(len(hashes), bool)
     out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    if first:
+        out[order[:-1][same]] = True
     return out
 
 

@@ -34,7 +34,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COVERED = "\nUNION ALL ".join(
     f"""SELECT doc_id, {n} AS size, sum(chars) AS c FROM words w WHERE EXISTS (
-      SELECT 1 FROM grams{n} g WHERE g.doc_id = w.doc_id AND w.pos - g.pos BETWEEN 0 AND {n - 1} AND g.k > 1) GROUP BY doc_id"""
+      SELECT 1 FROM grams{n} g WHERE g.doc_id = w.doc_id AND w.pos - g.pos BETWEEN 0 AND {n - 1} AND g.{'k' if n == 3 else 'again'} > 1) GROUP BY doc_id"""
     for n in (3, *repetition.WINDOW_LIMITS)
 )
 OP5_SQL = (
@@ -43,7 +43,7 @@ words AS (SELECT doc_id, pos, word, length(word) AS chars FROM (SELECT doc_id, u
   FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM texts))),
 """
     + ",\n".join(
-        f"""grams{n} AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS k FROM (SELECT doc_id, pos, """
+        f"""grams{n} AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, g) AS k, row_number() OVER (PARTITION BY doc_id, g ORDER BY pos) AS again FROM (SELECT doc_id, pos, """
         + " || ' ' || ".join(f"lead(word, {i}) OVER (PARTITION BY doc_id ORDER BY pos)" if i else "word" for i in range(n))
         + " AS g FROM words) WHERE g IS NOT NULL)"
         for n in (3, *repetition.WINDOW_LIMITS)
@@ -62,8 +62,8 @@ row_of AS (SELECT b.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(wo
   FROM base b LEFT JOIN counts c USING (doc_id) LEFT JOIN lines l USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM row_of)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND line_share <= """
-    + f"{repetition.LINE_SHARE} AND line_char_share <= {repetition.LINE_CHAR_SHARE}"
+  NOT base_failed AND line_char_share <= """
+    + f"{repetition.LINE_CHAR_SHARE}"
     + " AND NOT EXISTS (SELECT 1 FROM covers v WHERE v.doc_id = j.doc_id AND ("
     + " OR ".join(f"size = {n} AND c / word_chars > {x}" for n, x in repetition.WINDOW_LIMITS.items())
     + ")) AS kept FROM judged j"
