@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import repetition, shards, tokens
+from . import mixing, packing, repetition, shards, tokens
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +79,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_histogram_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     got = shards.document_shards(documents(spark, sf_dir))
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_source_mix")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix_documents(documents(spark, sf_dir))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
+@query("op6_conflict_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir))
