@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, repetition, shards, tokens
+from . import fingerprints, mixing, packing, repetition, secrets, shards, tokens
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_phrase_fingerprints")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.phrase_fingerprints(documents(spark, sf_dir))
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(documents(spark, sf_dir))
