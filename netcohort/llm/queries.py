@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, repetition, secrets, shards, tokens
-from .common import documents
+from . import fingerprints, mixing, packing, repetition, revisits, secrets, shards, tokens
+from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,3 +102,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
+
+
+OP8_SQL = r"""WITH bare AS (SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS b FROM pages),
+parts AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
+  regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))) AS asked FROM bare),
+p AS (SELECT page_id, html, host || path || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS url, '"' || md5(html) || '"' AS tag FROM parts),
+responses AS (SELECT page_id * 2 AS id, page_id * 10 AS ts, url, tag, strlen(html) AS n FROM p WHERE page_id % 17 <> 0),
+revisits AS (SELECT page_id * 2 + 1 AS record_id, page_id * 10 + (page_id % 5 - 1) * 10 + 5 AS ts, url, page_id % 100 AS age,
+  CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN '"0"' WHEN page_id % 3 = 0 THEN 'W/' || tag ELSE tag END AS asked FROM p),
+ranked AS (SELECT v.*, r.id, r.tag, r.n, row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC, r.id DESC) AS k FROM revisits v LEFT JOIN responses r ON v.url = r.url AND r.ts < v.ts),
+judged AS (SELECT *, CASE WHEN id IS NULL THEN 'no earlier response' WHEN asked IS NULL THEN 'no validator'
+  WHEN regexp_replace(asked, '^W/', '') = tag THEN 'resolved' ELSE 'validator differs' END AS outcome FROM ranked WHERE k = 1)
+SELECT record_id, url, CASE WHEN outcome = 'resolved' THEN id END AS response_id, outcome, CASE WHEN outcome = 'resolved' THEN
+  'cache-control: max-age=' || age || chr(10) || 'content-length: ' || n || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || asked END AS headers FROM judged"""
+
+
+@query("op8_revisit_resolution", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolve_revisits(revisits.page_captures(table(spark, sf_dir, "pages")))
