@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, repetition, revisits, secrets, shards, tokens
+from . import fingerprints, jaccard, mixing, packing, repetition, revisits, secrets, shards, tokens
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,19 @@ SELECT record_id, url, CASE WHEN outcome = 'resolved' THEN id END AS response_id
 @query("op8_revisit_resolution", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits.resolve_revisits(revisits.page_captures(table(spark, sf_dir, "pages")))
+
+
+OP9_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s FROM words WHERE len(ws) > 0),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * c >= 75 * (len(x.s) + len(y.s) - c)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(len(s), 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN least USING (doc_id)"""
+
+
+@query("op9_ngram_jaccard_join", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
