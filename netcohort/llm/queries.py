@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, mixing, packing, repetition, revisits, secrets, shards, tokens
+from . import fingerprints, jaccard, mixing, packing, repeats, repetition, revisits, secrets, shards, tokens
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,8 @@ FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN least USING (doc_id)"""
 @query("op9_ngram_jaccard_join", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
+@query("op1_repeated_passages")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(documents(spark, sf_dir))
