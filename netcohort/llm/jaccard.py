@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut
-from .common import gram_hashes, lower_ascii, mix, short_batches, span_hashes, word_spans
+from .common import WORD, gram_hashes, lower_ascii, mix, short_batches, span_hashes, word_spans
 
 SHINGLE = 5
 #: Least likeness: 100 * intersection >= PERCENT * union.
@@ -260,3 +260,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     placed = sets.join(root, (F.col("digest") == F.col("node")) & (F.col("n") > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "digest")).alias("root"))
     least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, that of the least id, all columns kept.
+
+    Documents without words all stay.  Rows of one id and one text count as one document.
+    """
+    found = cut(jaccard_components(docs))
+    stays = cut(found.filter(F.col("n_shingles").eqNullSafe(0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct())
+    own = F.row_number().over(W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
+    kept = docs.join(_sized(stays, stays.count()), docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    empty = ~F.coalesce("text", F.lit("")).rlike(WORD)
+    return kept.withColumn("_nth", own).filter((F.col("_nth") == 1) | empty).select(*docs.columns)
