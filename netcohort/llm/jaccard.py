@@ -7,11 +7,13 @@ that order two similar sets share ``NEED`` tokens of their beginnings (prefixes)
 only prefixes are exchanged.
 
 1. Groups: every token's documents are compared with one leader; verified links
-   join similar documents into groups (connected components).
+   join similar documents into groups (connected components).  This is done a few
+   times with other leaders.
 2. Matrix: each group keeps the union of its members' prefix tokens with the range of
    their set sizes.  A document's overlap with the union bounds its overlap with any
    member; only groups that reach the bound are opened, and their members that share
-   enough prefix tokens are compared, whole text with whole text.
+   enough prefix tokens are compared, whole text with whole text: first each one's
+   best partner, then all pairs that still stand between two groups.
 
 Members of one group are connected already, so a large family of copies costs one
 comparison a member, and no link between different components can be missed.
@@ -45,6 +47,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Prefix tokens that two similar documents must share (fewer if a set is tiny).
 NEED = 4
+#: Rounds of grouping, and leaders a document is compared with in each.
+TURNS, LEADERS = 3, 2
 #: Counters of the sketch and parts it is moved in: 4 MB, whatever the corpus.
 COUNTERS, PARTS, LOTS = 1 << 20, 16, 8
 #: Comparisons of one leader that one block holds.
@@ -212,6 +216,20 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return cut(placed.select("a", "salt", "own", "text").mapInArrow(_compare, "a long, b long").distinct())
 
 
+def _need(n: str):
+    return F.least(F.lit(NEED), F.ceil(PERCENT * F.col(n) / 100))
+
+
+def _in_groups(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``lists`` with the group ``g`` of each document, of tokens that more than one group has."""
+    if links is None:
+        return lists.withColumn("g", F.col("digest"))
+    group = components(links)
+    rows = lists.join(_sized(group, group.count()), F.col("digest") == F.col("node"), "left").withColumn("g", F.coalesce("root", "digest")).drop("node", "root")
+    by_token = W.partitionBy("token")
+    return rows.withColumn("_lo", F.min("g").over(by_token)).withColumn("_hi", F.max("g").over(by_token)).filter("_lo <> _hi").drop("_lo", "_hi")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``; the component is the least id that links reach."""
     spark = docs.sparkSession
@@ -230,31 +248,44 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     prefixes = docs.mapInArrow(_prefixes(levels), "token long, digest long, n int, at int")
     by_token = W.partitionBy("token")
-    lists = prefixes.withColumn("_lead", F.min(F.struct("digest", "n")).over(by_token)).withColumn("_last", F.max("digest").over(by_token))
-    lists = cut(lists.filter("_lead.digest <> _last").select("token", "digest", "n", "at", F.col("_lead.digest").alias("lead"), F.col("_lead.n").alias("lead_n")).distinct())
-
-    # groups: each document with the leader it meets most often
-    met = lists.filter(f"digest <> lead AND 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").groupBy("digest", "lead").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-    best = met.filter(f"c >= least({NEED}, n)").groupBy("digest").agg(F.max(F.struct("c", (-F.col("lead")).alias("x"), "lead")).alias("m"))
-    links = verified(best.select(F.col("m.lead").alias("a"), F.col("digest").alias("b")), classes, docs)
-    group = components(links)
+    lists = prefixes.withColumn("_lo", F.min("digest").over(by_token)).withColumn("_hi", F.max("digest").over(by_token)).withColumn("m", F.count(F.lit(1)).over(by_token))
+    lists = cut(lists.filter("_lo <> _hi").drop("_lo", "_hi").distinct())
+    weight = cut(lists.groupBy("digest").agg(F.sum("m").alias("weight")))
+    lists = lists.drop("m").join(_sized(weight, weight.count()), "digest")
+
+    links = None
+    for turn in range(TURNS):
+        rows = _in_groups(lists, links)
+        # the first leader of a token shares most with others, so an original leads its copies; later ones are drawn
+        rank = F.col("weight") if turn == 0 else F.xxhash64("digest", F.lit(turn))
+        led = rows.withColumn("lead", F.max(F.struct(rank.alias("r"), "digest", "n", "g")).over(by_token)).select("digest", "n", "g", F.col("lead.digest").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.g").alias("lead_g"))
+        met = led.filter(f"g <> lead_g AND 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").groupBy("digest", "lead").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "lead_n")).alias("n"))
+        best = F.row_number().over(W.partitionBy("digest").orderBy(F.desc("c"), "lead"))
+        met = met.filter(F.col("c") >= _need("n")).withColumn("_best", best).filter(f"_best <= {LEADERS}")
+        found = verified(met.select(F.col("lead").alias("a"), F.col("digest").alias("b")), classes, docs)
+        links = found if links is None else links.unionByName(found)
 
     # matrix: which groups does a document's prefix reach, other than its own?
-    grouped = lists.select("token", "digest", "n", "at").join(group, F.col("digest") == F.col("node"), "left").select("token", "digest", "n", "at", F.coalesce("root", "digest").alias("g"))
-    grouped = grouped.withColumn("_lo", F.min("g").over(by_token)).withColumn("_hi", F.max("g").over(by_token)).filter("_lo <> _hi").drop("_lo", "_hi")
-    small = F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100 + PERCENT)) + F.least(F.lit(NEED), F.ceil(PERCENT * F.col("n") / 100))
-    grouped = cut(grouped.withColumn("as_small", F.col("at") < small))
+    small = F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100 + PERCENT)) + _need("n")
+    grouped = cut(_in_groups(lists, links).select("token", "digest", "n", "at", "g", (F.col("at") < small).alias("as_small")))
     matrix = grouped.filter("as_small").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    query = grouped.select("token", F.col("digest").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"))
-    reach = query.join(matrix, "token").filter(f"qg <> g AND lo <= qn AND 100 * hi >= {PERCENT} * qn").groupBy("q", "g").agg(F.count(F.lit(1)).alias("c"), F.min("qn").alias("qn"), F.min("lo").alias("lo"))
-    bound = F.least(F.lit(NEED), F.ceil(PERCENT * F.least("lo", "qn") / 100))
-    opened = cut(reach.filter(F.col("c") >= bound).select("q", "g"))
-    # open them: members that share enough of the prefixes
-    members = grouped.filter("as_small").select("token", F.col("digest").alias("s"), F.col("n").alias("sn"), "g")
-    asked = query.join(opened, "q").select("token", "q", "qn", "g")
-    pairs = asked.join(members, ["token", "g"]).filter(f"(sn < qn OR sn = qn AND s < q) AND 100 * sn >= {PERCENT} * qn").groupBy("q", "s").agg(F.count(F.lit(1)).alias("c"), F.min("sn").alias("sn"))
-    pairs = pairs.filter(F.col("c") >= F.least(F.lit(NEED), F.ceil(PERCENT * F.col("sn") / 100))).select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"))
-    more = verified(pairs, classes, docs)
+    query = grouped.select("token", F.col("digest").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"), F.col("at").alias("q_at"))
+    by_reach = W.partitionBy("q", "g")
+    reach = query.join(matrix, "token").filter(f"qg <> g AND lo <= qn AND 100 * hi >= {PERCENT} * qn").drop("qg", "hi")
+    reach = reach.withColumn("_c", F.count(F.lit(1)).over(by_reach)).withColumn("_lo", F.min("lo").over(by_reach))
+    opened = reach.withColumn("_n", F.least("_lo", "qn")).filter(F.col("_c") >= _need("_n")).select("token", "q", "qn", "q_at", "g")
+    # open them: members that share enough of the prefixes; a token's places bound the overlap
+    members = grouped.filter("as_small").select("token", F.col("digest").alias("s"), F.col("n").alias("sn"), F.col("at").alias("s_at"), "g")
+    fits = f"(sn < qn OR sn = qn AND s < q) AND 100 * sn >= {PERCENT} * qn AND {100 + PERCENT} * (least(q_at, s_at) + 1 + least(qn - q_at, sn - s_at) - 1) >= {PERCENT} * (qn + sn)"
+    pairs = opened.join(members, ["token", "g"]).filter(fits).groupBy("q", "s").agg(F.count(F.lit(1)).alias("c"), F.min("sn").alias("sn"))
+    pairs = cut(pairs.filter(F.col("c") >= _need("sn")).select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"), "c"))
+    # each document's best partner first; what then still parts two groups, after
+    top = [pairs.groupBy(F.col(x).alias("x")).agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b") for x in ("a", "b")]
+    links = links.unionByName(verified(top[0].unionByName(top[1]).distinct(), classes, docs))
+    group = components(links)
+    known = _sized(group, group.count())
+    rest = pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    more = verified(rest.filter(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))), classes, docs)
 
     root = components(links.unionByName(more))
     placed = sets.join(root, (F.col("digest") == F.col("node")) & (F.col("n") > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "digest")).alias("root"))

@@ -5,7 +5,7 @@ carries words from patterns to source quotas; a pattern's words cost nothing the
 first time, more the second and most the third, so documents are repeated only
 where nothing fresh is left.  Each pattern's flow then becomes whole copies of all
 its documents plus a seeded choice for the rest: documents in hash order up to the
-flow, then the largest that still fit.
+flow, then the largest that still fit, then one that goes over by less than is missing.
 
 The driver sees sums by pattern; a pattern set beyond ``MAX_PATTERNS`` is refused.
 The seeded choice is one hash limit a pattern, found from sums over hash ranges, so
@@ -165,6 +165,7 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, weights: tuple[i
         for r in found:
             picks.setdefault(r["_i"], []).append((r["m"]["_h"], r["m"]["_s"]))
             left[r["_i"]] -= r["m"]["w"]
+    _overshoot(units, limit, left, picks)
     final = F.broadcast(spark.createDataFrame([(b[0], limit.get(b[0], LEAST), [{"h": h, "s": s} for h, s in picks.get(b[0], [])]) for b in base], "_i int, _cut long, _picks array<struct<h:long,s:long>>"))
     once = (F.col("_rest") > 0) & (F.col("_s") > 0) & ((F.col("_h") <= F.col("_cut")) | F.exists("_picks", lambda x: (x["h"] == F.col("_h")) & (x["s"] == F.col("_s"))))
     copies = F.when(F.col("_s") > 0, F.col("_base") + once.cast("int")).otherwise(0).cast("int")
@@ -194,6 +195,17 @@ def _hash_limits(units: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int]
     return limit, left
 
 
+def _overshoot(units: DataFrame, limit: dict[int, int], left: dict[int, int], picks: dict[int, list]) -> None:
+    """Take one more unit of a pattern if it goes over by less than is missing now."""
+    rows = [(i, limit[i], left[i], [h for h, _ in picks.get(i, [])]) for i in left if left[i] > 0]
+    if not rows:
+        return
+    edge = F.broadcast(units.sparkSession.createDataFrame(rows, "_i int, _cut long, _left long, _done array<long>"))
+    over = units.join(edge, "_i").filter("_h > _cut AND w > _left AND w < 2 * _left AND NOT array_contains(_done, _h)")
+    for r in over.groupBy("_i").agg(F.min(F.struct("w", "_h", "_s")).alias("m")).collect():
+        picks.setdefault(r["_i"], []).append((r["m"]["_h"], r["m"]["_s"]))
+
+
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """``doc_id, source, size, copies, source_size, target``, documents mixed by their one source."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
