@@ -281,7 +281,7 @@ def p15(t):
 RF = f"""rf AS (SELECT 'G1' AS representation,subject,visit,parcel||':g1' AS feature,g1 AS x FROM coords UNION ALL SELECT 'G1-G4',subject,visit,feature,x FROM ({FT})),
  ce AS (SELECT subject,visit,i,j,ln(1+w) AS w FROM edges WHERE i<44 AND j<44), ss AS (SELECT DISTINCT subject,visit FROM edges), cn AS (SELECT idx FROM nodes WHERE tissue='cortex'),
  nw AS (SELECT subject,visit,i AS node,w FROM ce UNION ALL SELECT subject,visit,j,w FROM ce), ns AS (SELECT subject,visit,idx AS node,coalesce(sum(w),0) AS s,count(w) AS k FROM ss CROSS JOIN cn LEFT JOIN nw USING (subject,visit) WHERE node=idx GROUP BY ALL),
- pe AS (SELECT ss.subject,ss.visit,p.i,p.j,coalesce(w,0) AS w FROM ss CROSS JOIN (SELECT DISTINCT i,j FROM ce) p LEFT JOIN ce ON ce.subject=ss.subject AND ce.visit=ss.visit AND ce.i=p.i AND ce.j=p.j),
+ pe AS (SELECT ss.subject,ss.visit,p.i,p.j,coalesce(w,0) AS w FROM ss CROSS JOIN (SELECT a.idx AS i,b.idx AS j FROM cn a JOIN cn b ON a.idx<b.idx) p LEFT JOIN ce ON ce.subject=ss.subject AND ce.visit=ss.visit AND ce.i=p.i AND ce.j=p.j),
  gf AS (SELECT * FROM rf UNION ALL SELECT 'node_strength',subject,visit,node::VARCHAR,s FROM ns UNION ALL SELECT 'node_degree',subject,visit,node::VARCHAR,k FROM ns UNION ALL SELECT 'edges_log1p',subject,visit,i||'-'||j,w FROM pe),
 """
 
@@ -329,7 +329,7 @@ def p18(t):
 @query("P18_concordance_null")
 def p18n(t):
     m = cut(Y.change_maps(coords(t)))
-    return Y.concordance_summary(Y.concordance_pairs(m), Y.concordance_null(m, 200, 20260731))
+    return Y.concordance_summary(Y.concordance_pairs(m), Y.concordance_null(m, 20_000, 20260731))
 
 
 @query("P19_rank_correlation", "coords", """WITH p AS (SELECT a.subject,a.parcel,a.g1 AS a,b.g1 AS b FROM coords a JOIN coords b ON a.subject=b.subject AND a.parcel=b.parcel WHERE a.visit=1 AND b.visit=2),

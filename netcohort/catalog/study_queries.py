@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import order as O
 from ..functions.expr import r6
@@ -83,7 +84,7 @@ def p22(t):
 
 
 GC = """g AS (SELECT a.idx AS i,b.idx AS j FROM nodes a CROSS JOIN nodes b WHERE a.tissue='cortex' AND b.tissue='cortex'),
- me AS (SELECT i,j,sum(w) FILTER (visit=0)/6 AS x,sum(w) FILTER (visit=2)/6 AS y FROM (SELECT visit,i,j,w FROM edges UNION ALL SELECT visit,j,i,w FROM edges) GROUP BY ALL),
+ me AS (SELECT i,j,round(sum(w) FILTER (visit=0)/6,6) AS x,round(sum(w) FILTER (visit=2)/6,6) AS y FROM (SELECT visit,i,j,w FROM edges UNION ALL SELECT visit,j,i,w FROM edges) GROUP BY ALL),
  f AS (SELECT g.i,g.j,coalesce(x,0) AS x,coalesce(y,0) AS y FROM g LEFT JOIN me USING (i,j)),
  s AS (SELECT 'raw' AS scale,i,j,x,y FROM f UNION ALL SELECT 'log1p',i,j,ln(1+x),ln(1+y) FROM f UNION ALL SELECT 'rank',i,j,rank() OVER (ORDER BY x)+(count(*) OVER (PARTITION BY x)-1)/2.0,rank() OVER (ORDER BY y)+(count(*) OVER (PARTITION BY y)-1)/2.0 FROM f),
  nd AS (SELECT scale,abs(corr(x,y)) AS node FROM (SELECT scale,i,sum(x) AS x,sum(y) AS y FROM s GROUP BY ALL) GROUP BY 1), ed AS (SELECT scale,abs(corr(x,y)) AS edge FROM s WHERE i<j GROUP BY 1)"""
@@ -164,7 +165,7 @@ def mm(t: Tables):
 
 @query("P28_distance_bins_identification")
 def p28(t):
-    return H.distance_bins_identification(coords(t), mm(t), 10, 20261015)
+    return H.distance_bins_identification(coords(t), mm(t), 200, 20261015)
 
 
 ERR = f"""c0 AS (SELECT *,{','.join(f'avg(g{i}) OVER (PARTITION BY parcel) AS c{i}' for i in range(1, 5))} FROM coords WHERE visit=0), sc AS (SELECT parcel,stddev_pop({_d('g', 'c')})+1e-12 AS s FROM c0 GROUP BY 1), {PV}
@@ -283,27 +284,11 @@ def p42(t):
     return out(P.rank_critical_values(t.spark, sizes), ["n", "null_draws", "critical_absolute_numerator", "denominator"])
 
 
-def seen_rhos(t: Tables):
-    """Distinct observed |rho| of the balance tests, rounded to a tenth (eleven at most)."""
-    d = tests(t).filter("endpoint = 'balance'").select(F.round(F.abs("rho"), 1).alias("r")).distinct()
-    return sorted(r.r for r in d.take(11))
-
-
-@query("P43_monte_carlo_power")
-def p43(t):
-    return P.monte_carlo_power(t.spark, [6], seen_rhos(t), draws=2000, seed=20261024, null_draws=5000)
-
-
-@query("P44_sample_size_search")
-def p44(t):
-    r = [x for x in seen_rhos(t) if x >= 0.7]
-    return P.sample_size_search(P.monte_carlo_power(t.spark, [6, 8, 10, 12], r, draws=400, seed=20261024, null_draws=2000), 0.8)
-
-
 @query("P46_fisher_pool", "coords outcomes perms", "WITH " + FAM + """ fz AS (SELECT metric,sum((n-3)*atanh(rho))/sum(n-3) AS z,1/sqrt(sum(n-3)) AS se FROM pv1 WHERE endpoint='balance' AND abs(rho)<1-1e-9 AND n>3 GROUP BY 1 HAVING count(*)>1)
  SELECT metric,round(tanh(z),6)+0.0 AS r,round(tanh(z-1.959963984540054*se),6)+0.0 AS ci_low,round(tanh(z+1.959963984540054*se),6)+0.0 AS ci_high FROM fz""")
 def p46(t):
     r = tests(t).filter("endpoint = 'balance'").select("metric", "n", F.col("rho").alias("r")).filter(F.abs("r") < 1 - 1e-9)
+    r = r.withColumn("_m", F.count(F.lit(1)).over(W.partitionBy("metric"))).filter("n > 3 and _m > 1").drop("_m")
     return out(P.fisher_pool(r, ["metric"], 24).select("metric", "r", "ci_low", "ci_high"), ["metric"])
 
 
@@ -329,14 +314,14 @@ def p48(t):
     e = cut(t.edges())
     g, _ = E.cohort_embeddings(e, t.nodes(), subjects(t), "loso")
     primary = cut(axis_long(E.as_coords(g, t.nodes()), ["g1", "g2", "g3", "g4"]))
-    return H.sensitivity_study(e, t.nodes(), subjects(t), t.outcomes(), primary, ["primary_top25_align4", "log_no_threshold"])
+    return H.sensitivity_study(e, t.nodes(), subjects(t), t.outcomes(), primary)
 
 
 @query("G22_graph_study")
 def g22(t):
-    return H.graph_study(cut(t.edges()), t.nodes(), t.outcomes(), N_GRAPH, extended=False, modularity=False)
+    return H.graph_study(cut(t.edges()), t.nodes(), t.outcomes(), N_GRAPH)
 
 
 @query("G23_preoperative_graph")
 def g23(t):
-    return H.preoperative_graph(cut(t.edges().filter("visit = 0")), t.nodes(), t.outcomes(), N_CORTEX, extended=False, modularity=False)
+    return H.preoperative_graph(cut(t.edges().filter("visit = 0")), t.nodes(), t.outcomes(), N_CORTEX)

@@ -16,6 +16,11 @@ def r6(col: Column | str, digits: int = 6) -> Column:
     return F.round(col, digits) + F.lit(0.0)
 
 
+def checked(value: Column, ok: Column, message: str) -> Column:
+    """``value`` where ``ok`` holds; otherwise the query that reads it fails with the message."""
+    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
+
+
 def norm(parts: list[Column]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [p * p for p in parts]))
 

@@ -76,14 +76,16 @@ def mean_network(edges: DataFrame, members: int | Column, keys: list[str] | None
 
 def loso_mean(edges: DataFrame, subjects: DataFrame) -> DataFrame:
     """``held, i, j, w``: mean over the other subjects, as total minus own."""
-    total = edges.groupBy("i", "j").agg(F.sum("w").alias("t"))
+    total = edges.groupBy("i", "j").agg(F.sum("w").alias("t"), F.count_if(F.col("w") > 0).alias("givers"))
     n = subjects.agg(F.count(F.lit(1)).alias("n"), F.collect_set("subject").alias("s"))
-    each = total.withColumn("_1", F.lit(1)).join(F.broadcast(n.withColumn("_1", F.lit(1))), "_1").select("i", "j", "t", "n", F.explode("s").alias("held"))
+    each = total.withColumn("_1", F.lit(1)).join(F.broadcast(n.withColumn("_1", F.lit(1))), "_1").select("i", "j", "t", "givers", "n", F.explode("s").alias("held"))
     own = edges.select(F.col("subject").alias("held"), "i", "j", F.col("w").alias("own"))
     d = each.join(own, ["held", "i", "j"], "left").select(
-        "held", "i", "j", ((F.col("t") - F.coalesce("own", F.lit(0.0))) / (F.col("n") - 1)).alias("w")
+        "held", "i", "j", ((F.col("t") - F.coalesce("own", F.lit(0.0))) / (F.col("n") - 1)).alias("w"),
+        (F.col("givers") - F.coalesce((F.col("own") > 0).cast("int"), F.lit(0))).alias("others"),
     )
-    return d.filter("w > 1e-9")
+    # a pair stays if another subject has it, however small its mean
+    return d.filter("others > 0").drop("others")
 
 
 def member_mean(members: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
@@ -318,6 +320,10 @@ def embed(edges: DataFrame, keys: list[str], sizes: DataFrame, components: int =
     else:
         rows = row_sparsify(e, keys, None)
     kernel = cut(normalized_angle(rows, keys))
+    have = kernel.groupBy(*keys).agg(F.countDistinct("i").alias("have")).join(sizes, "hemi")
+    short = have.filter("have < nodes").limit(1).collect()
+    if short:
+        raise ValueError(f"{short[0].nodes - short[0].have} isolated nodes in {[short[0][k] for k in keys]}")
     eig = top_eigen(kernel, diffusion_scale(kernel, keys, F.lit(alpha)), keys, components)
     return coordinates(eig, keys, components), spectrum(eig, keys)
 

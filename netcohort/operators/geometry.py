@@ -97,13 +97,14 @@ def interval_metrics(coords: DataFrame, first: int = 1, second: int = 2, geomedi
     return out
 
 
-def geometric_median(points: DataFrame, by: list[str], tol: float = 1e-10, max_rounds: int = 60) -> DataFrame:
+def geometric_median(points: DataFrame, by: list[str], tol: float = 1e-10, max_rounds: int = 1000) -> DataFrame:
     """``by, m_g1..m_g4``: point of least summed distance per group.
 
     All groups advance together.  A round sums, per group, the gradient and the
     Hessian of the distance sum (14 numbers), proposes the Newton and the
     reweighted-mean step from them, and keeps whichever lowers the sum.  A centre
-    that meets a data point stops there, as the classic scheme does.
+    that meets a data point stops there, as the classic scheme does.  A group that
+    does not settle is refused.
     """
     pts = cut(points.select(*by, *AXES))
     p = lambda pre: [pre + a for a in AXES]
@@ -165,8 +166,8 @@ def geometric_median(points: DataFrame, by: list[str], tol: float = 1e-10, max_r
                          (held | (norm([nxt[a] - F.col("m_" + a) for a in AXES]) < tol)).alias("done"))
         cur = cut(cur.filter("done").unionByName(moved))
         if cur.filter("not done").limit(1).count() == 0:
-            break
-    return cur.drop("done")
+            return cur.drop("done")
+    raise ValueError(f"a geometric median has not settled in {max_rounds} rounds")
 
 
 def reference_eccentricity(coords: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import order as O
+from ..functions.expr import checked
 from ..session import cut
 from .iterate import connected_components, union_all
 
@@ -27,9 +28,16 @@ def with_costs(sessions: DataFrame, keys: list[str], n: int, costs=COSTS) -> Dat
 
 
 def fixed_cost(edges: DataFrame, keys: list[str], n: int, costs=COSTS) -> DataFrame:
-    """``keys, cost, i, j, w``: exactly k heaviest pairs, ties in row order."""
+    """``keys, cost, i, j, w``: exactly k heaviest pairs, ties in row order.
+
+    A session without enough positive pairs for a density is refused;
+    ``cost_violations`` lists such sessions.
+    """
     pos = edges.filter("w > 0").withColumn("_pair", F.col("i").cast("long") * n + F.col("j"))
-    return O.top_k(pos, keys, "w", "_pair", with_costs(edges, keys, n, costs), ["cost"]).drop("_pair")
+    have = edges.groupBy(*keys).agg(F.count_if(F.col("w") > 0).alias("_have"))
+    wanted = with_costs(edges, keys, n, costs).join(have, keys)
+    k = checked(F.col("k"), (F.col("k") >= 1) & (F.col("_have") >= F.col("k")), "a session has too few positive pairs for the requested density")
+    return O.top_k(pos, keys, "w", "_pair", wanted.select(*keys, "cost", k.alias("k")), ["cost"]).drop("_pair")
 
 
 def cost_violations(edges: DataFrame, keys: list[str], n: int, costs=COSTS) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expr import MAX_SUBJECTS, array_unit_ranks, finite, permuted_dot
+from ..functions.expr import MAX_SUBJECTS, array_unit_ranks, checked, finite, permuted_dot
 from ..functions.permutations import label_subsets, permutations
 from ..session import cut
 
@@ -196,7 +196,8 @@ def side_label_null(tests: DataFrame, keys: list[str], spark) -> DataFrame:
 def paired_signflip(pairs: DataFrame, keys: list[str], diff: str = "d") -> DataFrame:
     """All 2^n sign patterns of 3..16 paired differences per key."""
     packed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("subject", F.col(diff).alias("d")))).alias("c"))
-    packed = packed.select(*keys, F.col("c.d").alias("d"), F.size("c").alias("n")).filter("n between 3 and 16")
+    size = F.size("c")
+    packed = packed.select(*keys, F.col("c.d").alias("d"), checked(size, size.between(3, 16), "a sign-flip test needs 3..16 pairs").alias("n"))
     packed = packed.withColumn("mean", F.aggregate("d", F.lit(0.0), lambda a, v: a + v) / F.col("n"))
     signs = packed.withColumn("id", F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)")))
     flipped = F.aggregate(
@@ -215,7 +216,8 @@ def _pair_arrays(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame
     p = pairs.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("i", "j", F.col(a).alias("a"), F.col(b).alias("b")))).alias("c"),
         (F.max("j") + 1).cast("int").alias("n"),
-    ).filter(F.col("n").between(3, MAX_SUBJECTS))
+    )
+    p = p.withColumn("n", checked(F.col("n"), F.col("n").between(3, MAX_SUBJECTS), f"an exact matrix test needs 3..{MAX_SUBJECTS} subjects"))
     return p.withColumn("ra", array_unit_ranks(F.col("c.a"))).withColumn("rb", array_unit_ranks(F.col("c.b")))
 
 
@@ -339,10 +341,11 @@ def fisher_pool(rows: DataFrame, keys: list[str], family_size: int) -> DataFrame
 
     quantile = 1.959963984540054  # standard normal 0.975
     ok = (F.abs("r") < 1) & (F.col("n") > 3)
-    w = F.col("n") - 3
-    g = rows.filter(ok).groupBy(*keys).agg(
+    w = checked(F.col("n") - 3, ok, "pooling needs |r| < 1 and n > 3 in every cohort")
+    g = rows.groupBy(*keys).agg(
         (F.sum(w * F.atanh("r")) / F.sum(w)).alias("z"), (1 / F.sqrt(F.sum(w))).alias("se"), F.count(F.lit(1)).alias("m")
-    ).filter("m >= 2")
+    )
+    g = g.withColumn("se", checked(F.col("se"), F.col("m") >= 2, "pooling needs two cohorts or more"))
     p = g.withColumn("p_two", 2 * upper_tail(F.abs(F.col("z") / F.col("se"))))
     return p.select(
         *keys, F.tanh("z").alias("r"), "p_two", F.least(F.lit(1.0), F.col("p_two") * family_size).alias("p_bonferroni"),

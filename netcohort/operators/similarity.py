@@ -86,8 +86,11 @@ def require_untied(near: DataFrame) -> None:
 
 def _nearest_index(near: DataFrame, subjects: list[str]) -> list[tuple[int, int, int, int]]:
     at = {s: i for i, s in enumerate(subjects)}
-    # one row per session of one cohort: 24 at most
-    return [(at[r.subject], r.visit, at[r.near_subject], r.near_visit) for r in near.select("subject", "visit", "near_subject", "near_visit").take(24)]
+    # one row per session of one cohort: eight subjects at three visits
+    rows = near.select("subject", "visit", "near_subject", "near_visit").take(25)
+    if len(rows) > 24 or any(v not in (0, 1, 2) for r in rows for v in (r.visit, r.near_visit)):
+        raise ValueError("the identification null takes visits 0, 1 and 2, once per subject")
+    return [(at[r.subject], r.visit, at[r.near_subject], r.near_visit) for r in rows]
 
 
 def identification_null(near: DataFrame, draws: int | None = None, seed: int = 42, limit: int = 1_000_000) -> DataFrame:
@@ -191,8 +194,9 @@ def graph_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     parts = full.select("subject", "visit", F.col("node").cast("string").alias("feature"), F.explode(
         F.create_map(F.lit("node_strength"), F.col("s"), F.lit("node_degree"), F.col("k").cast("double"))
     ).alias("representation", "x"))
-    # pairs seen in any session; a pair absent everywhere is constant and adds nothing to a z or centred profile
-    pair = e.select("i", "j").distinct()
+    # the whole upper triangle: a pair that no session has still counts as a feature in raw, rank and profile means
+    basis = cort.agg(F.array_sort(F.collect_list("idx")).alias("b"))
+    pair = basis.select(F.explode("b").alias("i"), "b").select("i", F.explode(F.filter("b", lambda x: x > F.col("i"))).alias("j"))
     every = one(pair).join(F.broadcast(one(sessions.agg(F.collect_list(F.struct("subject", "visit")).alias("b")))), "_1").select("i", "j", F.inline("b"))
     pe = every.join(e, ["subject", "visit", "i", "j"], "left").fillna(0.0, ["w"]).select(
         "subject", "visit", F.concat_ws("-", "i", "j").alias("feature"), F.lit("edges_log1p").alias("representation"), F.col("w").alias("x")

@@ -36,15 +36,21 @@ def sampling_gate(points: DataFrame, shape, voxel_mm=(1.0, 1.0, 1.0), slack: flo
 
 
 def segment_cells(points: DataFrame, shape) -> DataFrame:
-    """Each segment with the at most eight voxel cells it may meet, and a sparse flag."""
+    """Each segment with every voxel cell of its box inside the grid, and a sparse flag.
+
+    A segment of any length offers all cells between its ends, axis by axis.
+    """
     s = segments(points)
     lo = {c: F.floor(F.least("a" + c, "b" + c) + 0.5 - 1e-8).cast("int") for c in XYZ}
     up = {c: F.floor(F.greatest("a" + c, "b" + c) + 0.5).cast("int") for c in XYZ}
     wide = (up["x"] - lo["x"] > 1) | (up["y"] - lo["y"] > 1) | (up["z"] - lo["z"] > 1)
     s = s.withColumn("too_sparse", wide)
     for c, n in zip(XYZ, shape):
-        s = s.withColumn(c, F.explode(F.array_distinct(F.array(lo[c], up[c])))).filter((F.col(c) >= 0) & (F.col(c) < n))
-    return s
+        first, last = F.greatest(lo[c], F.lit(0)), F.least(up[c], F.lit(n - 1))
+        s = s.withColumn("_lo" + c, first).withColumn("_up" + c, last).filter(F.col("_lo" + c) <= F.col("_up" + c))
+    for c in XYZ:
+        s = s.withColumn(c, F.explode(F.sequence("_lo" + c, "_up" + c)))
+    return s.drop(*["_lo" + c for c in XYZ], *["_up" + c for c in XYZ])
 
 
 def _slab_hit():
@@ -60,15 +66,26 @@ def _slab_hit():
     return ~outside & (near <= far)
 
 
-def crossing_tracks(points: DataFrame, mask: DataFrame, shape) -> DataFrame:
+def crossing_tracks(points: DataFrame, mask: DataFrame, shape, strict: bool = False) -> DataFrame:
     """Tracks with a segment that meets any closed mask voxel: ``track``.
 
     The spatial predicate becomes an equi-join on the cell, then the slab test.
+    Segments of any length are tested in full; strict mode refuses those that
+    span more than two cells along an axis.
     """
+    if strict:
+        require_dense(points)
     cells = segment_cells(points, shape).drop("too_sparse")
     return cells.join(mask.select(*XYZ).distinct(), XYZ).filter(_slab_hit()).select("track").distinct()
 
 
+def require_dense(points: DataFrame) -> None:
+    """Refuse tracks whose sampling is too sparse for the mask's voxels."""
+    first = too_sparse_tracks(points).limit(1).collect()
+    if first:
+        raise ValueError(f"track {first[0].track} has a segment that spans more than two cells")
+
+
 def too_sparse_tracks(points: DataFrame) -> DataFrame:
     """Tracks with a segment that spans more than two cells along an axis."""
     s = segments(points)
@@ -78,9 +95,9 @@ def too_sparse_tracks(points: DataFrame) -> DataFrame:
     return s.filter(wide).select("track").distinct()
 
 
-def segment_exclude(points: DataFrame, mask: DataFrame, shape) -> DataFrame:
+def segment_exclude(points: DataFrame, mask: DataFrame, shape, strict: bool = False) -> DataFrame:
     """Points of the tracks that never touch the mask."""
-    return points.join(crossing_tracks(points, mask, shape), "track", "left_anti")
+    return points.join(crossing_tracks(points, mask, shape, strict), "track", "left_anti")
 
 
 def exclusion_audit(before: DataFrame, retained: DataFrame, mask: DataFrame, shape) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import order as O
-from ..functions.expr import det3, norm
+from ..functions.expr import checked, det3, norm
 from ..session import cut
 from .iterate import connected_components
 
@@ -190,13 +190,13 @@ def seeded_void(near: DataFrame, core: DataFrame, mri: DataFrame, brain: DataFra
     """Dark corridor components that touch the core.
 
     The threshold is ``fraction`` of the exact median signal in a two-voxel rim.
-    Images with fewer than ``minimum`` rim voxels are left out.
+    An image with fewer than ``minimum`` rim voxels is refused.
     """
     signal = cut(mri.filter("v > 0").join(brain.select(*IMG), IMG, "left_semi").select(*IMG, "v"))
     around = cut(signal.join(rim(near, shape), IMG, "left_semi"))
     thr = O.median(around, ["image_id"], "v", "m").join(
-        around.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= minimum), "image_id"
-    ).select("image_id", (F.col("m") * fraction).alias("thr"))
+        around.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")), "image_id"
+    ).select("image_id", checked(F.col("m") * fraction, F.col("n") >= minimum, f"an image has fewer than {minimum} rim voxels").alias("thr"))
     dark = cut(mri.join(brain.select(*IMG), IMG, "left_semi").join(near.select(*IMG), IMG, "left_semi").join(thr, "image_id").filter("v < thr").select(*IMG))
     comp = cut(label_components(dark, shape, 6))
     touched = comp.join(core.select(*IMG), IMG, "left_semi").select("image_id", "root").distinct()

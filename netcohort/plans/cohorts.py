@@ -133,7 +133,9 @@ def group_correspondence(first: DataFrame, second: DataFrame, mapping: DataFrame
     inside = lambda d: d.join(basis.withColumnRenamed("first_idx", "i"), "i").join(basis.withColumnRenamed("first_idx", "j"), "j").select("i", "j", "w")
 
     def scales(d: DataFrame, tag: str) -> DataFrame:
-        both = cut(G.adjacency(d.filter("w > 0"), []).withColumn("_k", F.lit(1)))
+        # means are sums in varying order: rounded, equal means stay equal and tie in the ranks
+        even = d.withColumn("w", F.round("w", 6)).filter("w > 0")
+        both = cut(G.adjacency(even, []).withColumn("_k", F.lit(1)))
         r = O.avg_rank(both, ["_k"], "w", "_r", size="_n").withColumn("_z", F.lit(n * n) - F.col("_n"))
         zero = (F.col("_z") + 1) / 2.0
         # shift ranks so a zero cell is 0: correlation does not change and absent cells stay absent

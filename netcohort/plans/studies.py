@@ -109,17 +109,17 @@ def symptom_values(lateral: DataFrame, sides: DataFrame) -> DataFrame:
 
 def side_tests(values: DataFrame, keys: list[str]) -> DataFrame:
     """Arrays per test over the subjects of one cohort (eight at most)."""
-    from ..functions.expr import array_unit_ranks
+    from ..functions.expr import array_unit_ranks, checked
     from ..operators import inference as P
 
     c = values.groupBy("endpoint", *keys).agg(
         F.array_sort(F.collect_list(F.struct("subject", "right", "if_right", "if_left", "y"))).alias("c")
     )
     t = c.select(
-        "endpoint", *keys, F.size("c").alias("n"), F.size(F.filter("c", lambda e: e["right"])).alias("k"),
+        "endpoint", *keys, checked(F.size("c"), F.size("c").between(3, 8), "a side-label test needs 3..8 subjects").alias("n"), F.size(F.filter("c", lambda e: e["right"])).alias("k"),
         F.col("c.if_right").alias("if_right"), F.col("c.if_left").alias("if_left"), array_unit_ranks(F.col("c.y")).alias("ry"),
         F.transform("c", lambda e: F.when(e["right"], e["if_right"]).otherwise(e["if_left"])).alias("xs"),
-    ).filter("n between 3 and 8")
+    )
     t = t.filter(~F.exists("xs", lambda v: v.isNull())).withColumn("rho", P.dot(array_unit_ranks(F.col("xs")), F.col("ry")))
     return t.filter("rho is not null")
 

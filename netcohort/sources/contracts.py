@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import finite
+from ..functions.expr import checked, finite
 
 NODE_SCHEMA = "index int, label int, name string, hemisphere string, tissue string, network string"
 
@@ -67,12 +67,14 @@ def edge_violations(cells: DataFrame, keys: list[str], atol: float = 1e-10, rtol
 
 
 def reindex(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Explicit ``old -> new`` rows; pairs keep i < j, unmapped nodes leave."""
+    """Explicit ``old -> new`` rows; pairs keep i < j; a node without a row is refused."""
     m = F.broadcast(mapping.select("old", "new"))
     a, b = m.select(F.col("old").alias("i"), F.col("new").alias("a")), m.select(F.col("old").alias("j"), F.col("new").alias("b"))
-    d = edges.join(a, "i").join(b, "j")
+    d = edges.join(a, "i", "left").join(b, "j", "left")
     keep = [c for c in edges.columns if c not in ("i", "j")]
-    return d.select(*keep, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    known = F.col("a").isNotNull() & F.col("b").isNotNull()
+    new = [checked(x, known, "an edge has a node without a mapping row") for x in (F.least("a", "b"), F.greatest("a", "b"))]
+    return d.select(*keep, new[0].alias("i"), new[1].alias("j"))
 
 
 def mapping_violations(mapping: DataFrame, size: int) -> DataFrame:
