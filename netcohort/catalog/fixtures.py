@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import order as O
 
@@ -190,11 +191,16 @@ class Tables:
         q = p.select("track", (F.col("seq") - 1).alias("seq"), *[F.col(c).alias(c + "2") for c in "xyz"])
         ln = F.sqrt(sum(((F.col(c + "2") - F.col(c)) ** 2 for c in "xyz"), F.lit(0.0)))
         seg = p.join(q, ["track", "seq"], "left").withColumn("m", F.coalesce(F.greatest(F.ceil(ln / 0.4), F.lit(1)), F.lit(1)).cast("int"))
-        cut_up = seg.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
+        # a piece's place is the number of pieces before its segment, by blocks of the track
+        seg = seg.withColumn("_b", F.floor(F.col("seq") / 4096))
+        before = F.sum("m").over(W.partitionBy("track").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+        blocks = seg.groupBy("track", "_b").agg(F.sum("m").alias("m")).select("track", "_b", F.coalesce(before, F.lit(0)).alias("_o"))
+        inside = F.sum("m").over(W.partitionBy("track", "_b").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+        placed = seg.withColumn("_i", F.coalesce(inside, F.lit(0))).join(blocks, ["track", "_b"])
+        cut_up = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
         f = F.col("k") / F.col("m")
         at = lambda c: F.col(c) + (F.coalesce(F.col(c + "2"), F.col(c)) - F.col(c)) * f
-        fine = cut_up.select("track", (F.col("seq") * 4096 + F.col("k")).alias("o"), "k", *[at(c).alias(c) for c in "xyz"])
-        return O.position_index(fine, ["track"], "o", ["k"], "pos").select("track", F.col("pos").alias("seq"), "x", "y", "z")
+        return cut_up.select("track", (F.col("_o") + F.col("_i") + F.col("k")).cast("long").alias("seq"), *[at(c).alias(c) for c in "xyz"])
 
     def headers(self) -> DataFrame:
         d = self.raw("documents")

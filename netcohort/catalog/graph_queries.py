@@ -51,22 +51,12 @@ def kept(t: Tables, weighted: bool = True):
 
 
 class Base:
-    """Written threshold graph, basis and distances of one data folder.
+    """Written threshold graph and basis of one query, with what it asks for beside them."""
 
-    The iterative queries of one session share them, as a study would.
-    """
-
-    _made: dict = {}
-
-    def __new__(cls, t: Tables):
-        key = (t.spark.sparkContext.applicationId, t.dir)
-        if key not in cls._made:
-            b = super().__new__(cls)
-            b.w = cut(kept(t))
-            b.nodes = cut(G.session_nodes(b.w, CK, t.nodes()))
-            b._hop = b._dist = b._tri = b._lcc = None
-            cls._made[key] = b
-        return cls._made[key]
+    def __init__(self, t: Tables):
+        self.w = cut(kept(t))
+        self.nodes = G.session_nodes(self.w, CK, t.nodes())
+        self._hop = self._dist = self._tri = self._lcc = None
 
     def hop(self):
         if self._hop is None:
@@ -89,6 +79,11 @@ class Base:
         return self._lcc
 
 
+def with_triangles(t: Tables, measure):
+    b = Base(t)
+    return measure(b.w, CK, N, b.tri())
+
+
 def rounded(df, keys, digits=6):
     return df.select(*keys, *[r6(c, digits).alias(c) if df.schema[c].dataType.simpleString() == "double" else F.col(c)
                               for c in df.columns if c not in keys])
@@ -142,7 +137,7 @@ def g6(t):
  SELECT subject,visit,cost,round(sum(CASE WHEN d>0 THEN 1.0/d ELSE 0 END)/2450,6) AS binary_global_efficiency FROM hop GROUP BY 1,2,3""")
 def g7(t):
     b = Base(t)
-    return rounded(G.global_efficiency(b.hop(), CK, N, "binary_global_efficiency"), CK)
+    return rounded(G.hop_efficiency(G.hop_counts(b.w, CK, b.nodes), CK, N, "binary_global_efficiency"), CK)
 
 
 @query("G8_rank_global_efficiency", "edges", "WITH " + KEPT + WDIST + """ z AS (SELECT 1)
@@ -172,17 +167,17 @@ CLUST = "WITH " + KEPT + TRI + """ cl AS (SELECT subject,visit,cost,
 
 @query("G10_binary_mean_clustering", "edges", CLUST + "round(bc,6) AS binary_mean_clustering FROM cl")
 def g10(t):
-    return rounded(G.clustering(Base(t).w, CK, N, Base(t).tri()).select(*CK, "binary_mean_clustering"), CK)
+    return rounded(with_triangles(t, G.clustering).select(*CK, "binary_mean_clustering"), CK)
 
 
 @query("G11_rank_mean_clustering", "edges", CLUST + "round(rc,6) AS rank_mean_clustering FROM cl")
 def g11(t):
-    return rounded(G.clustering(Base(t).w, CK, N, Base(t).tri()).select(*CK, "rank_mean_clustering"), CK)
+    return rounded(with_triangles(t, G.clustering).select(*CK, "rank_mean_clustering"), CK)
 
 
 @query("G12_transitivity", "edges", CLUST + "round(bt,6) AS binary_transitivity, round(rt,6) AS rank_transitivity FROM cl")
 def g12(t):
-    return rounded(G.clustering(Base(t).w, CK, N, Base(t).tri()).select(*CK, "binary_transitivity", "rank_transitivity"), CK)
+    return rounded(with_triangles(t, G.clustering).select(*CK, "binary_transitivity", "rank_transitivity"), CK)
 
 
 @query("G13_assortativity", "edges", "WITH " + KEPT + """ m AS (SELECT e.subject,e.visit,e.cost,
@@ -205,7 +200,7 @@ en AS (SELECT DISTINCT subject,visit,cost,ego,i AS node FROM ea),"""
   SELECT subject,visit,cost,round(sum(CASE WHEN k>1 THEN coalesce(e,0)/(k*(k-1)) ELSE 0 END)/50,6) AS binary_mean_local_efficiency
   FROM deg LEFT JOIN es USING (subject,visit,cost,node) GROUP BY 1,2,3""")
 def g14(t):
-    return rounded(G.local_efficiency(Base(t).w, CK, N, Base(t).tri()).select(*CK, "binary_mean_local_efficiency"), CK)
+    return rounded(with_triangles(t, G.local_efficiency).select(*CK, "binary_mean_local_efficiency"), CK)
 
 
 @query("G15_rank_mean_local_efficiency", "edges", "WITH " + KEPT + TRI + EGO + """ ew AS (SELECT subject,visit,cost,ego,node AS src,node AS dst,0.0::DOUBLE AS d,0 AS h FROM en
@@ -218,7 +213,7 @@ def g14(t):
   SELECT subject,visit,cost,round(sum(CASE WHEN k>1 THEN coalesce(e,0)/(k*(k-1)) ELSE 0 END)/50,6) AS rank_mean_local_efficiency
   FROM deg LEFT JOIN es USING (subject,visit,cost,node) GROUP BY 1,2,3""")
 def g15(t):
-    return rounded(G.local_efficiency(Base(t).w, CK, N, Base(t).tri()).select(*CK, "rank_mean_local_efficiency"), CK)
+    return rounded(with_triangles(t, G.local_efficiency).select(*CK, "rank_mean_local_efficiency"), CK)
 
 
 def bsql(dist: str, length: str, prefix: str, rounds: int) -> str:
@@ -276,7 +271,7 @@ def g18s(t):
 def g19(t):
     from ..plans.graph_study import cost_mean, long_metrics
 
-    return rounded(cost_mean(long_metrics(G.clustering(Base(t).w, CK, N, Base(t).tri()), CK), KEYS), [*KEYS, "metric"])
+    return rounded(cost_mean(long_metrics(with_triangles(t, G.clustering), CK), KEYS), [*KEYS, "metric"])
 
 
 @query("G20_node_change", "edges nodes", """WITH v AS (SELECT subject,visit,i AS node,w FROM edges UNION ALL SELECT subject,visit,j,w FROM edges),

@@ -131,6 +131,37 @@ def hop_distances(edges: DataFrame, keys: list[str], node_table: DataFrame, max_
     raise RuntimeError("graph deeper than the round limit")
 
 
+def hop_counts(edges: DataFrame, keys: list[str], node_table: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """``keys, node, d, pairs``: how many nodes lie at each distance from a node.
+
+    Every node keeps the set it has reached as bits, 64 nodes to a row; a round
+    joins the pairs with the sets of their ends and adds the bits.  Rows grow with
+    nodes and pairs, never with pairs of nodes.
+    """
+    adj = cut(edges.select(*keys, "i", "j").unionByName(edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"))))
+    word, bit = F.floor(F.col("node") / 64).cast("int"), F.expr("shiftleft(1L, int(node % 64))")
+    ball = cut(node_table.select(*keys, "node", word.alias("word"), bit.alias("bits")))
+    total, levels = 0, [ball.limit(0).withColumn("d", F.lit(0))]
+    for depth in range(1, max_rounds):
+        far = adj.join(ball.withColumnRenamed("node", "j"), [*keys, "j"]).select(*keys, F.col("i").alias("node"), "word", "bits")
+        ball = cut(ball.unionByName(far).groupBy(*keys, "node", "word").agg(F.bit_or("bits").alias("bits")))
+        now = ball.agg(F.sum(F.bit_count("bits"))).first()[0] or 0
+        if now == total:
+            break
+        total = now
+        levels.append(ball.withColumn("d", F.lit(depth)))
+    else:
+        raise RuntimeError("graph deeper than the round limit")
+    reached = union_all(levels).groupBy(*keys, "node", "d").agg(F.sum(F.bit_count("bits")).alias("reached"))
+    before = F.coalesce(F.lag("reached").over(W.partitionBy(*keys, "node").orderBy("d")), F.lit(1))
+    return reached.select(*keys, "node", "d", (F.col("reached") - before).alias("pairs")).filter("pairs > 0")
+
+
+def hop_efficiency(counts: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
+    """Mean inverse distance over all ordered pairs, from the counts by distance."""
+    return counts.groupBy(*keys).agg((F.sum(F.col("pairs") / F.col("d")) / F.lit(n * (n - 1))).alias(out))
+
+
 def weighted_distances(edges: DataFrame, keys: list[str], node_table: DataFrame, length: Column | None = None,
                        max_rounds: int = 1000) -> DataFrame:
     """``keys, src, dst, d`` with lengths 1/w (or ``length``), min-plus rounds.

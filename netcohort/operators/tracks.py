@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.expr import finite, norm
 from .voxels import XYZ
 
 
+#: Points of a track that one window orders.
+BLOCK = 4096
+
+
 def segments(points: DataFrame) -> DataFrame:
-    """Consecutive point pairs, by an equi-join on ``seq`` so a long track splits freely."""
-    a = points.select("track", "seq", *[F.col(c).alias("a" + c) for c in XYZ])
-    b = points.select("track", (F.col("seq") - 1).alias("seq"), *[F.col(c).alias("b" + c) for c in XYZ])
-    return a.join(b, ["track", "seq"])
+    """Consecutive point pairs ``track, seq, ax..az, bx..bz``.
+
+    A window inside each block of ``seq`` meets the next point; only the last point
+    of a block looks for its successor by a join, so a long track splits freely.
+    """
+    block = F.floor(F.col("seq") / BLOCK)
+    p = points.select("track", "seq", *XYZ, block.alias("_block"))
+    nxt = F.lead(F.struct("seq", *XYZ)).over(W.partitionBy("track", "_block").orderBy("seq"))
+    inside = p.withColumn("_n", nxt)
+    both = lambda d: d.select("track", "seq", *[F.col(c).alias("a" + c) for c in XYZ], *[F.col(f"_n.{c}").alias("b" + c) for c in XYZ])
+    within = both(inside.filter(F.col("_n.seq") == F.col("seq") + 1))
+    last = p.filter(F.col("seq") % BLOCK == BLOCK - 1).select("track", "seq", *XYZ)
+    first = points.filter(F.col("seq") % BLOCK == 0).select("track", (F.col("seq") - 1).alias("seq"), F.struct(*XYZ).alias("_n"))
+    return within.unionByName(both(last.join(first, ["track", "seq"])))
 
 
 def sampling_gate(points: DataFrame, shape, voxel_mm=(1.0, 1.0, 1.0), slack: float = 1e-4) -> DataFrame:
@@ -75,8 +90,9 @@ def crossing_tracks(points: DataFrame, mask: DataFrame, shape, strict: bool = Fa
     """
     if strict:
         require_dense(points)
-    cells = segment_cells(points, shape).drop("too_sparse")
-    return cells.join(mask.select(*XYZ).distinct(), XYZ).filter(_slab_hit()).select("track").distinct()
+    cell = (F.col("x") + shape[0] * (F.col("y") + shape[1] * F.col("z").cast("long"))).alias("_cell")
+    cells = segment_cells(points, shape).drop("too_sparse").withColumn("_cell", cell)
+    return cells.join(mask.select(cell).distinct(), "_cell").filter(_slab_hit()).select("track").distinct()
 
 
 def require_dense(points: DataFrame) -> None:

@@ -101,13 +101,55 @@ def label_components(mask: DataFrame, shape, connectivity: int = 6, keys=("image
     else:
         raise ValueError("connectivity is 6 or 26")
     k = list(keys)
-    m = cut(mask.select(*k, *XYZ, pack(shape)))
-    moved = m.select(*k, F.col("node").alias("i"), *XYZ, F.explode(_offsets(steps)).alias("o")).select(
-        *k, "i", *[(F.col(c) + F.col("o.d" + c)).alias(c) for c in XYZ]
-    )
-    edges = moved.join(m.withColumnRenamed("node", "j"), [*k, *XYZ]).select(*k, "i", "j")
-    comp = connected_components(m.select(*k, "node"), edges, k)
-    return m.join(comp, [*k, "node"]).select(*k, *XYZ, "root")
+    side = [F.floor(F.col(c) / BLOCK).cast("int").alias("_b" + c) for c in XYZ]
+    kinds = {f.name: f.dataType.simpleString() for f in mask.schema}
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in k) + ", x int, y int, z int, node long, part long"
+    m = mask.select(*k, *[F.col(c).cast("int").alias(c) for c in XYZ], pack(shape))
+    parts = cut(m.groupBy(*k, *side).applyInPandas(_label_block(k, steps), ddl))
+    # what blocks leave open: neighbours across a face of a block
+    edge = F.lit(False)
+    for c in XYZ:
+        edge = edge | (F.col(c) % BLOCK == 0) | (F.col(c) % BLOCK == BLOCK - 1)
+    rim = parts.filter(edge)
+    moved = rim.select(*k, F.col("part").alias("i"), *XYZ, F.explode(_offsets(steps)).alias("o")).select(*k, "i", *[(F.col(c) + F.col("o.d" + c)).alias(c) for c in XYZ])
+    edges = cut(moved.join(rim.select(*k, *XYZ, F.col("part").alias("j")), [*k, *XYZ]).filter("i <> j").select(*k, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct())
+    ends = edges.select(*k, F.explode(F.array("i", "j")).alias("node")).distinct()
+    comp = connected_components(ends, edges, k).select(*k, F.col("node").alias("part"), F.col("root").alias("_r"))
+    return parts.join(comp, [*k, "part"], "left").select(*k, *XYZ, F.coalesce("_r", "part").alias("root"))
+
+
+#: Side of the cubes that one task labels by itself.
+BLOCK = 32
+
+
+def _label_block(keys: list[str], steps):
+    def run(pdf):
+        import numpy as np
+
+        at = pdf[list(XYZ)].to_numpy() % BLOCK
+        grid = np.full((BLOCK + 2,) * 3, -1, np.int64)
+        name = np.arange(len(pdf))
+        order = np.argsort(pdf["node"].to_numpy(), kind="stable")  # the least node comes first and names its part
+        at = at[order]
+        grid[at[:, 0] + 1, at[:, 1] + 1, at[:, 2] + 1] = name
+        pairs = []
+        for step in steps:
+            other = grid[at[:, 0] + 1 + step[0], at[:, 1] + 1 + step[1], at[:, 2] + 1 + step[2]]
+            pairs.append(np.stack([name[other >= 0], other[other >= 0]]))
+        a, b = np.concatenate(pairs, 1)
+        root = name.copy()
+        while True:  # hook the larger root of a pair to the smaller, then flatten
+            x, y = root[a], root[b]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+        out = pdf.iloc[order][[*keys, *XYZ, "node"]].copy()
+        out["part"] = out["node"].to_numpy()[root]
+        return out
+
+    return run
 
 
 def mask_qc(mask: DataFrame, shape, affine) -> DataFrame:
