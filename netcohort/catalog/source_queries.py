@@ -100,7 +100,7 @@ def s6(t):
     return C.mask_scheme_gate(v, ev)
 
 
-@query("S7_write_results")
+@query("S7_write_results", "outcomes", "SELECT endpoint,subject,y FROM outcomes")
 def s7(t):
     path = scratch(t, "results")
     C.write_results(t.outcomes(), path)
@@ -211,10 +211,19 @@ def i4(t):
     return I.uid_conflicts(t.headers().withColumn("series_uid", F.col("study_uid")))
 
 
-@query("I5_pseudonymize")
+SALT = b"a fixed salt of the test catalogue"
+
+
+def keyed_sql(value: str) -> str:
+    """The keyed digest from two nested ones, as the published construction defines it."""
+    inner, outer = (bytes(b ^ m for b in SALT.ljust(64, b"\0")).hex() for m in (0x36, 0x5C))
+    return f"substr(sha256(unhex('{outer}')||unhex(sha256(unhex('{inner}')||encode({value})))),1,20)"
+
+
+@query("I5_pseudonymize", "headers", f"SELECT path,{keyed_sql('series_uid')} AS series_key,{keyed_sql('study_uid')} AS study_key,CASE WHEN length(trim(patient_id))>0 THEN {keyed_sql("'site|'||patient_id||'|'")} END AS patient_key FROM headers")
 def i5(t):
     h = t.headers().withColumn("issuer", F.lit("site")).withColumn("birth_date", F.lit(None).cast("string"))
-    return I.pseudonymize(h, b"a fixed salt of the test catalogue")
+    return I.pseudonymize(h, SALT)
 
 
 def _any(terms) -> str:

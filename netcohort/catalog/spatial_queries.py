@@ -30,10 +30,10 @@ def dil_sql(src: str, name: str, passes: int = 1) -> str:
     return "\n".join(parts)
 
 
-def comp_sql(src: str, name: str) -> str:
-    """Face-connected components through reachability; root is the smallest packed index."""
+def comp_sql(src: str, name: str, near: str = "abs(a.x-b.x)+abs(a.y-b.y)+abs(a.z-b.z)=1") -> str:
+    """Components through reachability over ``near`` voxels; root is the smallest packed index."""
     return f"""{name}n AS (SELECT image_id,x,y,z,CAST(x+16*(y+16*z) AS BIGINT) AS node FROM {src}),
-{name}e AS (SELECT a.image_id,a.node AS i,b.node AS j FROM {name}n a JOIN {name}n b ON a.image_id=b.image_id AND abs(a.x-b.x)+abs(a.y-b.y)+abs(a.z-b.z)=1),
+{name}e AS (SELECT a.image_id,a.node AS i,b.node AS j FROM {name}n a JOIN {name}n b ON a.image_id=b.image_id AND {near}),
 {name}r AS (SELECT image_id,node AS src,node AS dst FROM {name}n UNION SELECT r.image_id,src,j FROM {name}r r JOIN {name}e e ON e.image_id=r.image_id AND e.i=r.dst),
 {name} AS (SELECT n.image_id,x,y,z,min(dst) AS root FROM {name}r r JOIN {name}n n ON n.image_id=r.image_id AND n.node=r.src GROUP BY ALL),
 """
@@ -79,7 +79,7 @@ def v4(t):
     return V.label_components(t.mask(), SHAPE, 6)
 
 
-@query("V4_label_components_26")
+@query("V4_label_components_26", "voxels mask", "WITH " + comp_sql("mask", "cp", "a.node<>b.node AND abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1 AND abs(a.z-b.z)<=1") + END + "SELECT image_id,root,count(*) AS size FROM cp GROUP BY 1,2")
 def v4b(t):
     return V.label_components(t.mask(), SHAPE, 26).groupBy("image_id", "root").agg(F.count(F.lit(1)).alias("size"))
 
@@ -216,7 +216,9 @@ def v16(t):
     return V.paint_spheres(balls(t), SHAPE, AFF)
 
 
-@query("V17_fill_holes")
+@query("V17_fill_holes", "voxels mask", "WITH " + DIL + dil_sql("mask", "dl", 1) + """ bg AS (SELECT g.* FROM (SELECT image_id,x.range::INT AS x,y.range::INT AS y,z.range::INT AS z FROM (SELECT DISTINCT image_id FROM dl) i,range(16) x,range(16) y,range(16) z) g ANTI JOIN dl USING (image_id,x,y,z)),
+ br AS (SELECT * FROM bg WHERE x IN (0,15) OR y IN (0,15) OR z IN (0,15) UNION SELECT b.* FROM br r JOIN bg b ON b.image_id=r.image_id AND abs(b.x-r.x)+abs(b.y-r.y)+abs(b.z-r.z)=1),"""
+       + END + "SELECT image_id,x,y,z FROM dl UNION ALL SELECT bg.* FROM bg ANTI JOIN br USING (image_id,x,y,z)")
 def v17(t):
     return V.fill_holes(cut(V.dilate6(t.mask(), SHAPE, 1)), SHAPE)
 
