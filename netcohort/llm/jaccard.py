@@ -13,7 +13,7 @@ only prefixes are exchanged.
    their set sizes.  A document's overlap with the union bounds its overlap with any
    member; only groups that reach the bound are opened, and their members that share
    enough prefix tokens are compared, whole text with whole text: first each one's
-   best partner, then all pairs that still stand between two groups.
+   best partners, then all pairs that still stand between two groups.
 
 Members of one group are connected already, so a large family of copies costs one
 comparison a member, and no link between different components can be missed.
@@ -47,8 +47,9 @@ SHINGLE = 5
 PERCENT = 75
 #: Prefix tokens that two similar documents must share (fewer if a set is tiny).
 NEED = 4
-#: Rounds of grouping, and leaders a document is compared with in each.
-TURNS, LEADERS = 3, 2
+#: Rounds of grouping, leaders a document is compared with in each, and best partners
+#: that are compared one after the other before all pairs that are left.
+TURNS, LEADERS, PARTNERS = 2, 1, 3
 #: Counters of the sketch and parts it is moved in: 4 MB, whatever the corpus.
 COUNTERS, PARTS, LOTS = 1 << 20, 16, 8
 #: Comparisons of one leader that one block holds.
@@ -159,20 +160,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds until nothing changes; each round is written.
     """
+    mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        large = cut(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = mark(edges)
+        if now == before:
             break
+        before = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return cut(roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
 
@@ -230,6 +232,14 @@ def _in_groups(lists: DataFrame, links: DataFrame | None) -> DataFrame:
     return rows.withColumn("_lo", F.min("g").over(by_token)).withColumn("_hi", F.max("g").over(by_token)).filter("_lo <> _hi").drop("_lo", "_hi")
 
 
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose documents lie in different groups."""
+    group = components(links)
+    known = _sized(group, group.count())
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
+    return both.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).drop("_ra", "_rb")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``; the component is the least id that links reach."""
     spark = docs.sparkSession
@@ -278,14 +288,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = grouped.filter("as_small").select("token", F.col("digest").alias("s"), F.col("n").alias("sn"), F.col("at").alias("s_at"), "g")
     fits = f"(sn < qn OR sn = qn AND s < q) AND 100 * sn >= {PERCENT} * qn AND {100 + PERCENT} * (least(q_at, s_at) + 1 + least(qn - q_at, sn - s_at) - 1) >= {PERCENT} * (qn + sn)"
     pairs = opened.join(members, ["token", "g"]).filter(fits).groupBy("q", "s").agg(F.count(F.lit(1)).alias("c"), F.min("sn").alias("sn"))
-    pairs = cut(pairs.filter(F.col("c") >= _need("sn")).select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"), "c"))
-    # each document's best partner first; what then still parts two groups, after
-    top = [pairs.groupBy(F.col(x).alias("x")).agg(F.max(F.struct("c", "a", "b")).alias("m")).select("m.a", "m.b") for x in ("a", "b")]
-    links = links.unionByName(verified(top[0].unionByName(top[1]).distinct(), classes, docs))
-    group = components(links)
-    known = _sized(group, group.count())
-    rest = pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    more = verified(rest.filter(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))), classes, docs)
+    pairs = pairs.filter(F.col("c") >= _need("sn")).select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"), "c")
+    for x in ("a", "b"):
+        pairs = pairs.withColumn(f"rank_{x}", F.row_number().over(W.partitionBy(x).orderBy(F.desc("c"), "a", "b")))
+    pairs = cut(pairs)
+    # each document's best partners first, then whatever still stands between two groups
+    for turn in range(1, PARTNERS + 1):
+        links = links.unionByName(verified(_apart(pairs, links).filter(f"rank_a = {turn} OR rank_b = {turn}"), classes, docs))
+    more = verified(_apart(pairs, links).filter(f"rank_a > {PARTNERS} AND rank_b > {PARTNERS}"), classes, docs)
 
     root = components(links.unionByName(more))
     placed = sets.join(root, (F.col("digest") == F.col("node")) & (F.col("n") > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "digest")).alias("root"))
