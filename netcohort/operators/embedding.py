@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.expr import sum_expr
+from ..functions.expr import checked, sum_expr
 from ..session import cut
 from .graphs import adjacency
 
@@ -92,7 +92,8 @@ def member_mean(members: DataFrame, hashes: DataFrame | None = None) -> DataFram
     """Mean of 2..500 member networks ``member, i, j, w``; repeated bytes are refused by S12."""
     count = members.agg(F.countDistinct("member").alias("m")).withColumn("_1", F.lit(1))
     s = members.groupBy("i", "j").agg(F.sum("w").alias("s")).withColumn("_1", F.lit(1)).join(F.broadcast(count), "_1")
-    return s.select("i", "j", (F.col("s") / F.col("m")).alias("w"), "m")
+    m = checked(F.col("m"), F.col("m").between(2, 500), "a mean needs 2..500 member networks")
+    return s.select("i", "j", (F.col("s") / m).alias("w"), m.alias("m"))
 
 
 # -- kernel ------------------------------------------------------------------

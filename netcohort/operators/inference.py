@@ -98,21 +98,31 @@ def bh_adjust(df: DataFrame, family: list[str], p: str, out: str = "q_bh") -> Da
     return df.join(c.select(*family, p, q.alias(out)), [*family, p])
 
 
+#: Value ranges in which a family's peaks are counted.
+PEAK_RANGES = 1024
+
+
 def max_t(nulls: DataFrame, tests: DataFrame, family: list[str], stat: str = "rho", null: str = "null",
           order: str = "perm", out: str = "p_maxT") -> DataFrame:
     """Familywise p from the largest |null| of each shared ordering.
 
     An ordering counts only where every test of the family has a finite value.
+    Peaks are counted by narrow value ranges: a test adds the ranges above its own
+    and meets single peaks in that range only.
     """
     value = F.when(finite(F.col(null)), F.abs(null))
     peak = nulls.groupBy(*family, order).agg(
         F.max(value).alias("_mx"), F.count_if(value.isNull()).alias("_bad")
     ).filter("_bad = 0")
-    dist = peak.groupBy(*family, "_mx").agg(F.count(F.lit(1)).alias("_c"))
-    scored = tests.join(dist, family)
+    dist = peak.groupBy(*family, "_mx").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.floor(F.col("_mx") * PEAK_RANGES))
+    levels = dist.groupBy(*family, "_b").agg(F.sum("_c").alias("_s"))
+    levels = levels.groupBy(*family).agg(F.collect_list(F.struct("_b", "_s")).alias("_levels"), F.sum("_s").alias("_total"))
     keys = tests.columns
-    hit = F.sum(F.when(ge(F.col("_mx"), F.abs(F.col(stat))), F.col("_c")).otherwise(0)) / F.sum("_c")
-    return scored.groupBy(*keys).agg(hit.alias(out))
+    own = tests.join(levels, family).withColumn("_b", F.floor((F.abs(F.col(stat)) - SLACK) * PEAK_RANGES))
+    over = F.aggregate(F.filter("_levels", lambda x: x["_b"] > F.col("_b")), F.lit(0).cast("long"), lambda a, x: a + x["_s"])
+    own = own.withColumn("_over", over).drop("_levels")
+    hit = F.max("_over") + F.sum(F.when(ge(F.col("_mx"), F.abs(F.col(stat))), F.col("_c")).otherwise(0))
+    return own.join(dist, [*family, "_b"], "left").groupBy(*keys).agg((hit / F.max("_total")).alias(out))
 
 
 def exact_family(features: DataFrame, outcomes: DataFrame, keys: list[str], family: list[str] | None = None, x: str = "x") -> DataFrame:
@@ -124,8 +134,8 @@ def exact_family(features: DataFrame, outcomes: DataFrame, keys: list[str], fami
     q = bh_adjust(p, family, "p_exact")
     small = tests.select(*dict.fromkeys(["endpoint", *keys, *family]), "rho")
     t = max_t(nulls, small, family)
-    size = W.partitionBy(*family)
-    return q.join(t.drop("rho"), ["endpoint", *keys]).withColumn("family_size", F.count(F.lit(1)).over(size))
+    sizes = small.groupBy(*family).agg(F.count(F.lit(1)).alias("family_size"))
+    return q.join(t.drop("rho", *[f for f in family if f not in ("endpoint", *keys)]), ["endpoint", *keys]).join(sizes, family)
 
 
 def leave_one_out(cases: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +49,3 @@ def connected_components(nodes: DataFrame, edges: DataFrame, keys: list[str], ma
         if nxt.filter("old <> root").limit(1).count() == 0:
             return lab
     raise RuntimeError("component labels did not settle")
-
-
-def repeat_until(state: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, bool]], max_rounds: int) -> DataFrame:
-    for _ in range(max_rounds):
-        state, done = step(state)
-        if done:
-            return state
-    raise RuntimeError("iteration did not settle")

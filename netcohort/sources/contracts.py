@@ -119,6 +119,7 @@ def visit_violations(visits: DataFrame) -> DataFrame:
     """Subjects whose visits are not pre, post1, post2 in order or whose id is not a code."""
     v = visits.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "timepoint"))), lambda e: e["timepoint"]).alias("seen"))
     want = F.array(F.lit("pre"), F.lit("post1"), F.lit("post2"))
+    # Fixed value: the pattern of a subject code.
     bad_id = ~F.col("subject").rlike("^[A-Za-z0-9_-]{1,48}$")
     return v.select("subject", (F.col("seen") != want).alias("bad_order"), bad_id.alias("bad_id")).filter("bad_order or bad_id")
 
@@ -188,6 +189,7 @@ def duplicate_payloads(hashes: DataFrame) -> DataFrame:
 # -- replay comparison -------------------------------------------------------
 
 def check_tolerances(atol: float, rtol: float) -> None:
+    # The widest tolerances a replay may use.
     if not 0 <= atol <= 1e-8 or not 0 <= rtol <= 1e-6:
         raise ContractError("tolerances exceed the permitted limits atol 1e-8, rtol 1e-6")
 

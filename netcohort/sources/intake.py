@@ -107,6 +107,7 @@ def stat_drift(catalogue: DataFrame, now: DataFrame) -> DataFrame:
 
 # -- gradient tables ---------------------------------------------------------
 
+# The largest baseline value and the spread of one shell.
 BASELINE_MAX, SHELL_TOLERANCE = 50.0, 100.0
 
 
