@@ -23,7 +23,8 @@ compared in blocks.  Each round is written to the shared folder.
 
 Defined cases: null texts and texts without words have an empty set, are linked with
 nothing and are their own component; fewer words than a shingle make one shingle;
-repeated rows have one class; an empty table gives no rows.
+repeated rows have one class; an empty table gives no rows; a text that only rows
+without an id have is its own class and is not compared with others.
 """
 
 from __future__ import annotations
@@ -209,6 +210,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of digests whose sets are similar, compared on whole texts."""
     pairs = cut(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     salted = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"), F.col("b").alias("own"))
     leads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("a").alias("own"))
@@ -222,19 +225,19 @@ def _need(n: str):
     return F.least(F.lit(NEED), F.ceil(PERCENT * F.col(n) / 100))
 
 
-def _in_groups(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+def _in_groups(lists: DataFrame, group: DataFrame | None) -> DataFrame:
     """``lists`` with the group ``g`` of each document, of tokens that more than one group has."""
-    if links is None:
+    if group is None:
         return lists.withColumn("g", F.col("digest"))
-    group = components(links)
     rows = lists.join(_sized(group, group.count()), F.col("digest") == F.col("node"), "left").withColumn("g", F.coalesce("root", "digest")).drop("node", "root")
     by_token = W.partitionBy("token")
     return rows.withColumn("_lo", F.min("g").over(by_token)).withColumn("_hi", F.max("g").over(by_token)).filter("_lo <> _hi").drop("_lo", "_hi")
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, group: DataFrame | None) -> DataFrame:
     """The pairs whose documents lie in different groups."""
-    group = components(links)
+    if group is None:
+        return pairs
     known = _sized(group, group.count())
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
     return both.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).drop("_ra", "_rb")
@@ -263,21 +266,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     weight = cut(lists.groupBy("digest").agg(F.sum("m").alias("weight")))
     lists = lists.drop("m").join(_sized(weight, weight.count()), "digest")
 
-    links = None
+    links = group = None
+
+    def join_groups(found: DataFrame) -> None:
+        nonlocal links, group
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            group = components(links)
+
     for turn in range(TURNS):
-        rows = _in_groups(lists, links)
+        rows = _in_groups(lists, group)
         # the first leader of a token shares most with others, so an original leads its copies; later ones are drawn
         rank = F.col("weight") if turn == 0 else F.xxhash64("digest", F.lit(turn))
         led = rows.withColumn("lead", F.max(F.struct(rank.alias("r"), "digest", "n", "g")).over(by_token)).select("digest", "n", "g", F.col("lead.digest").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.g").alias("lead_g"))
         met = led.filter(f"g <> lead_g AND 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").groupBy("digest", "lead").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "lead_n")).alias("n"))
         best = F.row_number().over(W.partitionBy("digest").orderBy(F.desc("c"), "lead"))
         met = met.filter(F.col("c") >= _need("n")).withColumn("_best", best).filter(f"_best <= {LEADERS}")
-        found = verified(met.select(F.col("lead").alias("a"), F.col("digest").alias("b")), classes, docs)
-        links = found if links is None else links.unionByName(found)
+        join_groups(verified(met.select(F.col("lead").alias("a"), F.col("digest").alias("b")), classes, docs))
 
     # matrix: which groups does a document's prefix reach, other than its own?
     small = F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100 + PERCENT)) + _need("n")
-    grouped = cut(_in_groups(lists, links).select("token", "digest", "n", "at", "g", (F.col("at") < small).alias("as_small")))
+    grouped = cut(_in_groups(lists, group).select("token", "digest", "n", "at", "g", (F.col("at") < small).alias("as_small")))
     matrix = grouped.filter("as_small").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     query = grouped.select("token", F.col("digest").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"), F.col("at").alias("q_at"))
     by_reach = W.partitionBy("q", "g")
@@ -294,11 +303,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     # each document's best partners first, then whatever still stands between two groups
     for turn in range(1, PARTNERS + 1):
-        links = links.unionByName(verified(_apart(pairs, links).filter(f"rank_a = {turn} OR rank_b = {turn}"), classes, docs))
-    more = verified(_apart(pairs, links).filter(f"rank_a > {PARTNERS} AND rank_b > {PARTNERS}"), classes, docs)
+        join_groups(verified(_apart(pairs, group).filter(f"rank_a = {turn} OR rank_b = {turn}"), classes, docs))
+    join_groups(verified(_apart(pairs, group).filter(f"rank_a > {PARTNERS} AND rank_b > {PARTNERS}"), classes, docs))
 
-    root = components(links.unionByName(more))
-    placed = sets.join(root, (F.col("digest") == F.col("node")) & (F.col("n") > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "digest")).alias("root"))
+    if group is None:
+        group = spark.createDataFrame([], "node long, root long")
+    placed = sets.join(group, (F.col("digest") == F.col("node")) & (F.col("n") > 0), "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "digest")).alias("root"))
     least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 

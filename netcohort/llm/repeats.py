@@ -16,7 +16,7 @@ documents or runs: a passage that a third of all documents share is spread over
 ranges.  The first suffix of a range goes along to the range before it.
 
 Defined cases: null and empty texts and texts of fewer than ``LEAST`` words give no
-rows; passages repeated only inside one document give no rows; of rows that share an
+rows; rows without an id are left out; passages repeated only inside one document give no rows; of rows that share an
 id and differ in text each is matched by its own words; an empty table gives no rows.
 Where one document repeats a passage at a range's edge, that edge compares it with the
 nearest suffix only.

@@ -278,7 +278,9 @@ def brute_components(rows):
     return Counter((doc, len(s), least.get(find(i), doc) if s else doc) for i, (doc, s) in enumerate(sets))
 
 
-def test_jaccard_equals_brute_force_on_odd_rows(odd, empty):
+def test_jaccard_equals_brute_force_on_odd_rows(odd, empty, monkeypatch):
+    monkeypatch.setattr(jaccard, "TURNS", 1)
+    monkeypatch.setattr(jaccard, "PARTNERS", 1)
     got = Counter(map(tuple, jaccard.jaccard_components(odd).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == brute_components([(x["doc_id"], x["text"]) for x in odd.collect()])
     assert jaccard.jaccard_components(empty).count() == 0
@@ -387,15 +389,14 @@ def test_revisits_take_the_latest_earlier_response(spark):
 # pipeline
 
 
-def test_pipeline_stages_keep_the_columns(spark, odd, empty):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, now = docs.columns, docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, SF)
-        assert now.columns == columns, name
-    stage_rows = [f(spark, odd, SF).count() for _, f in corpus_pipeline.STAGES]
-    assert stage_rows[2] == odd.count()
-    assert all(f(spark, empty, SF).count() == 0 for _, f in corpus_pipeline.STAGES)
+def test_pipeline_stages_keep_the_columns(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(jaccard, "TURNS", 1)
+    monkeypatch.setattr(jaccard, "PARTNERS", 1)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, SF)
+        assert name == "packing" or got.columns == odd.columns, name
+        assert name != "secret scan" or got.count() == odd.count()
+        assert stage(spark, empty, SF).count() == 0
 
 
 def test_pipeline_against_brute_force(spark):
