@@ -53,8 +53,8 @@ NEED = 4
 TURNS, LEADERS, PARTNERS = 2, 1, 3
 #: Counters of the sketch and parts it is moved in: 4 MB, whatever the corpus.
 COUNTERS, PARTS, LOTS = 1 << 20, 16, 8
-#: Comparisons of one leader that one block holds.
-BLOCK = 256
+#: Comparisons of one leader that one block holds; documents of a bucket of a cell.
+BLOCK, CELL = 256, 64
 #: Rows up to which a table of ids (24 bytes a row) is broadcast; beyond, it is joined by exchange.
 BROADCAST_ROWS = 400_000
 
@@ -221,6 +221,49 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return cut(placed.select("a", "salt", "own", "text").mapInArrow(_compare, "a long, b long").distinct())
 
 
+def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each cell brings a document once, with the partners it is to be compared with there."""
+    cell, sets, asked = None, {}, {}
+
+    def settle() -> pa.RecordBatch:
+        found = [(a, b) for a, partners in asked.items() for b in partners if a in sets and b in sets and similar(sets[a], sets[b])]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for one, two, own, partners, text in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "own", "partners")), (x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
+            if (one, two) != cell:
+                if asked:
+                    yield settle()
+                cell, sets, asked = (one, two), {}, {}
+            tokens = shingle_set(text)
+            if own not in sets and digest(tokens) == own:
+                sets[own] = tokens
+                asked[own] = partners
+    if asked:
+        yield settle()
+
+
+def verified_cells(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """As :func:`verified`, for pairs that crowd among few documents.
+
+    Documents are dealt into buckets of about ``CELL``; all pairs between two buckets
+    are one cell, which reads each of its documents once however many pairs it is in.
+    """
+    pairs = cut(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
+    buckets = max(1, -(-pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().count() // CELL))
+    one, two = (F.pmod(F.xxhash64(c), F.lit(buckets)) for c in ("a", "b"))
+    dealt = pairs.select("a", "b", F.least(one, two).alias("c1"), F.greatest(one, two).alias("c2"))
+    asks = dealt.groupBy("c1", "c2", F.col("a").alias("own")).agg(F.collect_list("b").alias("partners"))
+    asked = dealt.select("c1", "c2", F.col("b").alias("own")).distinct().withColumn("partners", F.array().cast("array<bigint>"))
+    wanted = asks.unionByName(asked).groupBy("c1", "c2", "own").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    wanted = cut(wanted.join(classes, F.col("own") == F.col("digest")).select("c1", "c2", "own", "partners", F.col("rep").alias("_doc")))
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(_sized(wanted, wanted.count() + pairs.count()), "_doc")
+    placed = texts.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "own")
+    return cut(placed.select("c1", "c2", "own", "partners", "text").mapInArrow(_compare_cells, "a long, b long").distinct())
+
+
 def _need(n: str):
     return F.least(F.lit(NEED), F.ceil(PERCENT * F.col(n) / 100))
 
@@ -304,7 +347,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # each document's best partners first, then whatever still stands between two groups
     for turn in range(1, PARTNERS + 1):
         join_groups(verified(_apart(pairs, group).filter(f"rank_a = {turn} OR rank_b = {turn}"), classes, docs))
-    join_groups(verified(_apart(pairs, group).filter(f"rank_a > {PARTNERS} AND rank_b > {PARTNERS}"), classes, docs))
+    join_groups(verified_cells(_apart(pairs, group).filter(f"rank_a > {PARTNERS} AND rank_b > {PARTNERS}"), classes, docs))
 
     if group is None:
         group = spark.createDataFrame([], "node long, root long")

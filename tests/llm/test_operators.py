@@ -288,6 +288,9 @@ def test_jaccard_equals_brute_force_on_odd_rows(odd, empty, monkeypatch):
 
 def test_jaccard_equals_brute_force_near_the_limit(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "CELL", 4)
+    monkeypatch.setattr(jaccard, "TURNS", 1)
+    monkeypatch.setattr(jaccard, "PARTNERS", 1)
     r = random.Random(11)
     words = [f"v{i}" for i in range(300)]
     rows = []
@@ -304,6 +307,25 @@ def test_jaccard_equals_brute_force_near_the_limit(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in kept) == sorted({c for _, _, c in got})
 
 
+def test_cells_compare_every_pair(spark):
+    r = random.Random(13)
+    base = [f"v{i}" for i in range(80)]
+    rows = [(i, " ".join(w if r.random() > 0.03 else f"x{r.random()}" for w in base)) for i in range(40)]
+    sets = {i: jaccard.shingle_set(t.encode()) for i, t in rows}
+    name = {d: i for i, d in sorted(((i, jaccard.digest(s)) for i, s in sets.items()), reverse=True)}  # one document of each set
+    name = {i: d for d, i in name.items()}
+    pairs = [(name[i], name[j]) for i in name for j in name if j < i]
+    want = {(name[i], name[j]) for i in name for j in name if j < i and jaccard.similar(sets[i], sets[j])}
+    df, classes = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(d, i) for i, d in name.items()], "digest long, rep long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (3, 64):
+        jaccard.CELL, old = cell, jaccard.CELL
+        got = {tuple(x) for x in jaccard.verified_cells(df, classes, docs).collect()}
+        jaccard.CELL = old
+        assert got == want and 0 < len(want) < len(pairs)
+    assert {tuple(x) for x in jaccard.verified(df, classes, docs).collect()} == want
+
+
 # repeated passages
 
 
