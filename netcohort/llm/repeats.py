@@ -163,13 +163,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     where = F.size(F.filter(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(a).alias("a")) for k, a in cuts)), lambda c: c <= own)) if cuts else F.lit(0)
     ranged = suffixes.withColumn("_range", where.cast("int"))
     order = ("key", "after", "before", "doc_id", "at")
-    firsts = ranged.filter("_range > 0").groupBy("_range").agg(F.min(F.struct(*order)).alias("f"))
     if cuts:  # a row for each range, at most MAX_RANGES
-        held = {r["_range"] for r in ranged.select("_range").distinct().collect()}
+        firsts = cut(ranged.groupBy("_range").agg(F.min(F.struct(*order)).alias("f")))
+        held = {r["_range"] for r in firsts.select("_range").collect()}
         prior = {b: a for a, b in zip(sorted(held), sorted(held)[1:], strict=False)}
-        guests = firsts.withColumn("_range", F.element_at(F.create_map(*(F.lit(x) for p in prior.items() for x in p)), F.col("_range"))) if prior else None
-        if guests is not None:
-            ranged = ranged.unionByName(guests.select("f.*", "_range"))
+        if prior:
+            before = F.create_map(*(F.lit(x) for p in prior.items() for x in p))
+            guests = firsts.select("f.*", F.element_at(before, F.col("_range")).alias("_range")).filter("_range IS NOT NULL")
+            ranged = ranged.unionByName(guests)
     placed = ranged.repartition(ranges, "_range").sortWithinPartitions("_range", *order)
     short_batches(spark)
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
