@@ -322,7 +322,7 @@ def embed(edges: DataFrame, keys: list[str], sizes: DataFrame, components: int =
         rows = row_sparsify(e, keys, None)
     kernel = cut(normalized_angle(rows, keys))
     have = kernel.groupBy(*keys).agg(F.countDistinct("i").alias("have")).join(sizes, "hemi")
-    short = have.filter("have < nodes").limit(1).collect()
+    short = have.filter("have < nodes").take(1)
     if short:
         raise ValueError(f"{short[0].nodes - short[0].have} isolated nodes in {[short[0][k] for k in keys]}")
     eig = top_eigen(kernel, diffusion_scale(kernel, keys, F.lit(alpha)), keys, components)

@@ -97,7 +97,7 @@ def crossing_tracks(points: DataFrame, mask: DataFrame, shape, strict: bool = Fa
 
 def require_dense(points: DataFrame) -> None:
     """Refuse tracks whose sampling is too sparse for the mask's voxels."""
-    first = too_sparse_tracks(points).limit(1).collect()
+    first = too_sparse_tracks(points).take(1)
     if first:
         raise ValueError(f"track {first[0].track} has a segment that spans more than two cells")
 
