@@ -139,7 +139,7 @@ def phrase_fingerprints(docs: DataFrame) -> DataFrame:
     ranges = min(MAX_RANGES, -(-n // RANGE_ROWS))
     cuts = ids.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
     where = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))), lambda c: c > F.col("_key"))) if cuts else F.lit(0)
-    firsts = {r["_range"]: r["_key"] for r in ids.groupBy(where.alias("_range")).agg(F.max("_key").alias("_key")).collect()}
+    firsts = {r["_range"]: r["_key"] for r in ids.groupBy(where.alias("_range")).agg(F.max("_key").alias("_key")).take(1 << 24)}
     order = sorted(firsts)
     host = {firsts[r]: order[i - 1] for i, r in enumerate(order)}  # the first row of a range is the guest of the one before
     if host:

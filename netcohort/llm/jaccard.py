@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = cut(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     parts = read.filter("part IS NOT NULL").select("part", "counts", F.col("digest").alias("lot"), F.lit(False).alias("wide"))
     some = parts.groupBy("part", "lot").applyInPandas(_add_counts, "part int, counts binary, wide boolean")
-    total = some.groupBy("part").applyInPandas(_add_counts, "part int, counts binary, wide boolean").collect()
+    total = some.groupBy("part").applyInPandas(_add_counts, "part int, counts binary, wide boolean").take(1 << 24)
     counts = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
     for r in total:
         counts[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)

@@ -130,7 +130,7 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, weights: tuple[i
             F.xxhash64(F.lit(seed), F.coalesce(F.col(row_id).cast("long"), F.lit(-1)), size.cast("long")).alias("_h"),
         )
     )
-    sums = rows.groupBy("_p").agg(F.sum("_s").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    sums = rows.groupBy("_p").agg(F.sum("_s").alias("words")).limit(MAX_PATTERNS + 1).take(1 << 24)
     if len(sums) > MAX_PATTERNS:
         raise ValueError("more membership patterns than the network may have")
     sums.sort(key=lambda r: [(x["n"], x["s"] or "") for x in r["_p"]])
@@ -159,7 +159,7 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, weights: tuple[i
         if not open_:
             break
         edge = F.broadcast(spark.createDataFrame([(i, limit[i], open_[i], [h for h, _ in picks.get(i, [])]) for i in open_], "_i int, _cut long, _left long, _done array<long>"))
-        found = units.join(edge, "_i").filter("_h > _cut AND w <= _left AND NOT array_contains(_done, _h)").groupBy("_i").agg(F.max(F.struct("w", "_h", "_s")).alias("m")).collect()
+        found = units.join(edge, "_i").filter("_h > _cut AND w <= _left AND NOT array_contains(_done, _h)").groupBy("_i").agg(F.max(F.struct("w", "_h", "_s")).alias("m")).take(1 << 24)
         if not found:
             break
         for r in found:
@@ -184,7 +184,7 @@ def _hash_limits(units: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int]
     inside = units.withColumn("_lot", order).join(cross, ["_i", "_lot"])
     run = F.sum("w").over(W.partitionBy("_i").orderBy("_h").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("_before")
     fit = inside.withColumn("_run", run)
-    got = cross.join(fit.filter("_run <= _rest").groupBy("_i").agg(F.max("_h").alias("_h"), F.max("_run").alias("_run")), "_i", "left").collect()
+    got = cross.join(fit.filter("_run <= _rest").groupBy("_i").agg(F.max("_h").alias("_h"), F.max("_run").alias("_run")), "_i", "left").take(1 << 24)
     limit, left = {}, {}
     for r in got:
         limit[r["_i"]] = r["_h"] if r["_h"] is not None else LEAST + r["_lot"] * span - 1 if r["_lot"] else LEAST
@@ -202,7 +202,7 @@ def _overshoot(units: DataFrame, limit: dict[int, int], left: dict[int, int], pi
         return
     edge = F.broadcast(units.sparkSession.createDataFrame(rows, "_i int, _cut long, _left long, _done array<long>"))
     over = units.join(edge, "_i").filter("_h > _cut AND w > _left AND w < 2 * _left AND NOT array_contains(_done, _h)")
-    for r in over.groupBy("_i").agg(F.min(F.struct("w", "_h", "_s")).alias("m")).collect():
+    for r in over.groupBy("_i").agg(F.min(F.struct("w", "_h", "_s")).alias("m")).take(1 << 24):
         picks.setdefault(r["_i"], []).append((r["m"]["_h"], r["m"]["_s"]))
 
 

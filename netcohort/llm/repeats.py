@@ -155,7 +155,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     n = suffixes.count()
     ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
-    drawn = suffixes.select("key", "after", F.xxhash64("doc_id", "at", "key").alias("h")).orderBy("h").limit(SAMPLES * ranges).collect() if ranges > 1 else []
+    drawn = suffixes.select("key", "after", F.xxhash64("doc_id", "at", "key").alias("h")).orderBy("h").limit(SAMPLES * ranges).take(1 << 24) if ranges > 1 else []
     drawn = sorted({(r["key"], r["after"]) for r in drawn}, key=lambda x: (x[0], x[1].encode()))
     cuts = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
     cuts = sorted(set(cuts), key=lambda x: (x[0], x[1].encode()))
@@ -165,7 +165,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     order = ("key", "after", "before", "doc_id", "at")
     if cuts:  # a row for each range, at most MAX_RANGES
         firsts = cut(ranged.groupBy("_range").agg(F.min(F.struct(*order)).alias("f")))
-        held = {r["_range"] for r in firsts.select("_range").collect()}
+        held = {r["_range"] for r in firsts.select("_range").take(1 << 24)}
         prior = {b: a for a, b in zip(sorted(held), sorted(held)[1:], strict=False)}
         if prior:
             before = F.create_map(*(F.lit(x) for p in prior.items() for x in p))

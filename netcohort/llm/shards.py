@@ -46,7 +46,7 @@ def _splitters(rows: DataFrame, targets: list[float], slack: list[float]) -> lis
     probes: list[tuple[int, int]] = []
     for turn in range(200):
         seeds = [F.expr(f"min_by(struct(_h, _k), xxhash64(_h, _k, {turn * DRAWS + i}))").alias(f"d{i}") for i in range(DRAWS)]
-        got = {r["_i"]: r for r in rows.groupBy(_slot(probes).alias("_i")).agg(F.sum("_b").alias("b"), F.min(F.struct("_h", "_k")).alias("lo"), F.max(F.struct("_h", "_k")).alias("hi"), *seeds).collect()}
+        got = {r["_i"]: r for r in rows.groupBy(_slot(probes).alias("_i")).agg(F.sum("_b").alias("b"), F.min(F.struct("_h", "_k")).alias("lo"), F.max(F.struct("_h", "_k")).alias("hi"), *seeds).take(1 << 24)}
         below, total = [], 0
         for i in range(len(probes) + 1):
             total += got[i]["b"] if i in got else 0
@@ -94,7 +94,7 @@ def histogram_shards(df: DataFrame, content: Column, row_id: Column, size: Colum
     marks = [found[j - 1] for j in range(parts, cells, parts)] if n else []
     edges = sorted(set(found))
     slots = rows.withColumn("_cell", _slot(edges))
-    held = {r["_cell"]: r["n"] for r in slots.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = {r["_cell"]: r["n"] for r in slots.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).take(1 << 24)}
     shard_of, before, gone = [], [], {}
     for i in range(len(edges) + 1):
         s = sum(1 for m in marks if i and m <= edges[i - 1])
