@@ -1,31 +1,27 @@
-"""Repeated passages by a sparse suffix array.
-
-Of each document only suffixes at minimiser positions are retained: in every window
-of ``SPREAD`` runs of ``RUN`` words the run of least hash is selected, so a passage of
-``RUN + SPREAD - 1`` words has a retained suffix wherever it occurs.  Suffixes whose
-run occurs in one document only are dropped.  The others are sorted by their words;
-neighbours are compared and the match is extended word by word to the right and to
-the left.  Suffixes of one run are sorted a second time by the words before them, so
-that the longest match on either side is met.  Matches of ``LEAST`` words or more become spans, and spans that touch are
-merged.
-
-A match is extended by up to ``REACH`` words either way from each retained suffix; a
-longer passage holds a retained suffix at least every ``SPREAD`` words, so its spans
-overlap and merge into the whole.  The sort is cut into ranges of suffixes, not of
-documents or runs: a passage that a third of all documents share is spread over many
-ranges.  The first suffix of a range goes along to the range before it.
+"""Repeated passages by their windows of fifty words, gathered by minimisers.
+
+In every window of ``SPREAD`` runs of ``RUN`` words, which is ``LEAST`` words, the run
+of least hash is the minimiser; equal windows have equal minimisers.  The neighbouring
+windows of one minimiser are a block.  A run that is a minimiser in one document only
+cannot belong to a repeated window, so its blocks are dropped.  Where all blocks of a
+run are equal, all their windows are repeated.  Of the other runs each different block
+is read once, its windows are named by two 64-bit hashes of their words, and a window
+is repeated if the blocks that hold it come from two documents.  Repeated windows of a
+document that overlap or touch are merged into passages.
+
+Each window is judged by itself, whatever surrounds it and however many documents have
+it: nothing depends on an order of suffixes, on neighbours or on ranges.  Runs, blocks
+and windows are reduced to their least and greatest document before rows move, and
+joined back; one that a third of all documents have is a skewed key of a join, which
+Spark splits.
 
 Defined cases: null and empty texts and texts of fewer than ``LEAST`` words give no
 rows; rows without an id are left out; passages repeated only inside one document give no rows; of rows that share an
 id and differ in text each is matched by its own words; an empty table gives no rows.
-Where one document repeats a passage at a range's edge, that edge compares it with the
-nearest suffix only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,151 +29,93 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut
-from .common import gram_hashes, map_batches, short_batches, span_hashes, texts_of, word_spans
+from .common import gram_hashes, map_batches, mix, span_hashes, texts_of, word_spans
+
+#: Words of a run, runs of a window, words of the shortest passage.
+RUN, SPREAD, LEAST = 12, 39, 50
+#: Blocks of one partition of the last exchange (the mean), most partitions.
+RANGE_ROWS, MAX_RANGES = 20_000, 2048
+#: Sets the second hash of a window apart from the first.
+OTHER = np.uint64(0xD6E8FEB86659FD93)
 
-#: Words of a run, runs of a window, words of the shortest passage, words looked at either way.
-RUN, SPREAD, LEAST, REACH = 12, 39, 50, 52
-#: Suffixes of one range (the mean), sampled suffixes a range, most ranges.
-RANGE_ROWS, SAMPLES, MAX_RANGES = 20_000, 8, 2048
 
+def names_of(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of spans of words, from the words' hashes."""
+    return span_hashes(words, starts, ends).view(np.int64), span_hashes(mix(words ^ OTHER), starts, ends).view(np.int64)
 
-def retained(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions of the minimisers of a text and the hashes of their runs."""
+
+def words_of(text: bytes) -> np.ndarray:
     buf = np.frombuffer(text, np.uint8)
-    starts, ends = word_spans(buf)
-    if len(starts) < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    runs = gram_hashes(span_hashes(buf, starts, ends), RUN)
-    windows = np.lib.stride_tricks.sliding_window_view(runs, SPREAD)
-    at = np.unique(windows.argmin(1) + np.arange(len(windows)))
-    return at, runs[at]
-
-
-def shared_words(a: str, b: str) -> int:
-    """Length in words of the common beginning of two texts of words."""
-    if a == b:
-        return a.count(" ") + 1 if a else 0
-    n = 0
-    for x, y in zip(a.split(" "), b.split(" "), strict=False):
-        if x != y:
-            break
-        n += 1
-    return n if a and b else 0
-
-
-def _select(batch: pa.RecordBatch) -> pa.RecordBatch:
-    ids, at_of, key_of = [], [], []
+    return span_hashes(buf, *word_spans(buf))
+
+
+def blocks_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each block the minimiser's hash, the first window and the number of windows."""
+    if len(words) < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    runs = gram_hashes(words, RUN)
+    at = np.lib.stride_tricks.sliding_window_view(runs, SPREAD).argmin(1) + np.arange(len(runs) - SPREAD + 1)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return runs[at[first]].view(np.int64), first, np.diff(first, append=len(at))
+
+
+def _blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+    parts: list[tuple] = []
     for i, text in enumerate(texts_of(batch)):
-        at, keys = retained(text)
-        ids.append(np.full(len(at), i))
-        at_of.append(at)
-        key_of.append(keys)
-    doc = batch.column("doc_id").take(pa.array(np.concatenate(ids).astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key_of).view(np.int64)), doc, pa.array(np.concatenate(at_of).astype(np.int32))], ["key", "doc_id", "at"])
-
-
-def _contexts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """The words after and before each wanted position; those before in reverse order."""
-    out: list[tuple] = []
-    for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("wanted").to_pylist(), strict=True):
-        at, keys = retained(text)
-        own = dict(zip(at.tolist(), keys.view(np.int64).tolist(), strict=True))
-        words = [w.decode("utf-8", "replace") for w in text.split()]  # of bytes: ASCII white space only
+        words = words_of(text)
+        keys, first, n = blocks_of(words)
+        parts.append((keys, *names_of(words, first, first + n + LEAST - 1), np.full(len(first), i), first, n))
+    key, one, two, i, first, n = (np.concatenate(p) for p in zip(*parts, strict=True))
+    doc = batch.column("doc_id").take(pa.array(i.astype(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(one), pa.array(two), doc, pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "one", "two", "doc_id", "start", "n"])
+
+
+def _windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """The windows of the wanted blocks, each with its block's hashes and documents."""
+    parts: list[tuple] = []
+    docs: list[tuple] = []
+    for text, wanted in zip(texts_of(batch), batch.column("wanted").to_pylist(), strict=True):
+        words = words_of(text)
         for x in wanted:
-            p = x["at"]
-            if own.get(p) == x["key"]:
-                out.append((x["key"], " ".join(words[p : p + REACH]), " ".join(reversed(words[max(0, p - REACH) : p])), doc, p))
-    kinds = (pa.int64(), pa.string(), pa.string(), batch.schema.field("doc_id").type, pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "after", "before", "doc_id", "at"]) if out else None
-
-
-def _neighbours(id_type: pa.DataType):
-    kinds = (id_type, pa.int32(), pa.int32(), id_type)
-
-    def spans_of(rows: list[tuple]) -> set[tuple]:
-        """Spans of the suffixes of one run, sorted once by what follows and once by what precedes."""
-        found: set[tuple] = set()
-
-        def compare(x, y):
-            right, left = shared_words(x[1], y[1]), shared_words(x[2], y[2])
-            if left + right >= LEAST:
-                found.add((x[3], x[4] - left, x[4] + right, y[3]))
-                found.add((y[3], y[4] - left, y[4] + right, x[3]))
-
-        for turn in (rows, sorted(rows, key=lambda x: (x[2].split(" "), x[1]))) if len(rows) > 2 else (rows,):
-            last, other = [turn[0]], None  # the suffixes of the latest document, the latest suffix before them
-            for row in turn[1:]:
-                if row[3] == last[-1][3]:
-                    if other is not None:
-                        compare(row, other)
-                    last.append(row)
-                else:
-                    for x in last:
-                        compare(x, row)
-                    last, other = [row], last[-1]
-        return found
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Suffixes come sorted in each range; those of one run are gathered, as many as a range holds."""
-        group, rows = None, []
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "start", "end", "other"])
-
-        for batch in batches:
-            found: set[tuple] = set()
-            for *row, part in zip(*(batch.column(c).to_pylist() for c in ("key", "after", "before", "doc_id", "at", "_range")), strict=True):
-                if (row[0], part) != group:
-                    if len(rows) > 1:
-                        found |= spans_of(rows)
-                    group, rows = (row[0], part), []
-                rows.append(row)
-            if found:
-                yield out(found)
-        if len(rows) > 1 and (found := spans_of(rows)):
-            yield out(found)
-
-    return run
+            start, n = x["start"], x["n"]
+            if start + n + LEAST - 1 > len(words) or [int(h[0]) for h in names_of(words[start : start + n + LEAST - 1], np.array([0]), np.array([n + LEAST - 1]))] != [x["one"], x["two"]]:
+                continue  # of another text of this id
+            at = np.arange(n)
+            parts.append((*names_of(words[start : start + n + LEAST - 1], at, at + LEAST), np.full(n, x["one"]), np.full(n, x["two"]), at.astype(np.int32)))
+            docs += [(x["lo"], x["hi"])] * n
+    if not parts:
+        return None
+    kind = batch.schema.field("doc_id").type
+    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)), *(pa.array(x, kind) for x in zip(*docs, strict=True))], ["w1", "w2", "one", "two", "at", "lo", "hi"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``doc_id, start_word, end_word, n_words, other_doc_id``: a row for each passage of a
     document, as large as its repeats reach, that another document (``other_doc_id``, the
-    least of those met) repeats.  Words count from 0, the end is exclusive."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    least met; where that is the document itself, the greatest) repeats.  Words count from
+    0, the end is exclusive."""
+    docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    picked = map_batches(docs, _select, f"key long, doc_id {kind}, at int")
-    by_key = W.partitionBy("key")
-    shared = picked.withColumn("_lo", F.min("doc_id").over(by_key)).withColumn("_hi", F.max("doc_id").over(by_key)).filter("_lo <> _hi")
-    wanted = shared.groupBy("doc_id").agg(F.collect_set(F.struct("at", "key")).alias("wanted"))
-    suffixes = cut(map_batches(docs.join(wanted, "doc_id"), _contexts, f"key long, after string, before string, doc_id {kind}, at int"))
-
-    n = suffixes.count()
-    ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
-    drawn = suffixes.select("key", "after", F.xxhash64("doc_id", "at", "key").alias("h")).orderBy("h").limit(SAMPLES * ranges).take(1 << 24) if ranges > 1 else []
-    drawn = sorted({(r["key"], r["after"]) for r in drawn}, key=lambda x: (x[0], x[1].encode()))
-    cuts = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
-    cuts = sorted(set(cuts), key=lambda x: (x[0], x[1].encode()))
-    own = F.struct(F.col("key").alias("k"), F.col("after").alias("a"))
-    where = F.size(F.filter(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(a).alias("a")) for k, a in cuts)), lambda c: c <= own)) if cuts else F.lit(0)
-    ranged = suffixes.withColumn("_range", where.cast("int"))
-    order = ("key", "after", "before", "doc_id", "at")
-    if cuts:  # a row for each range, at most MAX_RANGES
-        firsts = cut(ranged.groupBy("_range").agg(F.min(F.struct(*order)).alias("f")))
-        held = {r["_range"] for r in firsts.select("_range").take(1 << 24)}
-        prior = {b: a for a, b in zip(sorted(held), sorted(held)[1:], strict=False)}
-        if prior:
-            before = F.create_map(*(F.lit(x) for p in prior.items() for x in p))
-            guests = firsts.select("f.*", F.element_at(before, F.col("_range")).alias("_range")).filter("_range IS NOT NULL")
-            ranged = ranged.unionByName(guests)
-    placed = ranged.repartition(ranges, "_range").sortWithinPartitions("_range", *order)
-    short_batches(spark)
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    spans = placed.mapInArrow(_neighbours(arrow), f"doc_id {kind}, start int, end int, other {kind}")
-    merged = spans.groupBy("doc_id", "start", "end").agg(F.min("other").alias("other"))
+    picked = cut(map_batches(docs, _blocks, f"key long, one long, two long, doc_id {kind}, start int, n int"))
+    least = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")]
+    differ = ((F.min("one") < F.max("one")) | (F.min("two") < F.max("two"))).alias("differ")
+    kept = cut(picked.join(picked.groupBy("key").agg(*least, differ).filter("lo <> hi"), "key"))
+    whole = kept.filter("NOT differ").select("doc_id", "start", (F.col("start") + F.col("n") - 1).alias("last"), "lo", "hi")
+
+    apart = kept.filter("differ").select("one", "two", "doc_id", "start", "n")
+    each = apart.groupBy("one", "two", "n").agg(*least, F.min(F.struct("doc_id", "start")).alias("at"))
+    wanted = each.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("one", "two", "n", F.col("at.start").alias("start"), "lo", "hi")).alias("wanted"))
+    windows = cut(map_batches(docs.join(wanted, "doc_id"), _windows, f"w1 long, w2 long, one long, two long, at int, lo {kind}, hi {kind}"))
+    shared = windows.groupBy("w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+    found = windows.drop("lo", "hi").join(shared, ["w1", "w2"]).groupBy("one", "two", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = found.withColumn("_i", F.col("at") - F.row_number().over(W.partitionBy("one", "two").orderBy("at")))
+    parts = found.groupBy("one", "two", "_i").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    some = apart.join(parts, ["one", "two"]).select("doc_id", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("last"), "lo", "hi")
+
+    spans = whole.unionByName(some).select("doc_id", "start", (F.col("last") + LEAST).alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
+    spans = spans.repartition(max(1, min(MAX_RANGES, -(-kept.count() // RANGE_ROWS))), "doc_id")
     w = W.partitionBy("doc_id").orderBy("start", "end")
-    island = merged.withColumn("_new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    island = spans.withColumn("_new", F.coalesce(F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True)).cast("int"))
     island = island.withColumn("_i", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     out = island.groupBy("doc_id", "_i").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other_doc_id"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_doc_id")

@@ -347,6 +347,33 @@ def test_passages_equal_brute_force(odd, empty, monkeypatch):
     assert repeats.repeated_passages(empty).count() == 0
 
 
+def test_a_common_run_hides_no_passage(spark, monkeypatch):
+    """Each pair shares its own words before a run that all have, nine words after it differ, and others share more on either side."""
+    monkeypatch.setattr(repeats, "RANGE_ROWS", 6)
+    r = random.Random(9)
+    fresh = lambda k: [f"x{r.randrange(10**9)}" for _ in range(k)]
+    common, rows = fresh(35), []
+    for _ in range(40):
+        own = fresh(20)
+        rows += [fresh(30) + own + common + fresh(40) for _ in range(2)]
+    head, run, tail = fresh(20), common[:12], fresh(30)
+    rows += [fresh(30) + head + common[:30] + fresh(30) for _ in range(2)]
+    rows += [fresh(25) + head + fresh(3) + run + tail + fresh(9), fresh(25) + common + tail + fresh(9)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    where, want, got = defaultdict(set), defaultdict(set), defaultdict(set)
+    for doc, words in enumerate(rows):
+        for p in range(len(words) - 49):
+            where[tuple(words[p : p + 50])].add(doc)
+    for doc, words in enumerate(rows):
+        for p in range(len(words) - 49):
+            if len(where[tuple(words[p : p + 50])]) > 1:
+                want[doc].update(range(p, p + 50))
+    for x in repeats.repeated_passages(docs).collect():
+        got[x["doc_id"]].update(range(x["start_word"], x["end_word"]))
+        assert x["other_doc_id"] != x["doc_id"]
+    assert got == want and set(range(82)) <= set(got)
+
+
 # secrets
 
 
