@@ -5,7 +5,9 @@ carries words from patterns to source quotas; a pattern's words cost nothing the
 first time, more the second and most the third, so documents are repeated only
 where nothing fresh is left.  Each pattern's flow then becomes whole copies of all
 its documents plus a seeded choice for the rest: documents in hash order up to the
-flow, then the largest that still fit, then one that goes over by less than is missing.
+flow, then the largest that still fit, or where all of these are small more in hash
+order past those that do not fit, until nothing unused fits, then one that goes over by
+less than is missing.
 
 The driver sees sums by pattern; a pattern set beyond ``MAX_PATTERNS`` is refused.
 The seeded choice is one hash limit a pattern, found from sums over hash ranges, so
@@ -36,8 +38,8 @@ SEED = 20261130
 LEAST = -(1 << 63)
 #: Membership patterns the driver's network may have.
 MAX_PATTERNS = 100_000
-#: Hash ranges of a pattern, and rounds that fill what is left of its flow.
-RANGES, FILLS = 1 << 16, 6
+#: Hash ranges of a pattern.
+RANGES = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -151,25 +153,19 @@ def mix_sources(docs: DataFrame, sources: Column, size: Column, weights: tuple[i
     base = [(i, p, f // c if c else 0, f % c if c else 0, held[p[0]["s"]] if p else 0, targets[p[0]["s"]] if p else 0.0) for i, p, f, c in plan]
     wide = F.broadcast(spark.createDataFrame(base, f"_i int, _p {kind}, _base int, _rest long, source_size long, target double"))
     parted = rows.join(wide, "_p")
-    units = parted.filter("_rest > 0 AND _s > 0").groupBy("_i", "_h", "_s", "_rest").agg(F.sum("_s").alias("w"))
+    units = cut(parted.filter("_rest > 0 AND _s > 0").groupBy("_i", "_h", "_s", "_rest").agg(F.sum("_s").alias("w")))
     limit, left = _hash_limits(units, {i: b[3] for i, b in enumerate(base)})
-    picks: dict[int, list[tuple[int, int]]] = {}
-    for _ in range(FILLS):  # the largest of the others that still fit
-        open_ = {i: left[i] for i in left if left[i] > 0}
-        if not open_:
-            break
-        edge = F.broadcast(spark.createDataFrame([(i, limit[i], open_[i], [h for h, _ in picks.get(i, [])]) for i in open_], "_i int, _cut long, _left long, _done array<long>"))
-        found = units.join(edge, "_i").filter("_h > _cut AND w <= _left AND NOT array_contains(_done, _h)").groupBy("_i").agg(F.max(F.struct("w", "_h", "_s")).alias("m")).take(1 << 24)
-        if not found:
-            break
-        for r in found:
-            picks.setdefault(r["_i"], []).append((r["m"]["_h"], r["m"]["_s"]))
-            left[r["_i"]] -= r["m"]["w"]
-    _overshoot(units, limit, left, picks)
-    final = F.broadcast(spark.createDataFrame([(b[0], limit.get(b[0], LEAST), [{"h": h, "s": s} for h, s in picks.get(b[0], [])]) for b in base], "_i int, _cut long, _picks array<struct<h:long,s:long>>"))
-    once = (F.col("_rest") > 0) & (F.col("_s") > 0) & ((F.col("_h") <= F.col("_cut")) | F.exists("_picks", lambda x: (x["h"] == F.col("_h")) & (x["s"] == F.col("_s"))))
+    fills, picks = _fill(units, limit, left)
+    _overshoot(units, limit, left, fills, picks)
+    final = F.broadcast(spark.createDataFrame([(b[0], limit.get(b[0], LEAST), fills.get(b[0], []), picks.get(b[0], [])) for b in base], f"_i int, _cut long, _fills {FILL}, _picks array<struct<h:long,s:long>>"))
+    weighed = parted.join(final, "_i").withColumn("w", F.col("_s"))
+    if fills:  # rows that move together are weighed together
+        heavier = units.filter("w > _s").select("_i", "_h", "_s", F.col("w").alias("_all"))
+        if heavier.take(1):
+            weighed = weighed.join(heavier, ["_i", "_h", "_s"], "left").withColumn("w", F.coalesce("_all", "w"))
+    once = (F.col("_rest") > 0) & (F.col("_s") > 0) & ((F.col("_h") <= F.col("_cut")) | _filled() | F.exists("_picks", lambda x: (x["h"] == F.col("_h")) & (x["s"] == F.col("_s"))))
     copies = F.when(F.col("_s") > 0, F.col("_base") + once.cast("int")).otherwise(0).cast("int")
-    return parted.join(final, "_i").select("_row.*", F.col("_s").alias("size"), copies.alias("copies"), "source_size", "target")
+    return weighed.select("_row.*", F.col("_s").alias("size"), copies.alias("copies"), "source_size", "target")
 
 
 def _hash_limits(units: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
@@ -195,13 +191,56 @@ def _hash_limits(units: DataFrame, rest: dict[int, int]) -> tuple[dict[int, int]
     return limit, left
 
 
-def _overshoot(units: DataFrame, limit: dict[int, int], left: dict[int, int], picks: dict[int, list]) -> None:
+#: Hash ranges of which units up to a size are taken.
+FILL = "array<struct<after:long,upto:long,most:long>>"
+
+
+def _filled() -> Column:
+    return F.exists("_fills", lambda x: (F.col("_h") > x["after"]) & (F.col("_h") <= x["upto"]) & (F.col("w") <= x["most"]))
+
+
+def _fill(units: DataFrame, limit: dict[int, int], left: dict[int, int]) -> tuple[dict[int, list], dict[int, list]]:
+    """Units after each limit until nothing unused fits; ``left`` is lowered.
+
+    A round takes the largest unit that fits if it is more than half of what is left.
+    Otherwise it takes units in hash order; where they are too many, the first that does
+    not fit is larger than the new rest.  Either way the rest has halved, and what was
+    passed over fits no more; where all are taken, nothing is left that fits.
+    """
+    spark = units.sparkSession
+    fills: dict[int, list[tuple[int, int, int]]] = {}
+    picks: dict[int, list[tuple[int, int]]] = {}
+    after, open_ = dict(limit), {i for i in left if left[i] > 0}
+    while open_:
+        edge = F.broadcast(spark.createDataFrame([(i, after[i], left[i]) for i in sorted(open_)], "_i int, _after long, _left long"))
+        fit = units.drop("_rest").join(edge, "_i").filter("_h > _after AND w <= _left").select("_i", "_h", "_s", "w", F.col("_left").alias("_rest"))
+        seen = {r["_i"]: r for r in fit.groupBy("_i").agg(F.sum("w").alias("w"), F.max(F.struct("w", "_h", "_s")).alias("m")).take(1 << 24)}
+        crowded: dict[int, int] = {}
+        for i, r in seen.items():
+            if 2 * r["m"]["w"] > left[i]:
+                picks.setdefault(i, []).append((r["m"]["_h"], r["m"]["_s"]))
+                left[i] -= r["m"]["w"]
+            elif r["w"] > left[i]:
+                crowded[i] = left[i]
+            else:
+                fills.setdefault(i, []).append((after[i], (1 << 63) - 1, left[i]))
+                left[i], after[i] = left[i] - r["w"], (1 << 63) - 1
+        if crowded:
+            upto, less = _hash_limits(fit.filter(F.col("_i").isin(list(crowded))), crowded)
+            for i in crowded:
+                fills.setdefault(i, []).append((after[i], upto[i], left[i]))
+                after[i], left[i] = max(after[i], upto[i]), less[i]
+        open_ = {i for i in seen if left[i] > 0 and after[i] < (1 << 63) - 1}
+    return fills, picks
+
+
+def _overshoot(units: DataFrame, limit: dict[int, int], left: dict[int, int], fills: dict[int, list], picks: dict[int, list]) -> None:
     """Take one more unit of a pattern if it goes over by less than is missing now."""
-    rows = [(i, limit[i], left[i], [h for h, _ in picks.get(i, [])]) for i in left if left[i] > 0]
+    rows = [(i, limit[i], left[i], fills.get(i, []), [h for h, _ in picks.get(i, [])]) for i in left if left[i] > 0]
     if not rows:
         return
-    edge = F.broadcast(units.sparkSession.createDataFrame(rows, "_i int, _cut long, _left long, _done array<long>"))
-    over = units.join(edge, "_i").filter("_h > _cut AND w > _left AND w < 2 * _left AND NOT array_contains(_done, _h)")
+    edge = F.broadcast(units.sparkSession.createDataFrame(rows, f"_i int, _cut long, _left long, _fills {FILL}, _done array<long>"))
+    over = units.join(edge, "_i").filter("_h > _cut AND w > _left AND w < 2 * _left AND NOT array_contains(_done, _h)").filter(~_filled())
     for r in over.groupBy("_i").agg(F.min(F.struct("w", "_h", "_s")).alias("m")).take(1 << 24):
         picks.setdefault(r["_i"], []).append((r["m"]["_h"], r["m"]["_s"]))
 

@@ -168,6 +168,32 @@ def test_mix_comes_near_its_targets(spark, odd, empty):
     assert mixing.mixed_texts(odd).columns == odd.columns
 
 
+def test_mix_goes_on_past_documents_that_do_not_fit(spark):
+    """A giant stops no source: what is missing is less than the smallest document left."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = [(i, "a", 300) for i in range(1000)] + [(1000, "a", 700_000)]
+    rows += [(2000 + i, "b", 100) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    for seed in range(3):
+        got = mixing.mix_sources(docs, F.array("source"), F.col("words"), (17, 83), seed)
+        assert got.filter("source = 'a'").agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == 300_000
+    rows = [(i // 2, "a", int(2 ** r.uniform(4, 16))) if i < 600 else (i, "a", 7_001 + i) for i in range(700)] + [(5, "a", 900)] * 30
+    docs = spark.createDataFrame([*rows, (9000, "b", sum(x[2] for x in rows))], "doc_id long, source string, words long")
+    for seed in range(3):
+        got = mixing.mix_sources(docs, F.array("source"), F.col("words"), (1, 4), seed).filter("source = 'a'").collect()
+        assert len(got) == len(rows)
+        base = min(x["copies"] for x in got)
+        units = Counter()
+        for x in got:
+            if x["copies"] == base:
+                units[(x["doc_id"], x["size"])] += x["size"]
+        gap = got[0]["target"] - sum(x["size"] * x["copies"] for x in got)
+        assert abs(gap) <= min(units.values())
+        assert len({(x["doc_id"], x["size"], x["copies"]) for x in got}) == len({(x["doc_id"], x["size"]) for x in got})
+
+
 # packing
 
 
