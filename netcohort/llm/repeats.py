@@ -12,8 +12,8 @@ document that overlap or touch are merged into passages.
 Each window is judged by itself, whatever surrounds it and however many documents have
 it: nothing depends on an order of suffixes, on neighbours or on ranges.  Runs, blocks
 and windows are reduced to their least and greatest document before rows move, and
-joined back; one that a third of all documents have is a skewed key of a join, which
-Spark splits.
+joined back; the rows of a run that a third of all documents have meet in one task of
+the join by run.
 
 Defined cases: null and empty texts and texts of fewer than ``LEAST`` words give no
 rows; rows without an id are left out; passages repeated only inside one document give no rows; of rows that share an
