@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, mixing, packing, repeats, repetition, revisits, secrets, shards, tokens
+from . import bpe, fingerprints, jaccard, merkle, mixing, packing, periods, repeats, repetition, revisits, secrets, shards, tokens
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +16,8 @@ ORACLE: dict[str, str] = {}
 
 #: The tokenizer file that the token counts use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The tokenizer file that texts are encoded and decoded with.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None):
@@ -143,3 +145,74 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_repeated_passages")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(documents(spark, sf_dir))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periods.periodic_runs(periods.looped(documents(spark, sf_dir)))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return got.withColumn("_best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_best.start")).alias("start"),
+        F.col("_best.length").alias("length"),
+        (-F.col("_best.period")).alias("period"),
+        F.expr("(1000 * _best.length) div -_best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.coalesce(F.sha2("collapsed", 256), F.col("plain_sha256")).alias("collapsed_sha256"),
+    )
+
+
+def _tree_sql(name: str, levels: int, by: str) -> str:
+    """Levels ``{name}0..`` over ``{name}0 (by, slot, node, total)`` and the runs of each."""
+    ctes = []
+    for k in range(levels):
+        ctes.append(f"{name}r{k} AS MATERIALIZED (SELECT {by}, slot // 3 AS run, list(node ORDER BY slot) AS nodes, max(total) AS total FROM {name}{k} GROUP BY {by}, slot // 3)")
+        ctes.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {by}, run AS slot, CASE WHEN total > 1 THEN sha256(array_to_string(nodes, '')) ELSE nodes[1] END AS node, (total + 2) // 3 AS total FROM {name}r{k})")
+    return ",\n".join(ctes)
+
+
+def _climb_sql(name: str, rows: str, levels: int, by: str) -> str:
+    """``{rows}0..``: each row's folded digest and proof, level by level over the tree ``name``."""
+    left, right = "array_to_string(nodes[1:slot % 3], '')", "array_to_string(nodes[slot % 3 + 2:], '')"
+    return ",\n".join(
+        f"""{rows}{k + 1} AS MATERIALIZED (SELECT doc_id, leaf, s, f.{by}, run AS slot, CASE WHEN total > 1 THEN sha256({left} || now || {right}) ELSE now END AS now,
+  CASE WHEN total > 1 THEN proof || {left} || {right} ELSE proof END AS proof FROM {rows}{k} f JOIN {name}r{k} r ON f.{by} = r.{by} AND f.slot // 3 = r.run)"""
+        for k in range(levels)
+    )
+
+
+def _field_sql(text: str) -> str:
+    parts = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+#: Levels of the SQL form: 531 441 documents a source and 729 sources.
+_DEEP, _WIDE = 12, 6
+OP12_SQL = f"""WITH crc AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) t(i))),
+summed AS (SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM documents, crc),
+base AS (SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE 'x' || source END AS s, {_field_sql("text")} AS leaf,
+  CASE WHEN h % 2 = 0 THEN {_field_sql("replace(text, chr(10), '')")} ELSE {_field_sql("text")} END AS seen FROM summed),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY s) AS total FROM base),
+a0 AS (SELECT s, slot, leaf AS node, total FROM placed),
+{_tree_sql("a", _DEEP, "s")},
+b0 AS MATERIALIZED (SELECT 0 AS one, s, node, row_number() OVER (ORDER BY s) - 1 AS slot, count(*) OVER () AS total FROM a{_DEEP}),
+{_tree_sql("b", _WIDE, "one")},
+f0 AS (SELECT doc_id, leaf, s, slot, seen AS now, '' AS proof FROM placed),
+{_climb_sql("a", "f", _DEEP, "s").replace("leaf, s, f.s,", "leaf, f.s,")},
+g0 AS (SELECT doc_id, leaf, f.s, one, b0.slot, now, proof FROM f{_DEEP} f JOIN b0 ON f.s = b0.s),
+{_climb_sql("b", "g", _WIDE, "one")}
+SELECT doc_id, leaf, b0.node AS subroot, b{_WIDE}.node AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = b{_WIDE}.node AS verified FROM g{_WIDE} g JOIN b0 ON g.s = b0.s, b{_WIDE}"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(documents(spark, sf_dir))
+
+
+@query("op13_pair_index_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.bpe_decode(bpe.bpe_encode(documents(spark, sf_dir), WORD_TOKENIZER), WORD_TOKENIZER)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
