@@ -7,24 +7,30 @@ that order two similar sets share ``NEED`` tokens of their beginnings (prefixes)
 only prefixes are exchanged.
 
 1. Groups: every token's documents are compared with one leader; verified links
-   join similar documents into groups (connected components).  This is done a few
-   times with other leaders.
-2. Matrix: each group keeps the union of its members' prefix tokens with the range of
+   join them into components.  A leader and the documents that shared most tokens with
+   it, linked or not, are one family of similar documents.
+2. Matrix: each family keeps the union of its members' prefix tokens with the range of
    their set sizes.  A document's overlap with the union bounds its overlap with any
-   member; only groups that reach the bound are opened, and their members that share
-   enough prefix tokens are compared, whole text with whole text: first each one's
-   best partners, then all pairs that still stand between two groups.
+   member; only families that reach the bound are opened.
+3. Opening: a family's members lie in blocks of about ``BLOCK`` documents, those of one
+   component together.  A document that opens a family is sent to its blocks, once to
+   each, and counted against all members of a block at a time, whole set with whole
+   set.  First every document meets one block of its best family; the links found are
+   joined before the other blocks are opened, and a block whose members all are in the
+   document's own component is skipped.
 
-Members of one group are connected already, so a large family of copies costs one
-comparison a member, and no link between different components can be missed.
+So pairs are never rows: a family of copies around the limit costs a row for each
+document and block, and members of one component cost nothing more.  No link between
+different components can be missed.
 
-Copies are collapsed before lists are made.  A leader with very many members is
-compared in blocks.  Each round is written to the shared folder.
+Copies are collapsed before lists are made.  A block that very many documents open is
+repeated for every ``CROWD`` of them.  Each round is written to the shared folder.
 
 Defined cases: null texts and texts without words have an empty set, are linked with
 nothing and are their own component; fewer words than a shingle make one shingle;
-repeated rows have one class; an empty table gives no rows; a text that only rows
-without an id have is its own class and is not compared with others.
+repeated rows have one class; an empty table gives no rows.  Rows without an id link as
+others do and take the component's least id, null where no row of it has one.  Ids may
+be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -36,9 +42,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut
 from .common import WORD, gram_hashes, lower_ascii, mix, short_batches, span_hashes, word_spans
@@ -48,13 +55,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Prefix tokens that two similar documents must share (fewer if a set is tiny).
 NEED = 4
-#: Rounds of grouping, leaders a document is compared with in each, and best partners
-#: that are compared one after the other before all pairs that are left.
-TURNS, LEADERS, PARTNERS = 2, 1, 3
 #: Counters of the sketch and parts it is moved in: 4 MB, whatever the corpus.
 COUNTERS, PARTS, LOTS = 1 << 20, 16, 8
-#: Comparisons of one leader that one block holds; documents of a bucket of a cell.
-BLOCK, CELL = 256, 64
+#: Documents of a block and tokens of their sets, documents that one copy of a block is opened by.
+BLOCK, BLOCK_TOKENS, CROWD = 64, 1 << 20, 4096
 #: Rows up to which a table of ids (24 bytes a row) is broadcast; beyond, it is joined by exchange.
 BROADCAST_ROWS = 400_000
 
@@ -73,15 +77,6 @@ def digest(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 def prefix_lengths(n: int, percent: int = PERCENT) -> tuple[int, int]:
     """Prefix of a set as the smaller of a pair, and as the larger one."""
     need = min(NEED, -(-percent * n // 100))
@@ -95,7 +90,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[object, bytes]]:
 def _sets_and_counts(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(COUNTERS, np.int32), set()
-        names, kinds = ["doc_id", "n", "digest", "part", "counts"], [id_type, pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names, kinds = ["doc_id", "key", "n", "digest", "part", "counts"], [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         make = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
         for batch in batches:
             ids, sizes, digests, fresh = [], [], [], []
@@ -111,9 +106,9 @@ def _sets_and_counts(id_type: pa.DataType):
             if fresh:
                 np.add.at(counts, (np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             none = [None] * len(ids)
-            yield make([ids, sizes, digests, none, none])
+            yield make([ids, batch.column("key"), sizes, digests, none, none])
         if seen:
-            yield make([[None] * PARTS, [None] * PARTS, [min(seen) % LOTS] * PARTS, list(range(PARTS)), [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PARTS)]])
+            yield make([[None] * PARTS, [None] * PARTS, [None] * PARTS, [min(seen) % LOTS] * PARTS, list(range(PARTS)), [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PARTS)]])
 
     return run
 
@@ -185,115 +180,112 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block has its leader first; members of equal set and digest only are compared."""
-    block = leader = None
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block brings its members first, then the documents that open it, one after the other."""
+    block, names, groups, sizes, tokens, owners, known = None, [], [], None, [], None, {}
+
+    def root(g: int) -> int:
+        while (up := known.get(g, g)) != g:
+            known[g] = known.get(up, up)
+            g = known[g]
+        return g
+
     for batch in batches:
-        a_out, b_out = [], []
-        for a, salt, own, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "own")), (x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
-            if (a, salt) != block:
-                block, leader = (a, salt), None
-            if own == a and leader is not None:
+        found = []
+        columns = (batch.column(c).to_pylist() for c in ("block", "salt", "query", "own", "g"))
+        for one, salt, query, own, g, text in zip(*columns, (x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
+            if (one, salt) != block:
+                block, names, groups, sizes, tokens, owners, known = (one, salt), [], [], None, [], None, {}
+            mine = shingle_set(text)
+            if digest(mine) != own:  # another text of the same id
                 continue
-            tokens = shingle_set(text)
-            if digest(tokens) != own:  # another row of the same id
+            if not query:
+                if own not in names:
+                    names.append(own)
+                    groups.append(g)
+                    tokens.append(mine)
                 continue
-            if own == a:
-                leader = tokens
-            elif leader is not None and similar(leader, tokens):
-                a_out.append(a)
-                b_out.append(own)
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of digests whose sets are similar, compared on whole texts."""
-    pairs = cut(pairs.select("a", "b"))
-    if pairs.isEmpty():
-        return pairs
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    salted = pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("salt"), F.col("b").alias("own"))
-    leads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.col("a").alias("own"))
-    wanted = cut(salted.unionByName(leads).join(classes, F.col("own") == F.col("digest")).select("a", "salt", "own", F.col("rep").alias("_doc")))
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(_sized(wanted, wanted.count()), "_doc")
-    placed = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", (F.col("own") != F.col("a")).cast("int"))
-    return cut(placed.select("a", "salt", "own", "text").mapInArrow(_compare, "a long, b long").distinct())
-
-
-def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each cell brings a document once, with the partners it is to be compared with there."""
-    cell, sets, asked = None, {}, {}
-
-    def settle() -> pa.RecordBatch:
-        found = [(a, b) for a, partners in asked.items() for b in partners if a in sets and b in sets and similar(sets[a], sets[b])]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    for batch in batches:
-        for one, two, own, partners, text in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "own", "partners")), (x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
-            if (one, two) != cell:
-                if asked:
-                    yield settle()
-                cell, sets, asked = (one, two), {}, {}
-            tokens = shingle_set(text)
-            if own not in sets and digest(tokens) == own:
-                sets[own] = tokens
-                asked[own] = partners
-    if asked:
-        yield settle()
-
-
-def verified_cells(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """As :func:`verified`, for pairs that crowd among few documents.
-
-    Documents are dealt into buckets of about ``CELL``; all pairs between two buckets
-    are one cell, which reads each of its documents once however many pairs it is in.
+            if sizes is None:
+                sizes = np.array([len(x) for x in tokens], np.int64)
+                owners = np.repeat(np.arange(len(names)), sizes)
+                tokens = np.concatenate(tokens) if names else np.zeros(0, np.uint64)
+                order = np.argsort(tokens, kind="stable")
+                tokens, owners = tokens[order], owners[order]
+            low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+            width = high - low
+            at = np.repeat(low - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+            shared = np.bincount(owners[at], minlength=len(names))
+            for i in np.flatnonzero(100 * shared >= PERCENT * (sizes + len(mine) - shared)).tolist():
+                a, b = root(groups[i]), root(g)
+                if a != b:
+                    known[a] = b
+                    found.append((names[i], own))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def verified(cells: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``a, b`` that the cells ``block, salt, query, own, g`` find and their components lack.
+
+    A block's members are compared with the queries sent to it, set with set.
     """
-    pairs = cut(pairs.select("a", "b"))
-    if pairs.isEmpty():
-        return pairs
-    buckets = max(1, -(-pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().count() // CELL))
-    one, two = (F.pmod(F.xxhash64(c), F.lit(buckets)) for c in ("a", "b"))
-    dealt = pairs.select("a", "b", F.least(one, two).alias("c1"), F.greatest(one, two).alias("c2"))
-    asks = dealt.groupBy("c1", "c2", F.col("a").alias("own")).agg(F.collect_list("b").alias("partners"))
-    asked = dealt.select("c1", "c2", F.col("b").alias("own")).distinct().withColumn("partners", F.array().cast("array<bigint>"))
-    wanted = asks.unionByName(asked).groupBy("c1", "c2", "own").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    wanted = cut(wanted.join(classes, F.col("own") == F.col("digest")).select("c1", "c2", "own", "partners", F.col("rep").alias("_doc")))
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(_sized(wanted, wanted.count() + pairs.count()), "_doc")
-    placed = texts.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "own")
-    return cut(placed.select("c1", "c2", "own", "partners", "text").mapInArrow(_compare_cells, "a long, b long").distinct())
+    wanted = cut(cells.join(classes, F.col("own") == F.col("digest")).select("block", "salt", "query", "own", "g", "doc", "key"))
+    n = wanted.count()
+    if not n:
+        return wanted.select(F.col("own").alias("a"), F.col("own").alias("b"))
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_key"), "text")
+    met = texts.join(_sized(wanted, n), (F.col("key") == F.col("_key")) & F.col("doc").eqNullSafe(F.col("_doc")))
+    placed = met.repartition("block", "salt").sortWithinPartitions("block", "salt", "query")
+    return cut(placed.select("block", "salt", "query", "own", "g", "text").mapInArrow(_compare_blocks, "a long, b long").distinct())
+
+
+def crowded(opened: DataFrame, members: DataFrame) -> DataFrame:
+    """Cells of ``opened`` (``block, own, g``) with the ``members`` of their blocks, crowds of one block apart."""
+    crowds = cut(opened.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("crowds")))
+    sent = opened.join(crowds, "block").select("block", F.pmod(F.xxhash64("own"), F.col("crowds")).cast("int").alias("salt"), F.lit(True).alias("query"), "own", "g")
+    held = members.join(crowds, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("salt"), F.lit(False).alias("query"), "own", "g")
+    return sent.unionByName(held)
 
 
 def _need(n: str):
     return F.least(F.lit(NEED), F.ceil(PERCENT * F.col(n) / 100))
 
 
-def _in_groups(lists: DataFrame, group: DataFrame | None) -> DataFrame:
-    """``lists`` with the group ``g`` of each document, of tokens that more than one group has."""
+def _with_groups(rows: DataFrame, group: DataFrame | None) -> DataFrame:
+    """``rows`` of digests with their component ``g``."""
     if group is None:
-        return lists.withColumn("g", F.col("digest"))
-    rows = lists.join(_sized(group, group.count()), F.col("digest") == F.col("node"), "left").withColumn("g", F.coalesce("root", "digest")).drop("node", "root")
-    by_token = W.partitionBy("token")
-    return rows.withColumn("_lo", F.min("g").over(by_token)).withColumn("_hi", F.max("g").over(by_token)).filter("_lo <> _hi").drop("_lo", "_hi")
+        return rows.withColumn("g", F.col("digest"))
+    known = rows.join(_sized(group, group.count()), F.col("digest") == F.col("node"), "left")
+    return known.withColumn("g", F.coalesce("root", "digest")).drop("node", "root")
 
 
-def _apart(pairs: DataFrame, group: DataFrame | None) -> DataFrame:
-    """The pairs whose documents lie in different groups."""
-    if group is None:
-        return pairs
-    known = _sized(group, group.count())
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("root").alias("_ra")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("root").alias("_rb")), "b", "left")
-    return both.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).drop("_ra", "_rb")
+def blocked(placed: DataFrame) -> DataFrame:
+    """``placed`` (``digest, n, g, f``) with the ``block`` of each document.
+
+    Documents of one family and component share blocks; components of less than half a
+    block are pooled within the family.
+    """
+    own = placed.groupBy("f", "g").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    own = own.withColumn("pooled", F.col("c") < BLOCK // 2)
+    pool = own.filter("pooled").groupBy("f").agg(F.sum("c").alias("pc"), F.sum("s").alias("ps"))
+    many = lambda c, s: F.greatest(F.ceil(F.col(c) / BLOCK), F.ceil(F.col(s) / BLOCK_TOKENS)).cast("long")
+    dealt = placed.join(cut(own.join(pool, "f", "left")), ["f", "g"])
+    by_group = F.xxhash64("f", "g", F.pmod(F.xxhash64("digest"), many("c", "s")))
+    by_pool = F.xxhash64("f", F.pmod(F.xxhash64("digest", "g"), many("pc", "ps")))
+    return dealt.select("digest", "n", "g", "f", F.when(F.col("pooled"), by_pool).otherwise(by_group).alias("block"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``; the component is the least id that links reach."""
     spark = docs.sparkSession
     short_batches(spark)
+    kind = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", "text")
-    read = cut(docs.mapInArrow(_sets_and_counts(pa.int64()), "doc_id long, n long, digest long, part int, counts binary"))
-    sets = read.filter("part IS NULL").select("doc_id", "n", "digest")
-    classes = cut(sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    read = cut(docs.withColumn("key", F.xxhash64("text")).mapInArrow(_sets_and_counts(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, key long, n long, digest long, part int, counts binary"))
+    sets = read.filter("part IS NULL").select("doc_id", "key", "n", "digest")
+    # one row of each class brings its text: that of the least id, of rows without an id only where there is no other
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), "key"))
+    classes = cut(sets.filter("n > 0").groupBy("digest").agg(first.alias("_r")).select("digest", "_r.doc", "_r.key"))
     parts = read.filter("part IS NOT NULL").select("part", "counts", F.col("digest").alias("lot"), F.lit(False).alias("wide"))
     some = parts.groupBy("part", "lot").applyInPandas(_add_counts, "part int, counts binary, wide boolean")
     total = some.groupBy("part").applyInPandas(_add_counts, "part int, counts binary, wide boolean").take(1 << 24)
@@ -306,8 +298,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     by_token = W.partitionBy("token")
     lists = prefixes.withColumn("_lo", F.min("digest").over(by_token)).withColumn("_hi", F.max("digest").over(by_token)).withColumn("m", F.count(F.lit(1)).over(by_token))
     lists = cut(lists.filter("_lo <> _hi").drop("_lo", "_hi").distinct())
-    weight = cut(lists.groupBy("digest").agg(F.sum("m").alias("weight")))
-    lists = lists.drop("m").join(_sized(weight, weight.count()), "digest")
+    weight = cut(lists.groupBy("digest").agg(F.sum("m").alias("weight"), F.first("n").alias("n")))
+    lists = lists.drop("m")
 
     links = group = None
 
@@ -317,37 +309,47 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             links = found if links is None else links.unionByName(found)
             group = components(links)
 
-    for turn in range(TURNS):
-        rows = _in_groups(lists, group)
-        # the first leader of a token shares most with others, so an original leads its copies; later ones are drawn
-        rank = F.col("weight") if turn == 0 else F.xxhash64("digest", F.lit(turn))
-        led = rows.withColumn("lead", F.max(F.struct(rank.alias("r"), "digest", "n", "g")).over(by_token)).select("digest", "n", "g", F.col("lead.digest").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.g").alias("lead_g"))
-        met = led.filter(f"g <> lead_g AND 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").groupBy("digest", "lead").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "lead_n")).alias("n"))
-        best = F.row_number().over(W.partitionBy("digest").orderBy(F.desc("c"), "lead"))
-        met = met.filter(F.col("c") >= _need("n")).withColumn("_best", best).filter(f"_best <= {LEADERS}")
-        join_groups(verified(met.select(F.col("lead").alias("a"), F.col("digest").alias("b")), classes, docs))
-
-    # matrix: which groups does a document's prefix reach, other than its own?
+    # the leader of a token shares most with others, so an original leads its copies
+    led = lists.join(_sized(weight.select("digest", "weight"), weight.count()), "digest")
+    led = led.withColumn("lead", F.max(F.struct("weight", "digest", "n")).over(by_token)).select("digest", "n", F.col("lead.digest").alias("lead"), F.col("lead.n").alias("lead_n"))
+    met = led.filter(f"digest <> lead AND 100 * least(n, lead_n) >= {PERCENT} * greatest(n, lead_n)").groupBy("digest", "lead").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "lead_n")).alias("n"))
+    best = met.filter(F.col("c") >= _need("n")).groupBy("digest").agg(F.max(F.struct("c", "lead")).alias("b"))
+    best = cut(best.select("digest", F.col("b.lead").alias("lead")))
+    leaders = best.select(F.col("lead").alias("own")).distinct()
+    join_groups(verified(crowded(best.select(F.col("lead").alias("block"), F.col("digest").alias("own"), F.col("digest").alias("g")), leaders.select(F.col("own").alias("block"), "own", F.col("own").alias("g"))), classes, docs))
+
+    # families: a leader with its documents, leaders always their own
+    follows = best.join(leaders.withColumnRenamed("own", "digest"), "digest", "left_anti")
+    family = weight.select("digest", "n").join(follows, "digest", "left").select("digest", "n", F.coalesce("lead", "digest").alias("f"))
+    placed = cut(blocked(_with_groups(family, group)))
     small = F.col("n") - F.ceil(2 * PERCENT * F.col("n") / (100 + PERCENT)) + _need("n")
-    grouped = cut(_in_groups(lists, group).select("token", "digest", "n", "at", "g", (F.col("at") < small).alias("as_small")))
-    matrix = grouped.filter("as_small").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    query = grouped.select("token", F.col("digest").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"), F.col("at").alias("q_at"))
-    by_reach = W.partitionBy("q", "g")
-    reach = query.join(matrix, "token").filter(f"qg <> g AND lo <= qn AND 100 * hi >= {PERCENT} * qn").drop("qg", "hi")
-    reach = reach.withColumn("_c", F.count(F.lit(1)).over(by_reach)).withColumn("_lo", F.min("lo").over(by_reach))
-    opened = reach.withColumn("_n", F.least("_lo", "qn")).filter(F.col("_c") >= _need("_n")).select("token", "q", "qn", "q_at", "g")
-    # open them: members that share enough of the prefixes; a token's places bound the overlap
-    members = grouped.filter("as_small").select("token", F.col("digest").alias("s"), F.col("n").alias("sn"), F.col("at").alias("s_at"), "g")
-    fits = f"(sn < qn OR sn = qn AND s < q) AND 100 * sn >= {PERCENT} * qn AND {100 + PERCENT} * (least(q_at, s_at) + 1 + least(qn - q_at, sn - s_at) - 1) >= {PERCENT} * (qn + sn)"
-    pairs = opened.join(members, ["token", "g"]).filter(fits).groupBy("q", "s").agg(F.count(F.lit(1)).alias("c"), F.min("sn").alias("sn"))
-    pairs = pairs.filter(F.col("c") >= _need("sn")).select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"), "c")
-    for x in ("a", "b"):
-        pairs = pairs.withColumn(f"rank_{x}", F.row_number().over(W.partitionBy(x).orderBy(F.desc("c"), "a", "b")))
-    pairs = cut(pairs)
-    # each document's best partners first, then whatever still stands between two groups
-    for turn in range(1, PARTNERS + 1):
-        join_groups(verified(_apart(pairs, group).filter(f"rank_a = {turn} OR rank_b = {turn}"), classes, docs))
-    join_groups(verified_cells(_apart(pairs, group).filter(f"rank_a > {PARTNERS} AND rank_b > {PARTNERS}"), classes, docs))
+    rows = lists.join(_sized(placed.select("digest", "g", "f"), placed.count()), "digest")
+    rows = rows.withColumn("_lo", F.min("g").over(by_token)).withColumn("_hi", F.max("g").over(by_token)).filter("_lo <> _hi")
+    grouped = cut(rows.select("token", "digest", "n", "g", "f", (F.col("at") < small).alias("as_small")))
+
+    # matrix: which families does a document's prefix reach that are not all in its component?
+    matrix = grouped.filter("as_small").groupBy("token", "f").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("g").alias("g_lo"), F.max("g").alias("g_hi"))
+    query = grouped.select("token", F.col("digest").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"))
+    reach = query.join(matrix, "token").filter(f"lo <= qn AND 100 * hi >= {PERCENT} * qn AND NOT (g_lo = qg AND g_hi = qg)")
+    opened = reach.groupBy("q", "f").agg(F.first("qn").alias("qn"), F.count(F.lit(1)).alias("c"), F.least(F.min("lo"), F.first("qn")).alias("_n"))
+    opened = cut(opened.filter(F.col("c") >= _need("_n")).select("q", "f", "qn", "c"))
+    blocks = cut(placed.groupBy("f", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("g").alias("g_lo"), F.max("g").alias("g_hi")))
+
+    def open_blocks(asked: DataFrame, nth: Column | None = None) -> DataFrame:
+        """Cells of the documents ``asked`` (``q, f, qn``) with all blocks of the family, or one of them each."""
+        known = _with_groups(asked.withColumnRenamed("q", "digest"), group)
+        now = cut(_with_groups(placed.select("digest", "block"), group))
+        range_of = now.groupBy("block").agg(F.min("g").alias("g_lo"), F.max("g").alias("g_hi"))
+        fresh = blocks.drop("g_lo", "g_hi").join(range_of, "block")
+        sent = known.join(fresh, "f").filter(f"lo <= qn AND 100 * hi >= {PERCENT} * qn AND NOT (g_lo = g AND g_hi = g)")
+        if nth is not None:
+            sent = sent.groupBy("digest", "g").agg(F.min_by("block", nth).alias("block"))
+        members = now.join(sent.select("block").distinct(), "block", "left_semi").select("block", F.col("digest").alias("own"), "g")
+        return crowded(cut(sent.select("block", F.col("digest").alias("own"), "g")), members)
+
+    most = opened.groupBy("q").agg(F.max(F.struct("c", "f", "qn")).alias("b")).select("q", "b.f", "b.qn")
+    join_groups(verified(open_blocks(most, F.xxhash64("digest", "block")), classes, docs))
+    join_groups(verified(open_blocks(opened.select("q", "f", "qn")), classes, docs))
 
     if group is None:
         group = spark.createDataFrame([], "node long, root long")

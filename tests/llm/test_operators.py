@@ -304,9 +304,7 @@ def brute_components(rows):
     return Counter((doc, len(s), least.get(find(i), doc) if s else doc) for i, (doc, s) in enumerate(sets))
 
 
-def test_jaccard_equals_brute_force_on_odd_rows(odd, empty, monkeypatch):
-    monkeypatch.setattr(jaccard, "TURNS", 1)
-    monkeypatch.setattr(jaccard, "PARTNERS", 1)
+def test_jaccard_equals_brute_force_on_odd_rows(odd, empty):
     got = Counter(map(tuple, jaccard.jaccard_components(odd).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == brute_components([(x["doc_id"], x["text"]) for x in odd.collect()])
     assert jaccard.jaccard_components(empty).count() == 0
@@ -314,9 +312,7 @@ def test_jaccard_equals_brute_force_on_odd_rows(odd, empty, monkeypatch):
 
 def test_jaccard_equals_brute_force_near_the_limit(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
-    monkeypatch.setattr(jaccard, "CELL", 4)
-    monkeypatch.setattr(jaccard, "TURNS", 1)
-    monkeypatch.setattr(jaccard, "PARTNERS", 1)
+    monkeypatch.setattr(jaccard, "CROWD", 3)
     r = random.Random(11)
     words = [f"v{i}" for i in range(300)]
     rows = []
@@ -333,23 +329,28 @@ def test_jaccard_equals_brute_force_near_the_limit(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in kept) == sorted({c for _, _, c in got})
 
 
-def test_cells_compare_every_pair(spark):
-    r = random.Random(13)
-    base = [f"v{i}" for i in range(80)]
-    rows = [(i, " ".join(w if r.random() > 0.03 else f"x{r.random()}" for w in base)) for i in range(40)]
-    sets = {i: jaccard.shingle_set(t.encode()) for i, t in rows}
-    name = {d: i for i, d in sorted(((i, jaccard.digest(s)) for i, s in sets.items()), reverse=True)}  # one document of each set
-    name = {i: d for d, i in name.items()}
-    pairs = [(name[i], name[j]) for i in name for j in name if j < i]
-    want = {(name[i], name[j]) for i in name for j in name if j < i and jaccard.similar(sets[i], sets[j])}
-    df, classes = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(d, i) for i, d in name.items()], "digest long, rep long")
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for cell in (3, 64):
-        jaccard.CELL, old = cell, jaccard.CELL
-        got = {tuple(x) for x in jaccard.verified_cells(df, classes, docs).collect()}
-        jaccard.CELL = old
-        assert got == want and 0 < len(want) < len(pairs)
-    assert {tuple(x) for x in jaccard.verified(df, classes, docs).collect()} == want
+def test_a_family_around_the_limit(spark):
+    """Copies of one text of which about a half are linked with any given other one, and chains between them."""
+    r = random.Random(17)
+    base = [f"b{i}" for i in range(70)]
+    texts = []
+    for i in range(500):
+        copy = list(base)
+        for k in r.sample(range(70), r.choice([0, 1, 2, 2, 3, 4])):
+            copy[k] = f"{r.choice('xyz')}{i if r.random() < 0.7 else 0}"
+        texts.append(" ".join(copy))
+    rows = [(f"d{i:03}", t) for i, t in enumerate(texts)]
+    got = Counter(map(tuple, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string").repartition(7)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute_components(rows)
+    assert 2 < len({c for _, _, c in got}) < 450
+
+
+def test_rows_without_id_link_others(spark):
+    words = [f"w{i}" for i in range(100)]
+    left, right = words[:88], words[12:]
+    rows = [(1, " ".join(left)), (2, " ".join(right)), (None, " ".join(words)), (None, " ".join(words)), (7, "other text of a few words"), (None, "alone without an id and without links")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(x["doc_id"], x["component_id"]) for x in got.collect()} == {(1, 1), (2, 1), (None, 1), (7, 7), (None, None)}
 
 
 # repeated passages
