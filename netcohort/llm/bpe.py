@@ -7,9 +7,10 @@ once, from left to right, and only the lists of the neighbouring pairs are updat
 merge that brings a lower rank to life puts its own remaining positions back first, so
 every word sees its merges in exactly the order of a word-by-word encoder.
 
-Texts are cut at spaces, which no word crosses, and a cut piece keeps its ids while the
-worker remembers it; a batch costs what is new in it.  Normalisation and the split into
-words are those of the tokenizer file, so their tables of characters are the library's.
+Texts are cut at spaces and line ends, which no word crosses; pieces and words keep their
+ids while the worker remembers them, so a batch costs what is new in it.  Normalisation
+and the split into words are those of the tokenizer file, with the library's tables of
+characters; pieces of printable ASCII are split by the file's own pattern.
 
 Defined cases: null and empty texts have no tokens and decode to an empty text; repeated
 rows encode alike; strings of special tokens inside a text are special tokens, as is the
@@ -22,7 +23,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterable
+import struct
+from collections.abc import Callable, Iterable
 from itertools import chain
 
 import numpy as np
@@ -31,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Remembered pieces of text; the memory is emptied when it is full.
-MEMORY = 400_000
+#: Remembered pieces of text, and words; either memory is emptied when it is full.
+MEMORY = 500_000
 _LOADED: dict[str, PairIndexCodec] = {}
 
 
@@ -64,6 +66,18 @@ class PairIndexCodec:
         for name, i in names.items():
             self.names[i] = name
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.plain = self._plain_split(spec)
+
+    @staticmethod
+    def _plain_split(spec: dict) -> Callable[[str], list[str]] | None:
+        """The file's split for lower-case printable ASCII, if it is of the usual form."""
+        steps = [x["type"] for x in spec["normalizer"].get("normalizers", [])]
+        first, *rest = spec["pre_tokenizer"].get("pretokenizers", [{}])
+        if steps != ["NFC", "Replace", "Lowercase"] or first.get("type") != "Split" or [x["type"] for x in rest] != ["ByteLevel"]:
+            return None
+        pattern = first["pattern"].get("Regex", "").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+        return re.compile(pattern, re.ASCII).findall if pattern and r"\p" not in pattern else None
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by the pair occurrence index over all of them."""
@@ -80,10 +94,14 @@ class PairIndexCodec:
         for p, q in enumerate(after):
             if q >= 0:
                 before[q] = p
-        merges, places = self.merges, {}
-        for p, q in enumerate(after):
-            if q >= 0 and (pair := (symbols[p], symbols[q])) in merges:
-                places.setdefault(pair, []).append(p)
+        merges: dict[tuple[int, int], tuple[int, int]] = self.merges
+        places: dict[tuple[int, int], list[int]] = {}
+        for p, pair in enumerate(zip(symbols, symbols[1:])):
+            if pair in merges and after[p] >= 0:
+                if pair in places:
+                    places[pair].append(p)
+                else:
+                    places[pair] = [p]
         active = [(merges[pair][0], pair) for pair in places]
         heapq.heapify(active)
         while active:
@@ -100,14 +118,20 @@ class PairIndexCodec:
                 if right >= 0:
                     before[right] = p
                 lower = False
-                for x, fresh in ((left, (symbols[left], new)) if left >= 0 else (-1, None), (p, (new, symbols[right])) if right >= 0 else (-1, None)):
-                    if fresh is not None and (m := merges.get(fresh)) is not None:
-                        if fresh in places:
-                            places[fresh].append(x)
-                        else:
-                            places[fresh] = [x]
-                            heapq.heappush(active, (m[0], fresh))
-                        lower |= m[0] < rank
+                if left >= 0 and (fresh := (symbols[left], new)) in merges:
+                    if fresh in places:
+                        places[fresh].append(left)
+                    else:
+                        places[fresh] = [left]
+                        heapq.heappush(active, (merges[fresh][0], fresh))
+                    lower = merges[fresh][0] < rank
+                if right >= 0 and (fresh := (new, symbols[right])) in merges:
+                    if fresh in places:
+                        places[fresh].append(p)
+                    else:
+                        places[fresh] = [p]
+                        heapq.heappush(active, (merges[fresh][0], fresh))
+                    lower = lower or merges[fresh][0] < rank
                 if lower and k + 1 < len(at):
                     places[pair] = at[k + 1 :]
                     heapq.heappush(active, (rank, pair))
@@ -121,26 +145,34 @@ class PairIndexCodec:
             out.append(ids)
         return out
 
+    def split_piece(self, piece: str) -> list[str | int]:
+        """Words of a piece in the byte alphabet, and ids of special tokens."""
+        if self.plain is not None and piece.isascii() and piece.isprintable() and not (self.cut and self.cut.search(piece)):
+            return self.plain(piece.lower())
+        out: list[str | int] = []
+        for i, x in enumerate(self.cut.split(piece) if self.cut else [piece]):
+            if i % 2:
+                out.append(self.special[x])
+            elif x:
+                out += [w for w, _ in self.split(self.normalize(x)) if w]
+        return out
+
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that are not remembered, all their words together."""
-        new = [x for x in dict.fromkeys(pieces) if x not in self.known]
-        parts: list[list[str | int]] = []
-        for piece in new:
-            part: list[str | int] = []
-            for i, x in enumerate(self.cut.split(piece) if self.cut else [piece]):
-                if i % 2:
-                    part.append(self.special[x])
-                elif x:
-                    part += [w for w, _ in self.split(self.normalize(x)) if w]
-            parts.append(part)
-        words = list(dict.fromkeys(x for part in parts for x in part if isinstance(x, str)))
-        ids = dict(zip(words, self.encode_words(words), strict=True))
+        """Encode the pieces that are not remembered, all their new words together."""
+        new = list({x for x in pieces if x not in self.known})
+        parts = [self.split_piece(x) for x in new]
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        ids = self.words
+        words = list({x for part in parts for x in part if x not in ids and isinstance(x, str)})
+        for w, x in zip(words, self.encode_words(words), strict=True):
+            ids[w] = struct.pack(f"<{len(x)}I", *x)
         for piece, part in zip(new, parts, strict=True):
-            self.known[piece] = np.array(list(chain.from_iterable([x] if isinstance(x, int) else ids[x] for x in part)), "<u4").tobytes()
+            self.known[piece] = b"".join([x.to_bytes(4, "little") if isinstance(x, int) else ids[x] for x in part])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [x.split(" ") for x in texts]
+        cut = [x.replace("\n", " ").split(" ") for x in texts]
         if len(self.known) > MEMORY:
             self.known.clear()
         self.learn(chain.from_iterable(cut))
