@@ -333,23 +333,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     reach = query.join(matrix, "token").filter(f"lo <= qn AND 100 * hi >= {PERCENT} * qn AND NOT (g_lo = qg AND g_hi = qg)")
     opened = reach.groupBy("q", "f").agg(F.first("qn").alias("qn"), F.count(F.lit(1)).alias("c"), F.least(F.min("lo"), F.first("qn")).alias("_n"))
     opened = cut(opened.filter(F.col("c") >= _need("_n")).select("q", "f", "qn", "c"))
-    blocks = cut(placed.groupBy("f", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("g").alias("g_lo"), F.max("g").alias("g_hi")))
+    blocks = placed.groupBy("f", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = cut(blocks.withColumn("i", F.row_number().over(W.partitionBy("f").orderBy("block"))))
+    counts = cut(blocks.groupBy("f").agg(F.max("i").alias("blocks")))
 
-    def open_blocks(asked: DataFrame, nth: Column | None = None) -> DataFrame:
-        """Cells of the documents ``asked`` (``q, f, qn``) with all blocks of the family, or one of them each."""
+    def open_blocks(asked: DataFrame, on: list[str]) -> DataFrame:
+        """Cells of the documents ``asked`` (``q, f, qn``) with the family's blocks, or with its block ``i`` only."""
         known = _with_groups(asked.withColumnRenamed("q", "digest"), group)
         now = cut(_with_groups(placed.select("digest", "block"), group))
         range_of = now.groupBy("block").agg(F.min("g").alias("g_lo"), F.max("g").alias("g_hi"))
-        fresh = blocks.drop("g_lo", "g_hi").join(range_of, "block")
-        sent = known.join(fresh, "f").filter(f"lo <= qn AND 100 * hi >= {PERCENT} * qn AND NOT (g_lo = g AND g_hi = g)")
-        if nth is not None:
-            sent = sent.groupBy("digest", "g").agg(F.min_by("block", nth).alias("block"))
+        fresh = blocks.join(range_of, "block")
+        sent = known.join(fresh, on).filter(f"lo <= qn AND 100 * hi >= {PERCENT} * qn AND NOT (g_lo = g AND g_hi = g)")
+        sent = cut(sent.select("block", F.col("digest").alias("own"), "g"))
         members = now.join(sent.select("block").distinct(), "block", "left_semi").select("block", F.col("digest").alias("own"), "g")
-        return crowded(cut(sent.select("block", F.col("digest").alias("own"), "g")), members)
+        return crowded(sent, members)
 
     most = opened.groupBy("q").agg(F.max(F.struct("c", "f", "qn")).alias("b")).select("q", "b.f", "b.qn")
-    join_groups(verified(open_blocks(most, F.xxhash64("digest", "block")), classes, docs))
-    join_groups(verified(open_blocks(opened.select("q", "f", "qn")), classes, docs))
+    drawn = most.join(counts, "f").select("q", "f", "qn", (F.pmod(F.xxhash64("q"), F.col("blocks")) + 1).cast("int").alias("i"))
+    join_groups(verified(open_blocks(drawn, ["f", "i"]), classes, docs))
+    join_groups(verified(open_blocks(opened.select("q", "f", "qn"), ["f"]), classes, docs))
 
     if group is None:
         group = spark.createDataFrame([], "node long, root long")
