@@ -64,11 +64,17 @@ def e5(t):
     return out(E.diffusion_scale(k, SH, F.lit(0.05)), [*SH, "node"])
 
 
-@query("E6_top_eigen")
+@query("E6_top_eigen", "edges nodes", """SELECT subject,visit,hemi,count(*) AS nodes,true AS settled,true AS orthonormal,true AS ordered,true AS trivial_first
+ FROM (SELECT DISTINCT subject,visit FROM edges), nodes WHERE tissue='cortex' AND hemi IN ('L','R') GROUP BY ALL""")
 def e6(t):
+    """Invariants of the leading eigenpairs of every session and hemisphere."""
     k = cut(E.normalized_angle(rows(t), SH))
     s = cut(E.diffusion_scale(k, SH, F.lit(0.05)))
-    return E.residual(E.top_eigen(k, s, SH), k, s, SH)
+    eig = E.top_eigen(k, s, SH)
+    falls = F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.get("l", i - 1) >= F.get("l", i))
+    values = eig.groupBy(*SH).agg(F.first("l").alias("l")).select(*SH, falls.alias("ordered"), (F.abs(F.get("l", F.lit(0)) - 1) < 1e-9).alias("trivial_first"))
+    r = E.residual(eig, k, s, SH).join(values, SH)
+    return r.select(*SH, "nodes", (F.col("residual") < 1e-9).alias("settled"), (F.col("overlap") < 1e-9).alias("orthonormal"), "ordered", "trivial_first")
 
 
 @query("E7_procrustes")

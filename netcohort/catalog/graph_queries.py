@@ -60,12 +60,12 @@ class Base:
 
     def hop(self):
         if self._hop is None:
-            self._hop = cut(G.hop_distances(self.w, CK, self.nodes))
+            self._hop = G.distance_blocks(self.w, CK, self.nodes, F.lit(1.0))
         return self._hop
 
     def dist(self):
         if self._dist is None:
-            self._dist = G.weighted_distances(self.w, CK, self.nodes)
+            self._dist = G.distance_blocks(self.w, CK, self.nodes)
         return self._dist
 
     def tri(self):
@@ -123,13 +123,14 @@ def g4(t):
 @query("G5_hop_distances", "edges", "WITH " + KEPT + HOPS + " z AS (SELECT 1) SELECT subject,visit,cost,src,dst,d FROM hop")
 def g5(t):
     b = Base(t)
-    return b.hop().withColumn("src", F.col("src").cast("long")).withColumn("dst", F.col("dst").cast("long"))
+    d = G.hop_distances(b.w, CK, b.nodes)
+    return d.withColumn("src", F.col("src").cast("long")).withColumn("dst", F.col("dst").cast("long"))
 
 
 @query("G6_weighted_distances", "edges", "WITH " + KEPT + WDIST + " z AS (SELECT 1) SELECT subject,visit,cost,src,dst,round(d,6) AS d FROM wdist")
 def g6(t):
     b = Base(t)
-    d = b.dist()
+    d = G.weighted_distances(b.w, CK, b.nodes)
     return d.select(*CK, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), r6("d").alias("d"))
 
 
@@ -232,35 +233,48 @@ def bsql(dist: str, length: str, prefix: str, rounds: int) -> str:
 @query("G16_binary_betweenness", "edges", "WITH " + KEPT + HOPS + bsql("hop", "1", "binary", 12))
 def g16(t):
     b = Base(t)
-    d = cut(b.hop().withColumn("d", F.col("d").cast("double")))
-    return rounded(G.betweenness(b.w, d, CK, N, F.lit(1.0), "binary", b.nodes), CK)
+    return rounded(G.betweenness(b.w, b.hop(), CK, N, F.lit(1.0), "binary", b.nodes), CK)
 
 
 @query("G17_rank_betweenness", "edges", "WITH " + KEPT + WDIST + bsql("wdist", "1/e.w", "rank", 18))
 def g17(t):
     b = Base(t)
-    d = b.dist()
-    return rounded(G.betweenness(b.w, d, CK, N, 1 / F.col("w"), "rank", b.nodes), CK)
+    return rounded(G.betweenness(b.w, b.dist(), CK, N, 1 / F.col("w"), "rank", b.nodes), CK)
 
 
-@query("G18_modularity_of_networks", "edges nodes", "WITH " + KEPT + """ mem AS (SELECT subject,visit,cost,node,network AS c FROM nd JOIN nodes ON idx=node),
+NETWORK_Q = """ mem AS (SELECT subject,visit,cost,node,network AS c FROM nd JOIN nodes ON idx=node),
  ms AS (SELECT subject,visit,cost,sum(w) AS m FROM kw GROUP BY ALL),
  tt AS (SELECT subject,visit,cost,c,sum(s) AS tot FROM deg JOIN mem USING (subject,visit,cost,node) GROUP BY ALL),
  wi AS (SELECT e.subject,e.visit,e.cost,a.c,sum(e.w) AS win FROM kw e JOIN mem a ON a.subject=e.subject AND a.visit=e.visit AND a.cost=e.cost AND a.node=e.i
-   JOIN mem b ON b.subject=e.subject AND b.visit=e.visit AND b.cost=e.cost AND b.node=e.j WHERE a.c=b.c GROUP BY ALL)
+   JOIN mem b ON b.subject=e.subject AND b.visit=e.visit AND b.cost=e.cost AND b.node=e.j WHERE a.c=b.c GROUP BY ALL), z AS (SELECT 1)"""
+
+
+def networks(b: Base, t: Tables):
+    return b.nodes.join(F.broadcast(t.nodes().select(F.col("idx").alias("node"), F.col("network").alias("community"))), "node")
+
+
+@query("G18_modularity_of_networks", "edges nodes", "WITH " + KEPT + NETWORK_Q + """
  SELECT subject,visit,cost,round(sum(coalesce(win,0)/m-(tot/(2*m))**2),6)+0.0 AS modularity, count(*) AS n_communities
  FROM tt LEFT JOIN wi USING (subject,visit,cost,c) JOIN ms USING (subject,visit,cost) GROUP BY 1,2,3""")
 def g18(t):
     b = Base(t)
-    mem = b.nodes.join(F.broadcast(t.nodes().select(F.col("idx").alias("node"), F.col("network").alias("community"))), "node")
-    return rounded(G.modularity(b.w, mem, CK), CK)
+    return rounded(G.modularity(b.w, networks(b, t), CK), CK)
 
 
-@query("G18_community_search")
+@query("G18_community_search", "edges nodes", "WITH " + KEPT + NETWORK_Q + """
+ SELECT subject,visit,cost,50::BIGINT AS nodes,true AS least_label,true AS at_least_networks,true AS beats_one_community,0::BIGINT AS gaining_moves FROM sess""")
 def g18s(t):
+    """Invariants of the best of 32 searches: no node can move, and it beats the given partition."""
     b = Base(t)
-    mem = G.communities(b.w, CK, b.nodes)
-    return rounded(G.modularity(b.w, mem, CK), CK)
+    mem = cut(G.communities(b.w, CK, b.nodes))
+    given = G.modularity(b.w, networks(b, t), CK).select(*CK, F.col("modularity").alias("given"))
+    moves = G.gaining_moves(b.w, mem, CK).groupBy(*CK).agg(F.count(F.lit(1)).alias("gaining_moves"))
+    found = G.modularity(b.w, mem, CK).join(given, CK).join(moves, CK, "left")
+    least = mem.groupBy(*CK, "community").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("c"))
+    shape = least.groupBy(*CK).agg(F.sum("c").alias("nodes"), F.bool_and(F.col("m") == F.col("community")).alias("least_label"))
+    return found.join(shape, CK).select(
+        *CK, "nodes", "least_label", (F.col("modularity") >= F.col("given")).alias("at_least_networks"), (F.col("modularity") > 0).alias("beats_one_community"), F.coalesce("gaining_moves", F.lit(0)).alias("gaining_moves")
+    )
 
 
 @query("G19_cost_mean", "edges", "WITH " + KEPT + TRI + """ cl AS (SELECT subject,visit,cost, sum(CASE WHEN k>1 THEN 2.0*coalesce(t,0)/(k*(k-1)) ELSE 0 END)/50 AS bc,

@@ -9,10 +9,12 @@ from ..functions import order as O
 from ..functions.expr import r6
 from ..operators import embedding as E
 from ..operators import geometry as M
+from ..operators import graphs as G
 from ..operators import inference as P
 from ..operators import similarity as Y
 from ..plans import cohorts as H
 from ..plans import screens, studies as ST
+from ..plans.graph_study import long_metrics
 from ..session import cut
 from .embedding_queries import SLICE, axis_long, subjects
 from .fixtures import N_CORTEX, N_GRAPH, Tables
@@ -309,12 +311,34 @@ def e13(t):
     return rows.withColumn("kept_per_row", F.coalesce(E.kept_per_row(F.col("nodes"), F.col("sparsity")), F.col("nodes") - 1))
 
 
+def primary_axes(t: Tables, e):
+    g, _ = E.cohort_embeddings(e, t.nodes(), subjects(t), "loso")
+    return cut(axis_long(E.as_coords(g, t.nodes()), ["g1", "g2", "g3", "g4"]))
+
+
 @query("P48_sensitivity_study")
 def p48(t):
     e = cut(t.edges())
-    g, _ = E.cohort_embeddings(e, t.nodes(), subjects(t), "loso")
-    primary = cut(axis_long(E.as_coords(g, t.nodes()), ["g1", "g2", "g3", "g4"]))
-    return H.sensitivity_study(e, t.nodes(), subjects(t), t.outcomes(), primary)
+    return H.sensitivity_study(e, t.nodes(), subjects(t), t.outcomes(), primary_axes(t, e))
+
+
+@query("P48_settings_table", "edges", """SELECT setting,sparsity,alpha,components,true AS distinct_sources,true AS within_components,setting='primary_top25_align10' AS is_primary,
+ CASE WHEN setting='primary_top25_align10' THEN true END AS primary_matches_itself FROM (VALUES ('primary_top25_align10',.75::DOUBLE,.05::DOUBLE,10),('primary_top25_align4',.75,.05,4),
+ ('primary_top25_align6',.75,.05,6),('log_no_threshold',NULL,.05,10),('raw_no_threshold_alpha05',NULL,.05,10),('zarkali_like',NULL,.5,10),('log_top10',.9,.05,10),('log_top50',.5,.05,10)) s(setting,sparsity,alpha,components)""")
+def p48t(t):
+    """Parameters of every setting with invariants of the axes that were matched in it."""
+    e = cut(t.edges())
+    g, _ = E.cohort_embeddings(e, t.nodes(), subjects(t), "loso", list(E.SETTINGS), retain=E.COMPONENTS)
+    table = H.settings_table(t.spark, H.matched_settings(g, primary_axes(t, e)))
+    source = [F.col(f"matched_G{i}_source_index") for i in range(1, 5)]
+    own = F.lit(True)
+    for i in range(1, 5):
+        own = own & (source[i - 1] == i) & (F.col(f"matched_G{i}_abs_correlation") > 1 - 1e-6)
+    first = F.col("setting") == "primary_top25_align10"
+    return table.select(
+        "setting", "sparsity", "alpha", "components", (F.size(F.array_distinct(F.array(*source))) == 4).alias("distinct_sources"),
+        (F.greatest(*source) <= F.col("components")).alias("within_components"), first.alias("is_primary"), F.when(first, own).alias("primary_matches_itself"),
+    )
 
 
 @query("G22_graph_study")
@@ -325,3 +349,30 @@ def g22(t):
 @query("G23_preoperative_graph")
 def g23(t):
     return H.preoperative_graph(cut(t.edges().filter("visit = 0")), t.nodes(), t.outcomes(), N_CORTEX)
+
+
+@query("G22_graph_exclusions", "edges outcomes", """WITH m AS (SELECT subject,visit,'total_edge_weight' AS metric,sum(w) AS v FROM edges GROUP BY 1,2 UNION ALL SELECT subject,visit,'raw_positive_edge_density',count(*) FILTER (w>0)/1225.0 FROM edges GROUP BY 1,2),
+ d AS (SELECT subject,metric,round(max(v) FILTER (visit=2)-max(v) FILTER (visit=1),9) AS x FROM m GROUP BY 1,2),
+ o AS (SELECT endpoint,count(y) AS n,max(y)-min(y) AS span FROM outcomes GROUP BY 1),
+ j AS (SELECT endpoint,metric,count(*) AS c,count(x) AS f,max(x)-min(x) AS s FROM d JOIN outcomes USING (subject) WHERE y IS NOT NULL GROUP BY 1,2)
+ SELECT endpoint,NULL::VARCHAR AS metric,'insufficient or constant outcome' AS reason FROM o WHERE n<3 OR span=0
+ UNION ALL SELECT endpoint,metric,'undefined or constant graph change' FROM j JOIN o USING (endpoint) WHERE n>=3 AND span>0 AND (f<n OR s=0)""")
+def g22x(t):
+    """What the screen of raw totals leaves out, judged per outcome."""
+    m = G.raw_totals(t.edges(), ["subject", "visit"], N_GRAPH)
+    return H.graph_exclusions(cut(long_metrics(m, ["subject", "visit"])), t.outcomes())
+
+
+@query("G22_edge_identification", "edges", """WITH s AS (SELECT DISTINCT subject,visit FROM edges),p AS (SELECT i,j FROM (SELECT unnest(range(50)) AS i),(SELECT unnest(range(50)) AS j) WHERE i<j),
+ f AS (SELECT s.subject,s.visit,p.i,p.j,coalesce(w,0) AS x FROM s CROSS JOIN p LEFT JOIN edges e ON e.subject=s.subject AND e.visit=s.visit AND e.i=p.i AND e.j=p.j),
+ r AS (SELECT a.subject,a.visit,b.subject AS s2,b.visit AS v2,corr(a.x,b.x) AS r FROM f a JOIN f b USING (i,j) WHERE a.subject<>b.subject OR a.visit<>b.visit GROUP BY ALL)
+ SELECT subject,visit,arg_max(s2,r) AS near_subject,arg_max(v2,r) AS near_visit,arg_max(s2,r)=subject AS hit,round(max(r),6) AS best FROM r GROUP BY 1,2""")
+def g22e(t):
+    d = H.edge_identification(t.edges(), t.nodes())
+    return d.select("subject", "visit", "near_subject", "near_visit", "hit", r6("best").alias("best"))
+
+
+@query("G22_graph_identification")
+def g22i(t):
+    """Nearest sessions by the four identifying measures of the threshold graphs."""
+    return H.graph_identification(H.graph_measures(cut(t.edges()), t.nodes(), N_GRAPH, extended=False, modularity=False))

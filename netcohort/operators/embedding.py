@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from ..functions.expr import checked, sum_expr
 from ..session import cut
 from .graphs import adjacency
+from .iterate import union_all
 
 # The primary embedding settings.
 COMPONENTS, RETAINED, SPARSITY, ALPHA = 10, 4, 0.75, 0.05
@@ -160,13 +161,17 @@ def _multiply(v: DataFrame, kernel: DataFrame, scale: DataFrame, keys: list[str]
 
 
 def _gram(a: DataFrame, keys: list[str], b: int, other: str | None = None) -> DataFrame:
-    """Per group the b x b inner products, flat."""
+    """Per group the symmetric b x b inner products, flat; each one is summed once."""
     second = other or "v"
-    return a.groupBy(*keys).agg(F.array(*[F.sum(F.col(f"v{i}") * F.col(f"{second}{j}")) for i in range(b) for j in range(b)]).alias("g"))
+    upper = [F.sum(F.col(f"v{i}") * F.col(f"{second}{j}")).alias(f"g{i}_{j}") for i in range(b) for j in range(i, b)]
+    return a.groupBy(*keys).agg(*upper).select(*keys, F.array(*[F.col(f"g{min(i, j)}_{max(i, j)}") for i in range(b) for j in range(b)]).alias("g"))
 
 
 def _small(gram: DataFrame, keys: list[str], b: int, mode: str) -> DataFrame:
-    """Solve each group's b x b matrix: ``orth`` gives G^-1/2, ``ritz`` eigenpairs."""
+    """Solve each group's b x b matrix: ``orth`` gives G^-1/2, ``ritz`` eigenpairs.
+
+    Directions that a small group does not have become columns of zeros.
+    """
     types = ", ".join(f"{c} {gram.schema[c].dataType.simpleString()}" for c in keys)
 
     def solve(batches):
@@ -177,8 +182,9 @@ def _small(gram: DataFrame, keys: list[str], b: int, mode: str) -> DataFrame:
             val, vec = np.linalg.eigh((m + m.transpose(0, 2, 1)) / 2)
             out = pdf[keys].copy()
             if mode == "orth":
-                floor = np.maximum(val[:, -1:] * 1e-15, 1e-300)
-                out["r"] = list((vec / np.sqrt(np.maximum(val, floor))[:, None, :])[:, :, ::-1].reshape(len(pdf), -1))
+                floor = np.maximum(val[:, -1:] * 1e-13, 1e-300)
+                scaled = np.where(val > floor, 1 / np.sqrt(np.maximum(val, floor)), 0.0)
+                out["r"] = list((vec * scaled[:, None, :])[:, :, ::-1].reshape(len(pdf), -1))
                 out["l"] = list(val[:, ::-1])
             else:
                 out["r"] = list(vec[:, :, ::-1].reshape(len(pdf), -1))
@@ -199,69 +205,51 @@ def _turn(v: DataFrame, r: DataFrame, keys: list[str], b: int, wide: int | None
     return j.select(*keys, "node", out.alias("_w")).select(*keys, "node", *[F.get("_w", F.lit(c)).alias(f"v{c}") for c in range(wide)])
 
 
-# A group of this many nodes is an 8 MB matrix, safe inside one task.
-DENSE_NODES = 1024
+#: Largest |M u - l u| of a settled group (l is at most 1), multiplications a round and rounds.
+TOLERANCE, POWERS, ROUNDS = 1e-10, 4, 60
 
 
-def top_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components: int = COMPONENTS, dense_nodes: int = DENSE_NODES) -> DataFrame:
+def top_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components: int = COMPONENTS, tolerance: float = TOLERANCE,
+              powers: int = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """``keys, node, u, l``: leading eigenvectors (trivial one first) and values.
 
-    An atlas basis is small, so a group up to ``dense_nodes`` nodes is solved as
-    one matrix inside a task, groups in parallel.  Where any group is larger,
-    every group goes through the distributed iteration instead.
+    One block subspace iteration over all groups, whatever their size: a round
+    multiplies, makes the block orthonormal through one small Gram matrix a group and
+    solves the projected problem.  Groups whose residuals are within ``tolerance`` are
+    settled and leave; the others go on from their multiplied vectors.  A group that
+    does not settle in ``rounds`` raises.
     """
     kernel, scale = cut(kernel), cut(scale)
-    sizes = scale.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("hi"), F.min("n").alias("lo")).first()
-    if sizes.lo is None or sizes.lo <= components + 1:
-        raise ValueError("too few nodes for the requested eigensystem")
-    if sizes.hi > dense_nodes:
-        return subspace_eigen(kernel, scale, keys, components)
-    types = {f.name: f.dataType.simpleString() for f in scale.schema}
-    ddl = ", ".join(f"{c} {types[c]}" for c in keys) + f", node {types['node']}, u array<double>, l array<double>"
     k1 = components + 1
-
-    def solve(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        diag = pdf[pdf["i"] == pdf["j"]].sort_values("i")
-        nodes, s = diag["i"].to_numpy(), diag["s"].to_numpy(float)
-        m = np.full((len(nodes), len(nodes)), 0.5)
-        m[np.searchsorted(nodes, pdf["i"].to_numpy()), np.searchsorted(nodes, pdf["j"].to_numpy())] += pdf["e"].to_numpy(float)
-        val, vec = np.linalg.eigh(m * s[:, None] * s[None, :])
-        u, lam = vec[:, ::-1][:, :k1], val[::-1][:k1]
-        out = pd.DataFrame({c: [v] * len(nodes) for c, v in zip(keys, key)})
-        out["node"], out["u"], out["l"] = nodes, list(u), [lam] * len(nodes)
-        return out
-
-    one = kernel.join(scale.withColumnRenamed("node", "i"), [*keys, "i"])
-    return cut(one.groupBy(*keys).applyInPandas(solve, ddl))
-
-
-def subspace_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components: int = COMPONENTS, oversample: int = 5,
-                   powers: int = 4, rounds: int = 8) -> DataFrame:
-    """Leading eigenpairs without ever holding a group in one place.
-
-    Subspace iteration over all groups in one plan: a round multiplies
-    ``powers`` times, then re-orthonormalises through one small Gram matrix per
-    group.  A last projected solve separates the vectors.
-    """
-    b = components + 1 + oversample
+    b = 2 * k1 + 6
+    size = scale.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    enough = checked(F.col("_n"), F.col("_n") > k1, "too few nodes for the requested eigensystem")
     seed = [F.sin(F.col("node") * (k + 1.3) + k * k * 0.7) for k in range(b)]
-    seed[0] = 1 / F.col("s")
-    v = scale.select(*keys, "node", *[e.alias(f"v{k}") for k, e in enumerate(seed)])
-    v = _turn(v, _small(_gram(v, keys, b), keys, b, "orth"), keys, b)
+    seed[0] = F.when(enough > 0, 1 / F.col("s"))
+    v = scale.join(size, keys).select(*keys, "node", *[e.alias(f"v{k}") for k, e in enumerate(seed)])
+    settled = []
     for _ in range(rounds):
-        for _ in range(powers):
-            v = _multiply(v, kernel, scale, keys, b)
         w = cut(v)
-        v = cut(_turn(w, _small(_gram(w, keys, b), keys, b, "orth"), keys, b))
-    mv = _multiply(v, kernel, scale, keys, b).select(*keys, "node", *[F.col(c).alias("m" + c) for c in _names(b)])
-    both = v.join(mv, [*keys, "node"])
-    ritz = cut(_small(_gram(both, keys, b, "mv"), keys, b, "ritz"))
-    k1 = components + 1
-    u = _turn(v, ritz, keys, b).select(*keys, "node", F.array(*_names(k1)).alias("u"))
-    return cut(u.join(ritz.select(*keys, F.slice("l", 1, k1).alias("l")), keys))
+        v = _turn(w, _small(_gram(w, keys, b), keys, b, "orth"), keys, b)
+        # a second pass removes what rounding left of a nearly dependent block
+        v = cut(_turn(v, _small(_gram(v, keys, b), keys, b, "orth"), keys, b))
+        mv = _multiply(v, kernel, scale, keys, b).select(*keys, "node", *[F.col(c).alias("m" + c) for c in _names(b)])
+        both = cut(v.join(mv, [*keys, "node"]))
+        ritz = cut(_small(_gram(both, keys, b, "mv"), keys, b, "ritz"))
+        u = _turn(both.select(*keys, "node", *_names(b)), ritz, keys, b).select(*keys, "node", F.array(*_names(b)).alias("u"))
+        mu = _turn(both.select(*keys, "node", *[F.col("m" + c).alias(c) for c in _names(b)]), ritz, keys, b).select(*keys, "node", F.array(*_names(b)).alias("mu"))
+        now = u.join(mu, [*keys, "node"]).join(ritz.select(*keys, "l"), keys)
+        off = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(k1 - 1)), lambda k: F.abs(F.get("mu", k) - F.get("l", k) * F.get("u", k))))
+        worst = now.groupBy(*keys).agg((F.max(off) <= tolerance).alias("_done"))
+        now = cut(now.join(worst, keys))
+        settled.append(now.filter("_done").select(*keys, "node", F.slice("u", 1, k1).alias("u"), F.slice("l", 1, k1).alias("l")))
+        open_ = now.filter("NOT _done")
+        if open_.isEmpty():
+            return cut(union_all(settled))
+        v = open_.select(*keys, "node", *[F.get("mu", F.lit(k)).alias(f"v{k}") for k in range(b)])
+        for _ in range(powers - 1):
+            v = _multiply(v, kernel, scale, keys, b)
+    raise RuntimeError("eigenvectors did not settle")
 
 
 def residual(eig: DataFrame, kernel: DataFrame, scale: DataFrame, keys: list[str], components: int = COMPONENTS) -> DataFrame:
@@ -311,50 +299,76 @@ def procrustes(source: DataFrame, reference: DataFrame, keys: list[str], on: lis
     return _turn(flat, rot, keys, k).select(*keys, "node", F.array(*_names(k)).alias("g"))
 
 
-def embed(edges: DataFrame, keys: list[str], sizes: DataFrame, components: int = COMPONENTS, sparsity: float | None = SPARSITY,
-          alpha: float = ALPHA, log: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Coordinates and spectra of every group; ``keys`` must include ``hemi``."""
-    e = edges.withColumn("w", F.log1p("w")) if log else edges
-    if sparsity is not None:
-        e = e.join(F.broadcast(sizes), "hemi")
-        rows = row_sparsify(e, keys, kept_per_row(F.col("nodes"), F.lit(sparsity))).drop("nodes")
-    else:
-        rows = row_sparsify(e, keys, None)
+def _column(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def embed(edges: DataFrame, keys: list[str], sizes: DataFrame, components: int = COMPONENTS, sparsity: float | Column | None = SPARSITY,
+          alpha: float | Column = ALPHA, log: bool | Column = True, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Coordinates and spectra of every group; ``keys`` must include ``hemi``.
+
+    The settings may be columns over ``keys``; a null sparsity keeps whole rows.
+    ``expected`` lists the groups that must be there, also those without any pair.
+    """
+    e = edges.withColumn("w", F.when(_column(log), F.log1p("w")).otherwise(F.col("w"))).join(sizes, "hemi")
+    part = _column(sparsity).cast("double")
+    rows = row_sparsify(e, keys, F.coalesce(kept_per_row(F.col("nodes"), part), F.col("nodes"))).drop("nodes")
     kernel = cut(normalized_angle(rows, keys))
-    have = kernel.groupBy(*keys).agg(F.countDistinct("i").alias("have")).join(sizes, "hemi")
+    groups = edges.select(*keys).distinct() if expected is None else expected.select(*keys).distinct()
+    have = kernel.groupBy(*keys).agg(F.countDistinct("i").alias("have"))
+    have = groups.join(have, keys, "left").fillna(0, ["have"]).join(sizes, "hemi")
     short = have.filter("have < nodes").take(1)
     if short:
         raise ValueError(f"{short[0].nodes - short[0].have} isolated nodes in {[short[0][k] for k in keys]}")
-    eig = top_eigen(kernel, diffusion_scale(kernel, keys, F.lit(alpha)), keys, components)
+    eig = top_eigen(kernel, diffusion_scale(kernel, keys, _column(alpha)), keys, components)
     return coordinates(eig, keys, components), spectrum(eig, keys)
 
 
-def cohort_embeddings(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, mode: str, settings: dict | None = None,
+def _by_setting(settings: list[str], place: int, kind: str) -> Column:
+    pairs = [x for name in settings for x in (F.lit(name), F.lit(SETTINGS[name][place]).cast(kind))]
+    return F.element_at(F.create_map(*pairs), F.col("setting"))
+
+
+def cohort_embeddings(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, mode: str, settings: list[str] | None = None,
                       retain: int = RETAINED) -> tuple[DataFrame, DataFrame]:
     """Every session aligned to the common or its held-out reference.
 
-    ``edges`` are ``subject, visit, i, j, w`` with visit 0 the reference visit.
+    ``edges`` are ``subject, visit, i, j, w`` with visit 0 the reference visit.  With
+    ``settings`` their name is a key of the result, and all of them run in one plan.
     """
-    s = {"components": COMPONENTS, "sparsity": SPARSITY, "alpha": ALPHA, "log": True, **(settings or {})}
-    k = s["components"]
+    sk = ["setting"] if settings else []
     sizes = cut(hemisphere_sizes(nodes))
-    cort = cut(hemisphere_slice(edges, nodes))
+    cort = hemisphere_slice(edges, nodes)
+    hemi_of = nodes.select(F.col("idx").alias("i"), "hemi")
+    if settings:
+        cort = cort.select("*", F.explode(F.array(*[F.lit(x) for x in settings])).alias("setting"))
+        args = (sizes, COMPONENTS, _by_setting(settings, 1, "double"), _by_setting(settings, 2, "double"), _by_setting(settings, 0, "boolean"))
+        k = _by_setting(settings, 3, "int")
+    else:
+        args, k = (sizes,), F.lit(COMPONENTS)
+    cort = cut(cort)
     base = cort.filter("visit = 0")
     if mode == "common":
-        n = subjects.count()
-        ref_edges = mean_network(base, n, ["hemi"])
-        on, rk = ["hemi"], ["hemi"]
+        ref_edges = mean_network(base, subjects.count(), [*sk, "hemi"])
+        on = [*sk, "hemi"]
     elif mode == "loso":
-        hemi = F.broadcast(nodes.select(F.col("idx").alias("i"), "hemi"))
-        ref_edges = loso_mean(base, subjects).join(hemi, "i").withColumnRenamed("held", "subject")
-        on, rk = ["subject", "hemi"], ["subject", "hemi"]
+        plain = base.filter(F.col("setting") == settings[0]) if settings else base
+        ref_edges = loso_mean(plain, subjects).join(hemi_of, "i").withColumnRenamed("held", "subject")
+        if settings:
+            ref_edges = ref_edges.select("*", F.explode(F.array(*[F.lit(x) for x in settings])).alias("setting"))
+        on = [*sk, "subject", "hemi"]
     else:
         raise ValueError("mode is common or loso")
-    args = (sizes, k, s["sparsity"], s["alpha"], s["log"])
-    ref, _ = embed(ref_edges, rk, *args)
-    g, lam = embed(cort, ["subject", "visit", "hemi"], *args)
-    aligned = procrustes(g, ref, ["subject", "visit", "hemi"], on, k)
-    return cut(aligned.select("subject", "visit", "hemi", "node", F.slice("g", 1, max(retain, 1)).alias("g"))), lam
+    ref, _ = embed(ref_edges, on, *args)
+    key = [*sk, "subject", "visit", "hemi"]
+    grid = edges.select("subject", "visit").distinct().crossJoin(F.broadcast(sizes.select("hemi")))  # two hemispheres
+    if settings:
+        grid = grid.select("*", F.explode(F.array(*[F.lit(x) for x in settings])).alias("setting"))
+    g, lam = embed(cort, key, *args, expected=grid)
+    # axes beyond a setting's own are zeros, which no rotation moves into the others
+    own = F.transform("g", lambda x, at: F.when(at < k, x).otherwise(0.0))
+    aligned = procrustes(g.withColumn("g", own), ref.withColumn("g", own), key, on, COMPONENTS)
+    return cut(aligned.select(*key, "node", F.slice("g", 1, max(retain, 1)).alias("g"))), lam
 
 
 def as_coords(embedding: DataFrame, nodes: DataFrame) -> DataFrame:

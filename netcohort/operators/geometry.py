@@ -60,11 +60,11 @@ def guard_networks(coords: DataFrame, session: list[str]) -> DataFrame:
     return coords.groupBy(*session, "network", "hemi").agg(F.count(F.lit(1)).alias("parcels")).filter("parcels < 2")
 
 
-def pair_visits(coords: DataFrame, subject: str, first: int, second: int) -> DataFrame:
-    keep = ["parcel", "hemi", "network"]
-    a = coords.filter(F.col("visit") == first).select(subject, *keep, *[F.col(x).alias("a_" + x) for x in AXES])
-    b = coords.filter(F.col("visit") == second).select(subject, "parcel", *[F.col(x).alias("b_" + x) for x in AXES])
-    return a.join(b, [subject, "parcel"])
+def pair_visits(coords: DataFrame, subject: str | list[str], first: int, second: int) -> DataFrame:
+    own, keep = [subject] if isinstance(subject, str) else subject, ["parcel", "hemi", "network"]
+    a = coords.filter(F.col("visit") == first).select(*own, *keep, *[F.col(x).alias("a_" + x) for x in AXES])
+    b = coords.filter(F.col("visit") == second).select(*own, "parcel", *[F.col(x).alias("b_" + x) for x in AXES])
+    return a.join(b, [*own, "parcel"])
 
 
 def displacement(pairs: DataFrame) -> DataFrame:

@@ -109,52 +109,94 @@ def largest_component(edges: DataFrame, keys: list[str], node_table: DataFrame)
     return comp.join(best, [*keys, "root"])
 
 
-def hop_distances(edges: DataFrame, keys: list[str], node_table: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """``keys, src, dst, d`` for all reachable ordered pairs, by frontier search.
+#: Sources whose distances lie in one row.
+LANES = 64
 
-    A new frontier can only fall back onto the last two levels, so each round
-    reads its own frontier and the two before it, never the whole history.
+
+def lane_blocks(node: Column) -> tuple[Column, Column]:
+    """Block and place in it of a source."""
+    return F.floor(node / LANES).cast("int"), F.pmod(node, F.lit(LANES)).cast("int")
+
+
+def _unit_lane(lane: Column, one: Column, other: Column) -> Column:
+    """An array of ``LANES`` values, ``one`` at ``lane`` and ``other`` elsewhere."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda k: F.when(k == lane, one).otherwise(other))
+
+
+def distance_blocks(edges: DataFrame, keys: list[str], node_table: DataFrame, length: Column | None = None, max_rounds: int = 1000) -> DataFrame:
+    """``keys, node, block, d``: distances of ``node`` from the sources ``64*block`` to ``64*block+63``.
+
+    Lengths are 1/w (or ``length``); a source that does not reach the node is at
+    infinity.  A round sends only blocks that came nearer along the pairs of their node
+    and keeps lane-wise minima, so rows grow with nodes times blocks, never with pairs.
     """
-    adj = cut(edges.select(*keys, "i", "j").unionByName(edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"))))
-    start = node_table.select(*keys, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("d"))
-    levels = [cut(start)]
-    for depth in range(1, max_rounds):
-        reach = levels[-1].withColumnRenamed("dst", "i").join(adj, [*keys, "i"]).select(
-            *keys, "src", F.col("j").alias("dst")
-        ).distinct()
-        for old in levels[-2:]:
-            reach = reach.join(old.select(*keys, "src", "dst"), [*keys, "src", "dst"], "left_anti")
-        nxt = cut(reach.withColumn("d", F.lit(depth)))
-        if nxt.limit(1).count() == 0:
-            return union_all(levels)
-        levels.append(nxt)
-    raise RuntimeError("graph deeper than the round limit")
+    length = 1 / F.col("w") if length is None else length
+    far = F.lit(float("inf"))
+    adj = cut(adjacency(edges.withColumn("len", length), keys, ["len"]))
+    block, lane = lane_blocks(F.col("node"))
+    best = cut(node_table.select(*keys, "node", block.alias("block"), _unit_lane(lane, F.lit(0.0), far).alias("d"), F.lit(True).alias("fresh")))
+    at = [*keys, "node", "block"]
+    for _ in range(max_rounds):
+        sent = best.filter("fresh").withColumnRenamed("node", "j").join(adj, [*keys, "j"])
+        near = sent.groupBy(*keys, F.col("i").alias("node"), "block").agg(F.array(*[F.min(F.get("d", F.lit(k)) + F.col("len")) for k in range(LANES)]).alias("c"))
+        both = best.join(near, at, "full")
+        nearer = F.exists(F.zip_with("c", "d", lambda c, d: c < d), lambda x: x)
+        best = cut(both.select(
+            *at, F.when(F.col("c").isNull(), F.col("d")).when(F.col("d").isNull(), F.col("c")).otherwise(F.zip_with("c", "d", lambda c, d: F.least(c, d))).alias("d"),
+            (F.col("c").isNotNull() & (F.col("d").isNull() | nearer)).alias("fresh"),
+        ))
+        if best.filter("fresh").isEmpty():
+            return best.drop("fresh")
+    raise RuntimeError("distances did not settle")
+
+
+def _sum(values: Column, part) -> Column:
+    return F.aggregate(F.transform(values, part), F.lit(0.0), lambda s, x: s + x)
+
+
+def _reached(d: Column) -> Column:
+    return (d > 0) & (d < float("inf"))
+
+
+def block_pairs(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, src, dst, d`` for all reachable ordered pairs."""
+    each = blocks.select(*keys, F.col("node").alias("dst"), "block", F.posexplode("d").alias("lane", "d")).filter(F.col("d") < float("inf"))
+    return each.select(*keys, (F.col("block") * LANES + F.col("lane")).alias("src"), "dst", "d")
+
+
+def hop_distances(edges: DataFrame, keys: list[str], node_table: DataFrame) -> DataFrame:
+    """``keys, src, dst, d`` for all reachable ordered pairs, which are the result."""
+    return block_pairs(distance_blocks(edges, keys, node_table, F.lit(1.0)), keys).withColumn("d", F.col("d").cast("int"))
+
+
+def weighted_distances(edges: DataFrame, keys: list[str], node_table: DataFrame, length: Column | None = None) -> DataFrame:
+    """``keys, src, dst, d`` with lengths 1/w (or ``length``) for all reachable ordered pairs."""
+    return block_pairs(distance_blocks(edges, keys, node_table, length), keys)
 
 
 def hop_counts(edges: DataFrame, keys: list[str], node_table: DataFrame, max_rounds: int = 500) -> DataFrame:
     """``keys, node, d, pairs``: how many nodes lie at each distance from a node.
 
-    Every node keeps the set it has reached as bits, 64 nodes to a row; a round
-    joins the pairs with the sets of their ends and adds the bits.  Rows grow with
-    nodes and pairs, never with pairs of nodes.
+    Every node keeps the set it has reached as bits, 64 nodes to a row; a round sends
+    the words that gained bits along the pairs and counts the bits that are new.  Rows
+    grow with nodes and pairs, never with pairs of nodes.
     """
     adj = cut(edges.select(*keys, "i", "j").unionByName(edges.select(*keys, F.col("j").alias("i"), F.col("i").alias("j"))))
     word, bit = F.floor(F.col("node") / 64).cast("int"), F.expr("shiftleft(1L, int(node % 64))")
-    ball = cut(node_table.select(*keys, "node", word.alias("word"), bit.alias("bits")))
-    total, levels = 0, [ball.limit(0).withColumn("d", F.lit(0))]
+    at = [*keys, "node", "word"]
+    ball = cut(node_table.select(*keys, "node", word.alias("word"), bit.alias("bits"), bit.alias("new")))
+    levels = []
     for depth in range(1, max_rounds):
-        far = adj.join(ball.withColumnRenamed("node", "j"), [*keys, "j"]).select(*keys, F.col("i").alias("node"), "word", "bits")
-        ball = cut(ball.unionByName(far).groupBy(*keys, "node", "word").agg(F.bit_or("bits").alias("bits")))
-        now = ball.agg(F.sum(F.bit_count("bits"))).first()[0] or 0
-        if now == total:
-            break
-        total = now
-        levels.append(ball.withColumn("d", F.lit(depth)))
-    else:
-        raise RuntimeError("graph deeper than the round limit")
-    reached = union_all(levels).groupBy(*keys, "node", "d").agg(F.sum(F.bit_count("bits")).alias("reached"))
-    before = F.coalesce(F.lag("reached").over(W.partitionBy(*keys, "node").orderBy("d")), F.lit(1))
-    return reached.select(*keys, "node", "d", (F.col("reached") - before).alias("pairs")).filter("pairs > 0")
+        sent = adj.join(ball.filter("new <> 0").withColumnRenamed("node", "j"), [*keys, "j"])
+        got = sent.groupBy(*keys, F.col("i").alias("node"), "word").agg(F.bit_or("new").alias("got"))
+        have, got_bits = F.coalesce("bits", F.lit(0)), F.coalesce("got", F.lit(0))
+        ball = cut(ball.drop("new").join(got, at, "full").select(*at, have.bitwiseOR(got_bits).alias("bits"), got_bits.bitwiseAND(F.bitwise_not(have)).alias("new")))
+        gained = ball.filter("new <> 0")
+        if gained.isEmpty():
+            none = node_table.limit(0).select(*keys, "node", F.lit(0).alias("d"), F.lit(0).cast("long").alias("pairs"))
+            return union_all(levels) if levels else none
+        levels.append(gained.groupBy(*keys, "node").agg(F.sum(F.bit_count("new")).alias("pairs")).select(*keys, "node", F.lit(depth).alias("d"), "pairs"))
+    raise RuntimeError("graph deeper than the round limit")
 
 
 def hop_efficiency(counts: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
@@ -162,41 +204,17 @@ def hop_efficiency(counts: DataFrame, keys: list[str], n: int, out: str) -> Data
     return counts.groupBy(*keys).agg((F.sum(F.col("pairs") / F.col("d")) / F.lit(n * (n - 1))).alias(out))
 
 
-def weighted_distances(edges: DataFrame, keys: list[str], node_table: DataFrame, length: Column | None = None,
-                       max_rounds: int = 1000) -> DataFrame:
-    """``keys, src, dst, d`` with lengths 1/w (or ``length``), min-plus rounds.
-
-    Only pairs improved in the last round are extended.
-    """
-    length = 1 / F.col("w") if length is None else length
-    adj = cut(adjacency(edges.withColumn("len", length), keys, ["len"]))
-    best = cut(node_table.select(*keys, F.col("node").alias("src"), F.col("node").alias("dst"),
-                                 F.lit(0.0).alias("d"), F.lit(True).alias("fresh")))
-    for _ in range(max_rounds):
-        cand = (
-            best.filter("fresh").withColumnRenamed("dst", "i").join(adj, [*keys, "i"])
-            .groupBy(*keys, "src", F.col("j").alias("dst")).agg(F.min(F.col("d") + F.col("len")).alias("c"))
-        )
-        nxt = best.join(cand, [*keys, "src", "dst"], "full").select(
-            *keys, "src", "dst", F.least("d", "c").alias("d"),
-            (F.col("c").isNotNull() & (F.col("d").isNull() | (F.col("c") < F.col("d")))).alias("fresh"),
-        )
-        best = cut(nxt)
-        if best.filter("fresh").limit(1).count() == 0:
-            return best.drop("fresh")
-    raise RuntimeError("distances did not settle")
-
-
-def global_efficiency(dist: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
-    return dist.groupBy(*keys).agg(
-        (F.sum(F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(0.0)) / F.lit(n * (n - 1))).alias(out)
-    )
+def global_efficiency(blocks: DataFrame, keys: list[str], n: int, out: str) -> DataFrame:
+    """Mean inverse distance over all ordered pairs, from distance blocks."""
+    inverse = _sum(F.col("d"), lambda d: F.when(_reached(d), 1 / d).otherwise(0.0))
+    return blocks.groupBy(*keys).agg((F.sum(inverse) / F.lit(n * (n - 1))).alias(out))
 
 
-def characteristic_path(dist: DataFrame, lcc: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """Mean distance between distinct members of the largest component."""
-    member = lcc.select(*keys, F.col("node").alias("src"))
-    return dist.filter("src <> dst").join(member, [*keys, "src"], "left_semi").groupBy(*keys).agg(F.avg("d").alias(out))
+def characteristic_path(blocks: DataFrame, lcc: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Mean distance between distinct members of the largest component, from distance blocks."""
+    own = blocks.join(lcc.select(*keys, "node"), [*keys, "node"], "left_semi")
+    total, pairs = _sum(F.col("d"), lambda d: F.when(_reached(d), d).otherwise(0.0)), _sum(F.col("d"), lambda d: F.when(_reached(d), 1.0).otherwise(0.0))
+    return own.groupBy(*keys).agg((F.sum(total) / F.nullif(F.sum(pairs), F.lit(0.0))).alias(out))
 
 
 # -- triangles ---------------------------------------------------------------
@@ -279,21 +297,26 @@ def ego_edges(tri: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def local_efficiency(edges: DataFrame, keys: list[str], n: int, tri: DataFrame | None = None) -> DataFrame:
-    """Mean efficiency of neighbour subgraphs, by hops and by cube-root lengths."""
+    """Mean efficiency of neighbour subgraphs, by hops and by cube-root lengths.
+
+    Hops are counted by bit sets and lengths kept in distance blocks inside each
+    neighbourhood, so no table of pairs is made for any ego.
+    """
     tri = triangles(edges, keys) if tri is None else tri
     ego = cut(ego_edges(tri, keys))
     ek = [*keys, "ego"]
     touched = adjacency(ego, ek).select(*ek, F.col("i").alias("node")).distinct()
     d = degrees(edges, keys).select(*keys, F.col("node").alias("ego"), "k")
     room = F.col("k") * (F.col("k") - 1)
-    hops = hop_distances(ego, ek, touched).filter("d > 0").groupBy(*ek).agg(F.sum(1 / F.col("d")).alias("e"))
+    hops = hop_counts(ego, ek, touched).groupBy(*ek).agg(F.sum(F.col("pairs") / F.col("d")).alias("e"))
     spokes = adjacency(edges, keys).select(*keys, F.col("i").alias("ego"), F.col("j").alias("node"), F.cbrt("w").alias("c"))
-    far = weighted_distances(ego, ek, touched, F.cbrt(1 / F.col("w"))).filter("d > 0")
-    far = (
-        far.join(spokes.select(*ek, F.col("node").alias("src"), F.col("c").alias("ca")), [*ek, "src"])
-        .join(spokes.select(*ek, F.col("node").alias("dst"), F.col("c").alias("cb")), [*ek, "dst"])
-        .groupBy(*ek).agg(F.sum(F.col("ca") * F.col("cb") / F.col("d")).alias("we"))
+    block, lane = lane_blocks(F.col("node"))
+    sources = spokes.select(*ek, block.alias("block"), lane.alias("lane"), "c").groupBy(*ek, "block").agg(
+        F.array(*[F.coalesce(F.max(F.when(F.col("lane") == k, F.col("c"))), F.lit(0.0)) for k in range(LANES)]).alias("cs")
     )
+    far = distance_blocks(ego, ek, touched, F.cbrt(1 / F.col("w"))).join(spokes, [*ek, "node"]).join(sources, [*ek, "block"])
+    shares = F.zip_with("cs", "d", lambda c, d: F.when(_reached(d), c / d).otherwise(0.0))
+    far = far.groupBy(*ek).agg(F.sum(F.col("c") * _sum(shares, lambda x: x)).alias("we"))
     per = d.join(hops, ek, "left").join(far, ek, "left")
     mean = lambda c: F.sum(F.when(room > 0, F.coalesce(F.col(c), F.lit(0.0)) / room).otherwise(0.0)) / F.lit(n)
     return per.groupBy(*keys).agg(
@@ -303,40 +326,45 @@ def local_efficiency(edges: DataFrame, keys: list[str], n: int, tri: DataFrame |
 
 # -- betweenness -------------------------------------------------------------
 
-def betweenness(edges: DataFrame, dist: DataFrame, keys: list[str], n: int, length: Column, prefix: str,
+def betweenness(edges: DataFrame, blocks: DataFrame, keys: list[str], n: int, length: Column, prefix: str,
                 node_table: DataFrame, rtol: float = 1e-12) -> DataFrame:
-    """Mean and maximum normalised betweenness from a distance table.
+    """Mean and maximum normalised betweenness from distance blocks.
 
-    The shortest-path steps form a directed acyclic graph per source.  Path
-    counts flow forward along it and shares 1/count flow back; both are linear,
-    so each is a short series of join-and-sum rounds.
+    The pairs on shortest paths form a directed acyclic graph for each source; a bit of
+    a mask tells for each lane of a block whether a pair is on it.  Path counts flow
+    forward along it and shares 1/count flow back, one step a round, a block of sources
+    a row; rows grow with pairs times blocks.
     """
-    sk = [*keys, "src"]
+    bk = [*keys, "block"]
     adj = adjacency(edges.withColumn("len", length), keys, ["len"])
-    step = dist.select(*sk, F.col("dst").alias("i"), F.col("d").alias("di")).join(adj, [*keys, "i"]).join(
-        dist.select(*sk, F.col("dst").alias("j"), F.col("d").alias("dj")), [*sk, "j"]
+    step = blocks.select(*bk, F.col("node").alias("i"), F.col("d").alias("di")).join(adj, [*keys, "i"]).join(
+        blocks.select(*bk, F.col("node").alias("j"), F.col("d").alias("dj")), [*bk, "j"]
+    )
+    on = F.transform(
+        F.arrays_zip("di", "dj"),
+        lambda x, k: F.when((x["dj"] < float("inf")) & (F.abs(x["di"] + F.col("len") - x["dj"]) <= rtol * F.greatest(x["dj"], F.lit(1.0))), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")),
     )
-    gap = F.abs(F.col("di") + F.col("len") - F.col("dj"))
-    dag = cut(step.filter(gap <= rtol * F.greatest(F.col("dj"), F.lit(1.0))).select(*sk, "i", "j"))
+    dag = cut(step.select(*bk, "i", "j", F.aggregate(on, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)).alias("mask")).filter("mask <> 0"))
 
     def flow(seed: DataFrame, frm: str, to: str) -> DataFrame:
         """Sum over all walks along the steps, one extra step per round."""
         parts, cur = [], cut(seed)
-        while cur.limit(1).count():
+        while not cur.isEmpty():
             parts.append(cur)
-            cur = cut(
-                cur.withColumnRenamed("node", frm).join(dag, [*sk, frm])
-                .groupBy(*sk, F.col(to).alias("node")).agg(F.sum("v").alias("v"))
-            )
-        return union_all(parts).groupBy(*sk, "node").agg(F.sum("v").alias("v"))
-
-    source = node_table.select(*keys, F.col("node").alias("src"), "node", F.lit(1.0).alias("v"))
+            moved = cur.withColumnRenamed("node", frm).join(dag, [*bk, frm])
+            lanes = [F.sum(F.when(F.getbit("mask", F.lit(k)) == 1, F.get("v", F.lit(k))).otherwise(0.0)) for k in range(LANES)]
+            cur = cut(moved.groupBy(*bk, F.col(to).alias("node")).agg(F.array(*lanes).alias("v")).filter(F.exists("v", lambda x: x > 0)))
+        total = [F.sum(F.get("v", F.lit(k))) for k in range(LANES)]
+        return union_all(parts).groupBy(*bk, "node").agg(F.array(*total).alias("v"))
+
+    block, lane = lane_blocks(F.col("node"))
+    source = node_table.select(*keys, block.alias("block"), "node", _unit_lane(lane, F.lit(1.0), F.lit(0.0)).alias("v"))
     sigma = cut(flow(source, "i", "j"))
-    share = sigma.filter("src <> node").select(*sk, "node", (1 / F.col("v")).alias("v"))
-    back = flow(share, "j", "i").join(share.withColumnRenamed("v", "own"), [*sk, "node"]).select(
-        *sk, "node", (F.col("v") - F.col("own")).alias("x")
-    )
-    delta = back.join(sigma, [*sk, "node"]).groupBy(*keys, "node").agg(F.sum(F.col("x") * F.col("v")).alias("bc"))
+    own = F.when(F.col("block") == block, lane).otherwise(-1)
+    share = sigma.select(*bk, "node", F.transform("v", lambda x, k: F.when((x > 0) & (k != own), 1 / x).otherwise(0.0)).alias("v"))
+    back = flow(share, "j", "i").join(share.withColumnRenamed("v", "mine"), [*bk, "node"]).join(sigma.withColumnRenamed("v", "paths"), [*bk, "node"])
+    through = F.transform(F.arrays_zip("v", "mine", "paths"), lambda x, k: F.when(k != own, (x["v"] - x["mine"]) * x["paths"]).otherwise(0.0))
+    delta = back.groupBy(*keys, "node").agg(F.sum(_sum(through, lambda x: x)).alias("bc"))
     full = node_table.join(delta, [*keys, "node"], "left").fillna(0.0, ["bc"])
     unit = F.lit(float((n - 1) * (n - 2)))
     return full.groupBy(*keys).agg(
@@ -361,51 +389,114 @@ def modularity(edges: DataFrame, membership: DataFrame, keys: list[str]) -> Data
     )
 
 
-def communities(edges: DataFrame, keys: list[str], node_table: DataFrame, seed: int = 0, rounds: int = 12) -> DataFrame:
-    """Synchronous modularity search: ``keys, node, community``.
+#: Searches of which the best one counts.
+SEEDS = 32
+
+
+def _best_moves(adj: DataFrame, strength: DataFrame, mass: DataFrame, cur: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, node, own, to, gain``: where each node's modularity gain is largest, if it is positive."""
+    owned = cur.join(strength, [*keys, "node"])
+    tot = owned.groupBy(*keys, "community").agg(F.sum("s").alias("tot"))
+    link = adj.join(cur.select(*keys, F.col("node").alias("j"), "community"), [*keys, "j"]).groupBy(*keys, F.col("i").alias("node"), "community").agg(F.sum("w").alias("into"))
+    # staying is always a candidate, also without a neighbour inside
+    stay = owned.select(*keys, "node", "community", F.lit(0.0).alias("into"))
+    cand = link.unionByName(stay).groupBy(*keys, "node", "community").agg(F.sum("into").alias("into"))
+    home = owned.select(*keys, "node", F.col("community").alias("own"), "s")
+    scored = cand.join(home, [*keys, "node"]).join(tot, [*keys, "community"]).join(mass, [k for k in keys if k in mass.columns])
+    rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("s")).otherwise(0.0)
+    scored = scored.withColumn("score", (F.col("into") - F.col("s") * rest / F.col("m2")) / F.col("m2"))
+    pick = scored.groupBy(*keys, "node").agg(
+        F.max(F.struct("score", (-F.col("community")).alias("c"))).alias("b"), F.max("own").alias("own"), F.max(F.when(F.col("community") == F.col("own"), F.col("score"))).alias("at_home")
+    )
+    moves = pick.select(*keys, "node", "own", (-F.col("b.c")).alias("to"), (F.col("b.score") - F.col("at_home")).alias("gain"))
+    return moves.filter((F.col("gain") > 1e-12) & (F.col("to") != F.col("own")))
+
+
+def _moved(adj: DataFrame, strength: DataFrame, mass: DataFrame, cur: DataFrame, keys: list[str], turn: int) -> tuple[DataFrame, bool]:
+    """One round of moves and whether there were any.
 
-    Each round a hash-chosen half of the nodes moves to the neighbouring
-    community with the largest gain; the round whose partition scored best is
-    returned per key.  Isolated nodes stay alone.
+    Of the moves that touch a community only the one of largest drawn priority is made,
+    so gains add up and modularity grows in every round that moves a node.
+    """
+    moves = cut(_best_moves(adj, strength, mass, cur, keys).withColumn("p", F.struct(F.xxhash64("node", "seed", F.lit(turn)).alias("h"), "node")))
+    if moves.isEmpty():
+        return cur, False
+    touch = moves.select(*keys, "p", F.explode(F.array("own", "to")).alias("community")).groupBy(*keys, "community").agg(F.max("p").alias("top"))
+    first = moves.join(touch.select(*keys, F.col("community").alias("own"), F.col("top").alias("p")), [*keys, "own", "p"], "left_semi")
+    made = first.join(touch.select(*keys, F.col("community").alias("to"), F.col("top").alias("p")), [*keys, "to", "p"], "left_semi")
+    now = cur.join(made.select(*keys, "node", "to"), [*keys, "node"], "left")
+    return cut(now.select(*keys, "node", F.coalesce("to", "community").alias("community"))), True
+
+
+def communities(edges: DataFrame, keys: list[str], node_table: DataFrame, seeds: int = SEEDS, coarse_rounds: int = 3, max_rounds: int = 1000) -> DataFrame:
+    """Best of ``seeds`` multilevel modularity searches: ``keys, node, community, seed``.
+
+    All searches run in one plan with the seed as a key.  A search moves nodes for a few
+    rounds, contracts communities to nodes and goes on with the contracted graph while
+    anything moves there; then single nodes move on the graph itself until no move
+    gains.  That is repeated until neither a node nor a whole community can move.
+    Modularity never falls.  Of equal results (1e-12) the one whose labels, numbered in
+    order of the nodes, come first counts, then the smallest seed.  Isolated nodes stay
+    alone.
     """
-    adj = cut(adjacency(edges, keys))
-    strength = cut(degrees(edges, keys).select(*keys, "node", "s"))
+    sk = [*keys, "seed"]
+    draw = F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")
+    flat = cut(adjacency(edges, keys))
+    strength = degrees(edges, keys).select(*keys, "node", "s")
+    mass = cut(edges.groupBy(*keys).agg((2 * F.sum("w")).alias("m2")))
+    adj0, strength0 = cut(flat.select(*keys, draw, "i", "j", "w")), cut(strength.select(*keys, draw, "node", "s"))
+    member = cut(node_table.select(*keys, draw, "node", F.col("node").alias("community")))
+    turn = 0
+
+    def contracted(adj: DataFrame, strength: DataFrame, cur: DataFrame) -> tuple[DataFrame, DataFrame]:
+        name = lambda c, o: cur.select(*sk, F.col("node").alias(c), F.col("community").alias(o))
+        ends = adj.join(name("i", "a"), [*sk, "i"]).join(name("j", "b"), [*sk, "j"]).filter("a <> b")
+        small = ends.groupBy(*sk, F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("w").alias("w"))
+        return cut(small), cut(strength.join(cur, [*sk, "node"]).groupBy(*sk, F.col("community").alias("node")).agg(F.sum("s").alias("s")))
+
+    adj, own = adj0, strength0
+    for _ in range(max_rounds):
+        while True:  # levels
+            cur, any_moved = own.select(*sk, "node", F.col("node").alias("community")), False
+            for _ in range(coarse_rounds):
+                turn += 1
+                cur, moved = _moved(adj, own, mass, cur, sk, turn)
+                any_moved |= moved
+                if not moved:
+                    break
+            if not any_moved:
+                break
+            up = cur.select(*sk, F.col("node").alias("community"), F.col("community").alias("_up"))
+            member = cut(member.join(up, [*sk, "community"], "left").select(*sk, "node", F.coalesce("_up", "community").alias("community")))
+            adj, own = contracted(adj, own, cur)
+        refined, linked = False, member.join(strength0.select(*sk, "node"), [*sk, "node"], "left_semi")
+        while True:
+            turn += 1
+            linked, moved = _moved(adj0, strength0, mass, linked, sk, turn)
+            if not moved:
+                break
+            refined = True
+        if not refined:
+            break
+        fresh = linked.withColumnRenamed("community", "_now")
+        member = cut(member.join(fresh, [*sk, "node"], "left").select(*sk, "node", F.coalesce("_now", "community").alias("community")))
+        adj, own = contracted(adj0, strength0, linked)
+    else:
+        raise RuntimeError("the community search did not settle")
+    first = F.min("node").over(W.partitionBy(*sk, "community"))
+    named = cut(member.withColumn("community", first))
+    q = modularity(edges.join(named.select(*sk).distinct(), keys), named, sk)
+    q = q.select(*sk, "modularity", F.max("modularity").over(W.partitionBy(*keys)).alias("top")).filter("modularity >= top - 1e-12")
+    labels = named.join(q.select(*sk), sk, "left_semi").groupBy(*sk).agg(F.array_sort(F.collect_list(F.struct("node", "community"))).alias("v"))
+    best = labels.groupBy(*keys).agg(F.min(F.struct(F.transform("v", lambda x: x["community"]).alias("l"), "seed")).alias("b")).select(*keys, F.col("b.seed").alias("seed"))
+    return named.join(best, sk, "left_semi").select(*keys, "node", "community", "seed")
+
+
+def gaining_moves(edges: DataFrame, membership: DataFrame, keys: list[str]) -> DataFrame:
+    """Single moves ``keys, node, own, to, gain`` that would raise a partition's modularity."""
     mass = edges.groupBy(*keys).agg((2 * F.sum("w")).alias("m2"))
-    cur = cut(node_table.select(*keys, "node", F.col("node").alias("community")))
-    seen = [cur.withColumn("round", F.lit(0))]
-    for r in range(1, rounds + 1):
-        owned = cur.join(strength, [*keys, "node"])
-        tot = owned.groupBy(*keys, "community").agg(F.sum("s").alias("tot"))
-        link = adj.join(cur.select(*keys, F.col("node").alias("j"), "community"), [*keys, "j"]).groupBy(
-            *keys, F.col("i").alias("node"), "community"
-        ).agg(F.sum("w").alias("into"))
-        # staying is always a candidate, also without a neighbour inside
-        stay = owned.select(*keys, "node", "community", F.lit(0.0).alias("into"))
-        cand = link.unionByName(stay).groupBy(*keys, "node", "community").agg(F.sum("into").alias("into"))
-        scored = (
-            cand.join(owned.select(*keys, "node", F.col("community").alias("own"), "s"), [*keys, "node"])
-            .join(tot, [*keys, "community"]).join(mass, keys)
-            .withColumn("rest", F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("s")).otherwise(0.0))
-            .withColumn("gain", F.col("into") - F.col("s") * F.col("rest") / F.col("m2"))
-        )
-        pick = scored.groupBy(*keys, "node").agg(
-            F.max(F.struct("gain", (-F.col("community")).alias("c"))).alias("b"), F.max("own").alias("own")
-        )
-        awake = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(r)), F.lit(2)) == 0
-        moved = pick.select(*keys, "node", F.when(awake, -F.col("b.c")).otherwise(F.col("own")).alias("new"))
-        cur = cut(
-            cur.join(moved, [*keys, "node"], "left")
-            .select(*keys, "node", F.coalesce("new", "community").cast("int").alias("community"))
-        )
-        seen.append(cur.withColumn("round", F.lit(r)))
-    every = cut(union_all(seen))
-    rk = [*keys, "round"]
-    rounds_df = every.select(*rk).distinct()
-    q = modularity(edges.join(rounds_df, keys), every, rk)
-    best = q.groupBy(*keys).agg(F.max(F.struct("modularity", (-F.col("round")).alias("r"))).alias("b")).select(
-        *keys, (-F.col("b.r")).alias("round")
-    )
-    return every.join(best, rk).select(*keys, "node", "community")
+    strength = degrees(edges, keys).select(*keys, "node", "s")
+    return _best_moves(adjacency(edges, keys), strength, mass, membership.select(*keys, "node", "community"), keys)
 
 
 # -- changes between visits --------------------------------------------------

@@ -21,8 +21,12 @@ SIZES = list(range(3, MAX_SUBJECTS + 1))
 
 
 def complete_cases(features: DataFrame, outcomes: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
-    """``endpoint, keys, n, subjects, xs, ys`` over subjects with both values."""
-    rows = features.join(outcomes.filter(finite(F.col("y"))), "subject").filter(finite(F.col(x)))
+    """``endpoint, keys, n, subjects, xs, ys`` over subjects with both values.
+
+    Features that name an endpoint are held against this one only.
+    """
+    on = ["subject", *(c for c in ["endpoint"] if c in features.columns)]
+    rows = features.join(outcomes.filter(finite(F.col("y"))), on).filter(finite(F.col(x)))
     packed = rows.groupBy("endpoint", *keys).agg(
         F.array_sort(F.collect_list(F.struct("subject", F.col(x).alias("x"), "y"))).alias("c"), F.count(F.lit(1)).alias("n")
     )

@@ -28,13 +28,83 @@ def coordinate_features(coords: DataFrame, axes=AXES, keys=()) -> DataFrame:
     return d.select(*keys, "subject", "visit", F.concat_ws(":", "parcel", "metric").alias("feature"), F.col("value").alias("x"))
 
 
-def similarity(features: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Pearson between all ordered pairs of different sessions over features."""
+#: Features of one packed block.
+PACK = 4096
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _packed_sums(keys: list[str]):
+    """Sums over features for each unordered pair of sessions, block by block of whole features."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        def settle(pdf):
+            for key, part in pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]:
+                s = part.groupby(["subject", "visit"], sort=True).ngroup().to_numpy()
+                names = part[["subject", "visit"]].drop_duplicates().sort_values(["subject", "visit"])
+                f, many = pd.factorize(part["feature"])[0], part["feature"].nunique()
+                x, here = np.zeros((len(names), many)), np.zeros((len(names), many))
+                x[s, f], here[s, f] = part["x"].to_numpy(float), 1.0
+                a, b = np.triu_indices(len(names), 1)
+                first, second = names.iloc[a].reset_index(drop=True), names.iloc[b].reset_index(drop=True)
+                out = pd.DataFrame({c: [v] * len(a) for c, v in zip(keys, key if isinstance(key, tuple) else (key,))})
+                out["subject"], out["visit"], out["subject2"], out["visit2"] = first["subject"], first["visit"], second["subject"], second["visit"]
+                sums = (here @ here.T, x @ here.T, here @ x.T, (x * x) @ here.T, here @ (x * x).T, x @ x.T)
+                for name, m in zip(_SUMS, sums, strict=True):
+                    out[name] = m[a, b]
+                yield out
+
+        held, count = [], 0
+        for pdf in batches:
+            held.append(pdf)
+            count += len(pdf)
+            if count < PACK:
+                continue
+            whole = pd.concat(held)
+            last = whole[[*keys, "feature"]].iloc[-1]
+            tail = (whole[[*keys, "feature"]] == last).all(axis=1).to_numpy()  # the last feature may go on in the next batch
+            if not tail.all():
+                yield from settle(whole[~tail])
+                held, count = [whole[tail]], int(tail.sum())
+        if count:
+            yield from settle(pd.concat(held))
+
+    return run
+
+
+def similarity(features: DataFrame, keys: list[str] | None = None, features_in_all: DataFrame | None = None) -> DataFrame:
+    """Pearson between all ordered pairs of different sessions over features.
+
+    Sessions are packed side by side for blocks of features; one small Gram matrix a
+    block gives the sums of every unordered pair.  Features count that both sessions
+    have.  With ``features_in_all`` (one row, one count) a session has all of so many
+    features, and those that are not listed are zero.
+    """
     k = keys or []
-    a = features.select(*k, "feature", "subject", "visit", "x")
-    b = features.select(*k, "feature", F.col("subject").alias("subject2"), F.col("visit").alias("visit2"), F.col("x").alias("x2"))
-    j = a.join(b, [*k, "feature"]).filter("subject <> subject2 or visit <> visit2")
-    return j.groupBy(*k, "subject", "visit", "subject2", "visit2").agg(F.corr("x", "x2").alias("r"))
+    s = [*k, "subject", "visit"]
+    f = features.select(*s, "feature", F.col("x").cast("double").alias("x")).filter("x IS NOT NULL")
+    if features_in_all is None:
+        mean = f.groupBy(*s).agg(F.avg("x").alias("_m"))
+        f = f.join(mean, s).select(*s, "feature", (F.col("x") - F.col("_m")).alias("x"))
+    types = ", ".join(f"{c} {f.schema[c].dataType.simpleString()}" for c in s)
+    other = ", ".join(f"{c}2 {f.schema[c].dataType.simpleString()}" for c in ("subject", "visit"))
+    packed = f.repartition(*k, "feature").sortWithinPartitions(*k, "feature")
+    sums = packed.mapInPandas(_packed_sums(k), f"{types}, {other}, " + ", ".join(f"{c} double" for c in _SUMS))
+    pair = [*s, "subject2", "visit2"]
+    t = sums.groupBy(*pair).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    if features_in_all is not None:
+        own = f.groupBy(*s).agg(F.sum("x").alias("sx"), F.sum(F.col("x") ** 2).alias("sxx"))
+        twin = own.select(*k, F.col("subject").alias("subject2"), F.col("visit").alias("visit2"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
+        t = t.select(*pair, "sxy").join(own, s).join(twin, [*k, "subject2", "visit2"]).join(F.broadcast(features_in_all.toDF("n")))  # one row
+    vx, vy = F.col("n") * F.col("sxx") - F.col("sx") ** 2, F.col("n") * F.col("syy") - F.col("sy") ** 2
+    r = F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx) / F.sqrt(vy))))
+    both = t.select(*k, F.explode(F.array(
+        F.struct("subject", "visit", "subject2", "visit2"),
+        F.struct(F.col("subject2").alias("subject"), F.col("visit2").alias("visit"), F.col("subject").alias("subject2"), F.col("visit").alias("visit2")),
+    )).alias("p"), r.alias("r"))
+    return both.select(*k, "p.*", "r")
 
 
 def constant_sessions(features: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import order as O
-from ..functions.expr import AXES
+from ..functions.expr import AXES, checked, finite
 from ..operators import embedding as E
 from ..operators import geometry as M
 from ..operators import graphs as G
@@ -281,56 +281,120 @@ def reference_transfer(edges: DataFrame, nodes: DataFrame, own: DataFrame, forei
     return Y.cross_visit_identification(Y.standardise(f, ["reference"]), ["reference"])
 
 
-def sensitivity_study(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, outcomes: DataFrame, primary: DataFrame, settings: list[str] | None = None) -> DataFrame:
-    """Each named setting: embed, match axes to the primary, four candidates, exact family.
+def matched_settings(embedded: DataFrame, primary: DataFrame) -> DataFrame:
+    """``setting, target, source, r``: the axis of each setting that matches each primary axis."""
+    long = embedded.select("setting", "subject", "visit", F.col("node").alias("parcel"), F.posexplode("g").alias("axis", "value"))
+    own = long.filter(F.col("axis") < E._by_setting(list(E.SETTINGS), 3, "int"))
+    return cut(E.match_axes(cut(E.axis_correlations(own, primary, ["subject", "visit", "parcel"], ["setting"])), E.COMPONENTS, ["setting"]))
+
+
+def settings_table(spark, matched: DataFrame) -> DataFrame:
+    """One row a setting: its parameters and, for each primary axis, the matched source and its correlation."""
+    of = lambda c, t: F.max(F.when(F.col("target") == t, F.col(c)))
+    cells = [x for t in range(4) for x in (
+        (of("source", t) + 1).alias(f"matched_G{t + 1}_source_index"), of("r", t).alias(f"matched_G{t + 1}_signed_correlation"), F.abs(of("r", t)).alias(f"matched_G{t + 1}_abs_correlation"),
+    )]
+    return E.setting_grid(spark).join(matched.groupBy("setting").agg(*cells), "setting")
 
-    ``primary`` is ``subject, visit, parcel, axis, value``.  Axis signs are never flipped.
+
+def sensitivity_values(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, primary: DataFrame, settings: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidate measures of every setting, and which axes they were read from.
+
+    All settings run in one plan with the setting as a key.  ``primary`` is ``subject,
+    visit, parcel, axis, value``.  Axis signs are never flipped.
     """
-    parts = []
-    for name in settings or list(E.SETTINGS):
-        log, sparsity, alpha, k = E.SETTINGS[name]
-        g, _ = E.cohort_embeddings(edges, nodes, subjects, "loso", {"components": k, "sparsity": sparsity, "alpha": alpha, "log": log}, retain=k)
-        long = g.select("subject", "visit", F.col("node").alias("parcel"), F.posexplode("g").alias("axis", "value"))
-        m = cut(E.match_axes(cut(E.axis_correlations(long, primary, ["subject", "visit", "parcel"])), k))
-        # four rows: the source index of each primary axis
-        pick = {r.target: r.source for r in m.select("target", "source").take(4)}
-        n = F.broadcast(nodes.select(F.col("idx").alias("node"), "network"))
-        c = cut(g.join(n, "node").select("subject", "visit", F.col("node").alias("parcel"), "hemi", "network", *[F.get("g", F.lit(i)).alias(a) for i, a in enumerate(AXES)],
-                                         F.get("g", F.lit(pick[0])).alias("m0"), F.get("g", F.lit(pick[1])).alias("m1")))
-        parts.append(candidate_long(c).withColumn("setting", F.lit(name)))
-    values = cut(reduce(DataFrame.unionByName, parts))
+    g, _ = E.cohort_embeddings(edges, nodes, subjects, "loso", settings or list(E.SETTINGS), retain=E.COMPONENTS)
+    matched = matched_settings(g, primary)
+    pick = matched.groupBy("setting").agg(*[F.max(F.when(F.col("target") == t, F.col("source"))).alias(f"_s{t}") for t in (0, 1)])
+    whole = checked(F.col("_s0"), F.col("_s0").isNotNull() & F.col("_s1").isNotNull(), "a setting has no match for the first two axes")
+    n = nodes.select(F.col("idx").alias("node"), "network")
+    c = g.join(n, "node").join(pick, "setting").select(
+        "setting", "subject", "visit", F.col("node").alias("parcel"), "hemi", "network", *[F.get("g", F.lit(i)).alias(a) for i, a in enumerate(AXES)],
+        F.get("g", whole).alias("m0"), F.get("g", F.col("_s1")).alias("m1"),
+    )
+    return cut(candidate_long(cut(c), ["setting"])), matched
+
+
+def sensitivity_study(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, outcomes: DataFrame, primary: DataFrame, settings: list[str] | None = None) -> DataFrame:
+    """Each named setting: embed, match axes to the primary, four candidates, exact family."""
+    values, _ = sensitivity_values(edges, nodes, subjects, primary, settings)
     return P.exact_family(values, outcomes, ["setting", "metric"], ["endpoint", "setting"])
 
 
-def candidate_long(c: DataFrame) -> DataFrame:
+def candidate_long(c: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Candidate measures, with ``m0``/``m1`` as the matched first and second axis."""
-    extra = ["m0", "m1"]
-    s = ["subject", "visit"]
+    sub = [*(keys or []), "subject"]
+    s = [*sub, "visit"]
     mid = c.groupBy(*s, "hemi").agg(F.avg("m1").alias("h_m1"))
     own = c.groupBy(*s, "hemi", "network").agg(F.avg("m0").alias("c_m0"))
     d = M.with_centres(c.filter("visit in (1, 2)"), s).join(mid, [*s, "hemi"]).join(own, [*s, "hemi", "network"])
     long = cut(d.filter("network in ('SomMot', 'Cont')").select(*s, "network", F.when(F.col("network") == "SomMot", M.gap("", "h_")).otherwise(F.col("m1") - F.col("h_m1")).alias("v")))
     med = O.median(long, [*s, "network"], "v", "v").groupBy(*s).pivot("network", ["SomMot", "Cont"]).agg(F.first("v"))
     sd = d.filter("network = 'Vis'").groupBy(*s).agg(F.sqrt(F.sum((F.col("m0") - F.col("c_m0")) ** 2) / (F.count(F.lit(1)) - 2)).alias("sd"))
-    ch = studies.visit_change(med.join(sd, s), ["subject"], ["SomMot", "Cont", "sd"])
-    vis = M.displacement(M.pair_visits(c, "subject", 1, 2)).filter("network = 'Vis'").groupBy("subject").agg(F.avg("displacement").alias("move"))
-    return M.melt(ch.join(vis, "subject"), ["subject"], {
+    ch = studies.visit_change(med.join(sd, s), sub, ["SomMot", "Cont", "sd"])
+    vis = M.displacement(M.pair_visits(c, sub, 1, 2)).filter("network = 'Vis'").groupBy(*sub).agg(F.avg("displacement").alias("move"))
+    return M.melt(ch.join(vis, sub), sub, {
         "Vis_parcel_displacement_mean": F.col("move"), "SomMot_eccentricity_median": F.col("SomMot"), "Cont_G2_position_median": F.col("Cont"), "Vis_G1_dispersion_sd": F.col("sd"),
     }).withColumnRenamed("value", "x")
 
 
+def graph_cases(measures: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``endpoint, metric, subject, x, reason``: each change beside each outcome, judged per outcome.
+
+    A metric counts for an outcome if its change is finite and not constant over the
+    subjects that have this outcome; an outcome counts with three values that differ.
+    """
+    y = outcomes.filter(finite(F.col("y")))
+    known = outcomes.select("endpoint").distinct().join(y.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), (F.max("y") - F.min("y")).alias("span")), "endpoint", "left")
+    d = measures.groupBy("subject", "metric").agg(*[F.max(F.when(F.col("visit") == v, F.round("value", 12))).alias(f"v{v}") for v in (1, 2)]) if "visit" in measures.columns else measures.select("subject", "metric", F.round("value", 12).alias("v2"), F.lit(0.0).alias("v1"))
+    x = F.round(F.col("v2") - F.col("v1"), 12)
+    rows = d.select("subject", "metric", F.when(finite(x), x).alias("x")).join(y.select("endpoint", "subject"), "subject")
+    by = rows.groupBy("endpoint", "metric").agg(F.count(F.lit(1)).alias("c"), F.count("x").alias("f"), (F.max("x") - F.min("x")).alias("s"))
+    enough = known.select("endpoint", ((F.coalesce("n", F.lit(0)) >= 3) & (F.coalesce("span", F.lit(0.0)) > 0)).alias("enough"), F.coalesce("n", F.lit(0)).alias("n"))
+    why = F.when(~F.col("enough"), "insufficient or constant outcome").when((F.col("f") < F.col("n")) | ~(F.col("s") > 0), "undefined or constant graph change")
+    judged = by.join(enough, "endpoint").select("endpoint", "metric", why.alias("reason"))
+    return rows.join(judged, ["endpoint", "metric"])
+
+
 def graph_screen(measures: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Exact family of each measure's change from visit 1 to 2; undefined or constant ones drop out."""
-    d = studies.visit_change(measures, ["subject", "metric"], ["value"]).filter("value is not null")
-    n = measures.select("subject").distinct().count()
-    whole = d.groupBy("metric").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == n).select("metric")
-    return screens.clinical_screen(cut(d.join(whole, "metric").select("subject", "metric", F.round("value", 12).alias("x"))), outcomes, ["metric"])
+    """Exact family of each measure's change from visit 1 to 2, complete per outcome."""
+    usable = graph_cases(measures, outcomes).filter("reason IS NULL").select("endpoint", "subject", "metric", "x")
+    return screens.clinical_screen(cut(usable), outcomes, ["metric"])
+
+
+def graph_exclusions(measures: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``endpoint, metric, reason`` of what :func:`graph_screen` leaves out; one row without metric for a whole outcome."""
+    out = graph_cases(measures, outcomes).filter("reason IS NOT NULL")
+    whole = F.col("reason") == "insufficient or constant outcome"
+    some = out.select("endpoint", F.when(~whole, F.col("metric")).alias("metric"), "reason").distinct()
+    y = outcomes.groupBy("endpoint").agg(F.count_if(finite(F.col("y"))).alias("n")).filter("n = 0")
+    return some.unionByName(y.select("endpoint", F.lit(None).cast("string").alias("metric"), F.lit("insufficient or constant outcome").alias("reason")))
+
+
+#: The measures by whose density means sessions are identified.
+IDENTIFYING = ("binary_global_efficiency", "binary_characteristic_path_lcc", "binary_transitivity", "binary_assortativity")
+
+
+def graph_identification(measures: DataFrame) -> DataFrame:
+    """Nearest sessions by the four identifying measures, standardised over sessions."""
+    f = measures.filter(F.col("metric").isin(*[m + "_cost_mean" for m in IDENTIFYING])).select("subject", "visit", F.col("metric").alias("feature"), F.col("value").alias("x"))
+    return Y.nearest(cut(Y.similarity(Y.standardise(cut(f)))))
+
+
+def edge_identification(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nearest sessions by the weights of all pairs of the basis; an absent pair counts as zero."""
+    f = edges.select("subject", "visit", F.concat_ws("-", "i", "j").alias("feature"), F.col("w").alias("x"))
+    n = nodes.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("features"))
+    return Y.nearest(cut(Y.similarity(f, features_in_all=n)))
+
+
+def graph_measures(edges: DataFrame, nodes: DataFrame, n: int, extended: bool = True, modularity: bool = True) -> DataFrame:
+    return cut(session_measures(edges, nodes, n, ["subject", "visit"], extended=extended, modularity=modularity))
 
 
 def graph_study(edges: DataFrame, nodes: DataFrame, outcomes: DataFrame, n: int, extended: bool = True, modularity: bool = True) -> DataFrame:
     """All session measures, their change, and the exact screen per outcome."""
-    m = session_measures(edges, nodes, n, ["subject", "visit"], extended=extended, modularity=modularity)
-    return graph_screen(cut(m), outcomes)
+    return graph_screen(graph_measures(edges, nodes, n, extended, modularity), outcomes)
 
 
 def preoperative_graph(edges: DataFrame, nodes: DataFrame, outcomes: DataFrame, n: int, extended: bool = True, modularity: bool = True) -> DataFrame:
@@ -340,5 +404,5 @@ def preoperative_graph(edges: DataFrame, nodes: DataFrame, outcomes: DataFrame,
     e = edges.join(m.select(F.col("idx").alias("i"), F.col("p").alias("a")), "i").join(m.select(F.col("idx").alias("j"), F.col("p").alias("b")), "j")
     e = cut(e.select("subject", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "w"))
     basis = cort.select(F.col("p").alias("idx"))
-    x = cut(session_measures(e, basis, n, ["subject"], extended=extended, modularity=modularity).filter(F.col("metric").endswith("_cost_mean")).filter("value is not null"))
-    return screens.clinical_screen(x.select("subject", "metric", F.round("value", 12).alias("x")), outcomes, ["metric"])
+    x = cut(session_measures(e, basis, n, ["subject"], extended=extended, modularity=modularity).filter(F.col("metric").endswith("_cost_mean")))
+    return graph_screen(x, outcomes)

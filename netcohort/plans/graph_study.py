@@ -25,8 +25,8 @@ def session_measures(edges: DataFrame, nodes: DataFrame, n: int, keys: list[str]
     ck = [*keys, "cost"]
     kept = cut(G.rank_weights(G.fixed_cost(edges, keys, n, costs), ck))
     base = cut(G.session_nodes(kept, ck, nodes))
-    hops = cut(G.hop_distances(kept, ck, base).withColumn("d", F.col("d").cast("double")))
-    dist = G.weighted_distances(kept, ck, base)
+    hops = G.distance_blocks(kept, ck, base, F.lit(1.0))
+    dist = G.distance_blocks(kept, ck, base)
     lcc = cut(G.largest_component(kept, ck, base))
     tri = cut(G.triangles(kept, ck))
     parts = [

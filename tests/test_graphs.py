@@ -61,7 +61,7 @@ def test_distances_and_betweenness(small):
         for p in short:
             for v in p[1:-1]:
                 bc[v] += 1 / len(short)
-    r = G.betweenness(e, dist, K, n, 1 / F.col("w"), "rank", nodes).first()
+    r = G.betweenness(e, G.distance_blocks(e, K, nodes), K, n, 1 / F.col("w"), "rank", nodes).first()
     assert np.isclose(r.rank_mean_betweenness_normalized, bc.mean() / ((n - 1) * (n - 2)))
     assert np.isclose(r.rank_max_betweenness_normalized, bc.max() / ((n - 1) * (n - 2)))
 
@@ -91,7 +91,9 @@ def test_clustering_and_local_efficiency(small):
 def test_five_node_two_edge_graph(spark):
     e = spark.createDataFrame([("a", 0, 1, 1.0), ("a", 1, 2, 1.0)], "session string, i int, j int, w double")
     nodes = spark.range(5).select(F.lit("a").alias("session"), F.col("id").cast("int").alias("node"))
-    hops = cut(G.hop_distances(e, K, nodes))
+    hops = G.distance_blocks(e, K, nodes, F.lit(1.0))
+    assert G.hop_distances(e, K, nodes).count() == 11
+    assert np.isclose(G.hop_efficiency(G.hop_counts(e, K, nodes), K, 5, "e").first().e, 0.25)
     assert np.isclose(G.global_efficiency(hops, K, 5, "e").first().e, 0.25)
     lcc = cut(G.largest_component(e, K, nodes))
     assert lcc.count() == 3 and lcc.first().size == 3
@@ -118,3 +120,37 @@ def test_modularity_search_separates_two_cliques(spark):
     nodes = spark.range(10).select(F.lit("a").alias("session"), F.col("id").cast("int").alias("node"))
     q = G.modularity(e, G.communities(e, K, nodes), K).first()
     assert q.n_communities == 2 and np.isclose(q.modularity, 20 / 21 - 0.5)
+
+
+def test_blocks_of_sources_beyond_one_row(spark):
+    """A ring of 130 nodes with chords lies in three blocks; all its nodes are alike."""
+    n = 130
+    e = cut(spark.range(n).select(F.lit("a").alias("session"), F.col("id").alias("u"), F.explode(F.array(F.lit(1), F.lit(11), F.lit(27))).alias("s"))
+            .select("session", F.least("u", (F.col("u") + F.col("s")) % n).cast("int").alias("i"), F.greatest("u", (F.col("u") + F.col("s")) % n).cast("int").alias("j"), F.lit(0.5).alias("w")))
+    nodes = cut(spark.range(n).select(F.lit("a").alias("session"), F.col("id").cast("int").alias("node")))
+    a = np.zeros((n, n))
+    for r in e.collect():
+        a[r.i, r.j] = a[r.j, r.i] = 1
+    d = paths(a, np.ones((n, n)))[0, 1:]
+    hops = G.distance_blocks(e, K, nodes, F.lit(1.0))
+    assert hops.count() == 3 * n
+    assert np.isclose(G.characteristic_path(hops, nodes, K, "c").first().c, d.mean())
+    assert np.isclose(G.global_efficiency(hops, K, n, "e").first().e, (1 / d).mean())
+    assert np.isclose(G.hop_efficiency(G.hop_counts(e, K, nodes), K, n, "e").first().e, (1 / d).mean())
+    r = G.betweenness(e, hops, K, n, F.lit(1.0), "binary", nodes).first()
+    inner = (d - 1).sum() / ((n - 1) * (n - 2))
+    assert np.isclose(r.binary_mean_betweenness_normalized, inner) and np.isclose(r.binary_max_betweenness_normalized, inner)
+
+
+def test_search_settles_and_keeps_ties_apart(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", int(i), int(j), float(rng.uniform(0.5, 2) + 4 * (i // 6 == j // 6))) for i in range(30) for j in range(i + 1, 30) if i // 6 == j // 6 or rng.random() < 0.15]
+    rows += [("b", 0, 1, 1.0), ("b", 1, 2, 1.0), ("b", 2, 3, 1.0), ("b", 0, 3, 1.0)]
+    e = cut(spark.createDataFrame(rows, "session string, i int, j int, w double"))
+    nodes = cut(spark.range(31).selectExpr("'a' AS session", "int(id) AS node").union(spark.range(4).selectExpr("'b' AS session", "int(id) AS node")))
+    got = cut(G.communities(e, K, nodes, seeds=6))
+    assert G.gaining_moves(e, got, K).count() == 0
+    of = {(r.session, r.node): r.community for r in got.collect()}
+    assert all(of["a", i] == i // 6 * 6 for i in range(30)) and of["a", 30] == 30
+    # the square has two best partitions; the one whose labels come first counts
+    assert [of["b", i] for i in range(4)] == [0, 0, 2, 2]

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from netcohort.operators import embedding as E
@@ -92,15 +93,57 @@ def test_kendall_matches_pair_counting(spark):
         assert np.isclose(M.kendall_tau(d, ["k"], "x", "y", block).first().tau, s / np.sqrt(float(nx) * ny))
 
 
-def test_distributed_and_dense_eigensolvers_agree(spark):
+def test_block_solver_agrees_with_a_dense_one(spark):
+    """Groups of several sizes, smaller than the block and larger, in one plan."""
     rng = np.random.default_rng(8)
-    n = 14
-    w = np.triu(rng.uniform(0.1, 4, (n, n)), 1)
-    e = spark.createDataFrame([("L", int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))], "hemi string, i int, j int, w double")
+    rows, want = [], {}
+    for hemi, n in (("L", 9), ("R", 14), ("S", 24)):
+        w = np.triu(rng.uniform(0.1, 4, (n, n)), 1)
+        rows += [(hemi, int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w))]
+        m = w + w.T
+        kept = np.zeros((n, n))
+        for i in range(n):
+            best = sorted(range(n), key=lambda j: (-m[i, j], j))[:6]
+            kept[i, best] = m[i, best]
+        unit = kept / np.linalg.norm(kept, axis=1, keepdims=True)
+        k = 1 - np.arccos(np.clip(unit @ unit.T, -1, 1)) / np.pi
+        np.fill_diagonal(k, 1)
+        a = k.sum(1) ** -0.05
+        k = k * a[:, None] * a[None]
+        s = k.sum(1) ** -0.5
+        want[hemi] = np.linalg.eigvalsh(k * s[:, None] * s[None])[::-1][:4]
+    e = spark.createDataFrame(rows, "hemi string, i int, j int, w double")
     k = cut(E.normalized_angle(E.row_sparsify(e, ["hemi"], F.lit(6)), ["hemi"]))
     s = cut(E.diffusion_scale(k, ["hemi"], F.lit(0.05)))
-    dense = E.top_eigen(k, s, ["hemi"], 3)
-    assert E.residual(dense, k, s, ["hemi"], 3).first().residual < 1e-10
-    spread = E.subspace_eigen(k, s, ["hemi"], 3, oversample=3, powers=2, rounds=8)
-    assert E.residual(spread, k, s, ["hemi"], 3).first().residual < 1e-6
-    assert np.allclose(dense.first().l, spread.first().l, atol=1e-8) and np.isclose(dense.first().l[0], 1)
+    got = E.top_eigen(k, s, ["hemi"], 3)
+    for r in E.residual(got, k, s, ["hemi"], 3).collect():
+        assert r.residual < 1e-9 and r.overlap < 1e-9
+    for r in got.select("hemi", "l").distinct().collect():
+        assert np.allclose(r.l, want[r.hemi], atol=1e-8)
+    with pytest.raises(Exception, match="settle"):
+        E.top_eigen(k, s, ["hemi"], 3, tolerance=0.0, rounds=1)
+    with pytest.raises(Exception, match="too few nodes"):
+        E.top_eigen(k, s, ["hemi"], 9)
+
+
+def test_packed_similarity_equals_pairwise_correlation(spark, monkeypatch):
+    from netcohort.operators import similarity as Y
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5, 700)) + 1e6
+    here = rng.random((5, 700)) > 0.1
+    rows = [(f"s{i // 2}", i % 2, f"f{j}", float(x[i, j])) for i in range(5) for j in range(700) if here[i, j]]
+    f = spark.createDataFrame(rows, "subject string, visit int, feature string, x double").repartition(5)
+    monkeypatch.setattr(Y, "PACK", 64)
+    got = {((r.subject, r.visit), (r.subject2, r.visit2)): r.r for r in Y.similarity(f).collect()}
+    assert len(got) == 20
+    for a in range(5):
+        for b in range(5):
+            if a != b:
+                both = here[a] & here[b]
+                assert np.isclose(got[(f"s{a // 2}", a % 2), (f"s{b // 2}", b % 2)], np.corrcoef(x[a, both], x[b, both])[0, 1], atol=1e-9)
+    sparse = spark.createDataFrame([(r[0], r[1], r[2], r[3] - 1e6) for r in rows], f.schema)
+    zeros = np.where(here, x - 1e6, 0)
+    whole = {((r.subject, r.visit), (r.subject2, r.visit2)): r.r for r in Y.similarity(sparse, features_in_all=spark.range(1).select(F.lit(1000.0))).collect()}
+    padded = np.pad(zeros, ((0, 0), (0, 300)))
+    assert np.isclose(whole[("s0", 0), ("s2", 0)], np.corrcoef(padded[0], padded[4])[0, 1])
