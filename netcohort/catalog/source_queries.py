@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.expr import r6
@@ -135,10 +136,20 @@ def s10(t):
     return C.verify_snapshot(*snapshots(t))
 
 
-@query("S11_lineage", "headers", "WITH " + SNAP + " SELECT 'run-1' AS run,'study' AS stage,'input' AS role,path,sop_uid AS sha256,'completed' AS status FROM h UNION ALL SELECT 'run-1','study','output',path,sha,'completed' FROM af")
+@query("S11_lineage", "headers", "WITH " + SNAP + """, r AS (SELECT 'input' AS role,path,sop_uid AS sha256 FROM h UNION ALL SELECT 'output',path,sha FROM af)
+ SELECT run,'study' AS stage,role,path,sha256,'completed' AS status,alpha FROM r,(VALUES ('run-1','0.05'),('run-2','0.5')) v(run,alpha)""")
 def s11(t):
+    """Two runs appended to one table, a third attempt at the first one refused."""
     before, after = snapshots(t)
-    return C.lineage("run-1", "study", before, after, {"alpha": "0.05"}, "completed").drop("params")
+    path = scratch(t, "lineage")
+    runs = {run: C.lineage(run, "study", before, after, {"alpha": alpha}, "completed") for run, alpha in (("run-1", "0.05"), ("run-2", "0.5"))}
+    for run, rows in runs.items():
+        C.append_lineage(rows, path, run)
+    try:
+        C.append_lineage(runs["run-1"], path, "run-1")
+    except AnalysisException:
+        return C.read_lineage(t.spark, path).select("run", "stage", "role", "path", "sha256", "status", F.col("params")["alpha"].alias("alpha"))
+    raise RuntimeError("a second write of a run was accepted")
 
 
 @query("S12_duplicate_payloads", "headers", "SELECT sop_uid AS sha256,count(*) AS uses,min(path) AS first_path,max(path) AS last_path FROM headers GROUP BY 1 HAVING count(*)>1")
@@ -163,10 +174,19 @@ def s15(t):
     return C.replay_diff_array(e, e, [*S, "i", "j"], "w")
 
 
-@query("S16_replay_diff_values", "", "SELECT 'k' AS name,count(*) AS n,sum(CAST(props->>'$.k' AS DOUBLE)) AS total FROM events")
+@query("S16_replay_diff_values", "", """WITH k AS (SELECT event_id,CAST(props->>'$.k' AS DOUBLE) AS k FROM events)
+ SELECT event_id AS doc,'direct' AS pair,1::BIGINT AS compared_values,0.0::DOUBLE AS max_absolute_error,0::BIGINT AS unpaired,0::BIGINT AS not_numbers,0::BIGINT AS outside_tolerance,0::BIGINT AS empty,true AS passed FROM k
+ UNION ALL SELECT event_id,'nested',3,CASE WHEN event_id%5=0 THEN 0.5 ELSE 0.0 END,(event_id%7=0)::BIGINT,0,(event_id%5=0)::BIGINT,1,event_id%5<>0 AND event_id%7<>0 FROM k
+ UNION ALL SELECT event_id,'moved',0,NULL,0,1,0,0,false FROM k""")
 def s16(t):
-    v = C.json_values(t.raw("events"), "props", {"k": "$.k"})
-    return v.groupBy("name").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+    """Declared path pairs of two JSON documents for every event: a number, nested arrays, a path that leads nowhere."""
+    e = t.raw("events").select(F.col("event_id").alias("doc"), F.get_json_object("props", "$.k").cast("double").alias("k"))
+    one = F.struct(F.col("k").alias("a"), F.array(F.array("k", 2 * F.col("k")), F.array(F.lit(1.0)), F.array().cast("array<double>")).alias("b"), F.lit(1.0).alias("c"))
+    more = F.when(F.col("doc") % 7 == 0, F.array(F.lit(1.0), F.lit(2.0))).otherwise(F.array(F.lit(1.0)))
+    two = F.struct(F.struct(F.col("k").alias("value")).alias("a"), F.array(F.array(F.col("k"), 2 * F.col("k") + F.when(F.col("doc") % 5 == 0, 0.5).otherwise(0.0)), more, F.array().cast("array<double>")).alias("b"))
+    paths = t.spark.createDataFrame([("direct", "$.a", "$.a.value"), ("nested", "$.b", "$.b"), ("moved", "$.c", "$.d")], "pair string, actual string, expected string")
+    d = C.replay_diff_values(cut(e.select("doc", F.to_json(one).alias("json"))), cut(e.select("doc", F.to_json(two).alias("json"))), paths)
+    return d.withColumn("max_absolute_error", r6("max_absolute_error"))
 
 
 @query("S17_suite_status", "", """WITH c AS (SELECT source||'/'||lang AS task,n_chars<15000 AS completed,CASE WHEN lang<>'en' THEN n_chars<>13 END AS passed FROM documents)

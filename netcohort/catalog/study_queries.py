@@ -264,16 +264,16 @@ def p39(t):
     return out(H.axis_vs_external_map(a, b), ["display_sign", "n_compared"])
 
 
-HIT = FAM + """ hp AS (SELECT endpoint,network,metric,perm,count(*) OVER (PARTITION BY endpoint,network,metric ORDER BY abs(nul) RANGE BETWEEN 1e-12 PRECEDING AND UNBOUNDED FOLLOWING)/720.0 AS p FROM nl WHERE endpoint IN ('balance','top')),
- hh AS (SELECT perm,count(*) FILTER (p<.05) AS hits FROM hp GROUP BY 1), ho AS (SELECT count(*) FILTER (p_exact<.05) AS o FROM pv1 WHERE endpoint IN ('balance','top')),"""
+HIT = FAM + """ hp AS (SELECT endpoint,network,metric,perm,count(*) OVER (PARTITION BY endpoint,network,metric ORDER BY abs(nul) RANGE BETWEEN 1e-12 PRECEDING AND UNBOUNDED FOLLOWING)/count(*) OVER (PARTITION BY endpoint,network,metric) AS p FROM nl),
+ hh AS (SELECT endpoint,perm,count(*) FILTER (p<.05) AS hits FROM hp GROUP BY 1,2), ho AS (SELECT endpoint,count(*) FILTER (p_exact<.05) AS o FROM pv1 GROUP BY 1),"""
 
 
-@query("P41_family_hit_null", "coords outcomes perms", "WITH " + HIT + END + "SELECT o AS observed_hits,round(avg(hits),6) AS expected_hits,round(stddev_pop(hits),6) AS null_sd,round(avg((hits>=o)::INT),6) AS p_null_ge_observed,round(avg((hits<o)::INT),6) AS percentile_strictly_below,count(*) AS n_shared_permutations FROM hh,ho GROUP BY o")
+@query("P41_family_hit_null", "coords outcomes perms", "WITH " + HIT + END + "SELECT endpoint,o AS observed_hits,round(avg(hits),6) AS expected_hits,round(stddev_pop(hits),6) AS null_sd,round(avg((hits>=o)::INT),6) AS p_null_ge_observed,round(avg((hits<o)::INT),6) AS percentile_strictly_below,count(*) AS n_shared_permutations FROM hh JOIN ho USING (endpoint) GROUP BY endpoint,o")
 def p41(t):
-    ts = cut(tests(t).filter("endpoint in ('balance', 'top')"))
+    ts = cut(tests(t))
     nulls = P.shared_nulls(ts).select(*EK, "n", "rho", "perm", "null")
-    seen = P.exact_p(nulls, K).agg(F.count_if(F.col("p_exact") < 0.05).alias("observed_hits"))
-    return out(P.family_hit_null(nulls, EK, seen), ["observed_hits", "n_shared_permutations"])
+    seen = P.exact_p(nulls, K).groupBy("endpoint").agg(F.count_if(F.col("p_exact") < 0.05).alias("observed_hits"))
+    return out(P.family_hit_null(nulls, EK, seen), ["endpoint", "observed_hits", "n_shared_permutations"])
 
 
 @query("P42_rank_critical_value", "outcomes perms", """WITH sz AS (SELECT DISTINCT n::INT AS n FROM (SELECT count(y) AS n FROM outcomes GROUP BY endpoint)), v AS (SELECT n,abs(n*(n*n-1)-6*list_sum([(p[k]-(k-1))**2 for k in range(1,n+1)])) AS v FROM perms JOIN sz USING (n)),

@@ -51,21 +51,34 @@ def sampling_gate(points: DataFrame, shape, voxel_mm=(1.0, 1.0, 1.0), slack: flo
 
 
 def segment_cells(points: DataFrame, shape) -> DataFrame:
-    """Each segment with every voxel cell of its box inside the grid, and a sparse flag.
+    """Each segment with the voxel cells it passes, in parametric steps, and a sparse flag.
 
-    A segment of any length offers all cells between its ends, axis by axis.
+    A step ends where the segment crosses a plane between cells; at each such point, and
+    at both ends, all cells whose closed box holds the point are offered.  Only planes of
+    the grid count, so cells grow with the length of a segment inside the grid.
     """
     s = segments(points)
-    lo = {c: F.floor(F.least("a" + c, "b" + c) + 0.5 - 1e-8).cast("int") for c in XYZ}
-    up = {c: F.floor(F.greatest("a" + c, "b" + c) + 0.5).cast("int") for c in XYZ}
-    wide = (up["x"] - lo["x"] > 1) | (up["y"] - lo["y"] > 1) | (up["z"] - lo["z"] > 1)
-    s = s.withColumn("too_sparse", wide)
+    place = lambda c, p: F.col(p + c) + 0.5
+    wide, steps = F.lit(False), [F.array(F.lit(0.0), F.lit(1.0))]
     for c, n in zip(XYZ, shape):
-        first, last = F.greatest(lo[c], F.lit(0)), F.least(up[c], F.lit(n - 1))
-        s = s.withColumn("_lo" + c, first).withColumn("_up" + c, last).filter(F.col("_lo" + c) <= F.col("_up" + c))
-    for c in XYZ:
-        s = s.withColumn(c, F.explode(F.sequence("_lo" + c, "_up" + c)))
-    return s.drop(*["_lo" + c for c in XYZ], *["_up" + c for c in XYZ])
+        low, high = F.least(place(c, "a"), place(c, "b")), F.greatest(place(c, "a"), place(c, "b"))
+        wide = wide | (F.floor(high) - F.floor(low - 1e-8) > 1)
+        first, last = F.greatest(F.ceil(low - 1e-8), F.lit(0)).cast("int"), F.least(F.floor(high + 1e-8), F.lit(n)).cast("int")
+        length = F.col("b" + c) - F.col("a" + c)
+        at = F.transform(F.sequence(first, last), lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - place(c, "a")) / length)))
+        steps.append(F.when((F.abs(length) >= 1e-12) & (first <= last), at).otherwise(F.array().cast("array<double>")))
+
+    def cells(t):
+        around = []
+        for c, n in zip(XYZ, shape):
+            p = place(c, "a") + t * (F.col("b" + c) - F.col("a" + c))
+            both = F.array_distinct(F.array(F.floor(p - 1e-8).cast("int"), F.floor(p + 1e-8).cast("int")))
+            around.append(F.filter(both, lambda k: (k >= 0) & (k < n)))
+        line = lambda x, y: F.transform(around[2], lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
+        return F.flatten(F.transform(around[0], lambda x: F.flatten(F.transform(around[1], lambda y: line(x, y)))))
+
+    met = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(F.array(*steps))), cells)))
+    return s.withColumn("too_sparse", wide).withColumn("_met", met).select(*s.columns, "too_sparse", F.inline("_met"))
 
 
 def _slab_hit():
@@ -86,8 +99,10 @@ def crossing_tracks(points: DataFrame, mask: DataFrame, shape, strict: bool = Fa
 
     The spatial predicate becomes an equi-join on the cell, then the slab test.
     Segments of any length are tested in full; strict mode refuses those that
-    span more than two cells along an axis.
+    span more than two cells along an axis.  Tracks whose points are not numbered
+    without gaps are refused, since a segment would be lost there.
     """
+    require_gapless(points)
     if strict:
         require_dense(points)
     cell = (F.col("x") + shape[0] * (F.col("y") + shape[1] * F.col("z").cast("long"))).alias("_cell")
@@ -95,6 +110,19 @@ def crossing_tracks(points: DataFrame, mask: DataFrame, shape, strict: bool = Fa
     return cells.join(mask.select(cell).distinct(), "_cell").filter(_slab_hit()).select("track").distinct()
 
 
+def gapped_tracks(points: DataFrame) -> DataFrame:
+    """Tracks whose ``seq`` leaves out or repeats a number."""
+    n = points.groupBy("track").agg(F.count(F.lit(1)).alias("c"), F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count_if(F.col("seq").isNull()).alias("none"))
+    return n.filter("none > 0 OR hi - lo + 1 <> c").select("track")
+
+
+def require_gapless(points: DataFrame) -> None:
+    """Refuse points whose numbers leave gaps."""
+    first = gapped_tracks(points).take(1)
+    if first:
+        raise ValueError(f"the points of track {first[0].track} are not numbered without gaps")
+
+
 def require_dense(points: DataFrame) -> None:
     """Refuse tracks whose sampling is too sparse for the mask's voxels."""
     first = too_sparse_tracks(points).take(1)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import checked, finite
+from ..operators.iterate import union_all
+from ..session import cut
 
 NODE_SCHEMA = "index int, label int, name string, hemisphere string, tissue string, network string"
 
@@ -181,6 +185,29 @@ def lineage(run: str, stage: str, inputs: DataFrame, outputs: DataFrame, params:
     return rows.select(F.lit(run).alias("run"), F.lit(stage).alias("stage"), "role", "path", "sha256", F.lit(status).alias("status"), p.alias("params"))
 
 
+def append_lineage(rows: DataFrame, path: str, run: str) -> None:
+    """Add one run's lineage to an append-only table; a run that is there already is refused.
+
+    The rows are written under the run's name first and count once the run's commit
+    marker is written beside them, so a run that failed half-way is never read.
+    """
+    if rows.filter(F.col("run") != run).take(1):
+        raise ContractError(f"lineage rows of another run than {run}")
+    name = run if re.fullmatch("[A-Za-z0-9_.-]{1,80}", run) else None
+    if name is None:
+        raise ContractError("a run is named by letters, digits, dots, dashes and underscores")
+    rows.write.mode("errorifexists").parquet(f"{path}/rows/run={name}")
+    marker = rows.agg(F.count(F.lit(1)).alias("rows"), F.current_timestamp().alias("committed"))
+    marker.write.mode("errorifexists").parquet(f"{path}/commits/run={name}")
+
+
+def read_lineage(spark: SparkSession, path: str) -> DataFrame:
+    """Lineage of all committed runs."""
+    text = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    runs = text.parquet(f"{path}/commits").select(F.col("run").cast("string").alias("run"))
+    return text.parquet(f"{path}/rows").withColumn("run", F.col("run").cast("string")).join(runs, "run", "left_semi")
+
+
 def duplicate_payloads(hashes: DataFrame) -> DataFrame:
     """Digests used more than once, with the smallest and largest path and the number of uses."""
     return hashes.groupBy("sha256").agg(F.count(F.lit(1)).alias("uses"), F.min("path").alias("first_path"), F.max("path").alias("last_path")).filter("uses > 1")
@@ -225,10 +252,51 @@ def replay_diff_array(actual: DataFrame, expected: DataFrame, index: list[str],
     return d.withColumn("_1", F.lit(1)).join(nulls, "_1").drop("_1").withColumn("passed", F.col("passed") & (F.col("null_cells") == 0))
 
 
-def json_values(doc: DataFrame, column: str, paths: dict[str, str]) -> DataFrame:
-    """``name, value`` for declared JSON paths of one document column."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.get_json_object(column, p).cast("double").alias("value")) for n, p in paths.items()])
-    return doc.select(F.inline(pairs))
+def json_numbers(docs: DataFrame, column: str, paths: DataFrame, path: str) -> DataFrame:
+    """``doc, pair, at, value, kind`` of every element that a JSON path leads to, one a row.
+
+    ``docs`` has ``doc`` and the JSON text, ``paths`` ``pair`` and the path.  Arrays of
+    any depth are opened level by level; ``at`` lists an element's places.  What is no
+    number has no value, a path that leads nowhere the kind ``missing``, an empty array
+    ``empty``.
+    """
+    found = docs.select("doc", F.parse_json(F.col(column)).alias("_j")).crossJoin(F.broadcast(paths.select("pair", F.col(path).alias("_p"))))  # the declared pairs
+    rows = cut(found.select("doc", "pair", F.array().cast("array<int>").alias("at"), F.to_json(F.try_variant_get("_j", F.col("_p"), "variant")).alias("_t")))
+    done = [rows.filter("_t IS NULL").select("doc", "pair", "at", F.lit(None).cast("double").alias("value"), F.lit("missing").alias("kind"))]
+    rows = rows.filter("_t IS NOT NULL")
+    while True:
+        array = F.col("_t").startswith("[")
+        value = F.expr("try_cast(_t AS double)")
+        done.append(rows.filter(~array).select("doc", "pair", "at", F.when(finite(value), value).alias("value"), F.when(finite(value), "number").otherwise("other").alias("kind")))
+        arrays = rows.filter(array).withColumn("_e", F.expr("cast(parse_json(_t) AS array<variant>)"))
+        done.append(arrays.filter(F.size("_e") == 0).select("doc", "pair", "at", F.lit(None).cast("double").alias("value"), F.lit("empty").alias("kind")))
+        inner = arrays.select("doc", "pair", "at", F.posexplode("_e").alias("_i", "_v"))
+        rows = cut(inner.select("doc", "pair", F.concat("at", F.array(F.col("_i"))).alias("at"), F.coalesce(F.to_json("_v"), F.lit("null")).alias("_t")))
+        if rows.isEmpty():
+            return union_all(done)
+
+
+def replay_diff_values(actual: DataFrame, expected: DataFrame, paths: DataFrame, column: str = "json", atol: float = 1e-10, rtol: float = 1e-8) -> DataFrame:
+    """A row for each ``doc`` and ``pair``: passed, compared values, largest error, ways to fail.
+
+    ``paths`` declares the pairs as ``pair, actual, expected``.  Two sides agree if they
+    have the same elements at the same places and every two numbers are close; a null, a
+    text or a path that leads nowhere never equals anything.  Empty arrays compare no
+    value, which ``empty`` says; a document passes only with some value compared.
+    """
+    check_tolerances(atol, rtol)
+    side = lambda d, c, p: json_numbers(d.select("doc", column), column, paths, c).select("doc", "pair", "at", F.col("value").alias(p), F.col("kind").alias(p + "_kind"))
+    j = side(actual, "actual", "a").join(side(expected, "expected", "e"), ["doc", "pair", "at"], "full")
+    a, e = F.col("a"), F.col("e")
+    unpaired = F.col("a_kind").isNull() | F.col("e_kind").isNull()
+    empty = F.coalesce((F.col("a_kind") == "empty") & (F.col("e_kind") == "empty"), F.lit(False))
+    both = a.isNotNull() & e.isNotNull()
+    r = j.groupBy("doc", "pair").agg(
+        F.count_if(both).alias("compared_values"), F.max(F.when(both, F.abs(a - e))).alias("max_absolute_error"), F.count_if(unpaired).alias("unpaired"),
+        F.count_if(~unpaired & ~both & ~empty).alias("not_numbers"), F.count_if(both & ~(F.abs(a - e) <= atol + rtol * F.abs(e))).alias("outside_tolerance"), F.count_if(empty).alias("empty"),
+    )
+    own = (F.col("unpaired") + F.col("not_numbers") + F.col("outside_tolerance") == 0) & (F.col("compared_values") + F.col("empty") > 0)
+    return r.withColumn("passed", own)
 
 
 def suite_status(checks: DataFrame) -> DataFrame:
