@@ -225,7 +225,8 @@ IDENT = f"WITH ft AS ({FT})," + sim_sql() + near_sql()
 
 @query("P13_identification", "coords", IDENT + END + """SELECT subject,visit,near_subject,near_visit,round(own_max-other_max,6)+0.0 AS margin,subject=near_subject AS hit FROM nr""")
 def p13(t):
-    n = Y.nearest(cut(Y.similarity(Y.coordinate_features(coords(t)))))
+    n = cut(Y.nearest(cut(Y.similarity(Y.coordinate_features(coords(t))))))
+    Y.require_untied(n)
     return n.select(*S, "near_subject", "near_visit", r6(F.col("own_max") - F.col("other_max")).alias("margin"), "hit")
 
 

@@ -243,10 +243,33 @@ def p35r(t):
     return out(H.noise_ratio(vis_move(t, 1, 2), vis_move(t, 0, 1)), [])
 
 
-@query("P36_simulation_error", "coords", "WITH " + ERR + f"fl AS (SELECT a.subject,a.parcel,sqrt({'+'.join(f'(a.g{i}-b.g{i})**2' for i in range(1, 5))}) AS error FROM coords a JOIN coords b ON a.subject=b.subject AND a.parcel=b.parcel WHERE a.visit=1 AND b.visit=0), "
-       + "v AS (SELECT quantile_cont(z,.5) AS z,quantile_cont(error,.5) AS e FROM ez), f AS (SELECT quantile_cont(error/s,.5) AS z,quantile_cont(error,.5) AS e FROM fl JOIN sc USING (parcel)) SELECT round(v.z,6) AS void_median_sd,round(f.z,6) AS floor_median_sd,round(v.e/f.e,6) AS ratio FROM v,f")
+@query("P35_noise_signflip", "coords", f"""WITH ob AS ({_mv(1, 2)}),nz AS ({_mv(0, 1)}),d AS (SELECT list(ob.x-nz.x ORDER BY subject) AS d,avg(ob.x-nz.x) AS m,count(*)::INT AS n FROM ob JOIN nz USING (subject)),
+ fl AS (SELECT n,m,list_sum([CASE WHEN (b>>(k-1))&1=1 THEN -d[k] ELSE d[k] END for k in range(1,n+1)])/n AS nul FROM d,range(64) r(b))
+ SELECT n,round(m,6)+0.0 AS mean_difference,round(avg((nul>=m-1e-15)::INT),6) AS p_greater,round(avg((abs(nul)>=abs(m)-1e-15)::INT),6) AS p_two,count(*) AS n_signflips FROM fl GROUP BY n,m""")
+def p35s(t):
+    return out(H.noise_signflip(vis_move(t, 1, 2), vis_move(t, 0, 1)), ["n", "n_signflips"])
+
+
+_er = lambda a, b: f"SELECT a.subject,a.parcel,sqrt({'+'.join(f'(a.g{i}-b.g{i})**2' for i in range(1, 5))}) AS error FROM coords a JOIN coords b ON a.subject=b.subject AND a.parcel=b.parcel WHERE a.visit={a} AND b.visit={b}"
+
+
+@query("P36_simulation_error", "coords", "WITH " + ERR + f"fl AS ({_er(1, 0)}),rm AS ({_er(0, 2)}),"
+       + "v AS (SELECT quantile_cont(z,.5) AS z,quantile_cont(error,.5) AS e FROM ez), f AS (SELECT quantile_cont(error/s,.5) AS z,quantile_cont(error,.5) AS e FROM fl JOIN sc USING (parcel)), r AS (SELECT quantile_cont(error/s,.5) AS z,quantile_cont(error,.5) AS e FROM rm JOIN sc USING (parcel))"
+       + " SELECT round(v.z,6) AS void_median_sd,round(f.z,6) AS floor_median_sd,round(v.e/f.e,6) AS ratio,round(r.z,6) AS rim_median_sd,round(r.e/f.e,6) AS rim_ratio FROM v,f,r")
 def p36(t):
-    return out(H.simulation_error(errors(t, 1, 2), errors(t, 1, 0)), [])
+    return out(H.simulation_error(errors(t, 1, 2), errors(t, 1, 0), errors(t, 0, 2)), [])
+
+
+@query("P36_ratio_per_subject", "coords", f"WITH v AS (SELECT subject,quantile_cont(error,.5) AS e FROM ({_er(1, 2)}) GROUP BY 1),f AS (SELECT subject,quantile_cont(error,.5) AS e FROM ({_er(1, 0)}) GROUP BY 1) SELECT subject,round(v.e/f.e,6) AS ratio FROM v JOIN f USING (subject)")
+def p36s(t):
+    return out(H.simulation_ratio_per_subject(errors(t, 1, 2), errors(t, 1, 0)), ["subject"])
+
+
+@query("P36_false_displacement", "coords", f"""WITH ob AS ({_mv(1, 2)}),sm AS (SELECT 'floor' AS label,x FROM ({_mv(0, 1)}) UNION ALL SELECT 'void',x FROM ({_mv(0, 2)})),o AS (SELECT avg(x) AS m,stddev_samp(x) AS s FROM ob)
+ SELECT label,round(avg(x),6) AS mean,round(avg(x)/s,6) AS over_observed_sd,round(avg(x)/m,6) AS over_observed_mean FROM sm,o GROUP BY label,s,m""")
+def p36f(t):
+    sim = vis_move(t, 0, 1).withColumn("label", F.lit("floor")).unionByName(vis_move(t, 0, 2).withColumn("label", F.lit("void")))
+    return out(H.false_displacement(sim, vis_move(t, 1, 2)), ["label"])
 
 
 @query("P37_loso_gallery")
@@ -286,12 +309,26 @@ def p42(t):
     return out(P.rank_critical_values(t.spark, sizes), ["n", "null_draws", "critical_absolute_numerator", "denominator"])
 
 
-@query("P46_fisher_pool", "coords outcomes perms", "WITH " + FAM + """ fz AS (SELECT metric,sum((n-3)*atanh(rho))/sum(n-3) AS z,1/sqrt(sum(n-3)) AS se FROM pv1 WHERE endpoint='balance' AND abs(rho)<1-1e-9 AND n>3 GROUP BY 1 HAVING count(*)>1)
- SELECT metric,round(tanh(z),6)+0.0 AS r,round(tanh(z-1.959963984540054*se),6)+0.0 AS ci_low,round(tanh(z+1.959963984540054*se),6)+0.0 AS ci_high FROM fz""")
+POOL = """ pw AS (SELECT endpoint,metric,CASE WHEN max(abs(rho))>=1-1e-9 THEN 'perfect correlation' WHEN min(n)<=3 THEN 'three subjects or fewer' WHEN count(*)<2 THEN 'a single cohort' END AS reason FROM pv1 GROUP BY 1,2),
+ fz AS (SELECT endpoint,metric,sum((n-3)*atanh(rho))/sum(n-3) AS z,1/sqrt(sum(n-3)) AS se FROM pv1 JOIN pw USING (endpoint,metric) WHERE reason IS NULL GROUP BY 1,2)"""
+
+
+def pooled_rows(t: Tables):
+    return cut(tests(t).select("endpoint", "metric", "n", F.col("rho").alias("r")))
+
+
+@query("P46_fisher_pool", "coords outcomes perms", "WITH " + FAM + POOL + """
+ SELECT endpoint,metric,round(tanh(z),6)+0.0 AS r,round(tanh(z-1.959963984540054*se),6)+0.0 AS ci_low,round(tanh(z+1.959963984540054*se),6)+0.0 AS ci_high FROM fz""")
 def p46(t):
-    r = tests(t).filter("endpoint = 'balance'").select("metric", "n", F.col("rho").alias("r")).filter(F.abs("r") < 1 - 1e-9)
-    r = r.withColumn("_m", F.count(F.lit(1)).over(W.partitionBy("metric"))).filter("n > 3 and _m > 1").drop("_m")
-    return out(P.fisher_pool(r, ["metric"], 24).select("metric", "r", "ci_low", "ci_high"), ["metric"])
+    """Every endpoint and metric over the networks; groups with a refused row are listed by the next query."""
+    rows, k = pooled_rows(t), ["endpoint", "metric"]
+    usable = rows.join(P.pool_violations(rows, k), k, "left_anti")
+    return out(P.fisher_pool(usable, k, 24).select(*k, "r", "ci_low", "ci_high"), k)
+
+
+@query("P46_pool_violations", "coords outcomes perms", "WITH " + FAM + POOL + " SELECT endpoint,metric,reason FROM pw WHERE reason IS NOT NULL")
+def p46v(t):
+    return P.pool_violations(pooled_rows(t), ["endpoint", "metric"])
 
 
 @query("P47_dual_family", "coords outcomes perms", "WITH " + SD + tests_sql("sd", "network,metric", "delta", "AND endpoint IN ('balance','top')") + maxt_sql("endpoint", "endpoint,network,metric", "mt")

@@ -352,6 +352,13 @@ def icc21(table: DataFrame, keys: list[str], row: str = "subject", col: str = "v
     return out.drop("_1")
 
 
+def pool_violations(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, reason`` of the groups that :func:`fisher_pool` refuses."""
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n"), F.max(F.abs("r")).alias("r"))
+    why = F.when(F.col("r") >= 1 - 1e-9, "perfect correlation").when(F.col("n") <= 3, "three subjects or fewer").when(F.col("m") < 2, "a single cohort")
+    return g.select(*keys, why.alias("reason")).filter("reason IS NOT NULL")
+
+
 def fisher_pool(rows: DataFrame, keys: list[str], family_size: int) -> DataFrame:
     """(n-3)-weighted Fisher z with normal tail, Bonferroni and 95 % interval."""
     @F.pandas_udf("double")

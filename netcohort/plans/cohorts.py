@@ -14,6 +14,7 @@ from ..operators import geometry as M
 from ..operators import graphs as G
 from ..operators import inference as P
 from ..operators import similarity as Y
+from ..operators.iterate import union_all
 from ..session import cut
 from . import screens, studies
 from .graph_study import session_measures
@@ -106,7 +107,10 @@ def calibre_summary(values: DataFrame, outcomes: DataFrame, keys: list[str], gro
 # -- mapping between bases ---------------------------------------------------
 
 def parcel_mapping(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Cortical nodes of two bases paired by their full name."""
+    """Cortical nodes of two bases paired by their full name; a name without its one equal partner is refused."""
+    bad = mapping_guard(first, second).take(1)
+    if bad:
+        raise ValueError(f"parcel {bad[0]['name']}: {bad[0].reason}")
     pick = lambda d, o: d.filter("tissue = 'cortex'").select("name", "hemi", "network", F.col("idx").alias(o))
     return pick(first, "first_idx").join(pick(second, "second_idx").select("name", "second_idx"), "name")
 
@@ -215,12 +219,26 @@ def noise_ratio(observed: DataFrame, noise: DataFrame) -> DataFrame:
     return j.agg(F.median(F.col("x") / F.col("y0")).alias("ratio_median"), F.corr("x", "y0").alias("corr"))
 
 
-def simulation_error(void: DataFrame, floor: DataFrame) -> DataFrame:
-    """Median scaled errors and their ratio; inputs ``subject, parcel, error, z``."""
-    one = cut(void.select(F.lit("void").alias("case"), "subject", "error", "z").unionByName(floor.select(F.lit("floor").alias("case"), "subject", "error", "z")))
+def noise_signflip(observed: DataFrame, noise: DataFrame) -> DataFrame:
+    """Exact sign-flip test of observed against same-day displacement of the same subjects."""
+    j = observed.join(noise.withColumnRenamed("x", "y0"), "subject")
+    return P.paired_signflip(j.select(F.lit(1).alias("_1"), "subject", (F.col("x") - F.col("y0")).alias("d")), ["_1"]).drop("_1")
+
+
+def simulation_error(void: DataFrame, floor: DataFrame, rim: DataFrame | None = None) -> DataFrame:
+    """Median scaled errors and their ratio to the floor; inputs ``subject, parcel, error, z``.
+
+    With ``rim``, the error beyond the mask, also its median and ratio.
+    """
+    cases = {"void": void, "floor": floor, **({"rim": rim} if rim is not None else {})}
+    one = cut(union_all([d.select(F.lit(c).alias("case"), "subject", "error", "z") for c, d in cases.items()]))
     e, z = O.median(one, ["case"], "error", "e"), O.median(one, ["case"], "z", "z")
     at = lambda c, v: F.max(F.when(F.col("case") == v, F.col(c)))
-    return e.join(z, "case").agg(at("z", "void").alias("void_median_sd"), at("z", "floor").alias("floor_median_sd"), (at("e", "void") / at("e", "floor")).alias("ratio"))
+    ratio = lambda c: at("e", c) / at("e", "floor")
+    out = [at("z", "void").alias("void_median_sd"), at("z", "floor").alias("floor_median_sd"), ratio("void").alias("ratio")]
+    if rim is not None:
+        out += [at("z", "rim").alias("rim_median_sd"), ratio("rim").alias("rim_ratio")]
+    return e.join(z, "case").agg(*out)
 
 
 def simulation_ratio_per_subject(void: DataFrame, floor: DataFrame) -> DataFrame:
@@ -228,6 +246,16 @@ def simulation_ratio_per_subject(void: DataFrame, floor: DataFrame) -> DataFrame
     return a.join(b, "subject").select("subject", (F.col("a") / F.col("b")).alias("ratio"))
 
 
+def false_displacement(simulated: DataFrame, observed: DataFrame) -> DataFrame:
+    """``label, mean, over_observed_sd, over_observed_mean``: displacement that a simulation shows without any change.
+
+    ``simulated`` has ``label, subject, x``, ``observed`` ``subject, x``.
+    """
+    seen = observed.agg(F.avg("x").alias("_mean"), F.stddev_samp("x").alias("_sd"))
+    m = simulated.groupBy("label").agg(F.avg("x").alias("mean"))
+    return m.join(F.broadcast(seen)).select("label", "mean", (F.col("mean") / F.col("_sd")).alias("over_observed_sd"), (F.col("mean") / F.col("_mean")).alias("over_observed_mean"))  # one row
+
+
 def axis_vs_external_map(axis: DataFrame, external: DataFrame) -> DataFrame:
     """|r|, |rho|, display sign and network-rank rho on shared parcels.
 

@@ -164,7 +164,10 @@ def gradient_table_qc(table: DataFrame, volumes: DataFrame | None = None) -> Dat
 
 
 def select_baselines(bvals: DataFrame) -> DataFrame:
-    """``acquisition, vol`` of the volumes at or below the baseline limit."""
+    """``acquisition, vol`` of the volumes at or below the baseline limit; an acquisition without any is refused."""
+    none = without_baseline(bvals).take(1)
+    if none:
+        raise ValueError(f"acquisition {none[0].acquisition} has no baseline volume")
     return bvals.filter(F.col("b") <= BASELINE_MAX).select("acquisition", "vol")
 
 
