@@ -102,6 +102,19 @@ def p23(t):
     return out(H.group_correspondence(cut(a), cut(b), cut(H.parcel_mapping(n, second)), N_CORTEX), ["scale"])
 
 
+@query("P23_gradient_correspondence", "", "SELECT unnest([1,2,3,4]) AS axis,true AS same_network_is_one,true AS within_one")
+def p23g(t):
+    """Axes of two cohort means; a renumbered copy of the first one must agree with it, signs included."""
+    e, n = cut(t.edges()), t.nodes()
+    # the numbers of the copy keep the order of the nodes, by which signs of tied axes are fixed
+    moved = n.withColumn("idx", F.col("idx") + 7)
+    a, b = (cut(E.mean_network(e.filter(F.col("visit") == v), subjects(t).count())) for v in (0, 2))
+    copy = a.select((F.col("i") + 7).alias("i"), (F.col("j") + 7).alias("j"), "w")
+    same, other = H.gradient_correspondence(a, copy, n, moved), H.gradient_correspondence(a, b, n, n)
+    j = same.select("axis", (F.abs(F.col("signed") - 1) < 1e-6).alias("same_network_is_one")).join(other, "axis")
+    return j.select("axis", "same_network_is_one", F.col("r").between(0, 1 + 1e-12).alias("within_one"))
+
+
 @query("P24_reference_transfer")
 def p24(t):
     e = cut(t.edges())

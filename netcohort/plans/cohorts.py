@@ -124,6 +124,19 @@ def mapping_guard(first: DataFrame, second: DataFrame) -> DataFrame:
     return j.select("name", reason.alias("reason")).filter("reason is not null")
 
 
+def gradient_correspondence(first: DataFrame, second: DataFrame, first_nodes: DataFrame, second_nodes: DataFrame) -> DataFrame:
+    """``axis, signed, r``: correlation of each retained axis of two mean networks over the parcels both have.
+
+    Both are embedded by hemisphere with the primary settings and not rotated.
+    """
+    long = lambda e, n: E.embed(E.hemisphere_slice(e, n), ["hemi"], E.hemisphere_sizes(n))[0].select("node", F.posexplode(F.slice("g", 1, E.RETAINED)).alias("axis", "value"))
+    m = parcel_mapping(first_nodes, second_nodes).select("first_idx", "second_idx")
+    a = long(first, first_nodes).withColumnRenamed("node", "first_idx")
+    b = long(second, second_nodes).select(F.col("node").alias("second_idx"), "axis", F.col("value").alias("other"))
+    r = a.join(m, "first_idx").join(b, ["second_idx", "axis"]).groupBy("axis").agg(F.corr("value", "other").alias("signed"))
+    return r.select((F.col("axis") + 1).alias("axis"), "signed", F.abs("signed").alias("r"))
+
+
 def group_correspondence(first: DataFrame, second: DataFrame, mapping: DataFrame, n: int) -> DataFrame:
     """|r| of node strength and of edges between two mean networks, raw, log and ranked.
 
