@@ -160,35 +160,34 @@ def _multiply(v: DataFrame, kernel: DataFrame, scale: DataFrame, keys: list[str]
     )
 
 
-def _gram(a: DataFrame, keys: list[str], b: int, other: str | None = None) -> DataFrame:
-    """Per group the symmetric b x b inner products, flat; each one is summed once."""
-    second = other or "v"
-    upper = [F.sum(F.col(f"v{i}") * F.col(f"{second}{j}")).alias(f"g{i}_{j}") for i in range(b) for j in range(i, b)]
-    return a.groupBy(*keys).agg(*upper).select(*keys, F.array(*[F.col(f"g{min(i, j)}_{max(i, j)}") for i in range(b) for j in range(b)]).alias("g"))
+def _inner(b: int, second: str) -> tuple[list, Column]:
+    """Sums of the upper triangle of a symmetric b x b matrix, and the flat matrix of them."""
+    upper = [F.sum(F.col(f"v{i}") * F.col(f"{second}{j}")).alias(f"{second}_{i}_{j}") for i in range(b) for j in range(i, b)]
+    return upper, F.array(*[F.col(f"{second}_{min(i, j)}_{max(i, j)}") for i in range(b) for j in range(b)])
 
 
-def _small(gram: DataFrame, keys: list[str], b: int, mode: str) -> DataFrame:
-    """Solve each group's b x b matrix: ``orth`` gives G^-1/2, ``ritz`` eigenpairs.
+def _projected(both: DataFrame, keys: list[str], b: int) -> DataFrame:
+    """``keys, r, l``: eigenpairs of M on the span of each group's block ``v`` (``mv`` is M v).
 
+    ``r`` (b x b, flat) turns the block into orthonormal vectors, largest value first.
     Directions that a small group does not have become columns of zeros.
     """
+    (g, flat_g), (m, flat_m) = _inner(b, "v"), _inner(b, "mv")
+    gram = both.groupBy(*keys).agg(*g, *m).select(*keys, flat_g.alias("g"), flat_m.alias("m"))
     types = ", ".join(f"{c} {gram.schema[c].dataType.simpleString()}" for c in keys)
 
     def solve(batches):
         import numpy as np
 
         for pdf in batches:
-            m = np.stack([np.asarray(g, float).reshape(b, b) for g in pdf["g"]]) if len(pdf) else np.empty((0, b, b))
-            val, vec = np.linalg.eigh((m + m.transpose(0, 2, 1)) / 2)
+            g, m = (np.stack([np.asarray(x, float).reshape(b, b) for x in pdf[c]]) if len(pdf) else np.empty((0, b, b)) for c in "gm")
+            val, vec = np.linalg.eigh(g)
+            floor = np.maximum(val[:, -1:] * 1e-13, 1e-300)
+            t = vec * np.where(val > floor, 1 / np.sqrt(np.maximum(val, floor)), 0.0)[:, None, :]
+            small = t.transpose(0, 2, 1) @ m @ t
+            lam, y = np.linalg.eigh((small + small.transpose(0, 2, 1)) / 2)
             out = pdf[keys].copy()
-            if mode == "orth":
-                floor = np.maximum(val[:, -1:] * 1e-13, 1e-300)
-                scaled = np.where(val > floor, 1 / np.sqrt(np.maximum(val, floor)), 0.0)
-                out["r"] = list((vec * scaled[:, None, :])[:, :, ::-1].reshape(len(pdf), -1))
-                out["l"] = list(val[:, ::-1])
-            else:
-                out["r"] = list(vec[:, :, ::-1].reshape(len(pdf), -1))
-                out["l"] = list(val[:, ::-1])
+            out["r"], out["l"] = list((t @ y)[:, :, ::-1].reshape(len(pdf), -1)), list(lam[:, ::-1])
             yield out
 
     return gram.mapInPandas(solve, types + ", r array<double>, l array<double>")
@@ -214,8 +213,8 @@ def top_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components:
     """``keys, node, u, l``: leading eigenvectors (trivial one first) and values.
 
     One block subspace iteration over all groups, whatever their size: a round
-    multiplies, makes the block orthonormal through one small Gram matrix a group and
-    solves the projected problem.  Groups whose residuals are within ``tolerance`` are
+    multiplies and solves the problem projected on the block, from two small matrices of
+    inner products a group.  Groups whose residuals are within ``tolerance`` are
     settled and leave; the others go on from their multiplied vectors.  A group that
     does not settle in ``rounds`` raises.
     """
@@ -230,12 +229,9 @@ def top_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components:
     settled = []
     for _ in range(rounds):
         w = cut(v)
-        v = _turn(w, _small(_gram(w, keys, b), keys, b, "orth"), keys, b)
-        # a second pass removes what rounding left of a nearly dependent block
-        v = cut(_turn(v, _small(_gram(v, keys, b), keys, b, "orth"), keys, b))
-        mv = _multiply(v, kernel, scale, keys, b).select(*keys, "node", *[F.col(c).alias("m" + c) for c in _names(b)])
-        both = cut(v.join(mv, [*keys, "node"]))
-        ritz = cut(_small(_gram(both, keys, b, "mv"), keys, b, "ritz"))
+        mv = _multiply(w, kernel, scale, keys, b).select(*keys, "node", *[F.col(c).alias("m" + c) for c in _names(b)])
+        both = cut(w.join(mv, [*keys, "node"]))
+        ritz = cut(_projected(both, keys, b))
         u = _turn(both.select(*keys, "node", *_names(b)), ritz, keys, b).select(*keys, "node", F.array(*_names(b)).alias("u"))
         mu = _turn(both.select(*keys, "node", *[F.col("m" + c).alias(c) for c in _names(b)]), ritz, keys, b).select(*keys, "node", F.array(*_names(b)).alias("mu"))
         now = u.join(mu, [*keys, "node"]).join(ritz.select(*keys, "l"), keys)
@@ -246,7 +242,8 @@ def top_eigen(kernel: DataFrame, scale: DataFrame, keys: list[str], components:
         open_ = now.filter("NOT _done")
         if open_.isEmpty():
             return cut(union_all(settled))
-        v = open_.select(*keys, "node", *[F.get("mu", F.lit(k)).alias(f"v{k}") for k in range(b)])
+        # scaled so that the multiplied vectors are about as long as each other
+        v = open_.select(*keys, "node", *[(F.get("mu", F.lit(k)) / F.pow(F.greatest(F.get("l", F.lit(k)), F.lit(1e-3)), powers)).alias(f"v{k}") for k in range(b)])
         for _ in range(powers - 1):
             v = _multiply(v, kernel, scale, keys, b)
     raise RuntimeError("eigenvectors did not settle")
