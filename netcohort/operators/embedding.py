@@ -358,7 +358,8 @@ def cohort_embeddings(edges: DataFrame, nodes: DataFrame, subjects: DataFrame, m
         raise ValueError("mode is common or loso")
     ref, _ = embed(ref_edges, on, *args)
     key = [*sk, "subject", "visit", "hemi"]
-    grid = edges.select("subject", "visit").distinct().crossJoin(F.broadcast(sizes.select("hemi")))  # two hemispheres
+    both = F.explode(F.array(F.lit("L"), F.lit("R"))).alias("hemi")
+    grid = edges.select("subject", "visit").distinct().select("*", both).join(sizes, "hemi", "left_semi")
     if settings:
         grid = grid.select("*", F.explode(F.array(*[F.lit(x) for x in settings])).alias("setting"))
     g, lam = embed(cort, key, *args, expected=grid)

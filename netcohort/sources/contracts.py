@@ -260,7 +260,8 @@ def json_numbers(docs: DataFrame, column: str, paths: DataFrame, path: str) -> D
     number has no value, a path that leads nowhere the kind ``missing``, an empty array
     ``empty``.
     """
-    found = docs.select("doc", F.parse_json(F.col(column)).alias("_j")).crossJoin(F.broadcast(paths.select("pair", F.col(path).alias("_p"))))  # the declared pairs
+    declared = paths.agg(F.collect_list(F.struct("pair", F.col(path).alias("_p"))).alias("_d")).withColumn("_1", F.lit(1))
+    found = docs.select("doc", F.parse_json(F.col(column)).alias("_j"), F.lit(1).alias("_1")).join(F.broadcast(declared), "_1").select("doc", "_j", F.inline("_d"))
     rows = cut(found.select("doc", "pair", F.array().cast("array<int>").alias("at"), F.to_json(F.try_variant_get("_j", F.col("_p"), "variant")).alias("_t")))
     done = [rows.filter("_t IS NULL").select("doc", "pair", "at", F.lit(None).cast("double").alias("value"), F.lit("missing").alias("kind"))]
     rows = rows.filter("_t IS NOT NULL")
