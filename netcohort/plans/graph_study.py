@@ -39,10 +39,14 @@ def session_measures(edges: DataFrame, nodes: DataFrame, n: int, keys: list[str]
         lcc.groupBy(*ck).agg((F.max("size") / F.max("n")).alias("largest_component_fraction")),
     ]
     if modularity:
-        for kind, e in (("binary", kept.withColumn("w", F.lit(1.0))), ("rank", kept)):
-            q = G.modularity(e, G.communities(e, ck, base), ck)
-            parts.append(q.select(*ck, F.col("modularity").alias(f"{kind}_modularity"),
-                                  F.col("n_communities").alias(f"{kind}_n_communities")))
+        # both kinds of weights are searched in one plan
+        kinds = F.explode(F.array(F.struct(F.lit("binary").alias("kind"), F.lit(1.0).alias("v")), F.struct(F.lit("rank").alias("kind"), F.col("w").alias("v")))).alias("_k")
+        e = cut(kept.select(*ck, "i", "j", kinds).select(*ck, "_k.kind", "i", "j", F.col("_k.v").alias("w")))
+        each = cut(base.select(*ck, "node", F.explode(F.array(F.lit("binary"), F.lit("rank"))).alias("kind")))
+        kk = [*ck, "kind"]
+        q = cut(G.modularity(e, G.communities(e, kk, each), kk))
+        of = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
+        parts.append(q.groupBy(*ck).agg(*[of(c, k).alias(f"{k}_{c}") for k in ("binary", "rank") for c in ("modularity", "n_communities")]))
     if extended:
         parts += [
             G.local_efficiency(kept, ck, n, tri),
