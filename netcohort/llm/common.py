@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python: texts may be long, so batches are short.
 BATCH_ROWS = 256
@@ -30,6 +32,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def longs(values: list[int | None]) -> Column:
+    """A constant array of longs."""
+    return F.expr("array(" + ", ".join("CAST(NULL AS LONG)" if v is None else f"{v}L" for v in values) + ")")
+
+
+def places_before(keys: list[tuple[int, ...]], own: Column) -> Column:
+    """How many of the sorted ``keys`` are at or before the struct ``own``.
+
+    The keys lie in blocks of about the square root of their number: a row looks through
+    the blocks' first keys and then through one block.
+    """
+    if not keys:
+        return F.lit(0)
+    step = isqrt(len(keys)) + 1
+    one = lambda key: "struct(" + ", ".join(f"{v}L" for v in key) + ")"
+    blocks = [keys[i : i + step] for i in range(0, len(keys), step)]
+    firsts = F.expr("array(" + ", ".join(one(b[0]) for b in blocks) + ")")
+    held = F.expr("array(" + ", ".join("array(" + ", ".join(map(one, b)) + ")" for b in blocks) + ")")
+    before = F.size(F.filter(firsts, lambda p: p <= own)) - 1
+    return F.when(own < F.expr(one(keys[0])), 0).otherwise(before * step + F.size(F.filter(F.get(held, before), lambda p: p <= own)))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` that hands ``fn`` slices of at most ``rows`` rows.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import BATCH_ROWS, short_batches, span_hashes
+from .common import BATCH_ROWS, longs, places_before, short_batches, span_hashes
 
 SLOTS = 128
 #: Documents of one range of ids (the mean) and ranges in all, which the driver sees.
@@ -138,16 +138,16 @@ def phrase_fingerprints(docs: DataFrame) -> DataFrame:
     n = ids.count()
     ranges = min(MAX_RANGES, -(-n // RANGE_ROWS))
     cuts = ids.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
-    where = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))), lambda c: c > F.col("_key"))) if cuts else F.lit(0)
+    places = sorted(set(cuts))
+    where = F.lit(len(places)) - places_before([(c,) for c in places], F.struct(F.col("_key").alias("col1")))
     firsts = {r["_range"]: r["_key"] for r in ids.groupBy(where.alias("_range")).agg(F.max("_key").alias("_key")).take(1 << 24)}
     order = sorted(firsts)
-    host = {firsts[r]: order[i - 1] for i, r in enumerate(order)}  # the first row of a range is the guest of the one before
-    if host:
-        guest_of = F.element_at(F.create_map(*(F.lit(x).cast("long" if j % 2 == 0 else "int") for j, x in enumerate(sum(host.items(), ())))), F.col("_key"))
-    else:
-        guest_of = F.lit(None).cast("int")
-    places = F.array_compact(F.array(F.struct(where.cast("int").alias("r"), F.lit(False).alias("g")), F.when(guest_of.isNotNull(), F.struct(guest_of.alias("r"), F.lit(True).alias("g")))))
-    placed = rows.withColumn("_at", F.explode(places)).select("doc_id", "text", "_key", F.col("_at.r").alias("_range"), F.col("_at.g").alias("_guest"))
+    # the first row of a range is the guest of the one before, that of the first range of the last
+    host = {r: order[i - 1] for i, r in enumerate(order)}
+    first, before = [[of.get(r) for r in range(len(places) + 1)] for of in (firsts, host)]
+    guest_of = F.when(F.get(longs(first), where) == F.col("_key"), F.get(longs(before), where)).cast("int")
+    seats = F.array_compact(F.array(F.struct(where.cast("int").alias("r"), F.lit(False).alias("g")), F.when(guest_of.isNotNull(), F.struct(guest_of.alias("r"), F.lit(True).alias("g")))))
+    placed = rows.withColumn("_at", F.explode(seats)).select("doc_id", "text", "_key", F.col("_at.r").alias("_range"), F.col("_at.g").alias("_guest"))
     ranged = placed.repartition(max(1, ranges), "_range").sortWithinPartitions("_range", "_guest", F.desc("_key"), "text")
     short_batches(spark, BATCH_ROWS)
     kind = docs.schema["doc_id"].dataType

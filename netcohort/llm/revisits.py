@@ -9,7 +9,8 @@ payload is moved.
 A revisit is resolved when a validator agrees: entity tags by weak comparison, else
 modification dates.  Its permitted headers then replace the response's.
 
-Defined cases: a null URL never resolves; captures at the same time are not earlier
+Defined cases: a null URL never resolves; a response without time is earlier than no
+other capture, and no response is earlier than a revisit without time; captures at the same time are not earlier
 than one another; of responses at one time the largest id counts; repeated captures
 resolve alike; responses of another status than 200 are not full; an empty table
 gives no rows.
@@ -61,7 +62,7 @@ def resolve_revisits(captures: DataFrame, ranges: int = RANGES) -> DataFrame:
     cuts = rows.agg(F.percentile_approx("ts", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
     slot = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts)))), lambda c: c <= F.col("ts"))) if cuts else F.lit(0)
     kept = F.struct("ts", F.col("record_id").alias("id"), F.to_json("headers").alias("headers"))
-    placed = rows.withColumn("_slot", slot.cast("int")).withColumn("_own", F.when(F.col("_full"), kept))
+    placed = rows.withColumn("_slot", slot.cast("int")).withColumn("_own", F.when(F.col("_full") & F.col("ts").isNotNull(), kept))
     ends = placed.filter("_full AND url IS NOT NULL").groupBy("url", "_slot").agg(F.max("_own").alias("_end"))
     asked = placed.filter("NOT _full").select("url", "_slot").distinct()
     marks = ends.join(asked, ["url", "_slot"], "full")

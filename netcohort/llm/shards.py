@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut
+from .common import longs, places_before
 
 SHARDS = 8
 #: Share of a shard's bytes by which a boundary may be off.
@@ -34,11 +35,7 @@ LEAST = -(1 << 63)
 
 def _slot(keys: list[tuple[int, int]]) -> Column:
     """How many of the sorted ``keys`` are at or before the row."""
-    if not keys:
-        return F.lit(0)
-    probes = F.array(*(F.struct(F.lit(a).cast("long").alias("h"), F.lit(b).cast("long").alias("k")) for a, b in keys))
-    own = F.struct(F.col("_h").alias("h"), F.col("_k").alias("k"))
-    return F.size(F.filter(probes, lambda p: p <= own))
+    return places_before(keys, F.struct(F.col("_h").alias("col1"), F.col("_k").alias("col2")))
 
 
 def _splitters(rows: DataFrame, targets: list[float], slack: list[float]) -> list[tuple[int, int]]:
@@ -102,7 +99,7 @@ def histogram_shards(df: DataFrame, content: Column, row_id: Column, size: Colum
         before.append(gone.get(s, 0))
         gone[s] = gone.get(s, 0) + held.get(i, 0)
     w = W.partitionBy("_cell").orderBy("_h", "_k", "_b")
-    at = lambda values: F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col("_cell") + 1)
+    at = lambda values: F.get(longs(values), F.col("_cell"))
     return slots.select("_row.*", at(shard_of).cast("int").alias("shard"), (at(before) + F.row_number().over(w) - 1).cast("long").alias("slot"))
 
 

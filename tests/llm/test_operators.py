@@ -11,7 +11,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from netcohort.llm import fingerprints, jaccard, mixing, packing, queries, repeats, repetition, revisits, secrets, shards, tokens
+from netcohort.llm import common, fingerprints, jaccard, mixing, packing, queries, repeats, repetition, revisits, secrets, shards, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, slot long, token long, key long, copies int, bin_id long, other string"
@@ -120,6 +120,22 @@ def test_shards_hold_the_law(spark, odd, empty):
     assert shards.document_shards(empty).count() == 0
 
 
+def test_places_among_many_keys(spark):
+    """Keys in blocks give the same places as a bisection, at both ends of the long range."""
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    ends = [-(1 << 63), (1 << 63) - 1, 0]
+    for n in (0, 1, 2, 3, 7, 300):
+        keys = sorted({(r.choice([*ends, r.randrange(-50, 50)]), r.choice([*ends, r.randrange(-50, 50)])) for _ in range(n)})
+        rows = keys + [(r.choice([*ends, r.randrange(-60, 60)]), r.randrange(-60, 60)) for _ in range(200)] + [(a, b) for a in ends for b in ends]
+        df = spark.createDataFrame(rows, "a long, b long")
+        got = df.select("a", "b", common.places_before(keys, F.struct(F.col("a").alias("col1"), F.col("b").alias("col2"))).alias("p")).collect()
+        assert all(x["p"] == bisect_right(keys, (x["a"], x["b"])) for x in got)
+
+
 def test_a_group_of_equal_texts_is_spread_only_as_far_as_needed(spark):
     rows = [(i, "hot text" if i % 3 else f"text {i}") for i in range(900)]
     got = shards.document_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -518,6 +534,13 @@ def test_revisits_take_the_latest_earlier_response(spark):
         (8, 30, "revisit", None, 304, {"etag": '"1"'}),
         (9, 24, "response", "http://a.com/x?a=1&b=2", 404, {"etag": '"9"'}),
         (10, 25, "revisit", "http://a.com/x?a=1&b=2", 304, {"etag": '"2"'}),
+        (11, None, "response", "http://a.com/x?a=1&b=2", 200, {"etag": '"2"'}),
+        (12, None, "revisit", "http://a.com/x?a=1&b=2", 304, {"etag": '"2"'}),
+        (13, 1, "response", "b.com", 200, {"etag": '"1"'}),
+        (14, None, "response", "b.com", 200, {"etag": '"2"'}),
+        (15, 9, "revisit", "b.com", 304, {"etag": '"2"'}),
+        (16, 9, "revisit", "c.com", None, None),
+        (17, 1, "response", "c.com", 200, None),
     ]
     df = spark.createDataFrame(rows, "record_id long, ts long, kind string, url string, status int, headers map<string,string>")
     for ranges in (1, 3, 128):
@@ -525,6 +548,7 @@ def test_revisits_take_the_latest_earlier_response(spark):
         assert got == {
             3: (1, "resolved", 'content-length: 5\ndate: d\netag: "1"'), 4: (2, "resolved", 'content-length: 6\netag: W/"2"'), 5: (None, "validator differs", None),
             6: (None, "no validator", None), 7: (None, "no earlier response", None), 8: (None, "no earlier response", None), 10: (2, "resolved", 'content-length: 6\netag: "2"'),
+            12: (None, "no earlier response", None), 15: (None, "validator differs", None), 16: (None, "no validator", None),
         }
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
 
