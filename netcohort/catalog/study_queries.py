@@ -178,6 +178,13 @@ def mm(t: Tables):
     return t.raw("supplier").select(F.col("s_suppkey").alias("parcel"), (F.col("s_suppkey") * 1.0).alias("distance"))
 
 
+@query("P28_zone_hits", "coords", f"""WITH z AS (SELECT s_suppkey AS parcel,CASE WHEN s_suppkey<30 THEN 'near' WHEN s_suppkey<60 THEN 'mid' ELSE 'far' END AS zone FROM supplier),
+ ft AS (SELECT zone,subject,visit,feature,x FROM ({FT}) JOIN z ON CAST(z.parcel AS VARCHAR)=split_part(feature,':',1)),""" + sim_sql(k="zone") + near_sql(k="zone") + END
+       + """SELECT zone,(SELECT count(*) FROM z WHERE z.zone=nr.zone) AS n_parcels,count(*) FILTER (subject=near_subject) AS correct FROM nr GROUP BY zone""")
+def p28_hits(t):
+    return H.zone_hits(coords(t), mm(t))
+
+
 @query("P28_distance_bins_identification")
 def p28(t):
     return H.distance_bins_identification(coords(t), mm(t), 200, 20261015)

@@ -382,11 +382,17 @@ def scaled_error(first: DataFrame, second: DataFrame, base: DataFrame) -> DataFr
     return e.join(across_subject_scale(base, ["parcel"]), "parcel").select("subject", "parcel", "error", (F.col("error") / F.col("scale")).alias("z"))
 
 
-def random_subset_identification(coords: DataFrame, size: int, draws: int, seed: int) -> DataFrame:
-    """``draw, correct`` for random same-size parcel sets (hash-chosen, exact size)."""
+def random_subset_identification(coords: DataFrame, sizes: DataFrame, draws: int, seed: int) -> DataFrame:
+    """``zone, draw, correct`` for random parcel sets (hash-chosen) of the exact size of each zone.
+
+    ``sizes`` holds ``zone, n``, a row for each of a few zones.  A draw orders the parcels
+    once; each zone takes as many of the first as it holds.
+    """
     parcels = cut(coords.select("parcel").distinct())
     tagged = parcels.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("h", F.xxhash64(F.lit(seed), "draw", "parcel"))
-    pos = O.value_positions(tagged, ["draw"], "h").filter(F.col("before") < size).select("draw", "h")
-    chosen = tagged.join(pos, ["draw", "h"]).select("draw", "parcel")
-    f = coordinate_features(coords.join(chosen, "parcel"), keys=("draw",))
-    return nearest(similarity(f, ["draw"]), ["draw"]).groupBy("draw").agg(F.count_if("hit").alias("correct"))
+    wanted = sizes.agg(F.collect_list(F.struct("zone", "n")).alias("_sizes")).withColumn("_1", F.lit(1))  # one row
+    pos = O.value_positions(tagged, ["draw"], "h").withColumn("_1", F.lit(1)).join(wanted, "_1")
+    taken = pos.select("draw", "h", F.explode(F.filter("_sizes", lambda x: F.col("before") < x["n"])).alias("_z")).select("draw", "h", "_z.zone")
+    chosen = tagged.join(taken, ["draw", "h"]).select("zone", "draw", "parcel")
+    f = coordinate_features(coords.join(chosen, "parcel"), keys=("zone", "draw"))
+    return nearest(similarity(f, ["zone", "draw"]), ["zone", "draw"]).groupBy("zone", "draw").agg(F.count_if("hit").alias("correct"))

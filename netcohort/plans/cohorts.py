@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,20 +198,23 @@ def spatial_error_profile(errors: DataFrame) -> DataFrame:
     return w.withColumn("ratio", F.col("near") / F.greatest("far", F.lit(1e-12)))
 
 
+def zone_hits(coords: DataFrame, distance: DataFrame) -> DataFrame:
+    """``zone, n_parcels, correct``: identification on near, mid and far parcels, zones of two parcels or more."""
+    d = cut(distance.select("parcel", zone(F.col("distance")).alias("zone")))
+    sizes = d.groupBy("zone").agg(F.count(F.lit(1)).alias("n_parcels")).filter("n_parcels >= 2")
+    f = Y.coordinate_features(coords.join(d, "parcel"), keys=("zone",))
+    seen = Y.nearest(cut(Y.similarity(f, ["zone"])), ["zone"]).groupBy("zone").agg(F.count_if("hit").alias("correct"))
+    return sizes.join(seen, "zone")
+
+
 def distance_bins_identification(coords: DataFrame, distance: DataFrame, draws: int, seed: int) -> DataFrame:
     """Identification on near, mid and far parcels against random sets of the same size."""
-    d = cut(distance.select("parcel", zone(F.col("distance")).alias("zone")))
-    sizes = {r.zone: r.n for r in d.groupBy("zone").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").take(3)}
-    parts = []
-    for name, size in sizes.items():
-        f = Y.coordinate_features(coords.join(d.filter(F.col("zone") == name).select("parcel"), "parcel"))
-        seen = Y.nearest(Y.similarity(f)).agg(F.count_if("hit").alias("correct")).withColumn("_1", F.lit(1))
-        null = Y.random_subset_identification(coords, size, draws, seed).withColumnRenamed("correct", "random").withColumn("_1", F.lit(1))
-        parts.append(null.join(seen, "_1").agg(
-            F.lit(name).alias("zone"), F.lit(size).alias("n_parcels"), F.max("correct").alias("correct"), F.median("random").alias("random_median"),
-            F.percentile("random", 0.05).alias("random_q05"), F.percentile("random", 0.95).alias("random_q95"), P.share(F.col("random") >= F.col("correct")).alias("frac_random_ge"),
-        ))
-    return reduce(DataFrame.unionByName, parts)
+    seen = cut(zone_hits(coords, distance))
+    null = Y.random_subset_identification(coords, seen.select("zone", F.col("n_parcels").alias("n")), draws, seed).withColumnRenamed("correct", "random")
+    return null.join(seen, "zone").groupBy("zone", "n_parcels").agg(
+        F.max("correct").alias("correct"), F.median("random").alias("random_median"),
+        F.percentile("random", 0.05).alias("random_q05"), F.percentile("random", 0.95).alias("random_q95"), P.share(F.col("random") >= F.col("correct")).alias("frac_random_ge"),
+    )
 
 
 def noise_outcome_screen(observed: DataFrame, noise: DataFrame, outcomes: DataFrame) -> DataFrame:
