@@ -319,14 +319,26 @@ def p41(t):
     return out(P.family_hit_null(nulls, EK, seen), ["endpoint", "observed_hits", "n_shared_permutations"])
 
 
-@query("P42_rank_critical_value", "outcomes perms", """WITH sz AS (SELECT DISTINCT n::INT AS n FROM (SELECT count(y) AS n FROM outcomes GROUP BY endpoint)), v AS (SELECT n,abs(n*(n*n-1)-6*list_sum([(p[k]-(k-1))**2 for k in range(1,n+1)])) AS v FROM perms JOIN sz USING (n)),
- c AS (SELECT n,v,count(*) AS c FROM v GROUP BY ALL), t AS (SELECT n,v,sum(c) OVER (PARTITION BY n ORDER BY v DESC)/sum(c) OVER (PARTITION BY n) AS tail,sum(c) OVER (PARTITION BY n) AS m FROM c)
- SELECT n,CAST(max(m) AS BIGINT) AS null_draws,CAST(coalesce(min(v) FILTER (tail<=.05),any_value(n*(n*n-1))+1) AS BIGINT) AS critical_absolute_numerator,CAST(any_value(n*(n*n-1)) AS BIGINT) AS denominator,
- round(coalesce(min(v) FILTER (tail<=.05),any_value(n*(n*n-1))+1)/any_value(n*(n*n-1)),6) AS critical_absolute_spearman,round(coalesce(max(tail) FILTER (tail<=.05),0),6) AS achieved_null_probability FROM t GROUP BY n""")
+def critical_sql(sizes: str) -> str:
+    """``cv (n, m, crit, den, tail)``: the critical numerator of each size."""
+    return f"""sz AS (SELECT DISTINCT n::INT AS n FROM {sizes}), v AS (SELECT n,abs(n*(n*n-1)-6*list_sum([(p[k]-(k-1))**2 for k in range(1,n+1)])) AS v FROM perms JOIN sz USING (n)),
+ c AS (SELECT n,v,count(*) AS c FROM v GROUP BY ALL), t AS (SELECT n,v,sum(c) OVER (PARTITION BY n ORDER BY v DESC)/sum(c) OVER (PARTITION BY n) AS tail,sum(c) OVER (PARTITION BY n) AS m FROM c),
+ cv AS (SELECT n,max(m) AS m,coalesce(min(v) FILTER (tail<=.05),any_value(n*(n*n-1))+1) AS crit,any_value(n*(n*n-1)) AS den,coalesce(max(tail) FILTER (tail<=.05),0) AS tail FROM t GROUP BY n)"""
+
+
+@query("P42_rank_critical_value", "outcomes perms", "WITH " + critical_sql("(SELECT count(y) AS n FROM outcomes GROUP BY endpoint)") + """
+ SELECT n,CAST(m AS BIGINT) AS null_draws,CAST(crit AS BIGINT) AS critical_absolute_numerator,CAST(den AS BIGINT) AS denominator,round(crit/den,6) AS critical_absolute_spearman,round(tail,6) AS achieved_null_probability FROM cv""")
 def p42(t):
-    # the complete-case sizes of the outcome table, at most one per subject count
-    sizes = sorted(r.n for r in t.outcomes().groupBy("endpoint").agg(F.count("y").alias("n")).select("n").distinct().take(8))
-    return out(P.rank_critical_values(t.spark, sizes), ["n", "null_draws", "critical_absolute_numerator", "denominator"])
+    """The critical value of every complete-case size of the outcome table."""
+    sizes = t.outcomes().groupBy("endpoint").agg(F.count("y").alias("n"))
+    return out(P.size_critical_values(sizes), ["n", "null_draws", "critical_absolute_numerator", "denominator"])
+
+
+@query("P42_beyond_critical", "coords outcomes perms", "WITH " + SD + tests_sql("sd", "network,metric", "delta") + critical_sql("ts") + """
+ SELECT endpoint,network,metric,n,abs(rho)>=crit/den-1e-9 AS beyond FROM ts JOIN cv USING (n)""")
+def p42b(t):
+    """Every endpoint's and feature's test beside the critical value of its size."""
+    return P.beyond_critical(tests(t).select(*EK, "n", "rho")).select(*EK, "n", "beyond")
 
 
 POOL = """ pw AS (SELECT endpoint,metric,CASE WHEN max(abs(rho))>=1-1e-9 THEN 'perfect correlation' WHEN min(n)<=3 THEN 'three subjects or fewer' WHEN count(*)<2 THEN 'a single cohort' END AS reason FROM pv1 GROUP BY 1,2),

@@ -424,22 +424,29 @@ def hashed_order(seed: int, draw: Column, n: Column) -> Column:
     return F.transform(F.array_sort(tagged), lambda t: t["i"])
 
 
-def rank_critical_values(spark, sizes: list[int], alpha: float = 0.05, draws: int = 400_000, seed: int = 0) -> DataFrame:
-    """Smallest |Spearman numerator| with null tail at most alpha, per n.
+def size_critical_values(sizes: DataFrame, alpha: float = 0.05, draws: int = 400_000, seed: int = 0) -> DataFrame:
+    """Smallest |Spearman numerator| with null tail at most alpha, for each ``n`` (2 or more) of ``sizes``.
 
-    Enumerated for n <= 8, hash-sampled above.
+    Enumerated for n <= 8, hash-sampled above.  A repeated size counts once.
     """
-    small, large = [n for n in sizes if n <= MAX_SUBJECTS], [n for n in sizes if n > MAX_SUBJECTS]
+    each = sizes.select(F.col("n").cast("int").alias("n")).filter("n >= 2").distinct()
     n = F.col("n").cast("long")
-    parts = []
-    if small:
-        p = permutations(spark, small).withColumn("p", F.transform("p", lambda v: v.cast("long")))
-        parts.append(p.select("n", F.abs(_numerator(F.col("p"), n)).alias("v")))
-    if large:
-        grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.array(*[F.lit(x) for x in large])).alias("n"))
-        parts.append(grid.select("n", F.abs(_numerator(hashed_order(seed, F.col("draw"), F.col("n")), n)).alias("v")))
-    values = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return _tail(values, ["n"], alpha, n * (n * n - 1))
+    p = permutations(sizes.sparkSession, list(range(2, MAX_SUBJECTS + 1))).join(each, "n", "left_semi")
+    exact = p.select("n", F.abs(_numerator(F.transform("p", lambda v: v.cast("long")), n)).alias("v"))
+    grid = each.filter(F.col("n") > MAX_SUBJECTS).select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw"))
+    sampled = grid.select("n", F.abs(_numerator(hashed_order(seed, F.col("draw"), F.col("n")), n)).alias("v"))
+    return _tail(exact.unionByName(sampled), ["n"], alpha, n * (n * n - 1))
+
+
+def rank_critical_values(spark, sizes: list[int], alpha: float = 0.05, draws: int = 400_000, seed: int = 0) -> DataFrame:
+    """:func:`size_critical_values` of named sizes."""
+    return size_critical_values(spark.createDataFrame([(x,) for x in sizes], "n int"), alpha, draws, seed)
+
+
+def beyond_critical(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``tests`` (with ``n, rho``) and whether |rho| reaches the critical value of their size."""
+    crit = size_critical_values(tests.select("n"), alpha).select("n", "critical_absolute_spearman")
+    return tests.join(crit, "n").withColumn("beyond", F.abs("rho") >= F.col("critical_absolute_spearman") - 1e-9)
 
 
 def _normal(seed: int, *ids: Column) -> Column:

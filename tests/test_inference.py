@@ -37,6 +37,11 @@ def test_exact_family_with_ties(spark):
 
 def test_critical_values(spark):
     r = {x.n: x for x in P.rank_critical_values(spark, [3, 6]).collect()}
+    both = spark.createDataFrame([(3,), (3,), (1,), (9,)], "n int")
+    got = {x.n: x for x in P.size_critical_values(both, draws=2000).collect()}
+    assert set(got) == {3, 9} and got[3] == r[3] and got[9].null_draws == 2000
+    t = spark.createDataFrame([("a", 6, -186 / 210), ("b", 6, 0.88), ("c", 3, 1.0)], "k string, n int, rho double")
+    assert {x.k: x.beyond for x in P.beyond_critical(t).collect()} == {"a": True, "b": False, "c": False}
     assert r[6].critical_absolute_numerator == 186 and r[6].denominator == 210 and np.isclose(r[6].achieved_null_probability, 24 / 720)
     assert r[3].critical_absolute_numerator == 25
 
@@ -147,3 +152,15 @@ def test_packed_similarity_equals_pairwise_correlation(spark, monkeypatch):
     whole = {((r.subject, r.visit), (r.subject2, r.visit2)): r.r for r in Y.similarity(sparse, features_in_all=spark.range(1).select(F.lit(1000.0))).collect()}
     padded = np.pad(zeros, ((0, 0), (0, 300)))
     assert np.isclose(whole[("s0", 0), ("s2", 0)], np.corrcoef(padded[0], padded[4])[0, 1])
+
+
+def test_zones_of_one_parcel_give_no_row(spark):
+    from netcohort.plans import cohorts as H
+
+    rows = [(f"S{s}", v, p, *(float((s * 7 + v + p * a) % 5 + s) for a in (1, 2, 3, 4))) for s in range(3) for v in (0, 1) for p in range(3)]
+    c = spark.createDataFrame(rows, "subject string, visit int, parcel int, g1 double, g2 double, g3 double, g4 double")
+    far = spark.createDataFrame([(0, 10.0), (1, 40.0), (2, 90.0)], "parcel int, distance double")
+    assert H.distance_bins_identification(c, far, 3, 1).count() == 0
+    near = spark.createDataFrame([(0, 10.0), (1, 20.0), (2, 90.0)], "parcel int, distance double")
+    got = H.distance_bins_identification(c, near, 3, 1).collect()
+    assert [(x.zone, x.n_parcels) for x in got] == [("near", 2)]
