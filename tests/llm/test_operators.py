@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -417,6 +418,46 @@ def test_a_common_run_hides_no_passage(spark, monkeypatch):
     assert got == want and set(range(82)) <= set(got)
 
 
+@pytest.mark.parametrize("hot", [1, 1024])
+def test_passages_of_hot_runs_and_text_ids(spark, monkeypatch, hot):
+    """A run in all documents, a block in a third of them, ids as text, ranges of a few suffixes."""
+    monkeypatch.setattr(repeats, "RANGE_ROWS", 5)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    r = random.Random(21)
+    fresh = lambda k: [f"y{r.randrange(10**9)}" for _ in range(k)]
+    common, copy, rows = fresh(30), fresh(120), []
+    for i in range(60):
+        rows.append(fresh(45) + common + fresh(45) if i % 3 else copy)
+    rows += [rows[1][:70] + fresh(60), fresh(60) + rows[1][40:], rows[2][10:59] + fresh(60), rows[4][:49] * 3]
+    docs = spark.createDataFrame([(f"d{i:03d}", " ".join(w)) for i, w in enumerate(rows)], "doc_id string, text string").repartition(4)
+    where, want, got = defaultdict(set), defaultdict(set), defaultdict(set)
+    for doc, words in enumerate(rows):
+        for p in range(len(words) - 49):
+            where[tuple(words[p : p + 50])].add(doc)
+    for doc, words in enumerate(rows):
+        for p in range(len(words) - 49):
+            if len(where[tuple(words[p : p + 50])]) > 1:
+                want[f"d{doc:03d}"].update(range(p, p + 50))
+    for x in repeats.repeated_passages(docs).collect():
+        got[x["doc_id"]].update(range(x["start_word"], x["end_word"]))
+    assert got == want and {"d000", "d001", "d060", "d061"} <= set(got) and not {"d002", "d062", "d063"} & set(got)
+
+
+def test_reaches_are_those_of_all_suffixes():
+    """Neighbours in the sorted order bound the match with every other suffix of the minimiser."""
+    r = random.Random(2)
+    rows = sorted((k, bytes(8 * 2) + b"".join(r.randrange(2).to_bytes(8) for _ in range(r.randrange(6)))) for k in (1, 2) for _ in range(30))
+    batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "after": [a for _, a in part]}) for part in (rows[:1], rows[1:20], rows[20:41], rows[41:])]
+    got = [int(n) for b, at, own in repeats.with_neighbours(iter(batches)) for n in repeats.matches(b, "after", at, own)]
+
+    def shared(a, b):
+        return next((i for i in range(min(len(a), len(b)) // 8) if a[8 * i : 8 * i + 8] != b[8 * i : 8 * i + 8]), min(len(a), len(b)) // 8)
+
+    want = [max(shared(a, b) for j, (q, b) in enumerate(rows) if q == k and j != i) for i, (k, a) in enumerate(rows)]
+    want[0], want[-1] = len(rows[0][1]) // 8, len(rows[-1][1]) // 8
+    assert got == want
+
+
 # secrets
 
 
