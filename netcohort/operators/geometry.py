@@ -369,9 +369,9 @@ def kendall_tau(pairs: DataFrame, keys: list[str], x: str, y: str, block: int =
     rank = pairs.join(px.select(*keys, x, F.col("before").alias("rx")), [*keys, x]).join(
         py.select(*keys, y, F.col("before").alias("ry")), [*keys, y]
     ).select(*keys, "rx", "ry")
-    level = rank.select(*keys, "rx", "ry", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("b"))
     top = px.groupBy(*keys).agg(F.max("n").alias("n"))
-    level = level.join(top, keys).filter(F.expr("shiftleft(cast(1 as bigint), b) < n"))
+    bits = F.expr("filter(sequence(0, 40), b -> shiftleft(cast(1 as bigint), b) < n)")
+    level = rank.join(top, keys).select(*keys, "rx", "ry", F.explode(bits).alias("b"))
     cell = [*keys, "b", "pre"]
     one = level.select(
         *keys, "b", F.expr("shiftright(ry, b + 1)").alias("pre"), "rx", F.expr("shiftright(ry, b) & 1").alias("bit"),

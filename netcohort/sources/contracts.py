@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,10 +170,45 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 # -- identity of files -------------------------------------------------------
 
-def content_hash(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, size, sha256`` of every file's bytes; one file per row, read by the executors."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return d.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+#: Files beyond so many bytes are read in pieces of so many, never whole into a row.
+STREAM_ABOVE, PIECE = 64 << 20, 8 << 20
+
+
+def content_hash(spark: SparkSession, paths: str | list[str], stream_above: int = STREAM_ABOVE) -> DataFrame:
+    """``path, size, sha256`` of every file's bytes, read by the executors.
+
+    Spark's own reader serves small files, from wherever it can read.  It holds a
+    file in one row and refuses those of 2 GB, so files of more than ``stream_above``
+    bytes pass through the digest piece by piece, in constant memory; their file
+    system must be one that Arrow opens.  A file that changes its size meanwhile raises.
+    Spark lists no empty files and none whose names begin with a dot or underscore.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    small = files.filter(F.col("length") <= stream_above).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > stream_above).select("path", F.col("length").alias("size"))
+    dealt = large.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return small.unionByName(dealt.mapInPandas(_streamed, "path string, size long, sha256 string"))
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(sha256=[_stream_digest(path, size) for path, size in zip(b["path"], b["size"], strict=True)])
+
+
+def _stream_digest(path: str, size: int) -> str:
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        system, inside = LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        system, inside = FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:{quote(rest, safe='/:@')}")
+    digest, seen = hashlib.sha256(), 0
+    with system.open_input_stream(inside, buffer_size=0) as f:
+        while piece := f.read(PIECE):
+            digest.update(piece)
+            seen += len(piece)
+    if seen != size:
+        raise OSError(f"{path}: {seen} bytes read of {size}")
+    return digest.hexdigest()
 
 
 def verify_snapshot(before: DataFrame, after: DataFrame) -> DataFrame:

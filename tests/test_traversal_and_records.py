@@ -1,5 +1,6 @@
 """Grid traversal, nearest voxels, JSON pairs and lineage against brute force."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -97,3 +98,23 @@ def test_lineage_is_append_only(spark, tmp_path):
     rows("half", "9").write.parquet(f"{path}/rows/run=half")  # never committed
     got = {(r.run, r.role, r.params["alpha"]) for r in C.read_lineage(spark, path).collect()}
     assert got == {("r1", "input", "1"), ("r1", "output", "1"), ("02", "input", "2"), ("02", "output", "2")}
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "PIECE", 1000)
+    for name, n in {"a b%20.bin": 0, "ünï.bin": 999, "at.bin": 1000, "over #1.bin": 1001, "deep/large 50%.bin": 34_567}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(np.random.default_rng(n).bytes(n))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = C.content_hash(spark, str(tmp_path), stream_above=1000).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    want = sorted((p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*.bin") if p.stat().st_size)
+    assert sorted((x["size"], x["sha256"]) for x in got) == want and len({x["path"] for x in got}) == 4
+
+
+def test_a_file_that_changes_while_it_is_hashed_is_refused(tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"12345")
+    with pytest.raises(OSError, match="5 bytes read of 6"):
+        C._stream_digest(f"file:{tmp_path}/x.bin", 6)
