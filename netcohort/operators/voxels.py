@@ -279,17 +279,21 @@ def paint_spheres(points: DataFrame, shape, affine, radius: float = 3.5) -> Data
 
 
 def fill_holes(mask: DataFrame, shape) -> DataFrame:
-    """Add background that no face path connects to the border."""
-    full = mask.select("image_id").distinct()
-    for c, n in zip(XYZ, shape):
-        full = full.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    back = full.join(mask.select(*IMG), IMG, "left_anti")
-    comp = cut(label_components(back, shape, 6))
-    edge = None
-    for c, n in zip(XYZ, shape):
-        e = (F.col(c) == 0) | (F.col(c) == n - 1)
-        edge = e if edge is None else edge | e
-    open_roots = comp.filter(edge).select("image_id", "root").distinct()
+    """Add background that no face path connects to the border.
+
+    Only background between two mask voxels of a line along x can be closed off; it is
+    labelled, and a component that touches other background beside it is open.  Rows
+    grow with these gaps, not with the grid.
+    """
+    solid = cut(mask.select(*IMG).distinct())
+    after = F.lead("x").over(W.partitionBy("image_id", "y", "z").orderBy("x"))
+    gaps = solid.withColumn("_after", after).filter("_after > x + 1")
+    gaps = gaps.select("image_id", F.explode(F.expr("sequence(x + 1, _after - 1)")).alias("x"), "y", "z")
+    comp = cut(label_components(gaps, shape, 6))
+    step = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(z).alias("z")) for y, z in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    beside = comp.withColumn("_s", F.explode(step)).select("root", "image_id", "x", *[(F.col(c) + F.col(f"_s.{c}")).alias(c) for c in "yz"])
+    known = solid.unionByName(comp.select(*IMG))
+    open_roots = beside.join(known, IMG, "left_anti").select("image_id", "root").distinct()
     holes = comp.join(open_roots, ["image_id", "root"], "left_anti").select(*IMG)
     return mask.select(*IMG).unionByName(holes)
 

@@ -118,3 +118,33 @@ def test_a_file_that_changes_while_it_is_hashed_is_refused(tmp_path):
     (tmp_path / "x.bin").write_bytes(b"12345")
     with pytest.raises(OSError, match="5 bytes read of 6"):
         C._stream_digest(f"file:{tmp_path}/x.bin", 6)
+
+
+def test_holes_are_what_the_border_does_not_reach(spark):
+    """Random masks, a closed shell, a shell with one hole in its wall and a shell at the border."""
+    r, n = np.random.default_rng(3), 9
+    shell = np.zeros((n, n, n), bool)
+    shell[2:7, 2:7, 2:7] = True
+    shell[3:6, 3:6, 3:6] = False
+    pierced = shell.copy()
+    pierced[4, 4, 2] = False
+    edge = np.zeros((n, n, n), bool)
+    edge[:4, :4, :4] = True
+    edge[:3, :3, :3] = False
+    images = [r.random((n, n, n)) < p for p in (0.5, 0.7, 0.85)] + [shell, pierced, edge]
+    rows = [(f"i{k}", *map(int, at)) for k, m in enumerate(images) for at in np.argwhere(m)]
+    got = {tuple(x) for x in V.fill_holes(spark.createDataFrame(rows, "image_id string, x int, y int, z int"), (n, n, n)).select("image_id", "x", "y", "z").collect()}
+    want = set(rows)
+    for k, m in enumerate(images):
+        seen = {tuple(map(int, p)) for p in np.argwhere(~m) if 0 in p or n - 1 in p}
+        todo = list(seen)
+        while todo:
+            p = todo.pop()
+            for axis in range(3):
+                for d in (-1, 1):
+                    q = tuple(c + d * (i == axis) for i, c in enumerate(p))
+                    if all(0 <= c < n for c in q) and not m[q] and q not in seen:
+                        seen.add(q)
+                        todo.append(q)
+        want |= {(f"i{k}", *map(int, p)) for p in np.argwhere(~m) if tuple(map(int, p)) not in seen}
+    assert got == want and ("i3", 4, 4, 4) in got and ("i4", 4, 4, 4) not in got and ("i5", 1, 1, 1) not in got
