@@ -208,11 +208,28 @@ def hybrid_atlas(surface: DataFrame, left: DataFrame, right: DataFrame, nodes: D
     return c.unionByName(d).groupBy(*IMG).agg(F.max("label").alias("label"), F.count(F.lit(1)).alias("claims"))
 
 
+def refused(rows: DataFrame, violations: DataFrame, message: str) -> DataFrame:
+    """``rows``; a query that reads them fails if ``violations`` names an image."""
+    named = violations.groupBy("image_id").agg(F.count(F.lit(1)).cast("string").alias("_c"))  # by its count no filter moves before the violations
+    said = F.concat(F.lit(message + ": "), F.col("image_id").cast("string"), F.substring("_c", 1, 0))
+    stop = named.filter(F.raise_error(said).cast("boolean"))
+    return rows.unionByName(stop.select("image_id"), allowMissingColumns=True)
+
+
+def without_white_matter(normalized: DataFrame) -> DataFrame:
+    """``image_id`` of images whose third fraction is positive nowhere."""
+    return normalized.groupBy("image_id").agg(F.max(F.get("f", F.lit(2))).alias("_m")).filter("coalesce(_m, 0) <= 0").select("image_id")
+
+
 def normalize_five_tissue(voxels: DataFrame) -> DataFrame:
-    """Clip five fractions to [0, 1] and scale them to sum one; all-zero stays zero."""
+    """Clip five fractions to [0, 1] and scale them to sum one; all-zero stays zero.
+
+    An image without white matter, the third fraction, is refused.
+    """
     clip = F.transform("f", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
     d = voxels.withColumn("f", clip).withColumn("_t", F.aggregate("f", F.lit(0.0), lambda a, v: a + v))
-    return d.withColumn("f", F.when(F.col("_t") > 0, F.transform("f", lambda v: v / F.col("_t"))).otherwise(F.col("f"))).drop("_t")
+    d = d.withColumn("f", F.when(F.col("_t") > 0, F.transform("f", lambda v: v / F.col("_t"))).otherwise(F.col("f"))).drop("_t")
+    return refused(d, without_white_matter(d), "no white matter")
 
 
 def argmax_tissue(voxels: DataFrame) -> DataFrame:
@@ -426,6 +443,21 @@ def fingerprint(voxels: DataFrame) -> DataFrame:
     return line.select("image_id", F.col("h").alias("sha256"))
 
 
+def ambiguous_shafts(candidates: DataFrame, ct: DataFrame, expected: int) -> DataFrame:
+    """``image_id, found``: images whose number of candidates is another than expected, none included."""
+    found = candidates.select("image_id", "root").distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("found"))
+    every = ct.select("image_id").distinct().join(found, "image_id", "left")
+    return every.select("image_id", F.coalesce("found", F.lit(0).cast("long")).alias("found")).filter(F.col("found") != expected)
+
+
+def expected_shafts(candidates: DataFrame, ct: DataFrame, expected: int) -> DataFrame:
+    """The candidates; an image with another number of them than expected is refused."""
+    if expected not in (1, 2):
+        raise ValueError("one or two shafts can be expected")
+    written = cut(candidates)
+    return refused(written, ambiguous_shafts(written, ct, expected), f"other than {expected} candidate shafts")
+
+
 def shaft_candidates(ct: DataFrame, brain: DataFrame, shape, affine, threshold: float) -> DataFrame:
     """Elongated metal components: ``image_id, root, length_mm, elongation, bin, px, py, pz``.
 

@@ -148,3 +148,24 @@ def test_hop_counts_equal_a_search_from_every_node(spark):
     nodes = spark.range(n).select(F.lit("g").alias("g"), F.col("id").cast("int").alias("node"))
     got = {(x.node, x.d): x.pairs for x in graphs.hop_counts(edges, ["g"], nodes).collect()}
     assert got == want
+
+
+def test_images_without_white_matter_are_refused(spark):
+    rows = [("a", 0, [0.2, 0.0, 0.3, 0.0, 0.1]), ("a", 1, [1.0, 0.0, 0.0, 0.0, 0.0]), ("b", 0, [0.5, 0.5, -0.1, 0.0, 0.0]), ("b", 1, [0.0] * 5)]
+    d = spark.createDataFrame(rows, "image_id string, x int, f array<double>")
+    assert voxels.normalize_five_tissue(d.filter("image_id = 'a'")).count() == 2
+    assert [r[0] for r in voxels.without_white_matter(d).collect()] == ["b"]
+    for act in (lambda t: t.count(), lambda t: t.select("f").collect()):
+        with pytest.raises(REFUSED, match="no white matter: b"):
+            act(voxels.normalize_five_tissue(d))
+
+
+def test_another_number_of_shafts_is_refused(spark):
+    ct = spark.createDataFrame([("one",), ("two",), ("none",)], "image_id string")
+    found = spark.createDataFrame([("one", 1, 0), ("one", 1, 1), ("two", 1, 0), ("two", 7, 0)], "image_id string, root long, bin int")
+    got = {tuple(r) for r in voxels.ambiguous_shafts(found, ct, 1).collect()}
+    assert got == {("two", 2), ("none", 0)}
+    with pytest.raises(REFUSED, match="other than 1 candidate"):
+        voxels.expected_shafts(found, ct, 1).count()
+    one = voxels.expected_shafts(found.filter("image_id = 'one'"), ct.filter("image_id = 'one'"), 1)
+    assert one.count() == 2 and one.columns == found.columns
