@@ -164,3 +164,17 @@ def test_zones_of_one_parcel_give_no_row(spark):
     near = spark.createDataFrame([(0, 10.0), (1, 20.0), (2, 90.0)], "parcel int, distance double")
     got = H.distance_bins_identification(c, near, 3, 1).collect()
     assert [(x.zone, x.n_parcels) for x in got] == [("near", 2)]
+
+
+def test_constant_sessions_have_no_correlation(spark):
+    from netcohort.operators import similarity as Y
+
+    rows = [(s, v, f"f{j}", 4.0 if s == "S1" else float((j * 7 + v * 3 + ord(s[1])) % 5)) for s in ("S0", "S1", "S2") for v in (0, 1) for j in range(12)]
+    f = spark.createDataFrame(rows, "subject string, visit int, feature string, x double")
+    sim = Y.similarity(f)
+    got = {(r.subject, r.visit, r.subject2, r.visit2): r.r for r in sim.collect()}
+    assert np.isnan(got["S0", 0, "S1", 0]) and np.isnan(got["S1", 0, "S1", 1]) and not np.isnan(got["S0", 0, "S2", 0])
+    near = {(r.subject, r.visit): r for r in Y.nearest(sim, other_visits=True).collect()}
+    assert (near["S1", 0].near_subject, near["S1", 0].near_visit, near["S1", 0].tied) == ("S0", 1, True)
+    assert (near["S0", 0].near_subject, near["S0", 0].near_visit) == ("S1", 1) and np.isnan(near["S0", 0].other_mean)
+    assert np.isnan(Y.cross_visit_identification(f).first().margin)
