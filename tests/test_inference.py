@@ -178,3 +178,27 @@ def test_constant_sessions_have_no_correlation(spark):
     assert (near["S1", 0].near_subject, near["S1", 0].near_visit, near["S1", 0].tied) == ("S0", 1, True)
     assert (near["S0", 0].near_subject, near["S0", 0].near_visit) == ("S1", 1) and np.isnan(near["S0", 0].other_mean)
     assert np.isnan(Y.cross_visit_identification(f).first().margin)
+
+
+def test_random_subsets_equal_similarity_of_each_set(spark):
+    from netcohort.operators import similarity as Y
+
+    rng = np.random.default_rng(5)
+    rows = [(f"S{s}", v, p, *map(float, rng.normal(size=4))) for s in range(3) for v in (0, 1) for p in range(60) if rng.random() > 0.05]
+    c = spark.createDataFrame(rows, "subject string, visit int, parcel int, g1 double, g2 double, g3 double, g4 double").repartition(3)
+    sizes = spark.createDataFrame([("near", 12), ("far", 40)], "zone string, n long")
+    seen = []
+    plain, Y.coordinate_features = Y.coordinate_features, lambda *a, **k: seen.append(1) or plain(*a, **k)
+    try:
+        got = {(r.zone, r.draw): r.correct for r in Y.random_subset_identification(c, sizes, 8, 3).collect()}
+    finally:
+        Y.coordinate_features = plain
+    assert not seen, "features of parcels times draws are written"
+    order = {}
+    for r in spark.createDataFrame([(p, d) for p in range(60) for d in range(8)], "parcel int, draw int").withColumn("h", F.xxhash64(F.lit(3), "draw", "parcel")).collect():
+        order.setdefault(r.draw, []).append((r.h, r.parcel))
+    for zone, n in (("near", 12), ("far", 40)):
+        for d in range(8):
+            chosen = [p for _, p in sorted(order[d])[:n]]
+            near = Y.nearest(Y.similarity(plain(c.filter(F.col("parcel").isin(chosen)))))
+            assert got[zone, d] == near.filter("hit").count()
