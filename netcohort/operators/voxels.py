@@ -35,15 +35,6 @@ def voxel_volume(affine) -> Column:
     return F.abs(det3(a))
 
 
-def segment_distance(p: list[Column], a: list[Column], b: list[Column]) -> Column:
-    """Distance from a point to a segment, the projection clipped to its ends."""
-    d = [q - r for q, r in zip(b, a)]
-    l2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    t = sum(((p[i] - a[i]) * d[i] for i in range(3)), F.lit(0.0)) / l2
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    return norm([p[i] - (a[i] + t * d[i]) for i in range(3)])
-
-
 def _box(lo: list[Column], hi: list[Column], shape) -> Column:
     """All voxel indices of a clipped box, as an array of structs."""
     rng = [F.sequence(F.greatest(F.floor(lo[i]).cast("int"), F.lit(0)), F.least(F.ceil(hi[i]).cast("int"), F.lit(shape[i] - 1))) for i in range(3)]
@@ -51,6 +42,12 @@ def _box(lo: list[Column], hi: list[Column], shape) -> Column:
     return rng, ok[0] & ok[1] & ok[2]
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt over all cores by ``keys`` before each becomes many: a small file is one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def tube_mask(segments: DataFrame, shape, affine, radius: float) -> DataFrame:
     """``image_id, path, x, y, z``: voxels within ``radius`` mm of a polyline.
 
@@ -66,11 +63,63 @@ def tube_mask(segments: DataFrame, shape, affine, radius: float) -> DataFrame:
     pad = [float(np.linalg.norm(inv[r, :3]) * radius) for r in range(3)]
     lo = [F.least(vox[0][i], vox[1][i]) - pad[i] for i in range(3)]
     hi = [F.greatest(vox[0][i], vox[1][i]) + pad[i] for i in range(3)]
+    return within_reach(segments, ["image_id", "path"], [p + c for p in "ab" for c in XYZ], lo, hi, shape, affine, _to_segment, radius).distinct()
+
+
+def _to_segment(p, ends):
+    """Distance of points from segments ``ax..bz``, the projection clipped to the ends."""
+    import numpy as np
+
+    a, d = ends[:3], [q - r for q, r in zip(ends[3:], ends[:3])]
+    l2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+    t = sum((p[i] - a[i]) * d[i] for i in range(3)) / np.where(l2 > 0, l2, 1.0)
+    t = np.maximum(0.0, np.minimum(1.0, t))
+    return _to_point(p, [a[i] + t * d[i] for i in range(3)])
+
+
+def _to_point(p, at):
+    import numpy as np
+
+    d = [q - r for q, r in zip(p, at)]
+    return np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+
+
+#: Voxels of boxes that are judged at once.
+JUDGED = 1 << 19
+
+
+def within_reach(rows: DataFrame, keep: list[str], place: list[str], lo: list[Column], hi: list[Column], shape, affine, distance, radius) -> DataFrame:
+    """``keep, x, y, z``: voxels of each row's box that lie within ``radius`` of its ``place``.
+
+    Rows are dealt over all cores by their planes in x; numpy judges a plane's voxels.
+    """
     rng, ok = _box(lo, hi, shape)
-    s = segments.filter(ok)
-    s = s.withColumn("x", F.explode(rng[0])).withColumn("y", F.explode(rng[1])).withColumn("z", F.explode(rng[2]))
-    d = segment_distance(world(affine, F.col("x"), F.col("y"), F.col("z")), *ends)
-    return s.filter(d <= radius).select("image_id", "path", *XYZ).distinct()
+    reach = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
+    ends = [F.element_at(rng[i], at).alias(c) for i, n in ((1, "y"), (2, "z")) for at, c in ((1, f"_{n}0"), (-1, f"_{n}1"))]
+    planes = spread(rows.filter(ok), *keep).select(*keep, *[F.col(c).cast("double").alias("_" + c) for c in place], reach.cast("double").alias("_reach"), *ends, F.explode(rng[0]).alias("x"))
+    m = [float(v) for v in affine]
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            ny, nz = ((pdf[f"_{c}1"] - pdf[f"_{c}0"] + 1).to_numpy() for c in "yz")
+            many = ny * nz
+            group = (np.cumsum(many) - many) // JUDGED
+            for g in np.unique(group):
+                part = np.flatnonzero(group == g)
+                row = np.repeat(part, many[part])
+                at = np.arange(len(row)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
+                take = lambda c: pdf[c].to_numpy()[row]
+                x, y, z = take("x"), take("_y0") + at // nz[row], take("_z0") + at % nz[row]
+                p = [m[4 * r] * x + m[4 * r + 1] * y + m[4 * r + 2] * z + m[4 * r + 3] for r in range(3)]
+                near = distance(p, [take("_" + c) for c in place]) <= take("_reach")
+                out = {c: pdf[c].to_numpy()[row[near]] for c in keep}
+                yield pd.DataFrame({**out, "x": x[near].astype("int32"), "y": y[near].astype("int32"), "z": z[near].astype("int32")})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return planes.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", x int, y int, z int")
 
 
 def unproductive_paths(tube: DataFrame, segments: DataFrame) -> DataFrame:
@@ -283,10 +332,8 @@ def _ball(points: DataFrame, shape, affine, radius: Column, keep: list[str]) ->
     c = [F.col("p" + a) for a in XYZ]
     v = world(inv.ravel(), *c)
     reach = [float(np.linalg.norm(inv[r, :3])) for r in range(3)]
-    rng, ok = _box([v[i] - radius * reach[i] for i in range(3)], [v[i] + radius * reach[i] for i in range(3)], shape)
-    s = points.filter(ok).withColumn("x", F.explode(rng[0])).withColumn("y", F.explode(rng[1])).withColumn("z", F.explode(rng[2]))
-    d = norm([a - b for a, b in zip(world(affine, F.col("x"), F.col("y"), F.col("z")), c)])
-    return s.filter(d <= radius).select(*keep, *XYZ)
+    lo, hi = [v[i] - radius * reach[i] for i in range(3)], [v[i] + radius * reach[i] for i in range(3)]
+    return within_reach(points.withColumn("_radius", radius), keep, ["p" + a for a in XYZ], lo, hi, shape, affine, _to_point, "_radius")
 
 
 def paint_spheres(points: DataFrame, shape, affine, radius: float = 3.5) -> DataFrame:

@@ -91,3 +91,18 @@ def test_refusals(spark, tmp_path):
         C.replay_diff_table(one, one, ["k"], ["v"], atol=1e-3)
     assert C.replay_diff_table(one, one, ["k"], ["v"]).first().passed
     assert not C.replay_diff_table(one, one.union(one), ["k"], ["v"]).first().passed
+
+
+def test_few_segments_are_dealt_over_all_cores(spark):
+    from netcohort.operators import voxels as V
+
+    affine = [2.0, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 1.0]
+    ends = [("n0", p, 2.0 * (p % 8), 4.0, 0.0, 2.0 * (p % 8) + 3, 6.0, 20.0) for p in range(40)]
+    one = spark.createDataFrame(ends, "image_id string, path int, ax double, ay double, az double, bx double, by double, bz double").coalesce(1)
+    tube = V.tube_mask(one, (16, 16, 16), affine, 2.5)
+    assert tube.count() == tube.distinct().count() and tube.select("path").distinct().count() == 40
+    plan = tube._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "REPARTITION_BY_NUM" in plan
+    ball = one.selectExpr("image_id", "path AS ord", "path AS label", "ax AS px", "ay AS py", "az AS pz")
+    hit = V._ball(ball, (16, 16, 16), affine, F.lit(3.5), ["image_id", "ord", "label"])
+    assert hit.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 8
