@@ -194,8 +194,8 @@ ERR = f"""c0 AS (SELECT *,{','.join(f'avg(g{i}) OVER (PARTITION BY parcel) AS c{
  ez AS (SELECT subject,pv.parcel,CAST(pv.parcel AS DOUBLE) AS distance,{_d('a', 'b')} AS error,{_d('a', 'b')}/s AS z FROM pv JOIN sc ON sc.parcel=pv.parcel),"""
 
 
-def errors(t: Tables, a: int = 1, b: int = 2):
-    c = coords(t)
+def errors(t: Tables, a: int = 1, b: int = 2, c=None):
+    c = coords(t) if c is None else c
     e = Y.scaled_error(c.filter(F.col("visit") == a), c.filter(F.col("visit") == b), c.filter("visit = 0"))
     return cut(e.join(mm(t), "parcel"))
 
@@ -243,8 +243,8 @@ def p34(t):
     return out(Y.retest_identification(a.withColumn("x", 0.6 * F.col("x") + 0.4 * F.col("y")), f, 2), ["correct", "of"])
 
 
-def vis_move(t: Tables, a: int, b: int):
-    d = M.displacement(M.pair_visits(coords(t), "subject", a, b)).filter("network = 'Vis'")
+def vis_move(c, a: int, b: int):
+    d = M.displacement(M.pair_visits(c, "subject", a, b)).filter("network = 'Vis'")
     return cut(d.groupBy("subject").agg(F.avg("displacement").alias("x")))
 
 
@@ -254,20 +254,23 @@ _mv = lambda a, b: f"SELECT p.subject,avg(sqrt({'+'.join(f'(p.g{i}-q.g{i})**2' f
 @query("P35_noise_outcome_screen", "coords outcomes perms", f"WITH ob AS ({_mv(1, 2)}),nz AS ({_mv(0, 1)}),nf AS (SELECT subject,'observed_displacement' AS metric,x AS delta FROM ob UNION ALL SELECT subject,'same_day_displacement',x FROM nz UNION ALL SELECT subject,'observed_minus_same_day',ob.x-nz.x FROM ob JOIN nz USING (subject)),"
        + tests_sql("nf", "metric", "delta") + maxt_sql("endpoint", "endpoint,metric", "mt") + END + "SELECT endpoint,metric,n,round(rho,6)+0.0 AS rho,round(p_exact,6) AS p_exact,round(p_greater,6) AS p_greater,round(p_less,6) AS p_less,round(p_maxt,6) AS p_maxt FROM pv1 JOIN mt USING (endpoint,metric)")
 def p35(t):
-    d = H.noise_outcome_screen(vis_move(t, 1, 2), vis_move(t, 0, 1), t.outcomes())
+    c = coords(t)
+    d = H.noise_outcome_screen(vis_move(c, 1, 2), vis_move(c, 0, 1), t.outcomes())
     return out(d.select("endpoint", "metric", "n", "rho", "p_exact", "p_greater", "p_less", F.col("p_maxT").alias("p_maxt")), ["endpoint", "metric"])
 
 
 @query("P35_noise_ratio", "coords", f"WITH ob AS ({_mv(1, 2)}),nz AS ({_mv(0, 1)}) SELECT round(quantile_cont(ob.x/nz.x,.5),6) AS ratio_median,round(corr(ob.x,nz.x),6)+0.0 AS corr FROM ob JOIN nz USING (subject)")
 def p35r(t):
-    return out(H.noise_ratio(vis_move(t, 1, 2), vis_move(t, 0, 1)), [])
+    c = coords(t)
+    return out(H.noise_ratio(vis_move(c, 1, 2), vis_move(c, 0, 1)), [])
 
 
 @query("P35_noise_signflip", "coords", f"""WITH ob AS ({_mv(1, 2)}),nz AS ({_mv(0, 1)}),d AS (SELECT list(ob.x-nz.x ORDER BY subject) AS d,avg(ob.x-nz.x) AS m,count(*)::INT AS n FROM ob JOIN nz USING (subject)),
  fl AS (SELECT n,m,list_sum([CASE WHEN (b>>(k-1))&1=1 THEN -d[k] ELSE d[k] END for k in range(1,n+1)])/n AS nul FROM d,range(64) r(b))
  SELECT n,round(m,6)+0.0 AS mean_difference,round(avg((nul>=m-1e-15)::INT),6) AS p_greater,round(avg((abs(nul)>=abs(m)-1e-15)::INT),6) AS p_two,count(*) AS n_signflips FROM fl GROUP BY n,m""")
 def p35s(t):
-    return out(H.noise_signflip(vis_move(t, 1, 2), vis_move(t, 0, 1)), ["n", "n_signflips"])
+    c = coords(t)
+    return out(H.noise_signflip(vis_move(c, 1, 2), vis_move(c, 0, 1)), ["n", "n_signflips"])
 
 
 _er = lambda a, b: f"SELECT a.subject,a.parcel,sqrt({'+'.join(f'(a.g{i}-b.g{i})**2' for i in range(1, 5))}) AS error FROM coords a JOIN coords b ON a.subject=b.subject AND a.parcel=b.parcel WHERE a.visit={a} AND b.visit={b}"
@@ -277,19 +280,22 @@ _er = lambda a, b: f"SELECT a.subject,a.parcel,sqrt({'+'.join(f'(a.g{i}-b.g{i})*
        + "v AS (SELECT quantile_cont(z,.5) AS z,quantile_cont(error,.5) AS e FROM ez), f AS (SELECT quantile_cont(error/s,.5) AS z,quantile_cont(error,.5) AS e FROM fl JOIN sc USING (parcel)), r AS (SELECT quantile_cont(error/s,.5) AS z,quantile_cont(error,.5) AS e FROM rm JOIN sc USING (parcel))"
        + " SELECT round(v.z,6) AS void_median_sd,round(f.z,6) AS floor_median_sd,round(v.e/f.e,6) AS ratio,round(r.z,6) AS rim_median_sd,round(r.e/f.e,6) AS rim_ratio FROM v,f,r")
 def p36(t):
-    return out(H.simulation_error(errors(t, 1, 2), errors(t, 1, 0), errors(t, 0, 2)), [])
+    c = coords(t)
+    return out(H.simulation_error(errors(t, 1, 2, c), errors(t, 1, 0, c), errors(t, 0, 2, c)), [])
 
 
 @query("P36_ratio_per_subject", "coords", f"WITH v AS (SELECT subject,quantile_cont(error,.5) AS e FROM ({_er(1, 2)}) GROUP BY 1),f AS (SELECT subject,quantile_cont(error,.5) AS e FROM ({_er(1, 0)}) GROUP BY 1) SELECT subject,round(v.e/f.e,6) AS ratio FROM v JOIN f USING (subject)")
 def p36s(t):
-    return out(H.simulation_ratio_per_subject(errors(t, 1, 2), errors(t, 1, 0)), ["subject"])
+    c = coords(t)
+    return out(H.simulation_ratio_per_subject(errors(t, 1, 2, c), errors(t, 1, 0, c)), ["subject"])
 
 
 @query("P36_false_displacement", "coords", f"""WITH ob AS ({_mv(1, 2)}),sm AS (SELECT 'floor' AS label,x FROM ({_mv(0, 1)}) UNION ALL SELECT 'void',x FROM ({_mv(0, 2)})),o AS (SELECT avg(x) AS m,stddev_samp(x) AS s FROM ob)
  SELECT label,round(avg(x),6) AS mean,round(avg(x)/s,6) AS over_observed_sd,round(avg(x)/m,6) AS over_observed_mean FROM sm,o GROUP BY label,s,m""")
 def p36f(t):
-    sim = vis_move(t, 0, 1).withColumn("label", F.lit("floor")).unionByName(vis_move(t, 0, 2).withColumn("label", F.lit("void")))
-    return out(H.false_displacement(sim, vis_move(t, 1, 2)), ["label"])
+    c = coords(t)
+    sim = vis_move(c, 0, 1).withColumn("label", F.lit("floor")).unionByName(vis_move(c, 0, 2).withColumn("label", F.lit("void")))
+    return out(H.false_displacement(sim, vis_move(c, 1, 2)), ["label"])
 
 
 @query("P37_loso_gallery")

@@ -202,3 +202,14 @@ def test_random_subsets_equal_similarity_of_each_set(spark):
             chosen = [p for _, p in sorted(order[d])[:n]]
             near = Y.nearest(Y.similarity(plain(c.filter(F.col("parcel").isin(chosen)))))
             assert got[zone, d] == near.filter("hit").count()
+
+
+def test_displacement_queries_build_coordinates_once(spark, monkeypatch):
+    from netcohort.catalog import QUERIES, study_queries
+
+    built, plain = [], study_queries.coords
+    monkeypatch.setattr(study_queries, "coords", lambda t: built.append(1) or plain(t))
+    for name in ("P35_noise_outcome_screen", "P35_noise_ratio", "P35_noise_signflip", "P36_false_displacement", "P36_simulation_error", "P36_ratio_per_subject"):
+        built.clear()
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert len(built) == 1, name
