@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.expr import finite, norm
+from ..session import cut
 from .voxels import XYZ
 
 
@@ -50,15 +51,21 @@ def sampling_gate(points: DataFrame, shape, voxel_mm=(1.0, 1.0, 1.0), slack: flo
     )
 
 
-def segment_cells(points: DataFrame, shape) -> DataFrame:
+def segment_cells(points: DataFrame, shape, crossing: bool = False) -> DataFrame:
     """Each segment with the voxel cells it passes, in parametric steps, and a sparse flag.
 
     A step ends where the segment crosses a plane between cells; at each such point, and
     at both ends, all cells whose closed box holds the point are offered.  Only planes of
-    the grid count, so cells grow with the length of a segment inside the grid.
+    the grid count, so cells grow with the length of a segment inside the grid.  With
+    ``crossing`` only segments that touch more than one cell are kept.
     """
     s = segments(points)
     place = lambda c, p: F.col(p + c) + 0.5
+    if crossing:
+        more = F.lit(False)
+        for c in XYZ:
+            more = more | (F.floor(F.greatest(place(c, "a"), place(c, "b")) + 1e-8) != F.floor(F.least(place(c, "a"), place(c, "b")) - 1e-8))
+        s = s.filter(more)
     wide, steps = F.lit(False), [F.array(F.lit(0.0), F.lit(1.0))]
     for c, n in zip(XYZ, shape):
         low, high = F.least(place(c, "a"), place(c, "b")), F.greatest(place(c, "a"), place(c, "b"))
@@ -97,7 +104,9 @@ def _slab_hit():
 def crossing_tracks(points: DataFrame, mask: DataFrame, shape, strict: bool = False) -> DataFrame:
     """Tracks with a segment that meets any closed mask voxel: ``track``.
 
-    The spatial predicate becomes an equi-join on the cell, then the slab test.
+    A track of two points or more with a point inside a closed mask voxel is hit: those
+    need no segment.  Of the other tracks a segment that stays within one cell cannot hit;
+    for the rest the predicate becomes an equi-join on the cell, then the slab test.
     Segments of any length are tested in full; strict mode refuses those that
     span more than two cells along an axis.  Tracks whose points are not numbered
     without gaps are refused, since a segment would be lost there.
@@ -105,9 +114,18 @@ def crossing_tracks(points: DataFrame, mask: DataFrame, shape, strict: bool = Fa
     require_gapless(points)
     if strict:
         require_dense(points)
-    cell = (F.col("x") + shape[0] * (F.col("y") + shape[1] * F.col("z").cast("long"))).alias("_cell")
-    cells = segment_cells(points, shape).drop("too_sparse").withColumn("_cell", cell)
-    return cells.join(mask.select(cell).distinct(), "_cell").filter(_slab_hit()).select("track").distinct()
+    pack = lambda c: (c["x"] + shape[0] * (c["y"] + shape[1] * c["z"].cast("long"))).alias("_cell")
+    solid = cut(mask.select(pack({c: F.col(c) for c in XYZ})).distinct())
+    on_grid = F.lit(True)
+    for c, n in zip(XYZ, shape):
+        on_grid = on_grid & (F.col(c) + 0.5 >= 0) & (F.col(c) + 0.5 < n)
+    at = points.filter(on_grid).select("track", pack({c: F.floor(F.col(c) + 0.5) for c in XYZ}))
+    several = points.groupBy("track").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    inside = cut(at.join(solid, "_cell", "left_semi").select("track").distinct().join(several, "track", "left_semi").select("track"))
+    rest = cut(points.join(inside, "track", "left_anti"))
+    s = segment_cells(rest, shape, crossing=True).drop("too_sparse")
+    met = s.withColumn("_cell", pack({c: F.col(c) for c in XYZ})).join(solid, "_cell").filter(_slab_hit()).select("track").distinct()
+    return inside.unionByName(met)
 
 
 def gapped_tracks(points: DataFrame) -> DataFrame:

@@ -106,3 +106,14 @@ def test_few_segments_are_dealt_over_all_cores(spark):
     ball = one.selectExpr("image_id", "path AS ord", "path AS label", "ax AS px", "ay AS py", "az AS pz")
     hit = V._ball(ball, (16, 16, 16), affine, F.lit(3.5), ["image_id", "ord", "label"])
     assert hit.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 8
+
+
+def test_segments_are_cut_only_where_points_do_not_decide(spark, monkeypatch):
+    cells, plain = [], T.segment_cells
+    monkeypatch.setattr(T, "segment_cells", lambda p, *a, **k: cells.append(p) or plain(p, *a, **k))
+    rows = [(0, 0, 1.0, 1.0, 1.0), (0, 1, 1.2, 1.0, 1.0), (1, 0, 4.0, 4.0, 4.0), (1, 1, 6.0, 4.0, 4.0), (2, 0, 1.0, 1.0, 1.0), (3, 0, 7.0, 7.0, 7.0), (3, 1, 7.2, 7.0, 7.0), (4, 0, 3.0, 0.5, 1.0), (4, 1, 3.2, 0.5, 1.0)]
+    p = spark.createDataFrame(rows, "track int, seq int, x double, y double, z double")
+    mask = spark.createDataFrame([(1, 1, 1), (5, 4, 4), (3, 0, 1)], "x int, y int, z int")
+    assert {r.track for r in T.crossing_tracks(p, mask, (8, 8, 8)).collect()} == {0, 1, 4}
+    assert {r.track for r in cells[0].select("track").distinct().collect()} == {1, 2, 3, 4}
+    assert {r.track for r in plain(p, (8, 8, 8), crossing=True).select("track").distinct().collect()} == {1, 4}
