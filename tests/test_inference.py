@@ -213,3 +213,27 @@ def test_displacement_queries_build_coordinates_once(spark, monkeypatch):
         built.clear()
         QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(built) == 1, name
+
+
+def test_concordance_null_writes_no_row_of_draws_times_parcels(spark):
+    from pyspark.sql import Window as W
+
+    from netcohort.operators import similarity as Y
+
+    rng = np.random.default_rng(11)
+    sizes = {("a", "L"): 30, ("b", "L"): 30, ("c", "L"): 27, ("a", "R"): 12, ("b", "R"): 12, ("c", "R"): 12}
+    rows = [(s, h, 7 * p + 1, float(rng.normal()), n) for (s, h), n in sizes.items() for p in range(n)]
+    m = spark.createDataFrame(rows, "subject string, hemi string, parcel long, u double, n long")
+    null = Y.concordance_null(m, 120, 5)
+    plan = null._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    got = {r.draw: r.value for r in null.collect()}
+
+    place = F.row_number().over(W.partitionBy("draw", "subject", "hemi").orderBy(F.xxhash64(F.lit(5), "draw", "subject", "hemi", "parcel"), "parcel"))
+    at = {}
+    for r in m.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(119)))).withColumn("pos", place).collect():
+        at.setdefault((r.draw, r.hemi, r.pos), []).append(r.u)
+    assert sorted(got) == list(range(120))
+    for d in range(120):
+        s = {h: sum(x * y for (e, g, _), us in at.items() if (e, g) == (d, h) for x, y in itertools.combinations(us, 2)) for h in "LR"}
+        assert got[d] == pytest.approx((s["L"] * 30 + s["R"] * 12) / 42 / 3, abs=1e-9)
