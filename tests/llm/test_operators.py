@@ -542,6 +542,34 @@ def test_secrets_of_other_forms_are_found(spark, network):
         assert sum(hit) >= 0.9 * len(hit), name
 
 
+def test_network_is_trained_on_all_windows_in_groups(spark, monkeypatch):
+    """Secrets that a sample by smallest hash leaves out train the network too."""
+    monkeypatch.setattr(secrets, "SHOWN", 400)
+    r = random.Random(8)
+    rows = []
+    for i in range(1600):
+        good = i % 2 == 0
+        run = "".join(r.choices("0123456789abcdef", k=40)) if good else str(r.randrange(10**15, 10**16))
+        text = f"some words token = '{run}' and more" if good else f"some words the number {run} and more"
+        rows.append((r.getrandbits(64) - (1 << 63), secrets.window(text, text.index(run), text.index(run) + len(run)), good))
+    schema = "hash long, window string, secret boolean"
+    net = secrets.train_on_all(spark.createDataFrame(rows[:1200], schema), group=300)  # four groups
+    score = net.score([x[1] for x in rows[1200:]])
+    good = [x[2] for x in rows[1200:]]
+    found = [s >= net.threshold for s in score]
+    assert sum(f for f, g in zip(found, good, strict=True) if g) >= 0.9 * sum(good)
+    assert sum(f for f, g in zip(found, good, strict=True) if not g) <= 0.02 * len(good)
+    lone = secrets.train_on_all(spark.createDataFrame([*rows[:3], *(x for x in rows[3:900] if not x[2])], schema), group=150)
+    assert lone.threshold < float("inf")  # two secrets, in every group
+    assert secrets.train_on_all(spark.createDataFrame([x for x in rows[:50] if x[2]], schema)).threshold == float("inf")
+
+
+def test_no_query_trains_on_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "labelled_sample", lambda *a, **k: pytest.fail("a sample trains the network"))
+    docs = spark.createDataFrame([(1, "password = abcdefghijkl99 at /srv/app/data/reports-2024/latest"), (2, "nothing")], "doc_id long, text string")
+    assert secrets.secret_spans(docs).count() == 2 and secrets.mask_secrets(docs).count() == 2
+
+
 def test_network_finds_held_out_secrets_and_leaves_clean_runs():
     r = random.Random(4)
     hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
