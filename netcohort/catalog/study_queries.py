@@ -254,14 +254,14 @@ _mv = lambda a, b: f"SELECT p.subject,avg(sqrt({'+'.join(f'(p.g{i}-q.g{i})**2' f
 @query("P35_noise_outcome_screen", "coords outcomes perms", f"WITH ob AS ({_mv(1, 2)}),nz AS ({_mv(0, 1)}),nf AS (SELECT subject,'observed_displacement' AS metric,x AS delta FROM ob UNION ALL SELECT subject,'same_day_displacement',x FROM nz UNION ALL SELECT subject,'observed_minus_same_day',ob.x-nz.x FROM ob JOIN nz USING (subject)),"
        + tests_sql("nf", "metric", "delta") + maxt_sql("endpoint", "endpoint,metric", "mt") + END + "SELECT endpoint,metric,n,round(rho,6)+0.0 AS rho,round(p_exact,6) AS p_exact,round(p_greater,6) AS p_greater,round(p_less,6) AS p_less,round(p_maxt,6) AS p_maxt FROM pv1 JOIN mt USING (endpoint,metric)")
 def p35(t):
-    c = coords(t)
+    c = coords(t.of_network("Vis"))
     d = H.noise_outcome_screen(vis_move(c, 1, 2), vis_move(c, 0, 1), t.outcomes())
     return out(d.select("endpoint", "metric", "n", "rho", "p_exact", "p_greater", "p_less", F.col("p_maxT").alias("p_maxt")), ["endpoint", "metric"])
 
 
 @query("P35_noise_ratio", "coords", f"WITH ob AS ({_mv(1, 2)}),nz AS ({_mv(0, 1)}) SELECT round(quantile_cont(ob.x/nz.x,.5),6) AS ratio_median,round(corr(ob.x,nz.x),6)+0.0 AS corr FROM ob JOIN nz USING (subject)")
 def p35r(t):
-    c = coords(t)
+    c = coords(t.of_network("Vis"))
     return out(H.noise_ratio(vis_move(c, 1, 2), vis_move(c, 0, 1)), [])
 
 
@@ -269,7 +269,7 @@ def p35r(t):
  fl AS (SELECT n,m,list_sum([CASE WHEN (b>>(k-1))&1=1 THEN -d[k] ELSE d[k] END for k in range(1,n+1)])/n AS nul FROM d,range(64) r(b))
  SELECT n,round(m,6)+0.0 AS mean_difference,round(avg((nul>=m-1e-15)::INT),6) AS p_greater,round(avg((abs(nul)>=abs(m)-1e-15)::INT),6) AS p_two,count(*) AS n_signflips FROM fl GROUP BY n,m""")
 def p35s(t):
-    c = coords(t)
+    c = coords(t.of_network("Vis"))
     return out(H.noise_signflip(vis_move(c, 1, 2), vis_move(c, 0, 1)), ["n", "n_signflips"])
 
 
@@ -293,7 +293,7 @@ def p36s(t):
 @query("P36_false_displacement", "coords", f"""WITH ob AS ({_mv(1, 2)}),sm AS (SELECT 'floor' AS label,x FROM ({_mv(0, 1)}) UNION ALL SELECT 'void',x FROM ({_mv(0, 2)})),o AS (SELECT avg(x) AS m,stddev_samp(x) AS s FROM ob)
  SELECT label,round(avg(x),6) AS mean,round(avg(x)/s,6) AS over_observed_sd,round(avg(x)/m,6) AS over_observed_mean FROM sm,o GROUP BY label,s,m""")
 def p36f(t):
-    c = coords(t)
+    c = coords(t.of_network("Vis"))
     sim = vis_move(c, 0, 1).withColumn("label", F.lit("floor")).unionByName(vis_move(c, 0, 2).withColumn("label", F.lit("void")))
     return out(H.false_displacement(sim, vis_move(c, 1, 2)), ["label"])
 

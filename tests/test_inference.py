@@ -237,3 +237,24 @@ def test_concordance_null_writes_no_row_of_draws_times_parcels(spark):
     for d in range(120):
         s = {h: sum(x * y for (e, g, _), us in at.items() if (e, g) == (d, h) for x, y in itertools.combinations(us, 2)) for h in "LR"}
         assert got[d] == pytest.approx((s["L"] * 30 + s["R"] * 12) / 42 / 3, abs=1e-9)
+
+
+def test_coordinates_of_one_network_move_no_other_line_items(spark):
+    from netcohort.catalog.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    one = t.of_network("Vis").coords()
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, t.coords().filter("network = 'Vis'").collect()))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert any("Filter" in line and "l_suppkey" in line and "Vis" in line for line in below.splitlines())  # under the joins, at the scan
+
+
+def test_noise_queries_take_one_network(spark, monkeypatch):
+    from netcohort.catalog import QUERIES, study_queries
+
+    asked, plain = [], study_queries.coords
+    monkeypatch.setattr(study_queries, "coords", lambda t: asked.append(getattr(t, "network", None)) or plain(t))
+    for name in ("P35_noise_outcome_screen", "P35_noise_ratio", "P35_noise_signflip", "P36_false_displacement"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == ["Vis"] * 4
