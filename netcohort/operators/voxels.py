@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import order as O
 from ..functions.expr import checked, det3, norm
-from ..session import cut
+from ..session import cut, dealt
 from .iterate import connected_components, union_all
 
 XYZ = ["x", "y", "z"]
@@ -153,15 +153,22 @@ def label_components(mask: DataFrame, shape, connectivity: int = 6, keys=("image
     side = [F.floor(F.col(c) / BLOCK).cast("int").alias("_b" + c) for c in XYZ]
     kinds = {f.name: f.dataType.simpleString() for f in mask.schema}
     ddl = ", ".join(f"{c} {kinds[c]}" for c in k) + ", x int, y int, z int, node long, part long"
-    m = mask.select(*k, *[F.col(c).cast("int").alias(c) for c in XYZ], pack(shape))
-    parts = cut(m.groupBy(*k, *side).applyInPandas(_label_block(k, steps), ddl))
+    m = cut(mask.select(*k, *[F.col(c).cast("int").alias(c) for c in XYZ], pack(shape)).select("*", *side))
+    blocks = [*k, *["_b" + c for c in XYZ]]
+    parts = cut(dealt(m, m.count(), *blocks).groupBy(*blocks).applyInPandas(_label_block(k, steps), ddl))
     # what blocks leave open: neighbours across a face of a block
     edge = F.lit(False)
     for c in XYZ:
         edge = edge | (F.col(c) % BLOCK == 0) | (F.col(c) % BLOCK == BLOCK - 1)
     rim = parts.filter(edge)
-    moved = rim.select(*k, F.col("part").alias("i"), *XYZ, F.explode(_offsets(steps)).alias("o")).select(*k, "i", *[(F.col(c) + F.col("o.d" + c)).alias(c) for c in XYZ])
-    edges = cut(moved.join(rim.select(*k, *XYZ, F.col("part").alias("j")), [*k, *XYZ]).filter("i <> j").select(*k, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct())
+    away = F.lit(False)
+    for c in XYZ:
+        away = away | (F.floor((F.col(c) + F.col("o.d" + c)) / BLOCK) != F.floor(F.col(c) / BLOCK))
+    moved = rim.select(*k, F.col("part").alias("i"), *XYZ, F.explode(_offsets(steps)).alias("o")).filter(away)
+    moved = cut(moved.select(*k, "i", *[(F.col(c) + F.col("o.d" + c)).alias(c) for c in XYZ]))
+    rows = moved.count()
+    met = dealt(moved, rows, *k, *XYZ).hint("merge").join(dealt(rim.select(*k, *XYZ, F.col("part").alias("j")), rows, *k, *XYZ), [*k, *XYZ])
+    edges = cut(met.filter("i <> j").select(*k, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct())
     ends = edges.select(*k, F.explode(F.array("i", "j")).alias("node")).distinct()
     comp = connected_components(ends, edges, k).select(*k, F.col("node").alias("part"), F.col("root").alias("_r"))
     return parts.join(comp, [*k, "part"], "left").select(*k, *XYZ, F.coalesce("_r", "part").alias("root"))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netcohort import session
 from netcohort.operators import tracks as T
 from netcohort.operators import voxels as V
 from netcohort.session import cut
@@ -53,6 +54,35 @@ def test_parcel_distance_on_anisotropic_grid(spark):
     assert np.isclose(d[7], 9) and np.isclose(d[9], 10)
 
 
+def test_components_of_many_voxels_are_dealt_by_rows(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    cells = {tuple(map(int, c)) for c in rng.integers(0, 70, (3000, 3))}
+    m = spark.createDataFrame([("a", *c) for c in cells], "image_id string, x int, y int, z int")
+    whole = {tuple(r) for r in V.label_components(m, (70, 70, 70), 26).collect()}
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    assert session.dealt(m, 3000, "x").rdd.getNumPartitions() == 30 and session.dealt(m, 100, "x") is m
+    parts = V.label_components(m, (70, 70, 70), 26)
+    assert {tuple(r) for r in parts.collect()} == whole
+    root = {c: c for c in cells}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    near = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    for c in cells:
+        for d in near:
+            o = tuple(a + b for a, b in zip(c, d, strict=True))
+            if o in cells:
+                root[top(o)] = top(c)
+    names = {}
+    for c in cells:
+        names.setdefault(top(c), []).append(c[0] + 70 * (c[1] + 70 * c[2]))
+    assert whole == {("a", *c, min(names[top(c)])) for c in cells}
+
+
 def test_fill_holes_closes_a_shell(spark):
     cells = [("a", x, y, z) for x in range(1, 4) for y in range(1, 4) for z in range(1, 4) if (x, y, z) != (2, 2, 2)]
     m = spark.createDataFrame(cells, "image_id string, x int, y int, z int")
