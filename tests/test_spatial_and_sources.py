@@ -83,6 +83,22 @@ def test_components_of_many_voxels_are_dealt_by_rows(spark, monkeypatch):
     assert whole == {("a", *c, min(names[top(c)])) for c in cells}
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dice_of_many_voxels_is_dealt_by_cubes(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    masks = {n: {tuple(map(int, c)) for c in rng.integers(-9, 9, (k, 3))} for n, k in (("a", 3000), ("b", 2000), ("c", 1))}
+    m = spark.createDataFrame([(n, *c) for n, cells in masks.items() for c in cells], "image_id string, x int, y int, z int")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("a", "none")], "a string, b string")
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    d = V.dice(pairs, m)
+    want = {(a, b): 2 * len(masks[a] & masks[b]) / (len(masks[a]) + len(masks[b])) for a, b in (("a", "b"), ("b", "a"), ("a", "c"))}
+    assert {(r.a, r.b): r.dice for r in d.collect()} == want
+    assert "REPARTITION_BY_NUM" in planned(d) and "SortMergeJoin" in planned(d)
+
+
 def test_fill_holes_closes_a_shell(spark):
     cells = [("a", x, y, z) for x in range(1, 4) for y in range(1, 4) for z in range(1, 4) if (x, y, z) != (2, 2, 2)]
     m = spark.createDataFrame(cells, "image_id string, x int, y int, z int")
