@@ -89,8 +89,7 @@ rm AS (SELECT image_id,x,y,z FROM voxels JOIN md USING (image_id) WHERE v>1.6*m)
 
 
 def overlays(t: Tables):
-    v = cut(t.voxels())
-    j = v.join(O.median(v, ["image_id"], "v", "m"), "image_id")
+    j = cut(t.with_median())
     m = F.col("m")
     return j.filter("v > m").select(*IMG), j.filter((F.col("v") <= m) & (F.col("v") > 0.8 * m)).select(*IMG), j.filter(F.col("v") > 1.6 * m).select(*IMG)
 

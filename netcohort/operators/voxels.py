@@ -225,8 +225,11 @@ def mask_union(masks: list[DataFrame]) -> DataFrame:
 
 
 def mask_repair(mask: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
-    """(mask + add) - remove."""
-    return mask.select(*IMG).unionByName(add.select(*IMG)).distinct().join(remove.select(*IMG).distinct(), IMG, "left_anti")
+    """(mask + add) - remove, in one pass: a voxel stays if no row of it is removed."""
+    tag = lambda d, out: d.select(*IMG, F.lit(out).alias("_out"))
+    every = cut(union_all([tag(mask, False), tag(add, False), tag(remove, True)]))
+    voxels = dealt(every, every.count(), *IMG).groupBy(*IMG).agg(F.bool_or("_out").alias("_out"))
+    return voxels.filter("NOT _out").select(*IMG)
 
 
 def repair_guard(mask: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:

@@ -99,6 +99,16 @@ def test_dice_of_many_voxels_is_dealt_by_cubes(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in planned(d) and "SortMergeJoin" in planned(d)
 
 
+def test_mask_repair_of_many_voxels_is_one_dealt_pass(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [{("a", *map(int, c)) for c in rng.integers(0, 9, (k, 3))} for k in (400, 300, 200)]
+    frames = [spark.createDataFrame(sorted(x), "image_id string, x int, y int, z int") for x in sets]
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    r = V.mask_repair(frames[0], frames[1].unionByName(frames[1]), frames[2])
+    assert sorted(map(tuple, r.collect())) == sorted((sets[0] | sets[1]) - sets[2])
+    assert "REPARTITION_BY_NUM" in planned(r) and "Join" not in planned(r)
+
+
 def test_fill_holes_closes_a_shell(spark):
     cells = [("a", x, y, z) for x in range(1, 4) for y in range(1, 4) for z in range(1, 4) if (x, y, z) != (2, 2, 2)]
     m = spark.createDataFrame(cells, "image_id string, x int, y int, z int")
