@@ -296,7 +296,7 @@ def embedding_identification(edges: DataFrame, nodes: DataFrame, subjects: DataF
 
 def loso_gallery(edges: DataFrame, nodes: DataFrame, subjects: DataFrame) -> DataFrame:
     """For each held-out subject, all sessions under its reference; its three queries only."""
-    sizes = E.hemisphere_sizes(nodes)
+    sizes = cut(E.hemisphere_sizes(nodes))
     cort = cut(E.hemisphere_slice(edges, nodes))
     hemi = F.broadcast(nodes.select(F.col("idx").alias("i"), "hemi"))
     ref, _ = E.embed(E.loso_mean(cort.filter("visit = 0"), subjects).join(hemi, "i"), ["held", "hemi"], sizes)
