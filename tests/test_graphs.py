@@ -154,3 +154,13 @@ def test_search_settles_and_keeps_ties_apart(spark):
     assert all(of["a", i] == i // 6 * 6 for i in range(30)) and of["a", 30] == 30
     # the square has two best partitions; the one whose labels come first counts
     assert [of["b", i] for i in range(4)] == [0, 0, 2, 2]
+
+
+def test_small_tables_are_read_from_their_sources_once(spark):
+    from netcohort.catalog.fixtures import Tables
+    from netcohort.catalog.graph_queries import Base
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    for table in (t.nodes(), t.outcomes(), t.sides(), Base(t).nodes):
+        assert table.inputFiles() and not any("testdata" in f for f in table.inputFiles())
+    assert t.nodes().count() == 50
